@@ -3,9 +3,10 @@
 Base counts come from the words of the whole text. The verdict asks public vocabularies how a text falls apart: code
 points per token of a byte-level BPE, share of byte-fallback pieces of a BPE with byte fallback, entropy of the token
 distribution, normalised by its maximum for the text's length. Each group (language, or script where the language is
-unknown or rare) has a band for each measure: the group's median over all its documents, give or take `width` times the
-distance between its quartiles, and never narrower than a floor. A document outside a band is rejected. Bands are one
-row a group, from mergeable percentile sketches over all documents.
+unknown or rare) and length class (powers of two of the token count, since both measures depend on length) has a band
+for each measure: the median over all its documents, give or take `width` times the distance between its quartiles, and
+never narrower than a floor. A document outside a band is rejected. Bands are one row for each group and class, from
+mergeable percentile sketches over all documents.
 
 Edge cases: a null or empty text has no words and fails the base rules. A text of fewer than min_tokens tokens has no
 verdict of its own (measures of so few tokens say nothing) and keeps the base verdict. Repeated rows count each time.
@@ -102,27 +103,26 @@ def measured(docs: DataFrame, ranks: str, pattern: str, pieces: str, keep: list[
     return map_rows(docs, ["text"], make, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, fallback_share double, entropy double, script string", keep=keep)
 
 
-MEASURES = {"chars_per_token": 0.25, "fallback_share": 0.02, "entropy": 0.06}  # the least half-width of each band
+#: The least half-width of each measure's band.
+MEASURES = {"chars_per_token": 0.02, "fallback_share": 0.02, "entropy": 0.01}
 
 
 def bands(rows: DataFrame, group: str, width: float) -> DataFrame:
-    """One row a group: n_docs, and median and half-width of each measure over all its documents."""
+    """One row for each group and length class: n_docs, and median and half-width of each measure over all its documents."""
     q = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 1000) for m in MEASURES}
-    out = rows.groupBy(group).agg(F.count("*").alias("n_docs"), *[v.alias(m) for m, v in q.items()])
-    return out.select(group, "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
+    out = rows.groupBy(group, "size").agg(F.count("*").alias("n_docs"), *[v.alias(m) for m, v in q.items()])
+    return out.select(group, "size", "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
 
 
-def judge(rows: DataFrame, width: float = 4.0, min_group: int = 30, min_tokens: int = 30, short: float = 6.0) -> DataFrame:
-    """rows (materialised measures with lang and script) with base_failed, kept and outside, the measures out of their bands.
-
-    short: a band is wider by short / sqrt(n_tokens) of itself, since the measures of short texts scatter more.
-    """
+def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens: int = 30) -> DataFrame:
+    """rows (materialised measures with lang and script) with base_failed, kept and outside, the measures out of their bands."""
+    rows = rows.withColumn("size", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))))
     sized = rows.where(F.col("n_tokens") >= min_tokens)
-    by_lang = bands(sized.where("lang is not null"), "lang", width).where(F.col("n_docs") >= min_group)
-    by_script = bands(sized, "script", width)
     cols = [f"{m}_{s}" for m in MEASURES for s in ("mid", "half")]
-    x = rows.join(by_lang.select("lang", *[F.col(c).alias(f"l_{c}") for c in cols]), "lang", "left").join(by_script.select("script", *[F.col(c).alias(f"s_{c}") for c in cols]), "script", "left")
-    wide = 1 + short / F.sqrt(F.greatest(F.lit(1), "n_tokens"))
-    far = {m: (F.col("n_tokens") >= min_tokens) & (F.abs(F.col(m) - F.coalesce(f"l_{m}_mid", f"s_{m}_mid")) > wide * F.coalesce(f"l_{m}_half", f"s_{m}_half")) for m in MEASURES}
+    x = rows
+    for group in ("lang", "script"):
+        band = bands(sized.where(F.col(group).isNotNull()), group, width).where(F.col("n_docs") >= min_group)
+        x = x.join(band.select(group, "size", *[F.col(c).alias(f"{group}_{c}") for c in cols]), [group, "size"], "left")
+    far = {m: (F.col("n_tokens") >= min_tokens) & (F.abs(F.col(m) - F.coalesce(f"lang_{m}_mid", f"script_{m}_mid")) > F.coalesce(f"lang_{m}_half", f"script_{m}_half")) for m in MEASURES}
     x = x.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "outside": F.concat_ws(",", *[F.when(y, m) for m, y in far.items()])})
-    return x.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == "")).drop(*[f"{p}_{c}" for p in "ls" for c in cols])
+    return x.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == "")).drop("size", *[f"{g}_{c}" for g in ("lang", "script") for c in cols])

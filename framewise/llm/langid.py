@@ -126,7 +126,7 @@ def sample_windows(docs: DataFrame, train: Column, per_lang: int, per_doc: int,
         return row
 
     rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang", F.xxhash64("doc_id").alias("key"))
-    got = map_rows(rows, ["text", "key"], make, "windows binary", keep=["lang", "key"]).orderBy("lang", "key").toArrow()
+    got = map_rows(rows, ["text", "key"], make, "windows binary", keep=["lang", "key"]).toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
     names = sorted(set(got.column("lang").to_pylist()))
     at = {n: i for i, n in enumerate(names)}
     x = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW + 3) for b in got.column("windows").to_pylist()]

@@ -1,6 +1,6 @@
 """Toxicity scores by a factorisation machine over hashed terms.
 
-Terms (lower-cased words) are hashed; a text is the set of its hashes. From a bounded
+Terms (lower-cased words and word beginnings) are hashed; a text is the set of its hashes. From a bounded
 sample of labelled rows the terms that tell most about the label are chosen (by their chi-square), and a factorisation
 machine is trained on them in numpy: a weight for each term and a factor vector, whose products are the weights of
 pairs of terms, so an insult beside a group mention can count for more than both alone. Scoring reads whole texts.
@@ -20,24 +20,14 @@ from .text import map_rows, share, words_of
 CACHE = 500_000
 
 
-class Terms:
-    """Hashes of a text's terms, as a sorted set."""
+#: Lengths in bytes of the word beginnings that count as terms beside the words.
+PREFIXES = (4, 6, 7)
 
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
-        mask = self.mask
 
-        class Cache(dict):
-            def __missing__(cache, w):
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = h = xxhash.xxh32_intdigest(w) & mask
-                return h
-
-        self.one = Cache()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.unique(np.array([self.one[w] for w in set(words_of(text))], np.int64))
+def term_hashes(word: bytes, bits: int) -> list[int]:
+    """Hashes of a word and of its beginnings."""
+    mask = (1 << bits) - 1
+    return [xxhash.xxh32_intdigest(word) & mask, *(xxhash.xxh32_intdigest(word[:k], k) & mask for k in PREFIXES if len(word) >= k)]
 
 
 class Machine:
@@ -46,40 +36,52 @@ class Machine:
     def __init__(self, chosen: np.ndarray, factors: int, seed: int):
         rng = np.random.default_rng(seed)
         self.chosen = chosen  # sorted hashes
-        self.w0, self.w, self.v = 0.0, np.zeros(len(chosen) + 1), rng.normal(0, 0.05, (len(chosen) + 1, factors))
-        self.v[-1] = 0  # padding
+        self.w0, self.w, self.v = 0.0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), factors))
 
     def places(self, terms: np.ndarray) -> np.ndarray:
+        """Which of the chosen terms are among terms (distinct)."""
         if not len(self.chosen) or not len(terms):
             return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.chosen, terms), len(self.chosen) - 1)
         return at[self.chosen[at] == terms]
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        """Scores before the logistic, of rows of places padded by the last index."""
-        v = self.v[x]
-        s = v.sum(axis=1)
-        return self.w0 + self.w[x].sum(axis=1) + 0.5 * ((s * s).sum(axis=1) - (v * v).sum(axis=(1, 2)))
-
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> "Machine":
-        n, rng = len(self.chosen), np.random.default_rng(seed)
-        width = max([1, *map(len, rows)])
-        x = np.full((len(rows), width), n, np.int64)
-        for i, r in enumerate(rows):
-            x[i, : len(r)] = r
+    def reader(self, bits: int):
+        """A function from a text to the places of its chosen terms."""
+        place = {int(h): i for i, h in enumerate(self.chosen)}
+
+        class Known(dict):
+            def __missing__(cache, w):
+                if len(cache) >= CACHE:
+                    cache.clear()
+                cache[w] = out = tuple(place[h] for h in term_hashes(w, bits) if h in place)
+                return out
+
+        of = Known()
+        return lambda text: np.array(sorted({p for w in set(words_of(text)) for p in of[w]}), np.int64)
+
+    def raw(self, at: np.ndarray) -> float:
+        """Score before the logistic of one text with terms at these places."""
+        v = self.v[at]
+        s = v.sum(axis=0)
+        return float(self.w0 + self.w[at].sum() + 0.5 * (s @ s - (v * v).sum()))
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int, size: int = 64) -> "Machine":
+        """AdaGrad on the logistic loss, in batches of rows laid end to end."""
+        n, k = self.v.shape
+        rng = np.random.default_rng(seed)
+        add = lambda at, x, m: np.stack([np.bincount(at, x[:, f], m) for f in range(k)], axis=1)
         self.w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        g0, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
+        g0, gw, gv = 1e-6, np.full(n, 1e-6), np.full((n, k), 1e-6)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
-            for i in range(0, len(rows), 64):
-                b = order[i : i + 64]
-                xb, v = x[b], self.v[x[b]]
-                d = (1 / (1 + np.exp(-np.clip(self.raw(xb), -30, 30))) - y[b]) / len(b)
-                dw = np.bincount(xb.ravel(), np.repeat(d, width), n + 1) + decay * self.w
-                dv = decay * self.v
-                np.add.at(dv, xb, d[:, None, None] * (v.sum(axis=1, keepdims=True) - v))
-                dw[n] = 0
-                dv[n] = 0
+            for i in range(0, len(rows), size):
+                b = order[i : i + size]
+                at, seg = np.concatenate([rows[j] for j in b]), np.repeat(np.arange(len(b)), [len(rows[j]) for j in b])
+                v = self.v[at]
+                s, own = add(seg, v, len(b)), np.bincount(seg, self.w[at] - 0.5 * (v * v).sum(axis=1), len(b))
+                d = (1 / (1 + np.exp(-np.clip(self.w0 + own + 0.5 * (s * s).sum(axis=1), -30, 30))) - y[b]) / len(b)
+                dw = np.bincount(at, d[seg], n) + decay * self.w
+                dv = add(at, d[seg][:, None] * (s[seg] - v), n) + decay * self.v
                 g0 += d.sum() ** 2
                 gw += dw * dw
                 gv += dv * dv
@@ -89,22 +91,22 @@ class Machine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxic", sample: int = 20_000, bits: int = 20, terms: int = 1500, factors: int = 6, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5, seed: int = 7) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxic", sample: int = 12_000, bits: int = 20, terms: int = 1500, factors: int = 6, epochs: int = 25, rate: float = 0.08, decay: float = 2e-5, seed: int = 7) -> Machine | None:
     """The machine, or None without labels. chosen: which labels may be learnt from. sample bounds the labelled rows, in order of a hash of their ids."""
     picked = labels.where(chosen & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by sample, so it can be broadcast
     rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
 
     def make():
-        of = Terms(bits)
-        return lambda t: (of(t).tolist(),)
+        return lambda t: (sorted({h for w in set(words_of(t)) for h in term_hashes(w, bits)}),)
 
-    got = map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).orderBy("doc_id").toArrow()
+    got = map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float)
     if not len(y):
         return None
-    sets = [np.array(t, np.int64) for t in got.column("terms").to_pylist()]
-    flat, owner = np.concatenate(sets), np.repeat(y, [len(s) for s in sets])
+    lists = got.column("terms").combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    owner = np.repeat(y, sizes)
     names, place = np.unique(flat, return_inverse=True)
     both, toxic, n, p = np.bincount(place), np.bincount(place, owner), len(y), y.sum()
     expect = both * p / n
@@ -112,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxi
     best = np.argsort(-np.where(both >= 4, chi, 0), kind="stable")[:terms]
     best = best[(chi[best] > 6.6) & (both[best] >= 4)]
     model = Machine(np.sort(names[best]), factors, seed)
-    return model.fit([model.places(s) for s in sets], y, epochs, rate, decay, seed)
+    return model.fit([model.places(x) for x in np.split(flat, np.cumsum(sizes)[:-1])], y, epochs, rate, decay, seed)
 
 
 def score(docs: DataFrame, model: Machine | None, bits: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -120,12 +122,13 @@ def score(docs: DataFrame, model: Machine | None, bits: int = 20, keep: list[str
     shared = share(docs.sparkSession, model)
 
     def make():
-        of, m = Terms(bits), shared()
+        m = shared()
+        of = m and m.reader(bits)
 
         def row(text):
             if m is None:
                 return (0.0,)
-            z = m.raw(m.places(of(text))[None])[0]
+            z = m.raw(of(text))
             return (float(1 / (1 + np.exp(-np.clip(z, -30, 30)))),)
 
         return row
