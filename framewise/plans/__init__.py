@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables."""
+
+from . import energies, frames, series  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
