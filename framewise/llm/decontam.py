@@ -110,9 +110,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 64
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", text: str = "text", **how) -> DataFrame:
     """docs without the marked text, in their own columns. remove: "spans" cuts the hit words (and what stands between them), "documents" drops every contaminated document."""
-    marked = mark(docs, benchmark, text=text, **how)
+    x = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))  # no column of docs can clash
+    marked = mark(x, benchmark, text="_text", **how)
     if remove == "documents":
-        return marked.where("n_hit = 0").select(*docs.columns)
+        return marked.where("n_hit = 0").select("_row.*")
     if remove != "spans":
         raise ValueError(remove)
 
@@ -130,7 +131,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
 
         return row
 
-    return map_rows(marked, [text, "hit_words"], cut, f"`{text}` string", keep=[c for c in docs.columns if c != text]).select(*docs.columns)
+    cleaned = map_rows(marked, ["_text", "hit_words"], cut, "_clean string", keep=["_row"])
+    return cleaned.select(F.col("_row").withField(text, F.col("_clean")).alias("_row")).select("_row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

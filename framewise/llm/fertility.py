@@ -19,6 +19,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import materialise
 from .packing import Encoder
 from .text import map_rows, utf8
 
@@ -114,15 +115,19 @@ def bands(rows: DataFrame, group: str, width: float) -> DataFrame:
     return out.select(group, "size", "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
 
 
-def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens: int = 30) -> DataFrame:
-    """rows (materialised measures with lang and script) with base_failed, kept and outside, the measures out of their bands."""
+def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens: int = 30, most_bands: int = 20_000) -> DataFrame:
+    """rows (materialised measures with lang and script) with base_failed, kept and outside, the measures out of their bands.
+
+    Up to most_bands rows of bands are broadcast; more of them are joined by a shuffle.
+    """
     rows = rows.withColumn("size", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))))
     sized = rows.where(F.col("n_tokens") >= min_tokens)
     cols = [f"{m}_{s}" for m in MEASURES for s in ("mid", "half")]
     x = rows
     for group in ("lang", "script"):
         band = bands(sized.where(F.col(group).isNotNull()), group, width).where(F.col("n_docs") >= min_group)
-        x = x.join(band.select(group, "size", *[F.col(c).alias(f"{group}_{c}") for c in cols]), [group, "size"], "left")
+        band = materialise(band.select(group, "size", *[F.col(c).alias(f"{group}_{c}") for c in cols]))
+        x = x.join(F.broadcast(band) if band.count() <= most_bands else band, [group, "size"], "left")
     far = {m: (F.col("n_tokens") >= min_tokens) & (F.abs(F.col(m) - F.coalesce(f"lang_{m}_mid", f"script_{m}_mid")) > F.coalesce(f"lang_{m}_half", f"script_{m}_half")) for m in MEASURES}
     x = x.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "outside": F.concat_ws(",", *[F.when(y, m) for m, y in far.items()])})
     return x.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == "")).drop("size", *[f"{g}_{c}" for g in ("lang", "script") for c in cols])

@@ -4,7 +4,7 @@ A page is cut into its element tree. Each subtree outside running text gets a ha
 counts, per host, on how many pages each hash occurs (partial sums by task first, so a host with a third of all pages
 is no hot key), and subtrees that recur on many pages of their host are deleted. What the markup itself names as
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) goes as well, and the rest is
-the text: blocks in page order. Paragraphs and headings inside an article are never counted as template, since articles
+the text: blocks in page order. Running text, lists and tables inside an article are never counted as template, since articles
 of a host may share passages.
 
 Edge cases: null html is empty and gives an empty text. Unclosed and stray tags close as browsers close them. A page
@@ -127,25 +127,35 @@ def walk(root: Node) -> list[tuple[Node, bool]]:
     return out
 
 
-#: Elements that can be a site's furniture; running text inside an article can't.
-CONTAINERS = BLOCK - {"html", "head", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "th", "tr", "dd", "dt", "figcaption"}
+#: Running text and lists: inside an article never template, and neither is a container that holds any of them.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dd", "dt", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption"}
+PAGE = {"#root", "html", "head", "body", "article", "main"}
+
+
+def candidates(order: list[tuple[Node, bool]]) -> list[Node]:
+    """Subtrees that may be template: block elements outside articles; inside, blocks without running text."""
+    holds: dict[int, bool] = {}
+    out = []
+    for n, inside in order:  # kids come first
+        holds[id(n)] = n.tag in RUNNING or any(holds[id(k)] for k in n.kids if isinstance(k, Node))
+        if n.tag in BLOCK and n.tag not in PAGE and not (inside and holds[id(n)]):
+            out.append(n)
+    return out
 
 
 def subtrees(html: str | None) -> list[int]:
-    """Hashes (signed) of the subtrees of a page that may be template: any element outside articles, containers inside."""
-    out = set()
-    for n, inside in walk(tree(html or "")):
-        if n.tag not in ("#root", "html", "head", "body", "article", "main") and (n.tag in CONTAINERS or n.tag in BLOCK and not inside):
-            out.add(n.hash - (n.hash >> 63 << 64))
-    return sorted(out)
+    """Hashes (signed) of the subtrees of a page that may be template."""
+    return sorted({n.hash - (n.hash >> 63 << 64) for n in candidates(walk(tree(html or "")))})
 
 
 def main_text(html: str | None, template: set[int]) -> str:
-    """Blocks of the main text, joined by two line ends."""
+    """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text."""
     root = tree(html or "")
     order = walk(root)
     for n, _ in order:
-        n.cut = is_furniture(n) or (n.hash - (n.hash >> 63 << 64)) in template
+        n.cut = is_furniture(n)
+    for n in candidates(order) if template else ():
+        n.cut |= (n.hash - (n.hash >> 63 << 64)) in template
     held: dict[int, bool] = {}
     for n, _ in order:  # kids come first
         held[id(n)] = not n.cut and (n.tag in ("article", "main") or any(held[id(k)] for k in n.kids if isinstance(k, Node)))
@@ -176,7 +186,7 @@ def main_text(html: str | None, template: set[int]) -> str:
         stack.append((n, inside, True))
         stack += [(k, now, False) for k in reversed(n.kids)]
     flush()
-    return "\n\n".join(blocks)
+    return main_text(html, set()) if template and not blocks else "\n\n".join(blocks)
 
 
 def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.1, keep: list[str] | None = None) -> DataFrame:

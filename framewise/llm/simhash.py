@@ -255,11 +255,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, max_node
 
 def keep_one(docs: DataFrame, distance: int = 3, words: int = 3, max_node: int = 65536) -> DataFrame:
     """docs with one document of each component: the smallest doc_id (nulls last); among repeated rows, any one of the equal ones."""
-    key = {"k1": F.xxhash64(*docs.columns), "k2": F.xxhash64(F.lit(1), *docs.columns)}
-    marked = materialise(fingerprints(docs.withColumns(key), words, ["doc_id", "k1", "k2"]))
-    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("best"))
+    key = {"_k1": F.xxhash64(*docs.columns), "_k2": F.xxhash64(F.lit(1), *docs.columns)}
+    marked = materialise(fingerprints(docs.withColumns(key), words, ["doc_id", "_k1", "_k2"]))
+    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("best"))
     found = classes(marked, distance, max_node)
-    kept = best.join(found, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
-    rows = docs.withColumns(key).join(kept, ["k1", "k2"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    kept = best.join(found, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best._k1", "best._k2")
+    rows = docs.withColumns(key).join(kept, ["_k1", "_k2"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
     return rows.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
