@@ -9,7 +9,20 @@ from ..operators import agg, align, density, events, geometry, graph, pairs
 from ..sources.tables import BOX, atoms
 from .registry import query
 
-O, H, C = (F.col("element") == e for e in "OHC")
+
+
+def O():  # noqa: E743
+    return F.col("element") == "O"
+
+
+def H():
+    return F.col("element") == "H"
+
+
+def C():
+    return F.col("element") == "C"
+
+
 #: Minimum-image distance of a and b, and single components, in SQL.
 D = "sqrt((a.x-b.x - 50*round_even((a.x-b.x)/50, 0))**2 + (a.y-b.y - 50*round_even((a.y-b.y)/50, 0))**2 + (a.z-b.z - 50*round_even((a.z-b.z)/50, 0))**2)"
 
@@ -21,7 +34,7 @@ def pairs_sql(ea: str, eb: str, cutoff: float | None = None, more: str = "") ->
 
 @query("p2_atom_group", "SELECT frame, count(*) AS n FROM atoms WHERE (element = 'H' AND atom_id > 2) OR atom_id IN (1, 2) GROUP BY frame", "", "atoms")
 def _(spark, d):
-    return atoms(spark, d).where((H & (F.col("atom_id") > 2)) | F.col("atom_id").isin(1, 2)).groupBy("frame").agg(F.count("*").alias("n"))
+    return atoms(spark, d).where((H() & (F.col("atom_id") > 2)) | F.col("atom_id").isin(1, 2)).groupBy("frame").agg(F.count("*").alias("n"))
 
 
 def solvent_start(df):
@@ -35,13 +48,13 @@ def solvent_start(df):
 SELECT a.frame, a.atom_id FROM atoms a JOIN s USING (frame) WHERE a.element = 'O' AND a.atom_id >= s.start""", "", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return a.join(solvent_start(a), "frame").where(O & (F.col("atom_id") >= F.col("start"))).select("frame", "atom_id")
+    return a.join(solvent_start(a), "frame").where(O() & (F.col("atom_id") >= F.col("start"))).select("frame", "atom_id")
 
 
 @query("p12_water_density", """SELECT run, n, n * 18.01528 / (0.602214076 * 50.0**3) AS rho, cbrt(n * 18.01528 / (0.602214076 * 50.0**3) / 0.997) AS scale FROM (SELECT run, count(*) AS n FROM atoms WHERE element = 'O' GROUP BY run)""", "rho scale", "atoms")
 def _(spark, d):
     rho = F.col("n") * 18.01528 / (0.602214076 * BOX**3)
-    return atoms(spark, d).where(O).groupBy("run").agg(F.count("*").alias("n")).select("run", "n", rho.alias("rho"), F.cbrt(rho / 0.997).alias("scale"))
+    return atoms(spark, d).where(O()).groupBy("run").agg(F.count("*").alias("n")).select("run", "n", rho.alias("rho"), F.cbrt(rho / 0.997).alias("scale"))
 
 
 @query("g1_min_image", f"SELECT a.frame, {D} AS d FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom_id = 1 AND b.atom_id = 2", "d", "atoms")
@@ -51,25 +64,25 @@ def _(spark, d):
 
 @query("g2_centroid_distance", """SELECT frame, sqrt((ax-bx)**2 + (ay-byy)**2 + (az-bz)**2) AS d FROM (SELECT frame, avg(x) FILTER (element='O') AS ax, avg(y) FILTER (element='O') AS ay, avg(z) FILTER (element='O') AS az, avg(x) FILTER (element='H') AS bx, avg(y) FILTER (element='H') AS byy, avg(z) FILTER (element='H') AS bz FROM atoms GROUP BY frame) WHERE ax IS NOT NULL AND bx IS NOT NULL""", "d", "atoms")
 def _(spark, d):
-    return geometry.centroid_distance(atoms(spark, d), O, H)
+    return geometry.centroid_distance(atoms(spark, d), O(), H())
 
 
 @query("g3_coordination", f"WITH p AS ({pairs_sql(chr(39) + 'O' + chr(39), chr(39) + 'H' + chr(39))}) SELECT frame, sum(CASE WHEN abs(1 - (d/10.0)**12) < 1e-12 THEN 0.5 ELSE (1 - (d/10.0)**6) / (1 - (d/10.0)**12) END) AS coordination FROM p GROUP BY frame", "coordination", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.coordination(a.where(O), a.where(H), 10.0, 6, 12, BOX)
+    return pairs.coordination(a.where(O()), a.where(H()), 10.0, 6, 12, BOX)
 
 
 @query("g4_mean_group_distance", f"WITH p AS ({pairs_sql(chr(39) + 'O' + chr(39), chr(39) + 'H' + chr(39))}) SELECT frame, avg(d) AS mean_d FROM p GROUP BY frame", "mean_d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.mean_group_distance(a.where(O), a.where(H), BOX)
+    return pairs.mean_group_distance(a.where(O()), a.where(H()), BOX)
 
 
 @query("g5_soft_min_distance", f"WITH p AS ({pairs_sql(chr(39) + 'O' + chr(39), chr(39) + 'C' + chr(39))}) SELECT frame, CASE WHEN min(d) <= 1e-12 THEN 0 ELSE 20.0 / ln(sum(exp(20.0 / d))) END AS soft_min FROM p GROUP BY frame", "soft_min", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.soft_min_distance(a.where(O), a.where(C), 20.0, BOX)
+    return pairs.soft_min_distance(a.where(O()), a.where(C()), 20.0, BOX)
 
 
 @query("g6_lcod", f"""SELECT frame, p.d - q.d AS lcod FROM (SELECT a.frame, {D} AS d FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom_id = 1 AND b.atom_id = 2) p JOIN (SELECT a.frame, {D} AS d FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom_id = 2 AND b.atom_id = 3) q USING (frame)""", "lcod", "atoms")
@@ -149,7 +162,7 @@ JOIN ({pairs_sql("'H'", "'O'")}) e ON e.frame = a.frame AND e.i = h.atom_id AND
 
 def bonds(spark, d):
     a = atoms(spark, d)
-    return pairs.hbonds(a.where(O), a.where(H), a.where(O), 12.0, 16.0, 90.0, BOX)
+    return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX)
 
 
 @query("g15_hbonds", f"WITH {HB} SELECT frame, donor, h, acceptor, d, angle FROM hb WHERE angle >= 90", "d angle", "atoms")
@@ -170,32 +183,32 @@ def _(spark, d):
 SELECT q.frame, CAST(coalesce(m.j, -1) AS BIGINT) AS nearest, m.d FROM q LEFT JOIN (SELECT a.frame, arg_min(b.atom_id, ({D}, b.atom_id)) AS j, min({D}) AS d FROM q a JOIN atoms b ON a.frame = b.frame AND a.atom_id <> b.atom_id WHERE b.element = 'C' GROUP BY a.frame) m USING (frame)""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    first = a.where(H).groupBy("frame").agg(F.min("atom_id").alias("atom_id"))
-    return pairs.nearest_solute_atom(a.join(first, ["frame", "atom_id"]), a.where(C), BOX)
+    first = a.where(H()).groupBy("frame").agg(F.min("atom_id").alias("atom_id"))
+    return pairs.nearest_solute_atom(a.join(first, ["frame", "atom_id"]), a.where(C()), BOX)
 
 
 @query("g18_farthest_water", f"""WITH p AS ({pairs_sql("'O'", "'C'")}), m AS (SELECT frame, i, min(d) AS d FROM p GROUP BY frame, i) SELECT frame, arg_max(i, (d, -i)) AS water, max(d) AS d FROM m GROUP BY frame""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.farthest_water(a.where(O), a.where(C), BOX)
+    return pairs.farthest_water(a.where(O()), a.where(C()), BOX)
 
 
 @query("g18_common_water")
 def _(spark, d):
     a = atoms(spark, d).withColumn("grp", F.floor(F.col("frame") / 2))
-    return pairs.common_water(a.where(O), a.where(C).select("grp", "frame", "atom_id", "x", "y", "z"), BOX, "grp")
+    return pairs.common_water(a.where(O()), a.where(C()).select("grp", "frame", "atom_id", "x", "y", "z"), BOX, "grp")
 
 
 @query("g19_select_acceptor")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.select_acceptor(a.where(H), a.where(O), a.where(O), 8.0, 100.0, BOX)
+    return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX)
 
 
 @query("g20_sasa")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.sasa(a.where(C & (F.col("run") == 3)), a.where(F.col("run") == 3), 8.0, 60, BOX)
+    return pairs.sasa(a.where(C() & (F.col("run") == 3)), a.where(F.col("run") == 3), 8.0, 60, BOX)
 
 
 @query("g21_group_min_distance", f"""WITH p AS ({pairs_sql("'O','C','H'", "'O','C','H'", 12)}) SELECT frame, least((i - 1) // 3, (j - 1) // 3) AS mol_a, greatest((i - 1) // 3, (j - 1) // 3) AS mol_b, min(d) AS d FROM p WHERE (i - 1) // 3 <> (j - 1) // 3 GROUP BY ALL""", "d", "atoms")
@@ -213,21 +226,21 @@ def _(spark, d):
 @query("g24_endpoint_coordination", f"""SELECT a.frame, a.atom_id AS endpoint, sum(1 / (1 + ({D} / 8.0) ** 6)) AS coordination FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom_id <> b.atom_id WHERE a.atom_id IN (1, 2) AND b.element = 'H' GROUP BY ALL""", "coordination", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    x = pairs.all_pairs(a.where("atom_id in (1, 2)"), a.where(H), BOX)
+    x = pairs.all_pairs(a.where("atom_id in (1, 2)"), a.where(H()), BOX)
     return x.groupBy("frame", F.col("i").alias("endpoint")).agg(F.sum(1 / (1 + F.pow(F.col("d") / 8.0, F.lit(6)))).alias("coordination"))
 
 
 @query("j9_neighbour_pairs", pairs_sql("'O'", "'H'", 9).replace("a.run, ", ""), "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.neighbour_pairs(a.where(O), a.where(H), 9.0, BOX).select("frame", "i", "j", "d")
+    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 9.0, BOX).select("frame", "i", "j", "d")
 
 
 @query("j10_nearest_owner", f"""WITH p AS ({pairs_sql("'H'", "'O','C'", 12)}), r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM p WINDOW w AS (PARTITION BY frame, i ORDER BY d, j))
 SELECT frame, i AS h, j AS nearest, CASE WHEN d2 IS NULL OR d2 - d >= 2 THEN j END AS owner, d AS d1, d2 FROM r WHERE k = 1 AND d <= 10""", "d1 d2", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.nearest_owner(a.where(H), a.where(O | C), 10.0, 2.0, BOX)
+    return pairs.nearest_owner(a.where(H()), a.where(O() | C()), 10.0, 2.0, BOX)
 
 
 @query("j16_resolve_names", """WITH t AS (SELECT frame AS "system", element || CAST(atom_id % 3 AS VARCHAR) AS name, atom_id FROM atoms) SELECT "system", name, min(atom_id) AS atom_id FROM t WHERE name IN ('O1', 'H2') GROUP BY ALL HAVING count(*) = 1""", "", "atoms")
@@ -241,7 +254,7 @@ def _(spark, d):
 SELECT frame, l / 4.0 AS "lambda", sum(q0 + (q1 - q0) * (l / 4.0)) AS total FROM c, range(0, 5) r(l) WHERE q0 <> 0 OR q1 <> 0 GROUP BY ALL""", '"lambda" total', "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    x = align.align_states(a.where(~H & (F.col("x") > 10)).select("frame", "atom_id", (F.col("x") / 97).alias("q")), a.where(~O).select("frame", "atom_id", (F.col("y") / 89).alias("q")), 4, ["frame", "atom_id"])
+    x = align.align_states(a.where(~H() & (F.col("x") > 10)).select("frame", "atom_id", (F.col("x") / 97).alias("q")), a.where(~O()).select("frame", "atom_id", (F.col("y") / 89).alias("q")), 4, ["frame", "atom_id"])
     return x.groupBy("frame", "lambda").agg(F.sum("q").alias("total"))
 
 
@@ -250,13 +263,13 @@ h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE
 SELECT bin, lo + 0.25 AS r, n, n * 125000.0 / (pairs * 4.0 / 3.0 * pi() * ((lo + 0.5)**3 - lo**3)) AS g, sum(n) OVER (ORDER BY bin) / centres AS running FROM x, t""", "r g running", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.rdf(a.where(O), a.where(O), 0.5, 15.0, BOX)
+    return pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX)
 
 
 @query("h5_coordination_number")
 def _(spark, d):
     a = atoms(spark, d)
-    g = pairs.rdf(a.where(O), a.where(O), 0.5, 15.0, BOX).withColumn("key", F.lit(0))
+    g = pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX).withColumn("key", F.lit(0))
     return density.coordination_number(g, 0.001, ["key"]).select("bin", "r", "cn")
 
 
@@ -269,30 +282,30 @@ def _(spark, d):
 @query("a1_atomic_charge", "SELECT frame, atom_id, sum(q) AS q, count(*) AS n_orbitals FROM (SELECT frame, atom_id, x / 100 AS q FROM atoms UNION ALL SELECT frame, atom_id, -z / 100 FROM atoms WHERE element <> 'H') GROUP BY ALL", "q", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    orb = a.select("frame", "atom_id", (F.col("x") / 100).alias("q")).unionByName(a.where(~H).select("frame", "atom_id", (-F.col("z") / 100).alias("q")))
+    orb = a.select("frame", "atom_id", (F.col("x") / 100).alias("q")).unionByName(a.where(~H()).select("frame", "atom_id", (-F.col("z") / 100).alias("q")))
     return agg.atomic_charge(orb, "q", ["frame", "atom_id"])
 
 
 @query("a2_positive_defect", """SELECT frame, arg_max(atom_id, (q, atom_id)) FILTER (q BETWEEN -0.4 AND -0.1) AS defect, max(q) FILTER (q BETWEEN -0.4 AND -0.1) AS charge FROM (SELECT frame, atom_id, -z / 100 AS q FROM atoms WHERE element = 'O') GROUP BY frame""", "charge", "atoms")
 def _(spark, d):
-    return agg.positive_defect(atoms(spark, d).where(O).withColumn("q", -F.col("z") / 100), "q", -0.4, -0.1, ["frame"])
+    return agg.positive_defect(atoms(spark, d).where(O()).withColumn("q", -F.col("z") / 100), "q", -0.4, -0.1, ["frame"])
 
 
 @query("a3_negative_defect", """SELECT frame, max(atom_id) FILTER (k = 1) AS defect, max(q) FILTER (k = 1) AS charge, max(q) FILTER (k = 2) AS second FROM (SELECT frame, atom_id, -z / 100 AS q, row_number() OVER (PARTITION BY frame ORDER BY -z / 100, atom_id) AS k FROM atoms WHERE element = 'O') GROUP BY frame""", "charge second", "atoms")
 def _(spark, d):
-    return agg.negative_defect(atoms(spark, d).where(O).withColumn("q", -F.col("z") / 100), "q", ["frame"])
+    return agg.negative_defect(atoms(spark, d).where(O()).withColumn("q", -F.col("z") / 100), "q", ["frame"])
 
 
 EDGES = f"edges AS (SELECT frame, i AS a, j AS b FROM ({pairs_sql(chr(39) + 'O' + chr(39) + ',' + chr(39) + 'C' + chr(39), chr(39) + 'O' + chr(39) + ',' + chr(39) + 'C' + chr(39), 16)}))"
 
 
 def edges(spark, d):
-    a = atoms(spark, d).where(O | C)
+    a = atoms(spark, d).where(O() | C())
     return pairs.neighbour_pairs(a, a, 16.0, BOX).where("i < j").select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
 
 
 def ends(spark, d):
-    return atoms(spark, d).where(O | C).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
+    return atoms(spark, d).where(O() | C()).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
 
 
 PATH = f"""WITH {EDGES}, ends AS (SELECT frame, min(atom_id) AS source, max(atom_id) AS target FROM atoms WHERE element IN ('O', 'C') GROUP BY frame),
@@ -310,7 +323,7 @@ def _(spark, d):
 @query("n2_hbond_path")
 def _(spark, d):
     e = graph.hbond_edges(bonds(spark, d), ["frame"])
-    a = atoms(spark, d).where(O).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
+    a = atoms(spark, d).where(O()).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
     return graph.shortest_path(e, a, 3, ["frame"]).withColumn("path", F.array_join(F.transform("path", lambda i: i.cast("string")), "-"))
 
 

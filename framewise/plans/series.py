@@ -11,8 +11,12 @@ from ..operators import agg, align, density, events, regress
 from ..sources.tables import read, series
 from .registry import query
 
-EVEN, ODD = F.col("idx") % 2 == 0, F.col("idx") % 2 == 1
-DEG = F.col("value") * 3.0
+EVEN, ODD = "idx % 2 = 0", "idx % 2 = 1"
+
+
+def DEG():
+    """The value read as an angle."""
+    return F.col("value") * 3.0
 
 
 @query("p1_frame_window", "SELECT run, idx, value FROM series WHERE idx >= 3 AND idx <= 40 AND (idx - 3) % 4 = 0", "value", "series")
@@ -44,7 +48,7 @@ def _(spark, d):
 @query("p7_wrap_angles", """SELECT run, idx, a - 360.0 * floor((a + 180) / 360.0) AS wrapped, a - 360.0 * floor(a / 360.0) AS full_turn, 90 + (a - 90 + 180 - 360.0 * floor((a - 90 + 180) / 360.0)) - 180 AS near_90
 FROM (SELECT run, idx, value * 3.0 AS a FROM series)""", "wrapped full_turn near_90", "series")
 def _(spark, d):
-    return series(spark, d).select("run", "idx", X.wrap_deg(DEG).alias("wrapped"), X.range360(DEG).alias("full_turn"), X.branch_near(DEG, F.lit(90.0)).alias("near_90"))
+    return series(spark, d).select("run", "idx", X.wrap_deg(DEG()).alias("wrapped"), X.range360(DEG()).alias("full_turn"), X.branch_near(DEG(), F.lit(90.0)).alias("near_90"))
 
 
 @query("p8_convert_units", "SELECT run, idx, value * 0.001 AS ps, value / 4.184 AS kcal, value / 7.0 * 627.509474 AS hartree_kcal, 2 * value / 4.184 AS half_k FROM series", "ps kcal hartree_kcal half_k", "series")
@@ -62,13 +66,13 @@ def _(spark, d):
 @query("p10_rotamers", """SELECT label, count(*) AS n FROM (SELECT CASE WHEN abs(c1) >= 120 THEN 't' WHEN c1 >= 0 THEN 'gp' ELSE 'gm' END || CASE WHEN c2 >= 0 THEN 'p' ELSE 'm' END AS label
 FROM (SELECT value * 3.0 - 360.0 * floor((value * 3.0 + 180) / 360.0) AS c1, value * 7.0 - 360.0 * floor((value * 7.0 + 180) / 360.0) AS c2 FROM series)) GROUP BY label""", "", "series")
 def _(spark, d):
-    s = series(spark, d).select(X.rotamer_label(X.wrap_deg(DEG), X.wrap_deg(F.col("value") * 7.0)).alias("label"))
+    s = series(spark, d).select(X.rotamer_label(X.wrap_deg(DEG()), X.wrap_deg(F.col("value") * 7.0)).alias("label"))
     return s.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("p11_planar_deviation", "SELECT run, avg(abs(b - 180.0 * floor(b / 180.0) - 90)) AS mean_dev FROM (SELECT run, value * 3.0 + 90 AS b FROM series) GROUP BY run", "mean_dev", "series")
 def _(spark, d):
-    return series(spark, d).groupBy("run").agg(F.avg(X.planar_deviation(DEG)).alias("mean_dev"))
+    return series(spark, d).groupBy("run").agg(F.avg(X.planar_deviation(DEG())).alias("mean_dev"))
 
 
 @query("p13_time_snap", "SELECT run, floor(t / 5000.0) * 5000.0 AS window_start, count(*) AS n FROM series GROUP BY ALL", "window_start", "series")
@@ -207,7 +211,7 @@ def _(spark, d):
 
 @query("t6_circular_running_average", """SELECT run, idx, degrees(atan2(avg(sin(radians(value * 3.0))) OVER w, avg(cos(radians(value * 3.0))) OVER w)) AS direction FROM series WINDOW w AS (PARTITION BY run ORDER BY t_us RANGE BETWEEN 3600000000 PRECEDING AND 3600000000 FOLLOWING)""", "direction", "series")
 def _(spark, d):
-    return series(spark, d).select("run", "idx", events.circular_running_average(DEG, 3_600_000_000).alias("direction"))
+    return series(spark, d).select("run", "idx", events.circular_running_average(DEG(), 3_600_000_000).alias("direction"))
 
 
 @query("t7_count_transitions", "SELECT run, CAST(sum(CASE WHEN state <> p THEN 1 ELSE 0 END) AS BIGINT) AS n_transitions FROM (SELECT run, state, lag(state) OVER (PARTITION BY run ORDER BY t) AS p FROM series) GROUP BY run", "", "series")
@@ -276,7 +280,7 @@ def _(spark, d):
 
 @query("a5_circular", """SELECT run, degrees(atan2(s, c)) AS mean_deg, degrees(sqrt(-2 * ln(least(1.0, sqrt(s * s + c * c))))) AS sd_deg, least(1.0, sqrt(s * s + c * c)) AS resultant FROM (SELECT run, avg(sin(radians(value * 3.0))) AS s, avg(cos(radians(value * 3.0))) AS c FROM series GROUP BY run)""", "mean_deg sd_deg resultant", "series")
 def _(spark, d):
-    return agg.circular_mean_std(series(spark, d), DEG, ["run"])
+    return agg.circular_mean_std(series(spark, d), DEG(), ["run"])
 
 
 @query("a6_summary_stats", "SELECT state, count(value) AS n, count(DISTINCT run) AS runs, avg(value) AS mean, stddev_samp(value) AS sd, median(value) AS median, min(value) AS min, max(value) AS max FROM series GROUP BY state", "mean sd median min max", "series")
@@ -442,7 +446,7 @@ ACF = "acf AS (SELECT a.run, CAST(b.idx - a.idx AS INTEGER) AS lag, avg(cos(radi
 
 
 def acf(spark, d):
-    return regress.cosine_acf(series(spark, d), DEG, 12)
+    return regress.cosine_acf(series(spark, d), DEG(), 12)
 
 
 @query("r1_cosine_acf", f"WITH {ACF} SELECT * FROM acf", "c", "series")
