@@ -28,22 +28,32 @@ def first_number(value: Column, label: str) -> Column:
     return number(F.regexp_extract(value, f"{label}\\s*({NUMBER})", 1))
 
 
+def record_time() -> Column:
+    """Time in fs at the head of a record; null for what stands before the first one."""
+    return number(F.regexp_extract("value", rf"^\s*({NUMBER})\s+FSEC", 1))
+
+
 def run_of(path: Column) -> Column:
     """n of run-<n> or run=<n> in a path."""
     return F.regexp_extract(path, r"/run[-=](\d+)", 1).try_cast("int")
 
 
 def whole_tail(df: DataFrame, complete: Column, order: str, what: str) -> DataFrame:
-    """Complete records; an incomplete one is left out at the end of its file and an error elsewhere."""
-    last = df.groupBy("path").agg(F.max(order).alias("_last"))
-    x = df.join(last, "path")
-    bad = ~F.coalesce(complete, F.lit(False))
-    return x.where(F.when(bad & (F.col(order) < F.col("_last")), F.raise_error(F.concat(F.lit(f"incomplete {what} inside "), "path")).cast("boolean")).otherwise(~bad)).drop("_last")
+    """Complete records; an incomplete one is left out at the end of its file and an error elsewhere.
+
+    The error belongs to a file's one row of counts, where no filter that Spark moves can meet it too early.
+    """
+    x = df.withColumn("_ok", F.coalesce(complete, F.lit(False)))
+    s = x.groupBy("path").agg(F.max(order).alias("_last"), F.count_if(~F.col("_ok")).alias("_bad"), F.max(F.when(~F.col("_ok"), F.col(order))).alias("_at"))
+    inside = (F.col("_bad") > 1) | (F.col("_bad") == 1) & (F.col("_at") < F.col("_last"))
+    error = F.raise_error(F.concat(F.lit(f"incomplete {what} inside "), "path")).cast(df.schema[order].dataType)
+    s = s.select("path", F.when(inside, error).otherwise(F.col("_last")).alias("_last"))
+    return x.where("_ok").join(s, "path", "left").where(F.col(order) <= F.col("_last")).drop("_last", "_ok")
 
 
 def scan_xyz(spark: SparkSession, paths) -> DataFrame:
     """(path, run, frame, step, t_ps, atom_id, element, x, y, z) of multi-frame XYZ files; fs to ps, a cut last frame left out."""
-    r = records(spark, paths, TIME).withColumn("t_ps", first_number(F.col("value"), r"^") / 1000).where("t_ps is not null")
+    r = records(spark, paths, TIME).withColumn("t_ps", record_time() / 1000).where("t_ps is not null")
     r = r.withColumn("step", F.regexp_extract("value", r"STEP NO\.?\s*=\s*(\d+)", 1).try_cast("bigint"))
     row = rf"(?m)^[ \t]*([A-Z][a-z]?[ \t]+{NUMBER}[ \t]+{NUMBER}[ \t]+{NUMBER})[^\n]*\n"
     r = r.withColumn("rows", F.regexp_extract_all("value", F.lit(row), F.lit(1)))
@@ -57,7 +67,7 @@ def scan_xyz(spark: SparkSession, paths) -> DataFrame:
 
 def scan_box(spark: SparkSession, paths) -> DataFrame:
     """(path, run, cell array<array<double>>) from TV lines, a Lattice="..." comment or Box X: Y: Z:; a singular cell is an error."""
-    t = spark.read.option("wholetext", True).text(list([paths] if isinstance(paths, str) else paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     tv = F.regexp_extract_all("value", F.lit(rf"(?m)^TV\s+({NUMBER}\s+{NUMBER}\s+{NUMBER})"), F.lit(1))
     lattice = F.array(F.regexp_extract("value", r'\bLattice\s*=\s*"([^"]*)"', 1))
     box = F.array(*[F.regexp_extract("value", rf"{k}:\s*({NUMBER}\s+{NUMBER}\s+{NUMBER})", 1) for k in "XYZ"])
@@ -80,7 +90,7 @@ def scan_hills(spark: SparkSession, paths) -> DataFrame:
 
 def scan_cv(spark: SparkSession, paths, n_cv: int = 1) -> DataFrame:
     """(path, run, step, t_ps, value[, value_2]); numbers may have D exponents; a time without all its coordinates is left out at the end of a file and an error elsewhere."""
-    r = records(spark, paths, TIME).withColumn("t_ps", first_number(F.col("value"), r"^") / 1000).where("t_ps is not null")
+    r = records(spark, paths, TIME).withColumn("t_ps", record_time() / 1000).where("t_ps is not null")
     c = F.regexp_extract_all("value", F.lit(rf"(?i)Coordinate\s*=\s*({NUMBER})[^\n]*\n"), F.lit(1))
     x = whole_tail(r.withColumn("c", c), F.size("c") == n_cv, "t_ps", "sample")
     names = ["value", *[f"value_{i + 1}" for i in range(1, n_cv)]]
@@ -101,7 +111,7 @@ def scan_fes(spark: SparkSession, paths, dims: int = 1) -> DataFrame:
 
 def scan_charges(spark: SparkSession, paths) -> DataFrame:
     """(path, run, t_ps, atom_id, element, orbital, q) of frames that hold every orbital (H: s, others: s and p) of every atom."""
-    r = records(spark, paths, TIME).withColumn("t_ps", first_number(F.col("value"), r"^") / 1000).where("t_ps is not null")
+    r = records(spark, paths, TIME).withColumn("t_ps", record_time() / 1000).where("t_ps is not null")
     row = rf"(?m)^[ \t]*(\d+[ \t]+[A-Z][a-z]?[ \t]+[spd][ \t]+{NUMBER})[ \t]*\r?\n"
     r = r.withColumn("rows", F.regexp_extract_all("value", F.lit(row), F.lit(1)))
     size = r.groupBy("path").agg(F.max(F.size("rows")).alias("n"))
@@ -148,7 +158,7 @@ def scan_protonation(spark: SparkSession, paths) -> DataFrame:
 
     A record's number counts the residue-0 lines before it, so a walker's file is one record stream, read whole.
     """
-    t = spark.read.option("wholetext", True).text(list([paths] if isinstance(paths, str) else paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     line = F.regexp_extract_all("value", F.lit(rf"(?m)^Residue\s+(\d+\s+State:\s+\d+\s+pH:\s+{NUMBER})"), F.lit(1))
     x = t.select("path", F.posexplode(line).alias("k", "row"))
     x = x.select("path", "k", F.regexp_extract("row", r"^(\d+)", 1).cast("int").alias("residue"), F.regexp_extract("row", r"State:\s+(\d+)", 1).cast("int").alias("state"), first_number(F.col("row"), r"pH:").alias("ph"))
@@ -167,7 +177,7 @@ def long_states(df: DataFrame, keys: list[str], prefix: str = "residue_") -> Dat
 
 def scan_cross_energies(spark: SparkSession, paths) -> DataFrame:
     """(sample, evaluation, frame, u) from files refep-j<sample>-k<evaluation>; failed energies are an error."""
-    t = spark.read.option("wholetext", True).text(list([paths] if isinstance(paths, str) else paths)).select(F.col("_metadata.file_name").alias("name"), "value")
+    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
     x = t.select(*[F.regexp_extract("name", rf"-{k}(\d+)" if k == "k" else rf"{k}(\d+)-k", 1).cast("int").alias(n) for k, n in (("j", "sample"), ("k", "evaluation"))], F.posexplode(F.regexp_extract_all("value", F.lit(r"ENE\s*=\s*(\S+)"), F.lit(1))).alias("frame", "text"))
     u = number(F.col("text"))
     return x.select("sample", "evaluation", "frame", F.when(u.isNull() | F.isnan(u), F.raise_error(F.concat(F.lit("failed energy "), "text")).cast("double")).otherwise(u).alias("u"))
@@ -219,7 +229,7 @@ def discover_runs(spark: SparkSession, root: str, stage: str, required: Sequence
 
 def scan_topology(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Atoms (path, atom_id, name, type, residue_id, residue, x, y, z, charge) and bonds (path, a, b) of MOL2 files."""
-    t = spark.read.option("wholetext", True).text(list([paths] if isinstance(paths, str) else paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     part = lambda name: t.select("path", F.explode(F.split(F.regexp_extract("value", rf"(?s)@<TRIPOS>{name}\s*?\n(.*?)(?=@<TRIPOS>|\z)", 1), LINES)).alias("line")).where("trim(line) <> ''").select("path", F.split(F.trim("line"), r"\s+").alias("f"))
     a = part("ATOM").select("path", F.col("f")[0].cast("bigint").alias("atom_id"), F.col("f")[1].alias("name"), F.col("f")[5].alias("type"), F.col("f")[6].cast("int").alias("residue_id"), F.col("f")[7].alias("residue"), *[number(F.col("f")[i + 2]).alias(c) for i, c in enumerate("xyz")], number(F.get("f", F.lit(8))).alias("charge"))
     b = part("BOND").select("path", F.least(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("a"), F.greatest(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("b"))
@@ -231,7 +241,7 @@ def source_manifest(spark: SparkSession, paths) -> DataFrame:
     f = spark.read.format("binaryFile").load(list([paths] if isinstance(paths, str) else paths))
     x = f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     r = records(spark, paths, TIME)
-    n = r.groupBy("path").agg((F.count_if(first_number(F.col("value"), r"^").isNotNull())).alias("n_frames"), F.min(F.when(~F.col("value").endswith("\n"), F.octet_length("value"))).alias("tail_bytes"))
+    n = r.groupBy("path").agg((F.count_if(record_time().isNotNull())).alias("n_frames"), F.min(F.when(~F.col("value").endswith("\n"), F.octet_length("value"))).alias("tail_bytes"))
     return x.join(n, "path", "left").fillna(0, ["n_frames", "tail_bytes"])
 
 
