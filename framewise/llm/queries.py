@@ -79,8 +79,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return resample.resample(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), keep=["doc_id"])
+    return resample.resample(docs, table(spark, sf_dir, "labels").where("quality = 1"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

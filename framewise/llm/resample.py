@@ -1,8 +1,8 @@
 """Importance resampling: the ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Hashed counts of words, neighbouring pairs of words and runs of other signs give two multinomial models with add-one smoothing: one of the target
-documents, one of all documents. Both are counted over whole texts of all rows: tasks add up dense counts of `buckets`
-cells each, so the shuffle is one row a task. A document's log weight is the mean log ratio of its n-grams, scaled to
+documents (a bounded sample of labelled rows), one of all documents. Whole texts are counted where they are read: tasks
+add up dense counts of `buckets` cells, and only those are shuffled. A document's log weight is the mean log ratio of its n-grams, scaled to
 `chunk` n-grams, so that long and short texts compete on equal terms. A Gumbel variate, a function of the id and seed,
 is added to it, and the k largest keys are drawn, which samples without replacement in proportion to the weights. The
 k-th largest key comes from counts of leading bits, so no rows are gathered or sorted in one place.
@@ -52,28 +52,43 @@ class Grams:
         return (np.concatenate([h, pair, signs]) % np.uint64(self.buckets)).astype(np.int64)
 
 
-def counts(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Counts of all n-grams of docs.text by bucket: one dense array a task, added up in Spark by bucket."""
+def counts(docs: DataFrame, buckets: int, wanted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams by bucket over all of docs.text, and over the documents whose doc_id is in wanted (small, broadcast).
+
+    One dense array a task, added up in Spark by bucket; the texts stay where they are read.
+    """
+    if wanted is None:
+        x = docs.select("text", F.lit(False).alias("_w"))
+    else:
+        x = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id", F.lit(True).alias("_w"))), "doc_id", "left").select("text", F.coalesce("_w", F.lit(False)).alias("_w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total, held, size = Grams(buckets), np.zeros(buckets, np.int64), [], 0
+        of, total, held, size = Grams(buckets), np.zeros((2, buckets), np.int64), ([], []), 0
+
+        def add():
+            for k in (0, 1):
+                if held[k]:
+                    total[k] += np.bincount(np.concatenate(held[k]), minlength=buckets)
+                    held[k].clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for text in batch.slice(at, 500).column(0).to_pylist():
-                    held.append(x := of(text))
-                    size += len(x)
+                part = batch.slice(at, 500)
+                for text, w in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    held[w].append(g := of(text))
+                    size += len(g)
                     if size > 1 << 20:
-                        total += np.bincount(np.concatenate(held), minlength=buckets)
-                        held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+                        add()
+                        size = 0
+        add()
+        some = np.flatnonzero(total.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.sum(axis=0)[some]), pa.array(total[1][some])], names=["bucket", "n", "w"])
 
-    got = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+    got = x.mapInArrow(run, "bucket bigint, n bigint, w bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toArrow()
+    out = np.zeros((2, buckets), np.int64)
+    out[0, got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    out[1, got.column("bucket").to_numpy()] = got.column("w").to_numpy()
+    return out[0], out[1]
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, chunk: int, keep: list[str]) -> DataFrame:
@@ -123,9 +138,14 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
     return high if low == high else low
 
 
-def resample(docs: DataFrame, target: DataFrame, fraction: float = 0.5, buckets: int = 10_000, chunk: int = 100, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
-    """docs (keep) with n_grams, log_weight, key and selected. target: documents (text) of the wanted kind."""
-    raw, want = counts(docs, buckets), counts(target, buckets)
+def resample(docs: DataFrame, labelled: DataFrame, fraction: float = 0.5, sample: int = 50_000, buckets: int = 10_000, chunk: int = 100, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+    """docs (keep) with n_grams, log_weight, key and selected.
+
+    labelled: rows whose doc_id names a document of the wanted kind. The target model is fitted on at most `sample` of
+    them, in order of a hash of their ids; the raw model is counted over all documents.
+    """
+    wanted = labelled.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    raw, want = counts(docs, buckets, wanted)
     ratio = np.log((want + 1) / (want.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     keep = keep or docs.columns
     rows = materialise(weigh(docs, ratio, chunk, keep).withColumn("key", F.col("log_weight") + gumbel(seed, "doc_id")))

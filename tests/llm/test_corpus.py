@@ -290,9 +290,10 @@ def test_resampling(spark):
     assert len(picked) == int(402 * 0.4) and np.mean([k % 2 for k in picked]) > 0.95
     keys = sorted((r["key"] for r in got if r["n_grams"]), reverse=True)
     assert min(r["key"] for r in got if r["selected"]) == keys[len(picked) - 1]
-    total = resample.counts(docs, 64)
+    total, want = resample.counts(docs, 64, docs.where("doc_id < 9"))
     of = resample.Grams(64)
     assert (total == sum(np.bincount(of(t), minlength=64) for _, t in data)).all()
+    assert (want == sum(np.bincount(of(t), minlength=64) for k, t in data if k < 9)).all()
     assert resample.resample(docs.limit(0), docs.limit(0)).count() == 0
 
 
