@@ -164,3 +164,15 @@ def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float,
     total = counts.agg(F.sum("n").alias("total"))
     basins = counts.join(up, "cell").groupBy("top").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # one row
     return basins.where(F.col("n") >= least * F.col("total")).select(F.col("top").cast("bigint").alias("basin"), "n", (F.col("n") / F.col("total")).alias("population"))
+
+
+def radial_profile(df: DataFrame, r: str, lo: float, hi: float, bins: int, temperature: float, support: int, separation: float, keys: list[str]) -> DataFrame:
+    """H7: radial PMF of each bin with its support (bins of at least `support` samples), and which supported bins are minima or maxima; populations between the maxima."""
+    h = hist1d(df, r, lo, hi, bins, keys).withColumnRenamed("x", "r")
+    p = pmf_from_density(h, "n", temperature, keys, F.col("r") * F.col("r")).withColumn("supported", F.col("n") >= support)
+    e = extrema(p.where("supported").select(*keys, F.col("r").alias("x"), "pmf"), "x", "pmf", separation, keys).select(*keys, F.col("x").alias("r"), "kind")
+    x = p.join(e, [*keys, "r"], "left")
+    basin = F.count(F.when(F.col("kind") == "max", 1)).over(Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("basin", basin.cast("int"))
+    share = F.sum("n").over(Window.partitionBy(*keys, "basin")) / F.sum("n").over(Window.partitionBy(*keys))
+    return x.withColumn("basin_population", share)

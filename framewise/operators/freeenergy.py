@@ -318,3 +318,51 @@ def convergence(u: DataFrame, ends: list[int]) -> DataFrame:
 def orient(u: DataFrame, states: int) -> DataFrame:
     """the grid with states in reverse order."""
     return u.select((states - 1 - F.col("sample")).alias("sample"), "frame", F.reverse("u").alias("u"))
+
+
+def smooth_pmf(fes: DataFrame, penalty: float, keys: list[str], x: str = "x", f: str = "f") -> DataFrame:
+    """the curve s that minimises sum (s - f)^2 + penalty * sum (second differences of s)^2, one surface a group; a surface is as long as its grid."""
+    import pandas as pd
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values(x)
+        n = len(pdf)
+        a = np.eye(n)
+        if n > 2:
+            d = np.diff(np.eye(n), 2, axis=0)
+            a += penalty * d.T @ d
+        return pdf.assign(smooth=np.linalg.solve(a, pdf[f].to_numpy()))
+
+    y = fes.select(*keys, x, f)
+    return y.groupBy(*keys).applyInPandas(solve, ", ".join(f"`{c}` {k}" for c, k in y.dtypes) + ", smooth double")
+
+
+def lowest_minima2d(fes: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """the k lowest interior cells (i, j) that are no higher than their eight neighbours."""
+    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
+    near = fes.withColumn("o", o).select(*keys, (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), "f")
+    low = near.groupBy(*keys, "i", "j").agg(F.min("f").alias("_low"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("f", "i", "j")
+    return fes.join(low, [*keys, "i", "j"]).where("_n = 8 and f <= _low").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_low", "_n")
+
+
+def separate_minima(minima: DataFrame, da: float, db: float, most: int) -> DataFrame:
+    """greedy choice of minima (a, b, f) from the lowest up, none within da and db of one already chosen. The candidates are a few grid cells."""
+    chosen: list = []
+    for r in minima.orderBy("f", "a", "b").toLocalIterator():
+        if len(chosen) == most:
+            break
+        if all(abs(r["a"] - c[0]) >= da or abs(r["b"] - c[1]) >= db for c in chosen):
+            chosen.append((r["a"], r["b"], r["f"]))
+    return minima.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(chosen)], "basin int, a double, b double, f double")
+
+
+def first_visit_order(basins: DataFrame, samples: DataFrame, keys: list[str], a: str, b: str, t: str, sa: float, sb: float) -> DataFrame:
+    """basins by the time of the first sample that lies nearest to them (distances scaled by sa and sb)."""
+    x = samples.select(*keys, t, a, b).crossJoin(F.broadcast(basins.select("basin", F.col("a").alias("_a"), F.col("b").alias("_b"))))  # a few chosen minima
+    d = ((F.col(a) - F.col("_a")) / sa) ** 2 + ((F.col(b) - F.col("_b")) / sb) ** 2
+    near = x.groupBy(*keys, t, a, b).agg(F.min_by("basin", F.struct(d, "basin")).alias("basin"))
+    first = near.groupBy(*keys, "basin").agg(F.min(t).alias("first_t"))
+    return first.withColumn("visit", F.row_number().over(Window.partitionBy(*keys).orderBy("first_t", "basin")))

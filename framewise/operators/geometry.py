@@ -141,3 +141,31 @@ def slab_density(atoms: DataFrame, axis: str, width: float, length: float, area:
     x = sums.crossJoin(F.broadcast(frames))  # one row
     mean = F.col("s") / F.col("frames")
     return x.select("slab", (mean / v).alias("mean"), (F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("frames") - mean * mean)) / v).alias("sd"))
+
+
+def unwrap_molecule(atoms: DataFrame, bonds: DataFrame, box: float, most: int, keys: tuple[str, ...] = ("frame",), molecule: str = "mol") -> DataFrame:
+    """Atoms imaged along a spanning tree of their bonds (molecule, a, b) from each molecule's least atom; an atom no bond reaches is null in x, y, z.
+
+    The tree is found once on the bond table, level by level up to `most` bonds deep; a frame then adds up imaged bond
+    vectors along each atom's path.
+    """
+    both = bonds.select(molecule, "a", "b").unionByName(bonds.select(molecule, F.col("b").alias("a"), F.col("a").alias("b")))
+    front = both.groupBy(molecule).agg(F.min("a").alias("node")).select(molecule, "node", F.array("node").alias("path"))
+    tree = front
+    for _ in range(most):
+        nxt = front.withColumnRenamed("node", "a").join(both, [molecule, "a"]).groupBy(molecule, F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+        front = nxt.join(tree.select(molecule, "node"), [molecule, "node"], "left_anti")
+        tree = tree.unionByName(front)
+    at = atoms.select(*keys, molecule, "atom_id", F.struct(*XYZ).alias("p"))
+    step = tree.select(molecule, F.col("node").alias("atom_id"), F.posexplode("path").alias("k", "via"))
+    x = at.select(*keys, molecule, "atom_id").join(step, [molecule, "atom_id"]).join(at.withColumnsRenamed({"atom_id": "via"}), [*keys, molecule, "via"])
+    steps = F.array_sort(F.collect_list(F.struct("k", "p")))  # as many as bonds on the path
+    g = x.groupBy(*keys, molecule, "atom_id").agg(steps.alias("s"), F.max("k").alias("last"))
+    moved = []
+    for c in XYZ:
+        first = F.element_at("s", 1)["p"][c]
+        d = F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.get("s", i)["p"][c] - F.get("s", i - 1)["p"][c])
+        total = F.aggregate(F.transform(d, lambda v: min_image(v, box)), F.lit(0.0), lambda s, v: s + v)
+        moved.append(F.when(F.col("last") == 0, first).when(F.size("s") == F.col("last") + 1, first + total).alias(c))
+    y = g.select(*keys, molecule, "atom_id", *moved)
+    return at.select(*keys, molecule, "atom_id").join(y, [*keys, molecule, "atom_id"], "left")

@@ -60,3 +60,21 @@ def fit_plane(df: DataFrame, a: str, b: str, y: str, keys: list[str]) -> DataFra
     d = F.col("aa") * F.col("bb") - F.col("ab") ** 2
     c1, c2 = F.try_divide(F.col("ay") * F.col("bb") - F.col("by") * F.col("ab"), d), F.try_divide(F.col("by") * F.col("aa") - F.col("ay") * F.col("ab"), d)
     return s.withColumns({"c1": c1, "c2": c2}).select(*keys, (F.col("my") - F.col("c1") * F.col("ma") - F.col("c2") * F.col("mb")).alias("c0"), "c1", "c2", F.try_divide(F.col("c1") * F.col("ay") + F.col("c2") * F.col("by"), F.col("yy")).alias("r2"))
+
+
+def fit_model(acf: DataFrame, keys: list[str], form: str, start: dict[str, float], rounds: int = 30, x: str = "lag", y: str = "c") -> DataFrame:
+    """Damped Gauss-Newton fit of exp (rate), biexp (share, rate, slow), tail (scale, rate) or underdamped (rate, omega) decays: parameters, sse, r2, rmse."""
+    from .titration import gauss_newton
+
+    t = lambda: F.col(x)
+    e = lambda r: F.exp(-r * t())
+    forms = {
+        "exp": (["rate"], lambda r: e(r), [lambda r: -t() * e(r)]),
+        "tail": (["scale", "rate"], lambda a, r: a * e(r), [lambda a, r: e(r), lambda a, r: -a * t() * e(r)]),
+        "biexp": (["share", "rate", "slow"], lambda a, r, s: a * e(r) + (1 - a) * e(s), [lambda a, r, s: e(r) - e(s), lambda a, r, s: -a * t() * e(r), lambda a, r, s: -(1 - a) * t() * e(s)]),
+        "underdamped": (["rate", "omega"], lambda r, w: e(r) * F.cos(w * t()), [lambda r, w: -t() * e(r) * F.cos(w * t()), lambda r, w: -t() * e(r) * F.sin(w * t())]),
+    }
+    names, value, slopes = forms[form]
+    z = gauss_newton(acf.select(*keys, x, y), keys, {y: (value, slopes)}, {n: start[n] for n in names}, rounds)
+    v = acf.groupBy(*keys).agg((F.var_pop(y) * F.count(y)).alias("_v"), F.count(y).alias("_n"))
+    return z.join(v, keys).select(*keys, *names, "sse", (1 - F.try_divide(F.col("sse"), F.col("_v"))).alias("r2"), F.sqrt(F.col("sse") / F.col("_n")).alias("rmse"))

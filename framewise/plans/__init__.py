@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import energies, frames, live, series  # noqa: F401
+from . import energies, frames, live, more, series  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

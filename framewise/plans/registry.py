@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", needs: str = "")
 
         QUERIES[name] = run
         if (text := sql) is not None:
-            if text.startswith("WITH "):
+            if text.startswith("WITH ") and not text.startswith("WITH RECURSIVE"):
                 text = "WITH RECURSIVE " + text[5:]
             ctes = ", ".join([SQL[n] for n in needs.split()] + [f"_q AS ({text})"])
             cols = f" REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in doubles.split())})" if doubles else ""

@@ -176,9 +176,10 @@ def long_states(df: DataFrame, keys: list[str], prefix: str = "residue_") -> Dat
 
 
 def scan_cross_energies(spark: SparkSession, paths) -> DataFrame:
-    """(sample, evaluation, frame, u) from files refep-j<sample>-k<evaluation>; failed energies are an error."""
-    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
-    x = t.select(*[F.regexp_extract("name", rf"-{k}(\d+)" if k == "k" else rf"{k}(\d+)-k", 1).cast("int").alias(n) for k, n in (("j", "sample"), ("k", "evaluation"))], F.posexplode(F.regexp_extract_all("value", F.lit(r"ENE\s*=\s*(\S+)"), F.lit(1))).alias("frame", "text"))
+    """(sample, evaluation, frame, u) from files or folders named refep-j<sample>-k<evaluation>; failed energies are an error."""
+    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    cell = lambda g: F.regexp_extract("path", r"refep-j(\d+)-k(\d+)", g).cast("int")
+    x = t.select(cell(1).alias("sample"), cell(2).alias("evaluation"), F.posexplode(F.regexp_extract_all("value", F.lit(r"ENE\s*=\s*(\S+)"), F.lit(1))).alias("frame", "text"))
     u = number(F.col("text"))
     return x.select("sample", "evaluation", "frame", F.when(u.isNull() | F.isnan(u), F.raise_error(F.concat(F.lit("failed energy "), "text")).cast("double")).otherwise(u).alias("u"))
 
