@@ -100,13 +100,26 @@ def tree(html: str) -> Node:
     return root
 
 
-def is_furniture(n: Node) -> bool:
-    if n.tag in FURNITURE or n.attrs.get("role", "").lower() in ROLES or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true":
-        return True
-    if n.tag in ("html", "body", "article", "main"):
-        return False
+#: Names that mark furniture even around or on an article (fixed values).
+SIDE = {"comment", "comments", "disqus", "respond", "replies", "reply", "related", "recommended", "teaser"}
+
+
+def names_of(n: Node) -> set[str]:
+    """Words of an element's class and id."""
     names = f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
-    return bool(names.strip()) and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()))
+    return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower())) if names.strip() else set()
+
+
+def cut_furniture(order: list[tuple[Node, bool]]) -> None:
+    """Mark what the markup names as furniture. A wrapper of an article or main element is not furniture, unless it holds comments or links to other articles."""
+    main: dict[int, bool] = {}
+    for n, _ in order:  # kids come first
+        names = names_of(n)
+        side = not names.isdisjoint(SIDE)
+        main[id(n)] = not side and (n.tag in ("article", "main") or any(main[id(k)] for k in n.kids if isinstance(k, Node)))
+        hidden = "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true"
+        named = n.tag in FURNITURE or n.attrs.get("role", "").lower() in ROLES or n.tag not in ("html", "body") and not names.isdisjoint(NAMES)
+        n.cut = hidden or side and n.tag not in ("html", "body") or named and not main[id(n)]
 
 
 def walk(root: Node) -> list[tuple[Node, bool]]:
@@ -152,8 +165,7 @@ def main_text(html: str | None, template: set[int]) -> str:
     """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text."""
     root = tree(html or "")
     order = walk(root)
-    for n, _ in order:
-        n.cut = is_furniture(n)
+    cut_furniture(order)
     for n in candidates(order) if template else ():
         n.cut |= (n.hash - (n.hash >> 63 << 64)) in template
     held: dict[int, bool] = {}

@@ -254,6 +254,8 @@ def test_html(spark):
     got = {r["page_id"]: r for r in rows(html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"), keep=["page_id", "url"]))}
     assert got[3]["text"] == "Head & 3\n\nFirst bold line next\n\nSecond é 3\n\none\n\ntwo\n\nSame passage on all pages"
     assert got[20]["text"] == "Only text" and got[21]["text"] == got[22]["text"] == "" and got[23]["text"] == "plain < words & more" and got[24]["text"] == "broken mark"
+    wrapped = "<form id=aspnet><div class='page with-sidebar'><main class='has-sidebar'><p>Kept</p></main><div class=sidebar><p>Side</p></div></div><section class=comments><article><p>Nice</p></article></section><article class='related teaser'><p>Other</p></article></form>"
+    assert html.main_text(wrapped, set()) == "Kept"
     bare = [(k, "https://d.example/", f"<body><div><span>Menu</span></div><div>Page {k} text</div></body>") for k in range(6)]
     got = rows(html.extract(spark.createDataFrame(bare, "page_id bigint, url string, html string")))
     assert sorted(r["text"] for r in got) == [f"Page {k} text" for k in range(6)]
