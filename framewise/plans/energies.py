@@ -108,14 +108,16 @@ def _(spark, d):
     return density.extrema(fes(spark, d), "x", "f", 0.15, ["surface"])
 
 
-@query("h11_level_crossings")
+@query("h11_level_crossings", f"""WITH {FES}, m AS (SELECT *, min(f) OVER (PARTITION BY surface) + 0.2 AS z, arg_min(x, (f, x)) OVER (PARTITION BY surface) AS x0, lag(f) OVER w AS pf, lag(x) OVER w AS px, lead(f) OVER w AS nf, lead(x) OVER w AS nx FROM fes WINDOW w AS (PARTITION BY surface ORDER BY x))
+SELECT surface, max(CASE WHEN x <= x0 AND f < z AND pf >= z THEN x + (px - x) * (z - f) / (pf - f) END) AS "left", min(CASE WHEN x >= x0 AND f < z AND nf >= z THEN x + (nx - x) * (z - f) / (nf - f) END) AS "right" FROM m GROUP BY surface""", '"left" "right"')
 def _(spark, d):
     return density.level_crossings(fes(spark, d), "x", "f", 0.2, ["surface"])
 
 
-@query("h11_local_parabola")
+@query("h11_local_parabola", f"""WITH {FES}, u AS (SELECT surface, x - arg_min(x, (f, x)) OVER (PARTITION BY surface) AS u, f FROM fes), s AS (SELECT surface, count(*) AS s0, sum(u) AS s1, sum(u**2) AS s2, sum(u**3) AS s3, sum(u**4) AS s4, sum(f) AS t0, sum(u * f) AS t1, sum(u * u * f) AS t2 FROM u WHERE abs(u) <= 0.05 GROUP BY surface)
+SELECT surface, (t2 * (s2 * s0 - s1 * s1) - s3 * (t1 * s0 - t0 * s1) + s2 * (t1 * s1 - t0 * s2)) / (s4 * (s2 * s0 - s1 * s1) - s3 * (s3 * s0 - s1 * s2) + s2 * (s3 * s1 - s2 * s2)) * 1e-3 AS curvature FROM s""", "curvature")
 def _(spark, d):
-    return density.local_parabola(fes(spark, d), "x", "f", 0.05, ["surface"])
+    return density.local_parabola(fes(spark, d), "x", "f", 0.05, ["surface"]).withColumn("curvature", F.col("curvature") * 1e-3)
 
 
 @query("h12_curve_minima", f"""WITH {FES}, n AS (SELECT *, lag(f) OVER w AS l, lead(f) OVER w AS r, lead(x) OVER w - x AS dx FROM fes WINDOW w AS (PARTITION BY surface ORDER BY x)), m AS (SELECT 'first' AS "window", * FROM n WHERE x BETWEEN 0.1 AND 0.5 UNION ALL SELECT 'second', * FROM n WHERE x BETWEEN 0.7 AND 1.1), k AS (SELECT *, row_number() OVER (PARTITION BY surface, "window" ORDER BY f, x) AS k FROM m)
@@ -157,7 +159,25 @@ def _(spark, d):
     return FE.mbar(u, 10, KT, n)[1]
 
 
-@query("f19_ti")
+def ti_sql() -> str:
+    """Mean dU/dlambda of the quadratic through ten equally spaced states, with block errors."""
+    n = 10
+    x = [k / (n - 1) for k in range(n)]
+    p = [sum(v**k for v in x) for k in range(5)]
+    det = p[4] * (p[2] * p[0] - p[1] ** 2) - p[3] * (p[3] * p[0] - p[1] * p[2]) + p[2] * (p[3] * p[1] - p[2] ** 2)
+
+    def row(v: float) -> tuple[float, float]:
+        # weights of one energy in the quadratic's leading two coefficients (inverse of the normal equations)
+        a = ((p[2] * p[0] - p[1] ** 2) * v * v + (p[2] * p[1] - p[3] * p[0]) * v + (p[3] * p[1] - p[2] ** 2)) / det
+        b = ((p[2] * p[1] - p[3] * p[0]) * v * v + (p[4] * p[0] - p[2] ** 2) * v + (p[3] * p[2] - p[4] * p[1])) / det
+        return a, b
+
+    d = " + ".join(f"u[{k + 1}] * (2 * ({row(v)[0]!r}) * sample / 9.0 + ({row(v)[1]!r}))" for k, v in enumerate(x))
+    return f"""WITH d AS (SELECT sample, frame, {d} AS d FROM energies), b AS (SELECT sample, b, avg(d) AS m, sum(d) AS s, count(*) AS n FROM (SELECT *, ntile(5) OVER (PARTITION BY sample ORDER BY frame) AS b FROM d) GROUP BY ALL)
+SELECT sample, sample / 9.0 AS "lambda", sum(s) / sum(n) AS du_dl, stddev_samp(m) / sqrt(count(*)) AS sem FROM b GROUP BY sample"""
+
+
+@query("f19_ti", ti_sql(), '"lambda" du_dl sem', "energies")
 def _(spark, d):
     return FE.ti(energies(spark, d), [k / 9 for k in range(10)], 5)
 
@@ -281,7 +301,8 @@ def _(spark, d):
     return T.spectral_mixture_peak(pop, s, ["site", "ph"])
 
 
-@query("m8_fit_sigmoid")
+@query("m8_fit_sigmoid", f"""WITH {TITR}, g AS (SELECT site, 2 + i * 0.1 AS pka, 400 + 30 * (1 - fraction) AS y, 1 / (1 + pow(10, (2 + i * 0.1) - ph)) AS f FROM titr, range(0, 101) r(i)), s AS (SELECT site, pka, regr_slope(y, f) AS b, regr_intercept(y, f) AS a, regr_syy(y, f) - regr_sxy(y, f) ** 2 / regr_sxx(y, f) AS sse FROM g GROUP BY ALL)
+SELECT site, arg_min(pka, (sse, pka)) AS pka, arg_min(a, (sse, pka)) AS low, arg_min(a + b, (sse, pka)) AS high, min(sse) AS sse FROM s GROUP BY site""", "pka low high sse")
 def _(spark, d):
     p = titration_points(spark, d).select("site", "ph", (400 + 30 * (1 - F.col("fraction"))).alias("y"))
     return T.fit_sigmoid(p, ["site"], 2.0, 12.0, 101)

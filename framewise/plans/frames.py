@@ -266,7 +266,11 @@ def _(spark, d):
     return pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX)
 
 
-@query("h5_coordination_number")
+RDF = f"""p AS ({pairs_sql("'O'", "'O'", 15)}), c AS (SELECT frame, count(*) AS n FROM atoms WHERE element = 'O' GROUP BY frame), t AS (SELECT sum(n * n) AS pairs FROM c),
+h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE d < 15 GROUP BY 1), b AS (SELECT CAST(i AS INTEGER) AS bin, i * 0.5 AS lo FROM range(0, 30) r(i)), g AS (SELECT b.bin, lo + 0.25 AS r, coalesce(h.n, 0) * 125000.0 / (pairs * 4.0 / 3.0 * pi() * ((lo + 0.5)**3 - lo**3)) AS g FROM t, b LEFT JOIN h USING (bin))"""
+
+
+@query("h5_coordination_number", f"WITH {RDF}, s AS (SELECT bin, r, coalesce((g * r * r + lag(g * r * r) OVER w) / 2 * (r - lag(r) OVER w), 0) AS s FROM g WINDOW w AS (ORDER BY bin)) SELECT bin, r, 4 * pi() * 0.001 * sum(s) OVER (ORDER BY bin) AS cn FROM s", "r cn", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
     g = pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX).withColumn("key", F.lit(0))

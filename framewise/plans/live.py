@@ -109,7 +109,8 @@ def _(spark, d):
     return finish(live.stream_sessions(stream(spark, d), "run", "2 hours"), "complete").select("run", "n")
 
 
-@query("l5_stream_sustained_events")
+@query("l5_stream_sustained_events", """WITH s AS (SELECT user_id AS run, epoch_us(ts) / 1e6 AS t, value > 60 AS m, lag(value > 60) OVER (PARTITION BY user_id ORDER BY ts) AS pm FROM events), g AS (SELECT *, sum(CASE WHEN m AND NOT coalesce(pm, false) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY t) AS g FROM s), h AS (SELECT run, g, t, min(t) OVER (PARTITION BY run, g) AS "start" FROM g WHERE m)
+SELECT run, "start", min(t) AS seen FROM h WHERE t - "start" >= 2000 GROUP BY run, g, "start\"""", '"start" seen')
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x = stream(spark, d).withColumn("on", F.col("value") > 60)
