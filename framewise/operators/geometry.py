@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import materialise
 from ..functions.exprs import angle_deg, cross, dot, min_image, norm, planar_deviation, torsion_deg, unit
 
 XYZ = ("x", "y", "z")
@@ -154,7 +155,7 @@ def unwrap_molecule(atoms: DataFrame, bonds: DataFrame, box: float, most: int, k
     tree = front
     for _ in range(most):
         nxt = front.withColumnRenamed("node", "a").join(both, [molecule, "a"]).groupBy(molecule, F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        front = nxt.join(tree.select(molecule, "node"), [molecule, "node"], "left_anti")
+        front = materialise(nxt.join(tree.select(molecule, "node"), [molecule, "node"], "left_anti"))
         tree = tree.unionByName(front)
     at = atoms.select(*keys, molecule, "atom_id", F.struct(*XYZ).alias("p"))
     step = tree.select(molecule, F.col("node").alias("atom_id"), F.posexplode("path").alias("k", "via"))

@@ -17,14 +17,14 @@ def shortest_path(edges: DataFrame, ends: DataFrame, most: int, keys: list[str])
     Steps are joins on (keys, node). Of the paths that reach a node in the same number of edges the least in order
     stays, so the frontier never holds more rows than nodes. Returns connected, n_bridging (-1 if none) and path.
     """
-    e = both_ways(edges, keys).select(*keys, F.col("a").alias("at"), F.col("b").alias("to"))
+    e = materialise(both_ways(edges, keys).select(*keys, F.col("a").alias("at"), F.col("b").alias("to")))
     front = ends.select(*keys, "source", "target", F.col("source").alias("at"), F.array("source").alias("path"))
     found = front.where("at = target")
     seen = front
     for _ in range(most):
         nxt = front.where("at <> target").join(e, [*keys, "at"]).where(~F.array_contains("path", F.col("to")))
         nxt = nxt.groupBy(*keys, "source", "target", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-        front = nxt.join(seen.select(*keys, "source", "target", "at"), [*keys, "source", "target", "at"], "left_anti")
+        front = materialise(nxt.join(seen.select(*keys, "source", "target", "at"), [*keys, "source", "target", "at"], "left_anti"))
         seen = seen.unionByName(front)
         found = found.unionByName(front.where("at = target"))
     best = found.groupBy(*keys, "source", "target").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m"))
@@ -99,12 +99,12 @@ def five_rings(edges: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFra
 
 def network_potentials(edges: DataFrame, anchor: DataFrame, most: int, keys: list[str]) -> DataFrame:
     """Potential of every node from signed gaps (a to b: + gap) outward from the anchor (keys, node, potential); spread tells how far cycles fail to close."""
-    both = edges.select(*keys, "a", "b", "gap").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap")).alias("gap")))
+    both = materialise(edges.select(*keys, "a", "b", "gap").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap")).alias("gap"))))
     front = anchor.select(*keys, F.col("node").alias("a"), F.col("potential").alias("v"))
     seen = front
     for _ in range(most):
         nxt = front.join(both, [*keys, "a"]).groupBy(*keys, F.col("b").alias("a")).agg(F.min(F.col("v") + F.col("gap")).alias("v"))
-        front = nxt.join(seen.select(*keys, "a"), [*keys, "a"], "left_anti")
+        front = materialise(nxt.join(seen.select(*keys, "a"), [*keys, "a"], "left_anti"))
         seen = seen.unionByName(front)
     v = seen.select(*keys, F.col("a").alias("node"), F.col("v").alias("potential"))
     ends = both.join(v.select(*keys, F.col("node").alias("a"), F.col("potential").alias("va")), [*keys, "a"]).join(v.select(*keys, F.col("node").alias("b"), F.col("potential").alias("vb")), [*keys, "b"])
