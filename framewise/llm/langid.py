@@ -113,6 +113,11 @@ class Net:
 def sample_windows(docs: DataFrame, train: Column, per_lang: int, per_doc: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels from at most per_lang documents of each label, per_doc windows each, spread over the whole text; `most` documents in all."""
     chosen = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
+    # common languages are thinned by the hash before the window, so that no task gets more than a few times per_lang rows
+    common = chosen.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_lang).orderBy(F.desc("n"), "lang").limit(500).collect()
+    if common:
+        share = F.create_map(*[F.lit(v) for r in common for v in (r["lang"], 2.0 * per_lang / r["n"])])
+        chosen = chosen.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "h").limit(most).select("doc_id", "lang").distinct()
 

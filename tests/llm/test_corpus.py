@@ -230,6 +230,9 @@ def test_language(spark, docs, corpus):
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (400, 401, 402))
     held = [r for r in got if r["doc_id"] < 120 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.9 * len(held)
+    many = spark.range(4000).selectExpr("id as doc_id", "if(id % 4 = 0, 'b', 'a') as lang", "repeat('x y ', 50) as text")
+    _, y, names = langid.sample_windows(many, queries.fold(3) >= 0, 50, 2)
+    assert names == ["a", "b"] and (np.bincount(y) == 100).all()  # thinned by hash, then the first 50 documents of each
     assert {r["lang_pred"] for r in rows(langid.predict(docs.limit(5), langid.train(docs.limit(0), queries.fold(3) == 0)))} == {"und"}
 
 
