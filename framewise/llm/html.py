@@ -20,6 +20,7 @@ import re
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import materialise
 from .text import map_rows
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -201,14 +202,20 @@ def main_text(html: str | None, template: set[int]) -> str:
     return main_text(html, set()) if template and not blocks else "\n\n".join(blocks)
 
 
-def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.1, keep: list[str] | None = None) -> DataFrame:
-    """pages (url, html) with text and n_chars. A subtree is template on at least least_pages pages and least_share of its host's pages."""
+def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.1, keep: list[str] | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+    """pages (url, html) with text and n_chars. A subtree is template on at least least_pages pages and least_share of its host's pages.
+
+    A host has at most (subtrees a page) / least_share templates. Up to most_bytes of them in all are broadcast and the
+    pages stay where they are; beyond that pages and templates meet by a shuffle on the host.
+    """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     x = pages.withColumn("_host", host)
     seen = map_rows(x, ["html"], lambda: lambda h: (subtrees(h),), "_hashes array<bigint>", keep=["_host"])
     sizes = x.groupBy("_host").agg(F.count("*").alias("_pages"))
     counts = seen.select("_host", F.explode("_hashes").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_pages)
     common = counts.join(sizes, "_host").where(F.col("_n") >= least_share * F.col("_pages")).groupBy("_host").agg(F.collect_set("_h").alias("_template"))
-    rows = x.join(common, "_host", "left")
+    common = materialise(common)
+    size = common.agg(F.sum(8 * F.size("_template") + 64)).first()[0] or 0
+    rows = x.join(F.broadcast(common) if size <= most_bytes else common, "_host", "left")
     names = [c for c in (keep or pages.columns)]
     return map_rows(rows, ["html", "_template"], lambda: lambda h, t: ((s := main_text(h, set(t or ()))), len(s)), "text string, n_chars bigint", keep=names)

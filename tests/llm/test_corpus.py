@@ -260,8 +260,9 @@ def test_html(spark):
     wrapped = "<form id=aspnet><div class='page with-sidebar'><main class='has-sidebar'><p>Kept</p></main><div class=sidebar><p>Side</p></div></div><section class=comments><article><p>Nice</p></article></section><article class='related teaser'><p>Other</p></article></form>"
     assert html.main_text(wrapped, set()) == "Kept"
     bare = [(k, "https://d.example/", f"<body><div><span>Menu</span></div><div>Page {k} text</div></body>") for k in range(6)]
-    got = rows(html.extract(spark.createDataFrame(bare, "page_id bigint, url string, html string")))
-    assert sorted(r["text"] for r in got) == [f"Page {k} text" for k in range(6)]
+    for most in (16 << 20, 0):  # templates broadcast, or joined by a shuffle
+        got = rows(html.extract(spark.createDataFrame(bare, "page_id bigint, url string, html string"), most_bytes=most))
+        assert sorted(r["text"] for r in got) == [f"Page {k} text" for k in range(6)]
 
 
 def test_toxicity(spark):
