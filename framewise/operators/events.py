@@ -187,3 +187,19 @@ def walker_positions(exchanges: DataFrame, run: str = "run", step: str = "step")
 
     kind = {f.name: f.dataType.simpleString() for f in exchanges.schema}
     return exchanges.groupBy(run).applyInPandas(fold, f"{run} {kind[run]}, {step} {kind[step]}, walker int, place int")
+
+
+def gaussian_smooth(c: Column | str, sigma: float, key: str = "run", t: str = "t", truncate: float = 4.0) -> Column:
+    """Gaussian kernel of sigma rows over truncate * sigma rows on either side; the ends repeat the first and last value."""
+    import math
+
+    c = F.col(c) if isinstance(c, str) else c
+    half = int(truncate * sigma + 0.5)
+    w = Window.partitionBy(key).orderBy(t)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(half + 1)]
+    total = weight[0] + 2 * sum(weight[1:])
+    out = c * (weight[0] / total)
+    for k in range(1, half + 1):
+        out = out + (F.coalesce(F.lag(c, k).over(w), F.first(c).over(whole)) + F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))) * (weight[k] / total)
+    return out

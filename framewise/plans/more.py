@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..operators import density, freeenergy as FE, geometry, regress
+from ..operators import density, events, freeenergy as FE, geometry, regress
 from ..sources import scans
 from ..sources.tables import BOX, atoms, energies, read, series
 from ..streaming import live
@@ -137,3 +139,14 @@ def _(spark, d):
 def _(spark, d):
     x = live.count_late(stream(spark, d), "10 minutes", F.lit("2024-01-02").cast("timestamp"))
     return finish(x.groupBy((F.col("run") % 5).alias("grp")).agg(F.count("*").alias("n")), "complete")
+
+
+def gaussian_sql(sigma: float, half: int) -> str:
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    terms = ", ".join(f"({k}, {v / sum(w)!r})" for k, v in zip(range(-half, half + 1), w))
+    return f"SELECT a.run, a.idx, sum(k.w * b.value) AS smooth FROM (SELECT *, max(idx) OVER (PARTITION BY run) AS top FROM series) a CROSS JOIN (VALUES {terms}) k(k, w) JOIN series b ON b.run = a.run AND b.idx = least(greatest(a.idx + k.k, 0), a.top) GROUP BY a.run, a.idx"
+
+
+@query("t6_gaussian_smooth", gaussian_sql(1.5, 6), "smooth", "series")
+def _(spark, d):
+    return series(spark, d).select("run", "idx", events.gaussian_smooth("value", 1.5).alias("smooth"))
