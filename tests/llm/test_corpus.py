@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from framewise.llm import chat, decontam, fertility, html, langid, licenses, packing, queries, resample, simhash, text, toxicity
+from framewise.llm import chat, decontam, fertility, html, langid, licenses, packing, queries, resample, shingles, simhash, text, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, _x string"
 
@@ -330,3 +330,45 @@ def test_pipeline(spark, tmp_path):
     assert 300 not in kept["near_duplicates"] and 7 in kept["near_duplicates"]
     assert item not in kept["decontamination"][33]["text"] and kept["decontamination"][7]["text"] == data[7][1] and kept["decontamination"][7]["score"] == 0.1
     assert {r["doc_id"] for r in rows(out)} == set(kept["decontamination"])
+
+
+def test_pipeline_near_copies(spark, tmp_path):
+    """The stage against all pairs: planted copies of every similarity from 0.6 to 1, chains, groups and repeated rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    data = []
+    for k in range(60):
+        base = fresh(200)
+        data.append((3 * k, " ".join(base)))
+        for c in (1, 2):
+            base = [*base]
+            for at in rng.sample(range(5, 195), rng.randint(0, 7)):
+                base[at] = fresh(1)[0]
+            data.append((3 * k + c, " ".join(base)))
+    group = fresh(100)
+    data += [(500 + k, " ".join([*group[: 100 - k % 12], *fresh(k % 12)])) for k in range(40)]
+    data += [(700, data[0][1]), (701, None), (702, ""), (703, "Two words"), (704, "two  WORDS"), (705, "two other"), (None, data[9][1]), (None, "none of these"), (706, "twice"), (706, "twice")]
+    near = [shingles.shingles(t) for _, t in data]
+    up = list(range(len(data)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    far = 0
+    for i, x in enumerate(near):
+        for j in range(i):
+            y = near[j]
+            if not x and not y or x and y and 10 * len(x & y) >= 8 * len(x | y):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+                far += simhash.fingerprint(data[i][1]) != simhash.fingerprint(data[j][1]) and (simhash.fingerprint(data[i][1]) ^ simhash.fingerprint(data[j][1])).bit_count() > 3
+    want = {}
+    for i, (d, _) in enumerate(data):
+        want.setdefault(find(i), []).append(d)
+    want = sorted(min(v, key=lambda d: (d is None, d or 0)) if any(d is not None for d in v) else -1 for v in want.values())
+    assert far > 50  # pairs that fingerprints at distance 3 cannot link
+    spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.without_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows(got)) == want
