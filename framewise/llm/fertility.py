@@ -6,7 +6,9 @@ distribution, normalised by its maximum for the text's length. Each group (langu
 unknown or rare) and length class (powers of two of the token count, since both measures depend on length) has a band
 for each measure: the median over all its documents, give or take `width` times the distance between its quartiles, and
 never narrower than a floor. A document outside a band is rejected. Bands are one row for each group and class, from
-mergeable percentile sketches over all documents.
+mergeable percentile sketches over all documents. A document whose language and script have fewer than min_group
+documents in its length class is held against its script's neighbouring classes, pooled on both sides until they hold
+min_group; where the whole script holds fewer, against all documents pooled so; and where the table does, against all.
 
 Edge cases: a null or empty text has no words and fails the base rules. A text of fewer than min_tokens tokens has no
 verdict of its own (measures of so few tokens say nothing) and keeps the base verdict. Repeated rows count each time.
@@ -15,9 +17,11 @@ verdict of its own (measures of so few tokens say nothing) and keeps the base ve
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import materialise
 from .packing import Encoder
@@ -108,11 +112,29 @@ def measured(docs: DataFrame, ranks: str, pattern: str, pieces: str, keep: list[
 MEASURES = {"chars_per_token": 0.02, "fallback_share": 0.02, "entropy": 0.01}
 
 
-def bands(rows: DataFrame, group: str, width: float) -> DataFrame:
+def bands(rows: DataFrame, group: list[str], width: float) -> DataFrame:
     """One row for each group and length class: n_docs, and median and half-width of each measure over all its documents."""
     q = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 1000) for m in MEASURES}
-    out = rows.groupBy(group, "size").agg(F.count("*").alias("n_docs"), *[v.alias(m) for m, v in q.items()])
-    return out.select(group, "size", "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
+    out = rows.groupBy(*group, "size").agg(F.count("*").alias("n_docs"), *[v.alias(m) for m, v in q.items()])
+    return out.select(*group, "size", "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
+
+
+def pooled(rows: DataFrame, group: list[str], width: float, min_group: int) -> DataFrame:
+    """One row for each group and length class that hold a document together: the band of the nearest length classes, pooled on both sides until they hold min_group documents; none where the whole group holds fewer."""
+    counts = rows.groupBy(*group, "size").agg(F.count("*").alias("_n"))
+    x, y = counts.alias("x"), counts.alias("y")
+    same = [F.col(f"x.{g}") == F.col(f"y.{g}") for g in group]
+    far = F.abs(F.col("x.size") - F.col("y.size"))
+    steps = x.join(y, reduce(and_, same, F.lit(True))).groupBy(*[F.col(f"x.{g}").alias(g) for g in group], F.col("x.size").alias("size"), far.alias("reach")).agg(F.sum("y._n").alias("_n"))
+    held = F.sum("_n").over(Window.partitionBy(*group, "size").orderBy("reach"))
+    reach = steps.withColumn("_n", held).where(F.col("_n") >= min_group).groupBy(*group, "size").agg(F.min("reach").alias("reach"))
+    # classes of few documents only: those with a band of their own are reach 0 and never read this one
+    reach = materialise(reach.where("reach > 0"))
+    own = reach.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("size").alias("_size"), "reach")
+    near = F.abs(F.col("size") - F.col("_size")) <= F.col("reach")
+    more = rows.join(F.broadcast(own), reduce(and_, [F.col(g) == F.col(f"_{g}") for g in group], near))
+    more = more.drop("size", *group).withColumnsRenamed({f"_{c}": c for c in (*group, "size")})
+    return bands(more, group, width)
 
 
 def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens: int = 30, most_bands: int = 20_000) -> DataFrame:
@@ -124,10 +146,20 @@ def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens:
     sized = rows.where(F.col("n_tokens") >= min_tokens)
     cols = [f"{m}_{s}" for m in MEASURES for s in ("mid", "half")]
     x = rows
-    for group in ("lang", "script"):
-        band = bands(sized.where(F.col(group).isNotNull()), group, width).where(F.col("n_docs") >= min_group)
-        band = materialise(band.select(group, "size", *[F.col(c).alias(f"{group}_{c}") for c in cols]))
-        x = x.join(F.broadcast(band) if band.count() <= most_bands else band, [group, "size"], "left")
-    far = {m: (F.col("n_tokens") >= min_tokens) & (F.abs(F.col(m) - F.coalesce(f"lang_{m}_mid", f"script_{m}_mid")) > F.coalesce(f"lang_{m}_half", f"script_{m}_half")) for m in MEASURES}
+    names = []
+    for name, group, pool in (("lang", ["lang"], False), ("script", ["script"], False), ("near", ["script"], True), ("all", [], True), ("every", [], None)):
+        known = reduce(and_, [F.col(g).isNotNull() for g in group], F.lit(True))
+        if pool is None:  # fewer than min_group documents in all
+            band = bands(sized.withColumn("size", F.lit(0)), [], width).drop("size")
+        elif pool:
+            band = pooled(sized.where(known), group, width, min_group)
+        else:
+            band = bands(sized.where(known), group, width).where(F.col("n_docs") >= min_group)
+        on = [] if pool is None else [*group, "size"]
+        band = materialise(band.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in cols]))
+        small = F.broadcast(band) if band.count() <= most_bands else band
+        x = x.join(small, on, "left") if on else x.join(small, how="left")
+        names.append(name)
+    far = {m: (F.col("n_tokens") >= min_tokens) & (F.abs(F.col(m) - F.coalesce(*[f"{g}_{m}_mid" for g in names])) > F.coalesce(*[f"{g}_{m}_half" for g in names])) for m in MEASURES}
     x = x.withColumns({"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")), "outside": F.concat_ws(",", *[F.when(y, m) for m, y in far.items()])})
-    return x.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == "")).drop("size", *[f"{g}_{c}" for g in ("lang", "script") for c in cols])
+    return x.withColumn("kept", ~F.col("base_failed") & (F.col("outside") == "")).drop("size", *[f"{g}_{c}" for g in names for c in cols])

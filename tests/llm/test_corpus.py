@@ -218,6 +218,18 @@ def test_fertility(spark, docs, corpus):
     assert verdict[99] and not any(v for k, v in verdict.items() if k != 99)
 
 
+def test_fertility_judges_all(spark):
+    """Rare length classes and scripts have bands too, in tables large and small."""
+    row = lambda k, lang, script, n, c: (k, lang, script, n, n, 0, c, 0.0, 0.8)
+    data = [row(k, "en", "LATIN", 200, 4.0) for k in range(40)] + [row(100, "en", "LATIN", 100_000, 1.0), row(101, "en", "LATIN", 90_000, 4.0)]
+    data += [row(102, "xx", "THAI", 200, 1.0), row(103, None, "THAI", 5_000, 4.0), row(104, "xx", "THAI", 29, 1.0)]
+    names = "doc_id bigint, lang string, script string, n_words bigint, n_tokens bigint, n_repeat_words bigint, chars_per_token double, fallback_share double, entropy double"
+    for some in (data, data[30:]):  # the second holds fewer than min_group documents
+        got = rows(fertility.judge(spark.createDataFrame(some, names)))
+        assert len(got) == len(some) and {r["doc_id"] for r in got if r["outside"]} == {100, 102}
+        assert set(got[0]) == {"doc_id", "lang", "script", "n_words", "n_tokens", "n_repeat_words", "chars_per_token", "fallback_share", "entropy", "base_failed", "outside", "kept"}
+
+
 def test_language(spark, docs, corpus):
     net = langid.train(docs, queries.fold(3).isin(0, 2), per_lang=60, per_doc=4)
     assert net.names == ["de", "en"]
