@@ -21,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialise
-from .text import components, map_rows, utf8
+from .text import components, kept_rows, map_rows, numbered, utf8
 
 LEAF, FAN = 16, 16
 
@@ -254,12 +254,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, max_node
 
 
 def keep_one(docs: DataFrame, distance: int = 3, words: int = 3, max_node: int = 65536) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id (nulls last); among repeated rows, any one of the equal ones."""
-    key = {"_k1": F.xxhash64(*docs.columns), "_k2": F.xxhash64(F.lit(1), *docs.columns)}
-    marked = materialise(fingerprints(docs.withColumns(key), words, ["doc_id", "_k1", "_k2"]))
-    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2")).alias("best"))
-    found = classes(marked, distance, max_node)
-    kept = best.join(found, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best._k1", "best._k2")
-    rows = docs.withColumns(key).join(kept, ["_k1", "_k2"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    """docs with one document of each component: the smallest doc_id (nulls last); among repeated rows, any one of the equal ones. Columns of docs may have any name and type."""
+    rows = numbered(docs)
+    marked = materialise(fingerprints(rows.select("uid", "row.doc_id", "row.text"), words, ["uid", "doc_id"]))
+    best = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best"))
+    kept = best.join(classes(marked, distance, max_node), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.uid")
+    return kept_rows(rows, marked, kept)

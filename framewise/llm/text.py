@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,9 +27,54 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def share(spark: SparkSession, thing) -> Callable[[], object]:
-    """Broadcast an object whose class executors need not have; the result, called in a task, gives a copy of it."""
+    """Broadcast an object whose class executors need not have; the result, called in a task, gives the worker's one copy of it."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
-    return lambda: cloudpickle.loads(sent.value)
+
+    def load():
+        if not hasattr(sent, "loaded"):  # workers serve many tasks and keep a broadcast between them
+            sent.loaded = cloudpickle.loads(sent.value)
+        return sent.loaded
+
+    return load
+
+
+class Hashes(dict):
+    """64-bit hashes of words, remembered up to a bounded number of short words."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def columns_of(df: DataFrame) -> list:
+    """Every column of df, dots in names taken literally."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def boxed(df: DataFrame, **beside: str) -> DataFrame:
+    """df with each row in one column _row and the named columns beside it, so that no column of df can clash with an operator's."""
+    return df.select(F.struct(*columns_of(df)).alias("_row"), *[F.col(f"`{c}`").alias(name) for name, c in beside.items()])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """(uid, row): df written once to the shared folder, each row boxed beside a unique long."""
+    return materialise(df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*columns_of(df)).alias("row")))
+
+
+#: Up to so many ids of rows to leave out are broadcast (8 bytes each, about 32 MB as a hash table).
+MOST_DROPPED = 1_000_000
+
+
+def kept_rows(rows: DataFrame, uids: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows (uid, row) whose uid is in kept, unboxed. uids: all ids. Up to MOST_DROPPED ids that are not kept are broadcast and the rows stay where they are; beyond that rows and ids meet by a shuffle on the id."""
+    dropped = materialise(uids.select("uid").join(kept.select("uid"), "uid", "left_anti"))
+    if dropped.count() <= MOST_DROPPED:
+        return rows.join(F.broadcast(dropped), "uid", "left_anti").select("row.*")
+    return rows.join(kept.select("uid"), "uid", "left_semi").select("row.*")
 
 
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., tuple]], schema: str, keep: list[str] | None = None) -> DataFrame:
@@ -37,6 +83,16 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., t
     fn is called once a task to set up caches and models. keep: columns to hand on (all by default).
     A column of df that clashes with a new name gives way to it.
     """
+
+    def make():
+        each = fn()
+        return lambda *cols: [each(*x) for x in zip(*cols)]
+
+    return map_lists(df, columns, make, schema, keep)
+
+
+def map_lists(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., list[tuple]]], schema: str, keep: list[str] | None = None) -> DataFrame:
+    """As map_rows, but the function takes a list of values for each column, of 500 rows at most, and returns a list of rows."""
     made = T.StructType.fromDDL(schema)
     keep = [c for c in (df.columns if keep is None else keep) if c not in made.fieldNames()]
     source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *columns])])
@@ -48,7 +104,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., t
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds what the Python lists hold
                 part = batch.slice(at, 500)
-                rows = [each(*x) for x in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))]
+                rows = each(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))
                 cols = list(zip(*rows)) if rows else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(v, f.type) for v, f in zip(cols, arrow)], names=keep + arrow.names)
 
