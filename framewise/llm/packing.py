@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,18 @@ from ..runtime import materialise
 from .text import map_rows
 
 
+#: White space as the pattern's \s has it. Runs longer than LONG_RUN go past the pattern, whose matcher keeps a stack entry for each of their characters.
+WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+LONG_RUN = 100_000
+
+
 class Encoder:
-    """Byte-level BPE ids of whole texts as little-endian uint32 bytes. Special strings in a text become their ids."""
+    """Byte-level BPE ids of whole texts. Special strings in a text become their ids.
+
+    The pattern makes one piece of a white-space run but for its last character, which joins what follows; a run that
+    ends a text, or stands before a special string, is one piece. Very long runs are cut out by that rule and merged as
+    the one piece they are; white space never joins what stands before it, so the rest is encoded as it stands.
+    """
 
     def __init__(self, ranks: str, pattern: str, special: dict[str, int]):
         import tiktoken
@@ -38,9 +49,21 @@ class Encoder:
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
         self.special = {*special}
 
-    def ids(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> np.ndarray:
         return self.bpe.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
 
+    def ids(self, text: str) -> np.ndarray:
+        long = [m.span() for m in WHITE.finditer(text) if m.end() - m.start() > LONG_RUN] if len(text) > LONG_RUN else ()
+        if not long:
+            return self.plain(text)
+        out, at = [], 0
+        for start, end in long:
+            if end < len(text) and not any(text.startswith(s, end) for s in self.special):
+                end -= 1
+            out += [self.plain(text[at:start]), np.array(self.bpe._encode_single_piece(text[start:end]), np.uint32)]
+            at = end
+        return np.concatenate([*out, self.plain(text[at:])])
+
 
 def tokenised(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], end: int, most: int) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
