@@ -6,7 +6,8 @@ distribution, normalised by its maximum for the text's length. Each group (langu
 unknown or rare) and length class (powers of two of the token count, since both measures depend on length) has a band
 for each measure: the median over all its documents, give or take `width` times the distance between its quartiles, and
 never narrower than a floor. A document outside a band is rejected. Bands are one row for each group and class, from
-mergeable percentile sketches over all documents. A document whose language and script have fewer than min_group
+exact quantiles of the measures in steps of 0.001, so that counts of a bounded number of values are merged, whatever the
+partitions, and a verdict never changes between runs. A document whose language and script have fewer than min_group
 documents in its length class is held against its script's neighbouring classes, pooled on both sides until they hold
 min_group; where the whole script holds fewer, against all documents pooled so; and where the table does, against all.
 
@@ -114,7 +115,7 @@ MEASURES = {"chars_per_token": 0.02, "fallback_share": 0.02, "entropy": 0.01}
 
 def bands(rows: DataFrame, group: list[str], width: float) -> DataFrame:
     """One row for each group and length class: n_docs, and median and half-width of each measure over all its documents."""
-    q = {m: F.percentile_approx(m, [0.25, 0.5, 0.75], 1000) for m in MEASURES}
+    q = {m: F.percentile(F.round(m, 3), [0.25, 0.5, 0.75]) for m in MEASURES}
     out = rows.groupBy(*group, "size").agg(F.count("*").alias("n_docs"), *[v.alias(m) for m, v in q.items()])
     return out.select(*group, "size", "n_docs", *[F.col(m)[1].alias(f"{m}_mid") for m in MEASURES], *[F.greatest(F.lit(floor), width * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_half") for m, floor in MEASURES.items()])
 
