@@ -6,7 +6,8 @@ A whole text is cut into consecutive windows (the last one may overlap its prede
 averaged, weighted by the new bytes each brings. Label, source and id are never inputs of a prediction.
 
 Edge cases: null texts and texts without a letter are `und` with score 0. Without any labelled row every text is `und`.
-Rows with a null label only serve prediction. Repeated rows are predicted one by one.
+Rows with a null label only serve prediction. Repeated rows are predicted one by one; an id repeated under one label is
+learnt from once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .text import map_rows, share, utf8
+from .text import map_lists, map_rows, share, utf8
 
 WINDOW, DIM, WIDTHS, FILTERS = 160, 8, (2, 3, 4), 16  # bytes of a window, embedding, filter widths, filters of each
 
@@ -110,16 +111,17 @@ class Net:
         return self
 
 
-def sample_windows(docs: DataFrame, train: Column, per_lang: int, per_doc: int, most: int = 50_000) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels from at most per_lang documents of each label, per_doc windows each, spread over the whole text; `most` documents in all."""
+def sample_windows(docs: DataFrame, train: Column, per_lang: int, per_doc: int, most: int = 50_000, most_langs: int = 500) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows and labels from at most per_lang documents of each of the most_langs commonest labels, per_doc windows each, spread over the whole text; `most` documents in all. One row an id and label is learnt from."""
     chosen = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    # common languages are thinned by the hash before the window, so that no task gets more than a few times per_lang rows
-    common = chosen.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_lang).orderBy(F.desc("n"), "lang").limit(500).collect()
-    if common:
-        share = F.create_map(*[F.lit(v) for r in common for v in (r["lang"], 2.0 * per_lang / r["n"])])
-        chosen = chosen.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
+    langs = chosen.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not langs:
+        return np.zeros((0, WINDOW + 3), np.uint8), np.zeros(0, np.int64), []
+    # common labels are thinned by the hash before the window, so that no task gets more than a few times per_lang ids
+    part = F.create_map(*[F.lit(v) for r in langs for v in (r["lang"], min(1.0, 4.0 * per_lang / max(1, r["n"])))])
+    thin = chosen.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.try_element_at(part, F.col("lang"))).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "h").limit(most).select("doc_id", "lang").distinct()
+    ids = thin.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "h").limit(most).select("doc_id", "lang")
 
     def make():
         def row(text, key):
@@ -130,8 +132,9 @@ def sample_windows(docs: DataFrame, train: Column, per_lang: int, per_doc: int,
 
         return row
 
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang", F.xxhash64("doc_id").alias("key"))
-    got = map_rows(rows, ["text", "key"], make, "windows binary", keep=["lang", "key"]).toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
+    rows = docs.where("text is not null").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("text", "lang", F.xxhash64("doc_id").alias("key"))
+    got = map_rows(rows, ["text", "key"], make, "windows binary", keep=["lang", "key"]).groupBy("lang", "key").agg(F.max("windows").alias("windows"))
+    got = got.toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
     names = sorted(set(got.column("lang").to_pylist()))
     at = {n: i for i, n in enumerate(names)}
     x = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW + 3) for b in got.column("windows").to_pylist()]
@@ -152,25 +155,42 @@ def predict(docs: DataFrame, net: Net | None, block: int = 256, keep: list[str]
     def make():
         model = net_()
 
-        def row(text):
-            if model is None or not text or not any(map(str.isalpha, text)):
-                return "und", 0.0
-            raw = utf8(text)
-            total = np.zeros(len(model.names))
-            n = -(-len(raw) // WINDOW)
-            whole = len(raw) // WINDOW
-            body = np.zeros((n, WINDOW + 3), np.uint8)
-            body[:whole, :WINDOW] = np.frombuffer(raw[: whole * WINDOW], np.uint8).reshape(-1, WINDOW)
-            weight = np.full(n, WINDOW)
-            if whole < n:
-                body[-1] = pad(raw, max(0, len(raw) - WINDOW))
-                weight[-1] = len(raw) - whole * WINDOW
-            for i in range(0, n, block):
-                total += weight[i : i + block] @ model.predict(body[i : i + block])
-            total /= len(raw)
-            best = int(total.argmax())
-            return model.names[best], float(min(1.0, total[best]))
-
-        return row
-
-    return map_rows(docs, ["text"], make, "lang_pred string, score double", keep=keep)
+        def rows(texts):
+            if model is None:
+                return [("und", 0.0)] * len(texts)
+            total, size, held = np.zeros((len(texts), len(model.names))), np.zeros(len(texts), np.int64), []
+
+            def flush():
+                x, weight, owner = (np.concatenate([h[k] for h in held]) for k in range(3))
+                held.clear()
+                for i in range(0, len(x), block):
+                    np.add.at(total, owner[i : i + block], model.predict(x[i : i + block]) * weight[i : i + block, None])
+
+            n = 0
+            for k, text in enumerate(texts):
+                if not text or not any(map(str.isalpha, text)):
+                    continue
+                raw = utf8(text)
+                size[k], step = len(raw), block * WINDOW
+                for i in range(0, len(raw), step):  # whole windows of a part, then what is left of the text
+                    part = raw[i : i + step]
+                    whole = len(part) // WINDOW
+                    x = np.zeros((-(-len(part) // WINDOW), WINDOW + 3), np.uint8)
+                    x[:whole, :WINDOW] = np.frombuffer(part[: whole * WINDOW], np.uint8).reshape(-1, WINDOW)
+                    weight = np.full(len(x), WINDOW)
+                    if whole < len(x):
+                        x[-1] = pad(raw, max(0, len(raw) - WINDOW))
+                        weight[-1] = len(part) - whole * WINDOW
+                    held.append((x, weight, np.full(len(x), k)))
+                    n += len(x)
+                    if n >= block:
+                        flush()
+                        n = 0
+            if held:
+                flush()
+            best, mean = total.argmax(axis=1), total / np.maximum(size, 1)[:, None]
+            return [(model.names[b], float(min(1.0, mean[k, b]))) if size[k] else ("und", 0.0) for k, b in enumerate(best.tolist())]
+
+        return rows
+
+    return map_lists(docs, ["text"], make, "lang_pred string, score double", keep=keep)
