@@ -1,15 +1,21 @@
 """Main text of web pages by removal of site templates.
 
-A page is cut into its element tree. Each subtree outside running text gets a hash of its tags, classes and text; Spark
-counts, per host, on how many pages each hash occurs (partial sums by task first, so a host with a third of all pages
-is no hot key), and subtrees that recur on many pages of their host are deleted. What the markup itself names as
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) goes as well, and the rest is
-the text: blocks in page order. Running text, lists and tables inside an article are never counted as template, since articles
-of a host may share passages.
-
-Edge cases: null html is empty and gives an empty text. Unclosed and stray tags close as browsers close them. A page
-without an article element or main element gives the text of its body. Repeated rows each get their row. Pages without
-a host count as one host "".
+A page is cut into its element tree. Every block subtree with text is hashed twice: by content (tags, classes, text) and by
+shape (tags and classes, text and the number of like siblings left out, so that a menu keeps its shape when its links
+change). Spark counts per host on how many pages each hash occurs, with the characters and link characters under it
+(partial sums by task first, so a host with a third of all pages is no hot key). Template, and deleted, is
+- content outside articles on `share` of the host's pages;
+- a paragraph or heading outside articles, or a container inside one, whose content is on `inside_share` of them; bare paragraphs, headings, lists and tables of an
+  article are never template, since articles of a host may share passages;
+- shape outside articles on `inside_share` of the pages, if half its text is links, or if it is a named element that stands
+  once a page, holds no running text, and has few characters, a small part of the host's text;
+- shape of a container inside an article on half the pages, if nearly all its text is links.
+Each needs least_pages pages; most_pages pages are enough on a host of any size. Markup names are the fallback for hosts
+with few pages: an article or main element bounds the text, and what tags, roles and class names call furniture goes.
+
+Edge cases: null html is empty and gives an empty text. Unclosed and stray tags close as browsers close them, in linear
+time. A page without an article element or main element gives the text of its body. Repeated rows each get their row.
+Pages without a host count as one host "". Other columns of pages may have any name and type.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import materialise
 from .text import map_rows
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A comment, a declaration, or a tag; quotes count after an equals sign only, and no part is tried twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # HTML element groups.
@@ -40,10 +47,56 @@ NAMES = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "he
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash", "cut")
+    __slots__ = ("tag", "attrs", "kids", "hash", "shape", "chars", "links", "runs", "cut")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.hash, self.cut = tag, attrs, [], 0, False
+        self.tag, self.attrs, self.kids, self.hash, self.shape, self.chars, self.links, self.runs, self.cut = tag, attrs, [], 0, 0, 0, 0, False, False
+
+
+class Open:
+    """The open elements, with the places of each tag and of the elements that bound others, so that no step searches the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.blocks, self.scopes, self.tables = [], [], []
+
+    def groups(self, tag: str) -> list[list[int]]:
+        out = [self.at.setdefault(tag, [])]
+        if tag in BLOCK:
+            out.append(self.blocks)
+        if tag in SCOPE:
+            out.append(self.scopes)
+            if tag not in ("td", "th"):
+                out.append(self.tables)
+        return out
+
+    def push(self, n: Node) -> None:
+        for g in self.groups(n.tag):
+            g.append(len(self.stack))
+        self.stack.append(n)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            for g in self.groups(self.stack.pop().tag):
+                g.pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag; a stray end of an inline element closes no block."""
+        place = self.last((tag,))
+        if place and (tag in BLOCK or not self.scopes or self.scopes[-1] <= place):
+            self.close(place)
+
+    def begin(self, tag: str) -> None:
+        """What a start tag closes by itself."""
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in SIBLINGS:
+            place = self.last(SIBLINGS[tag])
+            if place and (not self.tables or self.tables[-1] < place):
+                self.close(place)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -53,7 +106,8 @@ def attributes(raw: str) -> dict[str, str]:
 def tree(html: str) -> Node:
     """Element tree of a page; text kids are decoded strings."""
     root = Node("#root", {})
-    stack, at = [root], 0
+    opened, at = Open(root), 0
+    stack = opened.stack
     while True:
         m = TOKEN.search(html, at)
         if m is None:
@@ -67,26 +121,9 @@ def tree(html: str) -> Node:
                 stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in BLOCK:
-                    break  # a stray end of an inline element closes no block
+            opened.end(tag)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in SIBLINGS else ():
-            if stack[i].tag in SIBLINGS[tag]:
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE - {"td", "th"}:
-                break
+        opened.begin(tag)
         node = Node(tag, attributes(m[3]))
         stack[-1].kids.append(node)
         if tag in RAW:
@@ -95,7 +132,7 @@ def tree(html: str) -> Node:
             node.kids.append(html[at:stop])
             at = after
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            opened.push(node)
     if at < len(html):
         stack[-1].kids.append(entities.unescape(html[at:]))
     return root
@@ -124,15 +161,27 @@ def cut_furniture(order: list[tuple[Node, bool]]) -> None:
 
 
 def walk(root: Node) -> list[tuple[Node, bool]]:
-    """Every element after its kids, with whether it stands inside an article; sets the hash of each subtree."""
+    """Every element after its kids, with whether it stands inside an article; sets the hashes and text sizes of each subtree."""
     out, stack = [], [(root, False, False)]
     while stack:
         n, inside, seen = stack.pop()
         if seen:
-            h = xxhash.xxh64(f"{n.tag} {n.attrs.get('class', '')} {n.attrs.get('id', '')}".encode("utf-8", "surrogatepass"))
+            name = f"{n.tag} {n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+            h, shapes, n.runs = xxhash.xxh64(name.encode("utf-8", "surrogatepass")), set(), n.tag in RUNNING
             for k in n.kids:
-                h.update(k.hash.to_bytes(8, "little") if isinstance(k, Node) else " ".join(k.split()).encode("utf-8", "surrogatepass"))
+                if isinstance(k, Node):
+                    h.update(k.hash.to_bytes(8, "little"))
+                    if k.tag != "br":
+                        shapes.add(k.shape)
+                    n.chars, n.links, n.runs = n.chars + k.chars, n.links + k.links, n.runs or k.runs
+                elif n.tag not in UNSEEN and not k.isspace():
+                    k = " ".join(k.split())
+                    h.update(k.encode("utf-8", "surrogatepass"))
+                    n.chars += len(k)
+            if n.tag == "a":
+                n.links = n.chars
             n.hash = h.intdigest()
+            n.shape = xxhash.xxh64_intdigest(f"{NUMBER.sub('0', name)} {sorted(shapes)}".encode("utf-8", "surrogatepass"))
             out.append((n, inside))
             continue
         stack.append((n, inside, True))
@@ -141,38 +190,53 @@ def walk(root: Node) -> list[tuple[Node, bool]]:
     return out
 
 
-#: Running text and lists: inside an article never template, and neither is a container that holds any of them.
+NUMBER = re.compile(r"\d+")
+UNSEEN = {"script", "style", "noscript", "template", "iframe", "title"}
+#: Running text, lists and tables.
 RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dd", "dt", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption"}
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 PAGE = {"#root", "html", "head", "body", "article", "main"}
-
-
-def candidates(order: list[tuple[Node, bool]]) -> list[Node]:
-    """Subtrees that may be template: block elements outside articles; inside, blocks without running text."""
-    holds: dict[int, bool] = {}
-    out = []
-    for n, inside in order:  # kids come first
-        holds[id(n)] = n.tag in RUNNING or any(holds[id(k)] for k in n.kids if isinstance(k, Node))
-        if n.tag in BLOCK and n.tag not in PAGE and not (inside and holds[id(n)]):
-            out.append(n)
-    return out
-
-
-def subtrees(html: str | None) -> list[int]:
-    """Hashes (signed) of the subtrees of a page that may be template."""
-    return sorted({n.hash - (n.hash >> 63 << 64) for n in candidates(walk(tree(html or "")))})
-
-
-def main_text(html: str | None, template: set[int]) -> str:
-    """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text."""
+#: Kinds of subtree hashes.
+CONTENT, INNER_CONTENT, SHAPE, INNER_SHAPE = range(4)
+
+
+def keys(n: Node, inside: bool) -> list[tuple[int, int]]:
+    """(kind, hash) of a subtree that may be template; the hash tells the kinds apart."""
+    if n.tag not in BLOCK or n.tag in PAGE or not n.chars or inside and n.tag in RUNNING:
+        return []
+    out = [(INNER_CONTENT if inside or n.tag in PROSE else CONTENT, n.hash)]
+    if n.tag not in PROSE:
+        out.append((INNER_SHAPE if inside else SHAPE, n.shape))
+    return [(k, (x := (h ^ k * 0x9E3779B97F4A7C15) & (1 << 64) - 1) - (x >> 63 << 64)) for k, h in out]
+
+
+def subtrees(html: str | None) -> tuple[list[dict], int]:
+    """The hashes of a page that may be template, each with what stands under it, and the characters of the page."""
+    order = walk(tree(html or ""))
+    found: dict[int, dict] = {}
+    for n, inside in order:
+        for kind, h in keys(n, inside):
+            bare = n.runs or n.tag in ("div", "section") and not (n.attrs.get("class") or n.attrs.get("id"))
+            x = found.setdefault(h, {"h": h, "kind": kind, "chars": 0, "links": 0, "times": 0, "bare": False})
+            x["chars"], x["links"], x["times"], x["bare"] = x["chars"] + n.chars, x["links"] + n.links, x["times"] + 1, x["bare"] or bare
+    return list(found.values()), order[-1][0].chars
+
+
+def main_text(html: str | None, template: set[int], names: bool = True) -> str:
+    """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text. names: whether markup names count beside the templates."""
     root = tree(html or "")
     order = walk(root)
-    cut_furniture(order)
-    for n in candidates(order) if template else ():
-        n.cut |= (n.hash - (n.hash >> 63 << 64)) in template
+    if names:
+        cut_furniture(order)
+    else:
+        for n, _ in order:
+            n.cut = n.tag in UNSEEN
+    for n, inside in order if template else ():
+        n.cut |= any(h in template for _, h in keys(n, inside))
     held: dict[int, bool] = {}
     for n, _ in order:  # kids come first
         held[id(n)] = not n.cut and (n.tag in ("article", "main") or any(held[id(k)] for k in n.kids if isinstance(k, Node)))
-    only = held[id(root)]
+    only = names and held[id(root)]
     blocks: list[str] = []
     text: list[str] = []
 
@@ -199,23 +263,49 @@ def main_text(html: str | None, template: set[int]) -> str:
         stack.append((n, inside, True))
         stack += [(k, now, False) for k in reversed(n.kids)]
     flush()
-    return main_text(html, set()) if template and not blocks else "\n\n".join(blocks)
+    return main_text(html, set(), names) if template and not blocks else "\n\n".join(blocks)
+
+
+HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+#: Beyond a broadcast, pages meet their host's templates by host and salt, so that a large host is dealt over so many tasks.
+SALTS = 64
+
+
+def templates(pages: DataFrame, least_pages: int = 5, most_pages: int = 1000, share: float = 0.1, inside_share: float = 0.3, few: int = 150) -> DataFrame:
+    """(host, template): the hashes of each host's template subtrees. pages: (url, html)."""
+    x = pages.select(F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"), "html")
+    seen = map_rows(x, ["html"], lambda: subtrees, "found array<struct<h: bigint, kind: int, chars: bigint, links: bigint, times: bigint, bare: boolean>>, chars bigint", keep=["host"])
+    # one pass over the pages: the page itself is the row without a hash
+    each = seen.select("host", "chars", F.inline(F.concat(F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("h", "bigint"), ("kind", "int"))], F.col("chars").alias("chars"), *[F.lit(0).cast("bigint").alias(c) for c in ("links", "times")], F.lit(False).alias("bare"))), "found")).alias("h", "kind", "c", "links", "times", "bare"))
+    sums = each.groupBy("host", "h", "kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("c", "links", "times")], F.max("bare").alias("bare")).where(F.col("h").isNull() | (F.col("n") >= least_pages))
+    sums = materialise(sums)
+    hosts = sums.where("h is null").select("host", F.col("n").alias("pages"), F.col("c").alias("all"))
+    need = lambda part: F.col("n") >= F.greatest(F.lit(least_pages), F.least(part * F.col("pages"), F.lit(most_pages)))
+    once, linked = F.col("times") <= 1.5 * F.col("n"), lambda part: F.col("links") >= part * F.col("c")
+    short = ~F.col("bare") & once & (F.col("c") <= few * F.col("n")) & (F.col("c") <= 0.1 * F.col("all"))
+    is_ = F.when(F.col("kind") == CONTENT, need(share)).when(F.col("kind") == INNER_CONTENT, need(inside_share)).when(F.col("kind") == SHAPE, need(inside_share) & (linked(0.5) | short)).otherwise(need(0.5) & linked(0.8) & once)
+    return sums.where("h is not null").join(hosts, "host").where(is_).groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
-def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.1, keep: list[str] | None = None, most_bytes: int = 16 << 20) -> DataFrame:
-    """pages (url, html) with text and n_chars. A subtree is template on at least least_pages pages and least_share of its host's pages.
+def extract(pages: DataFrame, keep: list[str] | None = None, most_bytes: int = 16 << 20, names: bool = True, **how) -> DataFrame:
+    """pages (url, html; the columns in keep) with text and n_chars. how: parameters of templates.
 
-    A host has at most (subtrees a page) / least_share templates. Up to most_bytes of them in all are broadcast and the
-    pages stay where they are; beyond that pages and templates meet by a shuffle on the host.
+    Up to most_bytes of templates are broadcast and the pages stay where they are; beyond that pages and templates meet
+    by a shuffle on host and salt.
     """
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    x = pages.withColumn("_host", host)
-    seen = map_rows(x, ["html"], lambda: lambda h: (subtrees(h),), "_hashes array<bigint>", keep=["_host"])
-    sizes = x.groupBy("_host").agg(F.count("*").alias("_pages"))
-    counts = seen.select("_host", F.explode("_hashes").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_pages)
-    common = counts.join(sizes, "_host").where(F.col("_n") >= least_share * F.col("_pages")).groupBy("_host").agg(F.collect_set("_h").alias("_template"))
-    common = materialise(common)
-    size = common.agg(F.sum(8 * F.size("_template") + 64)).first()[0] or 0
-    rows = x.join(F.broadcast(common) if size <= most_bytes else common, "_host", "left")
-    names = [c for c in (keep or pages.columns)]
-    return map_rows(rows, ["html", "_template"], lambda: lambda h, t: ((s := main_text(h, set(t or ()))), len(s)), "text string, n_chars bigint", keep=names)
+    known = materialise(templates(pages.select("url", "html"), **how))
+    size = known.agg(F.sum(8 * F.size("template") + 64)).first()[0] or 0
+    made = ("text", "n_chars")
+    kept = [c for c in (pages.columns if keep is None else keep) if c not in made]
+    x = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row") if kept else F.lit(None).alias("_row"), F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"), "html")
+    if size <= most_bytes:
+        x = x.join(F.broadcast(known), "host", "left")
+    else:
+        salted = known.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        x = x.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
+    def make():
+        return lambda h, t: ((s := main_text(h, set(t or ()), names)), len(s))
+
+    out = map_rows(x, ["html", "template"], make, "text string, n_chars bigint", keep=["_row"])
+    return out.select(*([F.col("_row.*")] if kept else []), *made)
