@@ -36,11 +36,13 @@ class Template:
     order: dict = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "$")})
 
     def __post_init__(self):
-        rest = "".join(c[1:] for c in self.controls)
         if any(self.escape in c or len(c) < 2 for c in self.controls) or self.open not in self.controls or self.close.strip() not in self.controls:
             raise ValueError("controls need two characters or more, none of them the escape, and hold the turn marks")
-        if self.close[0] in rest.replace("<", ""):
-            raise ValueError("the closing mark could end a control string begun in a text")
+        # the first mark found in a turn is the true one unless the mark's own beginning can end a text
+        if any(m[:i] == m[-i:] for m in (self.close, self.mid) for i in range(1, len(m))):
+            raise ValueError("a mark that ends as it begins could be completed by the end of a text")
+        if self.mid != "\n" and self.mid not in self.controls:
+            raise ValueError("the mark after a role is a line end or a control string")
 
     @property
     def pattern(self) -> str:

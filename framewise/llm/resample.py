@@ -5,10 +5,11 @@ documents (a bounded sample of labelled rows), one of all documents. Whole texts
 add up dense counts of `buckets` cells, and only those are shuffled. A document's log weight is the mean log ratio of its n-grams, scaled to
 `chunk` n-grams, so that long and short texts compete on equal terms. A Gumbel variate, a function of the id and seed,
 is added to it, and the k largest keys are drawn, which samples without replacement in proportion to the weights. The
-k-th largest key comes from counts of leading bits, so no rows are gathered or sorted in one place.
+k-th largest key comes from counts over ever smaller ranges, so no rows are gathered or sorted in one place.
 
-Edge cases: null and empty texts have no n-grams, log weight 0, and never enter the sample. Ties at the threshold are
-all drawn only if equal in key, weight and id hash. Without target rows the models are equal and the sample is uniform.
+Edge cases: null and empty texts have no n-grams, log weight 0, and never enter the sample. Rows that tie at the k-th key
+(repeated rows) are told apart by a row number, so that exactly k rows are drawn, or all rows with n-grams where these
+are fewer. Without target rows the models are equal and the sample is uniform.
 """
 
 from __future__ import annotations
@@ -114,32 +115,33 @@ def gumbel(seed: int, *cols: str) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
-    """The k-th largest value of a double column, from counts by leading decimals: each pass splits one cell into 4096."""
+def kth_largest(rows: DataFrame, key: str, k: int) -> tuple[float, int] | None:
+    """The k-th largest value of a double column and how many of the rows that hold it are among the k largest; None if there are fewer than k rows.
+
+    Counts by 4096 equal cells of the range that holds it, over and over, until that range is one value.
+    """
     low, high, n = (lambda r: (r["a"], r["b"], r["n"]))(rows.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.count(key).alias("n")).first())
-    if not n or k <= 0:
+    if k <= 0 or n < k:
         return None
-    if k >= n:
-        return low
     left = k
-    for _ in range(8):
+    while low < high:
         width = (high - low) / 4096
-        if width <= 0 or low + width == low:
-            break
-        cell = F.least(F.floor((F.col(key) - low) / width), F.lit(4095)).cast("int")
-        seen = {r["c"]: r for r in rows.where(F.col(key).between(low, high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).collect()}
+        inside = rows.where(F.col(key).between(low, high))
+        if low + width > low:
+            cell = F.least(F.floor((F.col(key) - low) / width), F.lit(4095)).cast("int")
+        else:  # so few values are left between them that each is a cell
+            cell = F.col(key)
+        seen = {r["c"]: r for r in inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).collect()}
         for c in sorted(seen, reverse=True):
             if left <= seen[c]["n"]:
                 low, high = seen[c]["a"], seen[c]["b"]
                 break
             left -= seen[c]["n"]
-        if low == high:
-            break
-    return high if low == high else low
+    return low, left
 
 
 def resample(docs: DataFrame, labelled: DataFrame, fraction: float = 0.5, sample: int = 50_000, buckets: int = 10_000, chunk: int = 100, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
-    """docs (keep) with n_grams, log_weight, key and selected.
+    """docs (keep) with n_grams, log_weight, key and selected; `fraction` of all rows are selected, rounded down.
 
     labelled: rows whose doc_id names a document of the wanted kind. The target model is fitted on at most `sample` of
     them, in order of a hash of their ids; the raw model is counted over all documents.
@@ -148,7 +150,14 @@ def resample(docs: DataFrame, labelled: DataFrame, fraction: float = 0.5, sample
     raw, want = counts(docs, buckets, wanted)
     ratio = np.log((want + 1) / (want.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     keep = keep or docs.columns
-    rows = materialise(weigh(docs, ratio, chunk, keep).withColumn("key", F.col("log_weight") + gumbel(seed, "doc_id")))
-    full = rows.where("n_grams > 0")
-    least = kth_largest(full, "key", int(rows.count() * fraction))
-    return rows.withColumn("selected", F.lit(False) if least is None else (F.col("n_grams") > 0) & (F.col("key") >= least))
+    rows = weigh(docs, ratio, chunk, keep).withColumns({"key": F.col("log_weight") + gumbel(seed, "doc_id"), "_uid": F.monotonically_increasing_id().cast("double")})
+    rows = materialise(rows)
+    full, k = rows.where("n_grams > 0"), int(rows.count() * fraction)
+    last = kth_largest(full, "key", k)
+    if last is None:
+        chosen = F.lit(k > 0) & (F.col("n_grams") > 0)
+    else:
+        # of the rows that tie at the last key, those with the largest row numbers (doubles hold them exactly up to a million files)
+        ties = full.where(F.col("key") == last[0])
+        chosen = (F.col("n_grams") > 0) & ((F.col("key") > last[0]) | (F.col("key") == last[0]) & (F.col("_uid") >= kth_largest(ties, "_uid", last[1])[0]))
+    return rows.withColumn("selected", chosen).drop("_uid")

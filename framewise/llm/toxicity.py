@@ -6,7 +6,8 @@ machine is trained on them in numpy: a weight for each term and a factor vector,
 pairs of terms, so an insult beside a group mention can count for more than both alone. Scoring reads whole texts.
 
 Edge cases: null and empty texts have no terms and score the machine's bias. Without labels every text scores 0.
-Repeated rows are scored one by one; of several labels for an id the highest counts.
+Repeated rows are scored one by one; of several labels for an id the highest counts, and of several texts under one id
+one is learnt from (that whose sorted terms come last), so the sample bounds what reaches the driver.
 """
 
 from __future__ import annotations
@@ -100,7 +101,9 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxi
     def make():
         return lambda t: (sorted({h for w in set(words_of(t)) for h in term_hashes(w, bits)}),)
 
-    got = map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).toArrow().sort_by("doc_id")
+    # one row an id, so that repeated ids cannot outgrow the sample
+    terms_of = map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).groupBy("doc_id", "y").agg(F.max("terms").alias("terms"))
+    got = terms_of.toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float)
     if not len(y):
         return None
