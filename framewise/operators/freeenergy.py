@@ -129,19 +129,30 @@ def tp_weights(samples: DataFrame, hills: DataFrame, temperature: float, lo: flo
     """
     beta, ds = 1 / (GAS_KCAL * temperature), (hi - lo) / (points - 1)
     h = hills.select(*keys, F.col("t_hill").alias("th"), "center", "height", "width")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    x = samples.join(h, keys, "left")
+    # the bias on the grid after each hill: one running sum by grid point, gathered to one array a hill
+    grid = h.withColumn("no", F.row_number().over(Window.partitionBy(*keys).orderBy("th", "center"))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    run = F.sum(F.col("height") * kernel((lo + F.col("g") * ds - F.col("center")) / F.col("width"))).over(Window.partitionBy(*keys, "g").orderBy("no"))
+    after = grid.withColumn("v", run).groupBy(*keys, "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "v"))), lambda x: x["v"]).alias("vs"))
+    # how many hills each sample has behind it, by one pass over both in time order
+    none = F.lit(None).cast("double")
+    both = samples.select(*keys, F.col(t).alias("at"), F.col(value).alias("s"), F.lit(0).alias("hill")).unionByName(h.select(*keys, F.col("th").alias("at"), none.alias("s"), F.lit(1).alias("hill")))
+    behind = both.withColumn("no", F.sum("hill").over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)).cast("int")).where("hill = 0").drop("hill")
+    widths = h.groupBy(*keys).agg(F.max("width").alias("width"))
+    seen = behind.join(after, [*keys, "no"], "left").join(widths, [*keys], "left")
+    level = lambda k: F.coalesce(F.get("vs", k), F.lit(0.0))
+    term = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: beta * level(k) - 0.5 * F.pow((lo + k * ds - F.col("s")) / F.col("width"), F.lit(2)) + F.when(k.isin(0, points - 1), math.log(0.5 * ds)).otherwise(math.log(ds)))
+    seen = seen.withColumn("e", term).withColumn("m", F.array_max("e"))
+    total = F.aggregate(F.transform("e", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda s, v: s + v)
+    c = seen.select(*keys, F.col("at").alias(t), F.col("s").alias(value), ((F.col("m") + F.log(total) - F.log(math.sqrt(2 * math.pi) * F.col("width"))) / beta).alias("offset")).distinct()
+    # the bias at the sample itself: hills behind it and within `reach` widths (beyond, a hill adds under 1e-17 of its height)
+    reach = 9.0
+    cell = lambda x: F.floor(F.col(x) / (reach * F.col("width")))
+    near = h.withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: cell("center") + k)))
+    x = samples.join(widths, [*keys], "left").withColumn("cell", cell(value)).select(*keys, t, value, "cell").distinct().join(near, [*keys, "cell"], "left")
     before = F.coalesce(F.col("th") <= F.col(t), F.lit(False))
     v = F.coalesce(F.sum(F.when(before, F.col("height") * kernel((F.col(value) - F.col("center")) / F.col("width")))), F.lit(0.0))
-    bias = x.groupBy(*keys, t, value).agg(v.alias("bias"), F.max("width").alias("width"))
-    on = x.withColumn("g", grid).withColumn("s", lo + F.col("g") * ds)
-    vs = F.coalesce(F.sum(F.when(before, F.col("height") * kernel((F.col("s") - F.col("center")) / F.col("width")))), F.lit(0.0))
-    on = on.groupBy(*keys, t, value, "g", "s").agg(vs.alias("vs"), F.max("width").alias("width"))
-    edge = F.when(F.col("g").isin(0, points - 1), 0.5).otherwise(1.0) * ds
-    top = Window.partitionBy(*keys, t)
-    on = on.withColumn("_m", F.max(beta * F.col("vs")).over(top))
-    c = on.groupBy(*keys, t).agg(((F.first("_m") + F.log(F.sum(edge * F.exp(beta * F.col("vs") - F.col("_m")) * kernel((F.col("s") - F.col(value)) / F.col("width")))) - F.log(math.sqrt(2 * math.pi) * F.first("width"))) / beta).alias("offset"))
-    y = bias.join(c, [*keys, t]).withColumn("log_weight", beta * (F.col("bias") - F.col("offset")))
+    bias = x.groupBy(*keys, t, value).agg(v.alias("bias"))
+    y = bias.join(c, [*keys, t, value]).withColumn("log_weight", beta * (F.col("bias") - F.col("offset")))
     w = Window.partitionBy(*keys)
     y = y.withColumn("_e", F.exp(F.col("log_weight") - F.max("log_weight").over(w)))
     return y.select(*keys, t, value, "bias", "offset", "log_weight", (F.col("_e") / F.sum("_e").over(w)).alias("weight"))

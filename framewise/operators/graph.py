@@ -14,22 +14,29 @@ def both_ways(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:
 def shortest_path(edges: DataFrame, ends: DataFrame, most: int, keys: list[str]) -> DataFrame:
     """Fewest-edge path from source to target of each key (keys, source, target) over at most `most` undirected edges.
 
-    Steps are joins on (keys, node). Of the paths that reach a node in the same number of edges the least in order
-    stays, so the frontier never holds more rows than nodes. Returns connected, n_bridging (-1 if none) and path.
+    One row a reached node carries its path and depth. A step joins the rows with the node's neighbours, keeps each row
+    beside its extensions, and takes per node the shortest path, of equal ones the least in order: one join and one
+    aggregation a step, every row of the step before read once. Rows are written to the shared folder every fourth step,
+    and the steps end when none is left to extend. Returns connected, n_bridging (-1 if none) and path.
     """
-    e = materialise(both_ways(edges, keys).select(*keys, F.col("a").alias("at"), F.col("b").alias("to")))
-    front = ends.select(*keys, "source", "target", F.col("source").alias("at"), F.array("source").alias("path"))
-    found = front.where("at = target")
-    seen = front
-    for _ in range(most):
-        nxt = front.where("at <> target").join(e, [*keys, "at"]).where(~F.array_contains("path", F.col("to")))
-        nxt = nxt.groupBy(*keys, "source", "target", F.col("to").alias("at")).agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-        front = materialise(nxt.join(seen.select(*keys, "source", "target", "at"), [*keys, "source", "target", "at"], "left_anti"))
-        seen = seen.unionByName(front)
-        found = found.unionByName(front.where("at = target"))
-    best = found.groupBy(*keys, "source", "target").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m"))
+    near = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.groupBy(*keys, F.col("a").alias("at")).agg(F.collect_set("b").alias("near"))  # a node's degree
+    at = [*keys, "source", "target", "at"]
+    reached = ends.select(*keys, "source", "target", F.col("source").alias("at"), F.array("source").alias("path"))
+    for step in range(most):
+        grows = (F.size("path") == step + 1) & (F.col("at") != F.col("target")) & F.col("near").isNotNull()
+        more = F.transform(F.filter("near", lambda v: ~F.array_contains("path", v)), lambda v: F.struct(v.alias("at"), F.concat("path", F.array(v)).alias("path")))
+        rows = F.concat(F.array(F.struct("at", "path")), F.when(grows, more).otherwise(F.slice(more, 1, 0)))
+        x = reached.join(near, [*keys, "at"], "left").select(*keys, "source", "target", F.inline(F.coalesce(rows, F.array(F.struct("at", "path")))))
+        best = x.groupBy(*at).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("m"))
+        reached = best.select(*at, F.col("m.path").alias("path"))
+        if step % 4 == 3 and step + 1 < most:
+            reached = materialise(reached)
+            if reached.where((F.size("path") == step + 2) & (F.col("at") != F.col("target"))).isEmpty():
+                break
+    best = reached.where("at = target").select(*keys, "source", "target", "path")
     x = ends.select(*keys, "source", "target").join(best, [*keys, "source", "target"], "left")
-    return x.select(*keys, "source", "target", F.col("m").isNotNull().alias("connected"), F.coalesce(F.col("m.n") - 2, F.lit(-1)).alias("n_bridging"), F.col("m.path").alias("path"))
+    return x.select(*keys, "source", "target", F.col("path").isNotNull().alias("connected"), F.coalesce(F.size("path") - 2, F.lit(-1)).alias("n_bridging"), "path")
 
 
 def hbond_edges(bonds: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,8 +73,31 @@ def degree(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.select(*keys, "node").join(n, [*keys, "node"], "left").fillna(0, ["degree"])
 
 
-def component_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Label (smallest node) of every linked node per key: minima of neighbours' labels, then of the label's own label, until nothing changes."""
+def component_labels(edges: DataFrame, keys: list[str], small: int = 64) -> DataFrame:
+    """Label (smallest node) of every linked node per key.
+
+    Keys of up to `small` edges hold them in one array, and each edge in turn gives both its classes the smaller label:
+    one aggregation for all such keys. Larger keys go by rounds of minima of neighbours' labels, then of the label's own
+    label, until nothing changes.
+    """
+    e = edges.select(*keys, "a", "b").where("a is not null and b is not null")
+    sizes = materialise(e.groupBy(*keys).agg(F.count("*").alias("_n")))
+    some = e.join(sizes.where(F.col("_n") <= small).select(*keys), [*keys], "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("e"))
+    nodes = F.array_sort(F.array_distinct(F.concat("e.a", "e.b")))
+    start = F.transform(nodes, lambda v: F.struct(v.alias("node"), v.alias("label")))
+    label = lambda s, v: F.get(F.filter(s, lambda x: x["node"] == v), F.lit(0))["label"]
+
+    def merge(s, x):
+        ends = F.array(label(s, x["a"]), label(s, x["b"]))
+        return F.transform(s, lambda v: F.struct(v["node"].alias("node"), F.when(F.array_contains(ends, v["label"]), F.array_min(ends)).otherwise(v["label"]).alias("label")))
+
+    out = some.select(*keys, F.inline(F.aggregate("e", start, merge)))
+    if sizes.where(F.col("_n") > small).isEmpty():
+        return out
+    return out.unionByName(_spread_labels(e.join(sizes.where(F.col("_n") > small).select(*keys), [*keys], "left_semi"), keys))
+
+
+def _spread_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
     e = materialise(both_ways(edges, keys))
     lab = materialise(e.select(*keys, F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:

@@ -14,22 +14,44 @@ def _delta(a: str, b: str, box: float | None) -> list[Column]:
     return [min_image(x, box) for x in d] if box else d
 
 
-def neighbour_pairs(a: DataFrame, b: DataFrame, cutoff: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+def neighbour_pairs(a: DataFrame, b: DataFrame, cutoff: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True, carry: tuple[str, ...] = (), half: bool = False) -> DataFrame:
     """All pairs (i of a, j of b, i <> j) within cutoff under periodic images: keys, i, j, element_i, element_j, d.
 
-    Cells no smaller than the cutoff: an atom of b is looked for in its 27 wrapped neighbour cells, so the join is an
-    equi-join on frame and cell whose pairs are bounded by the density times the cutoff volume. A box of fewer than
-    three cells a side has no cells to tell apart and joins on the frame alone.
+    dense: cells no smaller than the cutoff; an atom of b is looked for in its 27 wrapped neighbour cells, so the join is
+    an equi-join on frame and cell whose pairs are bounded by the density times the cutoff volume. With fewer than four
+    cells a side those 27 are the whole box or nearly so, and the join is on the frame alone; dense=False says the same
+    of frames of a few atoms, which 27 copies of an atom would only slow.
+    carry: columns of both sides to hand on in structs p and q (coordinates among them). half: a and b are the same atoms
+    and each pair is wanted once, i < j; then 14 cells are enough.
     """
     n = int(box // cutoff)
-    cell = lambda c, k: F.pmod(F.floor(F.col(c) / (box / n)) + k, F.lit(n)) if n >= 3 else F.lit(0)
-    spread = [F.array(*[F.lit(k) for k in ((-1, 0, 1) if n >= 3 else (0,))])] * 3
-    left = a.select(*[F.col(k) for k in keys], F.col("atom_id").alias("i"), F.col("element").alias("element_i"), F.struct(*XYZ).alias("p"), *[cell(c, 0).alias(f"c{c}") for c in XYZ])
-    right = b.select(*[F.col(k) for k in keys], F.col("atom_id").alias("j"), F.col("element").alias("element_j"), F.struct(*XYZ).alias("q"))
-    for c, s in zip(XYZ, spread):
-        right = right.withColumn("_k", F.explode(s)).withColumn(f"c{c}", F.pmod(F.floor(F.col(f"q.{c}") / (box / n)) + F.col("_k"), F.lit(n)) if n >= 3 else F.lit(0)).drop("_k")
-    x = left.join(right, [*keys, *[f"c{c}" for c in XYZ]]).where("i <> j")
-    return x.select(*keys, "i", "j", "element_i", "element_j", norm(_delta("p", "q", box)).alias("d")).where(F.col("d") <= cutoff)
+    cells = dense and n >= 4
+    at = [c for c in dict.fromkeys((*XYZ, *carry))]
+    left = a.select(*keys, F.col("atom_id").alias("i"), F.col("element").alias("element_i"), F.struct(*at).alias("p"))
+    right = b.select(*keys, F.col("atom_id").alias("j"), F.col("element").alias("element_j"), F.struct(*at).alias("q"))
+    on = [*keys]
+    if cells:
+        offsets = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+        if half:
+            offsets = [o for o in offsets if o >= (0, 0, 0)]
+        home = lambda s, c: F.floor(F.col(f"{s}.{c}") / (box / n))
+        left = left.withColumns({f"c{c}": F.pmod(home("p", c), F.lit(n)) for c in XYZ})
+        right = right.withColumn("_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(XYZ, o)], F.lit(o == (0, 0, 0)).alias("own")) for o in offsets])))
+        right = right.withColumns({f"c{c}": F.pmod(home("q", c) + F.col(f"_o.{c}"), F.lit(n)) for c in XYZ}).withColumn("_own", F.col("_o.own")).drop("_o")
+        on += [f"c{c}" for c in XYZ]
+    x = left.join(right, on)
+    if not half:
+        x = x.where("i <> j")
+    elif not cells:
+        x = x.where("i < j")
+    else:  # pairs of different cells come once, in either order
+        x = x.where("i < j or not _own")
+    x = x.withColumn("d", norm(_delta("p", "q", box))).where(F.col("d") <= cutoff)
+    if half and cells:
+        turn = F.col("i") > F.col("j")
+        swap = lambda u, v: F.when(turn, F.col(v)).otherwise(F.col(u))
+        x = x.select(*keys, *[swap(u, v).alias(u) for u, v in (("i", "j"), ("j", "i"), ("element_i", "element_j"), ("element_j", "element_i"), ("p", "q"), ("q", "p"))], "d")
+    return x.select(*keys, "i", "j", "element_i", "element_j", "d", *(["p", "q"] if carry else []))
 
 
 def all_pairs(a: DataFrame, b: DataFrame, box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -39,13 +61,16 @@ def all_pairs(a: DataFrame, b: DataFrame, box: float | None, keys: tuple[str, ..
     return left.join(right, [*keys]).where("i <> j").select(*keys, "i", "j", norm(_delta("p", "q", box)).alias("d"))
 
 
-def nearest_owner(h: DataFrame, heavy: DataFrame, cutoff: float, margin: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """The nearest heavy atom of each hydrogen, with the second distance; owner is null where another is within margin."""
-    x = neighbour_pairs(h, heavy, cutoff + margin, box, keys)
-    w = Window.partitionBy(*keys, "i").orderBy("d", "j")
-    y = x.withColumns({"_n": F.row_number().over(w), "_d2": F.lead("d").over(w)}).where("_n = 1").where(F.col("d") <= cutoff)
-    clear = F.col("_d2").isNull() | (F.col("_d2") - F.col("d") >= margin)
-    return y.select(*keys, F.col("i").alias("h"), F.col("j").alias("nearest"), F.when(clear, F.col("j")).alias("owner"), F.col("d").alias("d1"), F.col("_d2").alias("d2"))
+def nearest_owner(h: DataFrame, heavy: DataFrame, cutoff: float, margin: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The nearest heavy atom of each hydrogen, with the second distance; owner is null where another is within margin. carry: columns of the nearest atom to hand on in struct q.
+
+    The two nearest come from one aggregation over the neighbours of a hydrogen, as many as the density allows.
+    """
+    x = neighbour_pairs(h, heavy, cutoff + margin, box, keys, dense, carry or ("x",))
+    near = F.slice(F.array_sort(F.collect_list(F.struct("d", "j", *(["q"] if carry else [])))), 1, 2)
+    y = x.groupBy(*keys, F.col("i").alias("h")).agg(near.alias("n")).select(*keys, "h", F.get("n", F.lit(0)).alias("a"), F.get("n", F.lit(1)).alias("b")).where(F.col("a.d") <= cutoff)
+    clear = F.col("b").isNull() | (F.col("b.d") - F.col("a.d") >= margin)
+    return y.select(*keys, "h", F.col("a.j").alias("nearest"), F.when(clear, F.col("a.j")).alias("owner"), F.col("a.d").alias("d1"), F.col("b.d").alias("d2"), *([F.col("a.q").alias("q")] if carry else []))
 
 
 def coordination(a: DataFrame, b: DataFrame, r0: float, p: int, q: int, box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -66,13 +91,11 @@ def soft_min_distance(a: DataFrame, b: DataFrame, beta: float, box: float | None
     return y.select(*keys, F.when(F.col("_d") <= 1e-12, 0.0).otherwise(beta / (F.col("_m") + F.log("_s"))).alias("soft_min"))
 
 
-def hbonds(donors: DataFrame, h: DataFrame, acceptors: DataFrame, covalent: float, most: float, angle: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Donor, hydrogen, acceptor triples: hydrogen within covalent of the donor, heavy distance at most `most`, angle at the hydrogen at least `angle` degrees."""
-    at = lambda d, name: d.select(*keys, F.col("atom_id").alias(name), F.struct(*XYZ).alias(f"p_{name}"))
-    bond = neighbour_pairs(donors, h, covalent, box, keys).select(*keys, F.col("i").alias("donor"), F.col("j").alias("h"))
-    reach = neighbour_pairs(donors, acceptors, most, box, keys).select(*keys, F.col("i").alias("donor"), F.col("j").alias("acceptor"), "d")
+def hbonds(donors: DataFrame, h: DataFrame, acceptors: DataFrame, covalent: float, most: float, angle: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
+    """Donor, hydrogen, acceptor triples: hydrogen within covalent of the donor, heavy distance at most `most`, angle at the hydrogen at least `angle` degrees. Coordinates travel with the pairs, so one join makes a triple."""
+    bond = neighbour_pairs(donors, h, covalent, box, keys, dense, XYZ).select(*keys, F.col("i").alias("donor"), F.col("j").alias("h"), F.col("p").alias("p_donor"), F.col("q").alias("p_h"))
+    reach = neighbour_pairs(donors, acceptors, most, box, keys, dense, XYZ).select(*keys, F.col("i").alias("donor"), F.col("j").alias("acceptor"), "d", F.col("q").alias("p_acceptor"))
     x = bond.join(reach, [*keys, "donor"]).where("h <> acceptor")
-    x = x.join(at(donors, "donor"), [*keys, "donor"]).join(at(h, "h"), [*keys, "h"]).join(at(acceptors, "acceptor"), [*keys, "acceptor"])
     x = x.withColumn("angle", angle_deg(_delta("p_h", "p_donor", box), _delta("p_h", "p_acceptor", box))).where(F.col("angle") >= angle)
     return x.select(*keys, "donor", "h", "acceptor", "d", "angle")
 
@@ -104,35 +127,39 @@ def common_water(waters: DataFrame, solute: DataFrame, box: float | None, group:
     return y.groupBy(group).agg(best).select(group, (-F.col("m.k")).alias("water"), F.col("m.least").alias("least"), F.col("m.mean").alias("mean"))
 
 
-def select_acceptor(h: DataFrame, donors: DataFrame, acceptors: DataFrame, reach: float, angle: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+def select_acceptor(h: DataFrame, donors: DataFrame, acceptors: DataFrame, reach: float, angle: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
     """For each hydrogen (owner donor by nearest), the nearest acceptor that passes distance and angle, else the nearest of all within reach; is_hbond tells which."""
-    own = nearest_owner(h, donors, 3.0, 0.0, box, keys).select(*keys, "h", F.col("nearest").alias("donor"))
-    p = lambda d, name: d.select(*keys, F.col("atom_id").alias(name), F.struct(*XYZ).alias(f"p_{name}"))
-    x = neighbour_pairs(h, acceptors, 2 * reach, box, keys).select(*keys, F.col("i").alias("h"), F.col("j").alias("acceptor"), "d").join(own, [*keys, "h"]).where("acceptor <> donor")
-    x = x.join(p(h, "h"), [*keys, "h"]).join(p(donors, "donor"), [*keys, "donor"]).join(p(acceptors, "acceptor"), [*keys, "acceptor"])
+    own = nearest_owner(h, donors, 3.0, 0.0, box, keys, dense, XYZ).select(*keys, "h", F.col("nearest").alias("donor"), F.col("q").alias("p_donor"))
+    x = neighbour_pairs(h, acceptors, 2 * reach, box, keys, dense, XYZ).select(*keys, F.col("i").alias("h"), F.col("j").alias("acceptor"), "d", F.col("p").alias("p_h"), F.col("q").alias("p_acceptor"))
+    x = x.join(own, [*keys, "h"]).where("acceptor <> donor")
     ok = (F.col("d") <= reach) & (angle_deg(_delta("p_h", "p_donor", box), _delta("p_h", "p_acceptor", box)) >= angle)
     return x.groupBy(*keys, "h").agg(F.min(F.struct((~F.coalesce(ok, F.lit(False))).alias("no"), "d", "acceptor")).alias("m")).select(*keys, "h", F.col("m.acceptor").alias("acceptor"), F.col("m.d").alias("d"), (~F.col("m.no")).alias("is_hbond"))
 
 
-def group_min_distance(a: DataFrame, group: str, cutoff: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+def group_min_distance(a: DataFrame, group: str, cutoff: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
     """Least imaged distance of each pair of groups (molecules) of a frame, of those within the cutoff."""
-    ids = a.select(*keys, "atom_id", F.col(group).alias("g"))
-    x = neighbour_pairs(a, a, cutoff, box, keys).where("i < j")
-    x = x.join(ids.withColumnsRenamed({"atom_id": "i", "g": "gi"}), [*keys, "i"]).join(ids.withColumnsRenamed({"atom_id": "j", "g": "gj"}), [*keys, "j"]).where("gi <> gj")
+    x = neighbour_pairs(a, a, cutoff, box, keys, dense, (*XYZ, group), half=True).select(*keys, F.col(f"p.{group}").alias("gi"), F.col(f"q.{group}").alias("gj"), "d").where("gi <> gj")
     return x.groupBy(*keys, F.least("gi", "gj").alias("mol_a"), F.greatest("gi", "gj").alias("mol_b")).agg(F.min("d").alias("d"))
 
 
-def pair_histogram(a: DataFrame, b: DataFrame, dr: float, rmax: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Counts of pair distances below rmax by bin of width dr."""
-    return neighbour_pairs(a, b, rmax, box, keys).where(F.col("d") < rmax).groupBy(F.floor(F.col("d") / dr).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def contacts(a: DataFrame, group: str, contact: float, reach: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
+    """group_min_distance within reach, with whether each pair of groups is in contact."""
+    return group_min_distance(a, group, reach, box, keys, dense).withColumn("contact", F.col("d") <= contact)
+
 
+def pair_histogram(a: DataFrame, b: DataFrame, dr: float, rmax: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
+    """Counts of pair distances below rmax by bin of width dr; pairs of a set with itself are found once and counted twice."""
+    same = a is b
+    x = neighbour_pairs(a, b, rmax, box, keys, dense, half=same).where(F.col("d") < rmax)
+    return x.groupBy(F.floor(F.col("d") / dr).cast("int").alias("bin")).agg((F.count("*") * (2 if same else 1)).alias("n"))
 
-def rdf(a: DataFrame, b: DataFrame, dr: float, rmax: float, box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+
+def rdf(a: DataFrame, b: DataFrame, dr: float, rmax: float, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
     """H4: radial distribution g(r) of b around a over all frames, with raw counts and the running number of neighbours.
 
     Normalised by the pairs of the frames: ideal counts are pairs * shell volume / box volume.
     """
-    hist = pair_histogram(a, b, dr, rmax, box, keys)
+    hist = pair_histogram(a, b, dr, rmax, box, keys, dense)
     na, nb = a.groupBy(*keys).agg(F.count("*").alias("na")), b.groupBy(*keys).agg(F.count("*").alias("nb"))
     tot = na.join(nb, [*keys], "left").agg(F.sum("na").alias("centres"), F.sum(F.col("na") * F.coalesce("nb", F.lit(0))).alias("pairs"))
     bins = a.sparkSession.range(int(round(rmax / dr))).select(F.col("id").cast("int").alias("bin"))
@@ -143,14 +170,21 @@ def rdf(a: DataFrame, b: DataFrame, dr: float, rmax: float, box: float, keys: tu
     return x.select("bin", (lo + dr / 2).alias("r"), "n", (F.col("n") * box**3 / (F.col("pairs") * shell)).alias("g"), (run / F.col("centres")).alias("running"))
 
 
-def sasa(target: DataFrame, blockers: DataFrame, radius: float, points: int, box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """Accessible area of each target atom: share of golden-spiral points on its sphere outside every other blocker's sphere, times the sphere's area."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    z = 1 - (2 * F.col("k") + 1) / points
-    rho, phi = F.sqrt(1 - z * z), F.col("k") * 2.399963229728653
-    t = target.select(*keys, F.col("atom_id").alias("i"), "x", "y", "z", k.alias("k"))
-    t = t.select(*keys, "i", "k", F.struct((F.col("x") + radius * rho * F.cos(phi)).alias("x"), (F.col("y") + radius * rho * F.sin(phi)).alias("y"), (F.col("z") + radius * z).alias("z")).alias("p"))
-    b = blockers.select(*keys, F.col("atom_id").alias("j"), F.struct(*XYZ).alias("q"))
-    hit = t.join(b, [*keys]).where("i <> j").where(norm(_delta("p", "q", box)) < radius).select(*keys, "i", "k").distinct()
-    free = t.select(*keys, "i", "k").join(hit.withColumn("hit", F.lit(1)), [*keys, "i", "k"], "left")
-    return free.groupBy(*keys, "i").agg((F.avg(F.col("hit").isNull().cast("double")) * 4 * 3.141592653589793 * radius**2).alias("area"))
+def sasa(target: DataFrame, blockers: DataFrame, radius: float, points: int, box: float, keys: tuple[str, ...] = ("frame",), dense: bool = True) -> DataFrame:
+    """Accessible area of each target atom: share of golden-spiral points on its sphere outside every other blocker's sphere, times the sphere's area.
+
+    Only blockers within two radii can hide a point; they come by the cell join and stand in an array beside the atom, as
+    many as the density allows, so no point meets an atom it cannot touch.
+    """
+    near = neighbour_pairs(target, blockers, 2 * radius, box, keys, dense, XYZ)
+    held = near.groupBy(*keys, "i").agg(F.collect_list("q").alias("q"))
+    t = target.select(*keys, F.col("atom_id").alias("i"), F.struct(*XYZ).alias("c")).join(held, [*keys, "i"], "left")
+
+    def hidden(k):
+        z = 1 - (2 * k + 1) / points
+        rho, phi = F.sqrt(1 - z * z), k * 2.399963229728653
+        at = [F.col("c.x") + radius * rho * F.cos(phi), F.col("c.y") + radius * rho * F.sin(phi), F.col("c.z") + radius * z]
+        return F.exists(F.coalesce("q", F.array()), lambda q: norm([min_image(q[c] - p, box) for c, p in zip(XYZ, at)]) < radius)
+
+    free = points - F.size(F.filter(F.sequence(F.lit(0), F.lit(points - 1)), hidden))
+    return t.select(*keys, "i", (free / points * 4 * 3.141592653589793 * radius**2).alias("area"))

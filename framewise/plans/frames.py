@@ -162,7 +162,7 @@ JOIN ({pairs_sql("'H'", "'O'")}) e ON e.frame = a.frame AND e.i = h.atom_id AND
 
 def bonds(spark, d):
     a = atoms(spark, d)
-    return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX)
+    return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX, dense=False)
 
 
 @query("g15_hbonds", f"WITH {HB} SELECT frame, donor, h, acceptor, d, angle FROM hb WHERE angle >= 90", "d angle", "atoms")
@@ -202,19 +202,19 @@ def _(spark, d):
 @query("g19_select_acceptor")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX)
+    return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX, dense=False)
 
 
 @query("g20_sasa")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.sasa(a.where(C() & (F.col("run") == 3)), a.where(F.col("run") == 3), 8.0, 60, BOX)
+    return pairs.sasa(a.where(C()), a, 8.0, 60, BOX, dense=False)
 
 
-@query("g21_group_min_distance", f"""WITH p AS ({pairs_sql("'O','C','H'", "'O','C','H'", 12)}) SELECT frame, least((i - 1) // 3, (j - 1) // 3) AS mol_a, greatest((i - 1) // 3, (j - 1) // 3) AS mol_b, min(d) AS d FROM p WHERE (i - 1) // 3 <> (j - 1) // 3 GROUP BY ALL""", "d", "atoms")
+@query("g21_group_min_distance", f"""WITH p AS ({pairs_sql("'O','C','H'", "'O','C','H'", 12)}) SELECT frame, least((i - 1) // 3, (j - 1) // 3) AS mol_a, greatest((i - 1) // 3, (j - 1) // 3) AS mol_b, min(d) AS d, min(d) <= 6 AS contact FROM p WHERE (i - 1) // 3 <> (j - 1) // 3 GROUP BY ALL""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d).withColumn("mol", F.floor((F.col("atom_id") - 1) / 3))
-    return pairs.group_min_distance(a, "mol", 12.0, BOX)
+    return pairs.contacts(a, "mol", 6.0, 12.0, BOX, dense=False)
 
 
 @query("g23_slab_density", """WITH c AS (SELECT frame, CAST(least(floor(z / 5.0), 9) AS INTEGER) AS slab, count(*) AS c FROM atoms GROUP BY ALL), n AS (SELECT count(DISTINCT frame) AS n FROM atoms)
@@ -233,14 +233,14 @@ def _(spark, d):
 @query("j9_neighbour_pairs", pairs_sql("'O'", "'H'", 9).replace("a.run, ", ""), "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 9.0, BOX).select("frame", "i", "j", "d")
+    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 9.0, BOX, dense=False).select("frame", "i", "j", "d")
 
 
 @query("j10_nearest_owner", f"""WITH p AS ({pairs_sql("'H'", "'O','C'", 12)}), r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM p WINDOW w AS (PARTITION BY frame, i ORDER BY d, j))
 SELECT frame, i AS h, j AS nearest, CASE WHEN d2 IS NULL OR d2 - d >= 2 THEN j END AS owner, d AS d1, d2 FROM r WHERE k = 1 AND d <= 10""", "d1 d2", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.nearest_owner(a.where(H()), a.where(O() | C()), 10.0, 2.0, BOX)
+    return pairs.nearest_owner(a.where(H()), a.where(O() | C()), 10.0, 2.0, BOX, dense=False)
 
 
 @query("j16_resolve_names", """WITH t AS (SELECT frame AS "system", element || CAST(atom_id % 3 AS VARCHAR) AS name, atom_id FROM atoms) SELECT "system", name, min(atom_id) AS atom_id FROM t WHERE name IN ('O1', 'H2') GROUP BY ALL HAVING count(*) = 1""", "", "atoms")
@@ -262,8 +262,8 @@ def _(spark, d):
 h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE d < 15 GROUP BY 1), b AS (SELECT CAST(i AS INTEGER) AS bin, i * 0.5 AS lo FROM range(0, 30) r(i)), x AS (SELECT b.bin, lo, coalesce(h.n, 0) AS n FROM b LEFT JOIN h USING (bin))
 SELECT bin, lo + 0.25 AS r, n, n * 125000.0 / (pairs * 4.0 / 3.0 * pi() * ((lo + 0.5)**3 - lo**3)) AS g, sum(n) OVER (ORDER BY bin) / centres AS running FROM x, t""", "r g running", "atoms")
 def _(spark, d):
-    a = atoms(spark, d)
-    return pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX)
+    a = atoms(spark, d).where(O())
+    return pairs.rdf(a, a, 0.5, 15.0, BOX, dense=False)
 
 
 RDF = f"""p AS ({pairs_sql("'O'", "'O'", 15)}), c AS (SELECT frame, count(*) AS n FROM atoms WHERE element = 'O' GROUP BY frame), t AS (SELECT sum(n * n) AS pairs FROM c),
@@ -272,8 +272,8 @@ h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE
 
 @query("h5_coordination_number", f"WITH {RDF}, s AS (SELECT bin, r, coalesce((g * r * r + lag(g * r * r) OVER w) / 2 * (r - lag(r) OVER w), 0) AS s FROM g WINDOW w AS (ORDER BY bin)) SELECT bin, r, 4 * pi() * 0.001 * sum(s) OVER (ORDER BY bin) AS cn FROM s", "r cn", "atoms")
 def _(spark, d):
-    a = atoms(spark, d)
-    g = pairs.rdf(a.where(O()), a.where(O()), 0.5, 15.0, BOX).withColumn("key", F.lit(0))
+    a = atoms(spark, d).where(O())
+    g = pairs.rdf(a, a, 0.5, 15.0, BOX, dense=False).withColumn("key", F.lit(0))
     return density.coordination_number(g, 0.001, ["key"]).select("bin", "r", "cn")
 
 
@@ -305,7 +305,7 @@ EDGES = f"edges AS (SELECT frame, i AS a, j AS b FROM ({pairs_sql(chr(39) + 'O'
 
 def edges(spark, d):
     a = atoms(spark, d).where(O() | C())
-    return pairs.neighbour_pairs(a, a, 16.0, BOX).where("i < j").select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
+    return pairs.neighbour_pairs(a, a, 16.0, BOX, dense=False, half=True).select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
 
 
 def ends(spark, d):
