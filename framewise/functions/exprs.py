@@ -75,6 +75,21 @@ def min_image_triclinic(d: list[Column], cell: list[list[float]], inverse: list[
     return [sum((frac[i] * cell[i][k] for i in range(1, 3)), frac[0] * cell[0][k]) for k in range(3)]
 
 
+#: g/cm3 of one water of 18.01528 g/mol in one cubic angstrom.
+WATER_G_A3 = 18.01528 / 0.602214076
+
+
+def water_density(n: Column, volume: Column | float) -> Column:
+    """g/cm3 of n waters in a volume in cubic angstrom."""
+    return n * WATER_G_A3 / volume
+
+
+def rescale_box(lengths: list[Column], solute_volume: Column | float, n: Column, target: float) -> list[Column]:
+    """Box lengths in fixed ratios whose volume beside the solute holds n waters at the target density."""
+    scale = F.cbrt((solute_volume + n * WATER_G_A3 / target) / (lengths[0] * lengths[1] * lengths[2]))
+    return [x * scale for x in lengths]
+
+
 def norm(d: list[Column]) -> Column:
     return F.sqrt(sum((x * x for x in d[1:]), d[0] * d[0]))
 
@@ -99,8 +114,12 @@ def angle_deg(a: list[Column], b: list[Column]) -> Column:
 
 def torsion_deg(b1: list[Column], b2: list[Column], b3: list[Column]) -> Column:
     """Signed torsion from three consecutive bond vectors; null if degenerate."""
-    n1, n2 = cross(b1, b2), cross(b2, b3)
-    y, x = dot(cross(n1, n2), b2) / F.nullif(norm(b2), F.lit(0.0)), dot(n1, n2)
+    return torsion_of(cross(b1, b2), cross(b2, b3), b2)
+
+
+def torsion_of(n1: list[Column], n2: list[Column], axis: list[Column]) -> Column:
+    """Signed angle in degrees from one plane normal to the other about an axis; null if degenerate."""
+    y, x = dot(cross(n1, n2), axis) / F.nullif(norm(axis), F.lit(0.0)), dot(n1, n2)
     return F.when((norm(n1) > 1e-12) & (norm(n2) > 1e-12), F.degrees(F.atan2(y, x)))
 
 

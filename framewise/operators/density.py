@@ -138,32 +138,115 @@ def pooled_distribution(parts: dict[str, DataFrame], value: str, lo: float, hi:
     return hist1d(both.withColumn("pool", F.lit(0)), value, lo, hi, n, ["pool"]), both.groupBy("origin").agg(F.count(value).alias("n"))
 
 
-def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float, keys: list[str] | None = None) -> DataFrame:
-    """Samples of three angles (degrees) to basins of their wrapped, smoothed histogram: (cell, basin, n).
+def _pointers(up: DataFrame, most: int = 60) -> DataFrame:
+    """Follows pointers (cell, top) to their ends by joins, doubling the distance each round."""
+    from ..runtime import materialise
+
+    for _ in range(most):
+        nxt = materialise(up.alias("a").join(up.select(F.col("cell").alias("top"), F.col("top").alias("far")), "top").select("cell", F.col("far").alias("top")))
+        if nxt.join(up.withColumnRenamed("top", "was"), "cell").where("top <> was").isEmpty():
+            return nxt
+        up = nxt
+    raise ArithmeticError(f"pointers have not ended in {most} rounds")
+
+
+def merge_modes(modes: DataFrame, near: float, n: int) -> DataFrame:
+    """(top, lead) for modes (top, n) of a grid of n cells a side: from the most populated down, a mode within `near` degrees of one that leads already joins the nearest such, else it leads itself.
+
+    Rounds over the table of modes: a mode whose stronger neighbours are all settled is settled; there are few rounds, as
+    a chain of ever weaker modes within reach of each other is as long as their number of ranks.
+    """
+    from ..runtime import materialise
+
+    cell = lambda c: [F.floor(F.col(c) / (n * n)), F.floor(F.col(c) / n) % n, F.col(c) % n]
+    # modes within reach of each other stand in one coarse cell, no narrower than the reach, or in neighbouring ones
+    side = int(360 // near) if near > 0 else n
+    side = side if side >= 4 else 1
+    home = lambda c, shift: [F.pmod(F.floor((k + 0.5) * (side / n)) + s_, F.lit(side)) for k, s_ in zip(cell(c), shift)]
+    m = modes.select("top", "n", *[h.alias(f"_c{i}") for i, h in enumerate(home("top", (0, 0, 0)))])
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)] if side > 1 else [(0, 0, 0)]
+    x = modes.select(F.col("top").alias("u"), F.col("n").alias("nu"), F.inline(F.array(*[F.struct(*[h.alias(f"_c{i}") for i, h in enumerate(home("top", o))]) for o in steps])))
+    gap = [F.abs(p - q) for p, q in zip(cell("top"), cell("u"))]
+    far = F.sqrt(sum(((F.least(g, n - g) * (360.0 / n)) ** 2 for g in gap[1:]), (F.least(gap[0], n - gap[0]) * (360.0 / n)) ** 2))
+    stronger = (F.col("nu") > F.col("n")) | ((F.col("nu") == F.col("n")) & (F.col("u") < F.col("top")))
+    pairs = m.join(x, ["_c0", "_c1", "_c2"]).where(stronger).withColumn("d", far).where(F.col("d") <= near)
+    pairs = materialise(pairs.select("top", "u", "nu", "d"))
+    state = materialise(m.select("top", F.lit(None).cast("boolean").alias("leads")))
+    while not state.where("leads is null").isEmpty():
+        seen = pairs.join(state.select(F.col("top").alias("u"), F.col("leads").alias("ul")), "u").groupBy("top").agg(F.coalesce(F.bool_or("ul"), F.lit(False)).alias("under"), F.bool_and(F.col("ul").isNotNull()).alias("known"))
+        y = state.join(seen, "top", "left")
+        verdict = F.when(F.col("under"), False).when(F.coalesce("known", F.lit(True)), True)
+        state = materialise(y.select("top", F.coalesce("leads", verdict).alias("leads")))
+    lead = state.where("leads").select(F.col("top").alias("u"))
+    best = pairs.join(lead, "u").groupBy("top").agg(F.min_by("u", F.struct("d", -F.col("nu"), "u")).alias("lead"))
+    return state.join(best, "top", "left").select("top", F.when(F.col("leads"), F.col("top")).otherwise(F.col("lead")).alias("lead"))
+
+
+def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float, near: float = 30.0, keys: list[str] | None = None) -> DataFrame:
+    """Basins of samples of three angles (degrees) in their wrapped, smoothed histogram of n cells a side: (basin, n, population, mode_<angle>, mean_<angle>, sd_<angle>).
 
     Each cell climbs to the densest of its 27 wrapped neighbours; pointers are followed to their ends by joins on the
-    table of occupied cells, doubling the distance each round. Basins under the least share of samples are dropped.
+    table of occupied cells, doubling the distance each round. Basins whose modes lie within `near` degrees merge into the
+    more populated one. Basins under the least share of samples are left out. Means and spreads are circular.
     """
     from ..runtime import materialise
 
     cell = [F.floor((F.col(a) - 360.0 * F.floor(F.col(a) / 360.0)) / (360.0 / n)) for a in angles]
     code = cell[0] * n * n + cell[1] * n + cell[2]
-    counts = df.select(code.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    trig = [f(F.sum(g(F.radians(F.col(a)))), a) for a in angles for f, g in ((lambda c, a: c.alias(f"s_{a}"), F.sin), (lambda c, a: c.alias(f"c_{a}"), F.cos))]
+    counts = materialise(df.where(" and ".join(f"`{a}` is not null" for a in angles)).withColumn("cell", code).groupBy("cell").agg(F.count("*").alias("n"), *trig))
     part = [F.floor(F.col("cell") / (n * n)), F.floor(F.col("cell") / n) % n, F.col("cell") % n]
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit((2 - abs(a)) * (2 - abs(b)) * (2 - abs(c)) / 64).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
     move = F.pmod(part[0] + F.col("o.a"), F.lit(n)) * n * n + F.pmod(part[1] + F.col("o.b"), F.lit(n)) * n + F.pmod(part[2] + F.col("o.c"), F.lit(n))
     smooth = counts.withColumn("o", offsets).select(move.alias("cell"), (F.col("o.w") * F.col("n")).alias("d")).groupBy("cell").agg(F.sum("d").alias("d"))
     smooth = materialise(smooth)
-    near = smooth.withColumn("o", offsets).select("cell", move.alias("to")).join(smooth.select(F.col("cell").alias("to"), "d"), "to")
-    up = materialise(near.groupBy("cell").agg(F.max(F.struct("d", (-F.col("to")).alias("k"))).alias("m")).select("cell", (-F.col("m.k")).alias("top")))
-    for _ in range(40):
-        nxt = materialise(up.alias("a").join(up.select(F.col("cell").alias("top"), F.col("top").alias("far")), "top").select("cell", F.col("far").alias("top")))
-        if nxt.join(up.withColumnRenamed("top", "was"), "cell").where("top <> was").isEmpty():
-            break
-        up = nxt
+    around = smooth.withColumn("o", offsets).select("cell", move.alias("to")).join(smooth.select(F.col("cell").alias("to"), "d"), "to")
+    up = materialise(around.groupBy("cell").agg(F.max(F.struct("d", (-F.col("to")).alias("k"))).alias("m")).select("cell", (-F.col("m.k")).alias("top")))
+    own = materialise(counts.join(_pointers(up), "cell"))
+    lead = merge_modes(own.groupBy("top").agg(F.sum("n").alias("n")), near, n)
     total = counts.agg(F.sum("n").alias("total"))
-    basins = counts.join(up, "cell").groupBy("top").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # one row
-    return basins.where(F.col("n") >= least * F.col("total")).select(F.col("top").cast("bigint").alias("basin"), "n", (F.col("n") / F.col("total")).alias("population"))
+    sums = [F.sum(f"{f}_{a}").alias(f"{f}_{a}") for a in angles for f in "sc"]
+    basins = own.join(lead, "top").groupBy("lead").agg(F.sum("n").alias("n"), *sums).crossJoin(F.broadcast(total)).where(F.col("n") >= least * F.col("total"))  # one row
+    at = [F.floor(F.col("lead") / (n * n)), F.floor(F.col("lead") / n) % n, F.col("lead") % n]
+    r = lambda a: F.least(F.lit(1.0), F.sqrt(F.col(f"s_{a}") ** 2 + F.col(f"c_{a}") ** 2) / F.col("n"))
+    out = []
+    for a, k in zip(angles, at):
+        out += [((k + 0.5) * (360.0 / n)).alias(f"mode_{a}"), F.degrees(F.atan2(f"s_{a}", f"c_{a}")).alias(f"mean_{a}"), F.degrees(F.sqrt(-2 * F.log(F.greatest(r(a), F.lit(1e-300))))).alias(f"sd_{a}")]
+    return basins.select(F.col("lead").cast("bigint").alias("basin"), "n", (F.col("n") / F.col("total")).alias("population"), *out)
+
+
+def radial_kde(df: DataFrame, r: str, lo: float, hi: float, points: int, factor: float, bins: int, least: int, temperature: float, keys: list[str], wall: tuple[float, float, float] | None = None) -> DataFrame:
+    """H7: smooth radial PMF on equally spaced points: density of the samples in [lo, hi] by a Gaussian kernel of width factor * sd, divided by r^2, -RT ln of it from its least supported value.
+
+    supported: between the outermost bins of at least `least` samples, with at least `least` samples within the larger of a
+    bin's width and two kernel widths. wall (sigma, anchor, scale): points up to the anchor take the modelled wall
+    f(anchor) + scale * ((sigma / r)^12 - (sigma / anchor)^12), if samples reach within a bin of the anchor; wall tells which.
+    """
+    width, step = (hi - lo) / bins, (hi - lo) / (points - 1)
+    x = df.where(F.col(r).between(lo, hi)).select(*keys, F.col(r).alias("v"))
+    per_bin = x.groupBy(*keys, bin_of(F.col("v"), lo, width, bins).alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    range_ = per_bin.groupBy(*keys).agg((lo + F.min("bin") * width).alias("from"), (lo + (F.max("bin") + 1) * width).alias("to"))
+    stats = x.groupBy(*keys).agg((factor * F.stddev_samp("v")).alias("h"), F.min("v").alias("first")).join(range_, keys, "left")
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("g"), (lo + F.col("id") * step).alias("r"))
+    reach = F.greatest(F.lit(width), 2 * F.col("h"))
+    y = x.join(stats, keys).crossJoin(F.broadcast(grid))  # a stated grid of points
+    y = y.groupBy(*keys, "g", "r").agg((F.avg(kernel((F.col("r") - F.col("v")) / F.col("h"))) / (F.first("h") * 2.5066282746310002)).alias("density"), F.count_if(F.abs(F.col("r") - F.col("v")) <= reach).alias("local"), F.first("from").alias("from"), F.first("to").alias("to"), F.first("first").alias("first"))
+    y = y.withColumn("supported", F.coalesce(F.col("r").between(F.col("from"), F.col("to")), F.lit(False)) & (F.col("local") >= least))
+    d = F.col("density") / F.col("r") ** 2
+    y = y.withColumn("f", F.when(d > 0, -GAS_KCAL * temperature * F.log(d)))
+    by = Window.partitionBy(*keys)
+    y = y.withColumn("pmf", F.col("f") - F.min(F.when(F.col("supported"), F.col("f"))).over(by))
+    made = F.lit(False)
+    if wall:
+        sigma, anchor, scale = wall
+        # the value at the anchor lies between its two grid points
+        k = int((anchor - lo) // step)
+        part = (anchor - lo) / step - k
+        at = lambda j: F.max(F.when(F.col("g") == j, F.col("pmf"))).over(by)
+        made = (F.col("r") <= anchor) & (F.col("first") <= anchor + width)
+        y = y.withColumn("_a", at(k) * (1 - part) + at(k + 1) * part)
+        y = y.withColumn("pmf", F.when(made, F.col("_a") + scale * (F.pow(sigma / F.col("r"), F.lit(12)) - (sigma / anchor) ** 12)).otherwise(F.col("pmf")))
+    return y.select(*keys, "g", "r", "density", "local", "supported", "pmf", made.alias("wall"))
 
 
 def radial_profile(df: DataFrame, r: str, lo: float, hi: float, bins: int, temperature: float, support: int, separation: float, keys: list[str]) -> DataFrame:

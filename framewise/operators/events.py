@@ -169,24 +169,51 @@ def round_trips(positions: DataFrame, low: int, high: int, walker: str = "walker
     return x.groupBy(walker).agg(F.count("*").alias("n_trips"), F.avg(F.col(step) - F.col("_back")).alias("mean_steps"))
 
 
-def walker_positions(exchanges: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+def walker_positions(exchanges: DataFrame, run: str = "run", step: str = "step", block: int = 1000) -> DataFrame:
     """Place of each walker after every exchange. exchanges: (run, step, low, accepted), neighbours low and low + 1 swap.
 
-    Swaps don't commute, so a run's exchange log is folded in order; a log is as long as the run has exchanges.
+    Swaps don't commute, but they compose: a run's log is cut into blocks of `block` step numbers, each block's swaps are
+    composed to one permutation, the permutations of a run (one row a block) are composed in order, and each block is
+    then told out from the places it starts with. No task holds more than one block's rows, or one run's table of blocks.
     """
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["low"].max()) + 2
-        at, out = list(range(n)), []
-        for s, rows in pdf.sort_values([step, "low"]).groupby(step):
-            for low in rows.loc[rows["accepted"], "low"].astype(int):
-                at[low], at[low + 1] = at[low + 1], at[low]
-            out += [(pdf[run].iloc[0], s, walker, place) for place, walker in enumerate(at)]
+    kind = {f.name: f.dataType.simpleString() for f in exchanges.schema}
+    x = exchanges.select(run, step, F.col("low").cast("int").alias("low"), "accepted", F.floor(F.col(step) / block).alias("_block"))
+    size = x.groupBy(run).agg((F.max("low") + 2).alias("_n"))
+    x = x.join(size, run)
+
+    def swap(at: list, rows: pd.DataFrame) -> None:
+        for low in rows.sort_values("low").loc[lambda r: r["accepted"], "low"]:
+            at[low], at[low + 1] = at[low + 1], at[low]
+
+    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = list(range(int(pdf["_n"].iloc[0])))
+        for _, rows in pdf.sort_values(step).groupby(step):
+            swap(at, rows)
+        return pd.DataFrame({run: [key[0]], "_block": [key[1]], "_moves": [at]})
+
+    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        at, out = list(range(len(pdf["_moves"].iloc[0]))), []
+        for moves in pdf["_moves"]:
+            out.append(at)
+            at = [at[i] for i in moves]
+        return pd.DataFrame({run: key[0], "_block": pdf["_block"].to_numpy(), "_start": out})
+
+    def tell(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            at = list(start["_start"].iloc[0])
+            for s, part in rows.sort_values(step).groupby(step):
+                swap(at, part)
+                out += [(key[0], s, int(walker), place) for place, walker in enumerate(at)]
         return pd.DataFrame(out, columns=[run, step, "walker", "place"])
 
-    kind = {f.name: f.dataType.simpleString() for f in exchanges.schema}
-    return exchanges.groupBy(run).applyInPandas(fold, f"{run} {kind[run]}, {step} {kind[step]}, walker int, place int")
+    moves = x.groupBy(run, "_block").applyInPandas(compose, f"{run} {kind[run]}, _block bigint, _moves array<int>")
+    starts = moves.groupBy(run).applyInPandas(chain, f"{run} {kind[run]}, _block bigint, _start array<int>")
+    both = x.groupBy(run, "_block").cogroup(starts.groupBy(run, "_block"))
+    return both.applyInPandas(tell, f"{run} {kind[run]}, {step} {kind[step]}, walker int, place int")
 
 
 def gaussian_smooth(c: Column | str, sigma: float, key: str = "run", t: str = "t", truncate: float = 4.0) -> Column:

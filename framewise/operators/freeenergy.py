@@ -80,10 +80,31 @@ def pka2d(fes: DataFrame, half: float, temperature: float, keys: list[str]) -> D
     return y.select(*keys, *[((F.col("f11") - F.col(c)) / (PKA_FACTOR * temperature)).alias(n) for c, n in (("f01", "pka1"), ("f10", "pka2"))])
 
 
-def stationary_points(fes: DataFrame, half: int, keys: list[str], x: str = "x", f: str = "f") -> DataFrame:
-    """moving mean over 2 * half + 1 points, central gradient, and its interpolated zero crossings with their kind."""
+def savgol(f: str, keys: list[str], x: str, width: int = 9, degree: int = 3) -> Column:
+    """Savitzky-Golay value of f: the polynomial of the `width` nearest rows, at the ends that of the first or last `width` rows. Keys of fewer rows get null."""
+    import numpy as np
+
+    at = np.arange(width) - width // 2
+    v = np.vander(at, degree + 1, increasing=True)
+    hat = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in v @ np.linalg.pinv(v)])
+    w = Window.partitionBy(*keys).orderBy(x)
+    n, i, half = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(w) - 1, width // 2
+    near = F.collect_list(F.col(f)).over(w.rowsBetween(1 - width, width - 1))  # at most 2 * width - 1 rows
+    start = F.greatest(F.lit(0), F.least(i - half, n - width))
+    rows = F.slice(near, start - F.greatest(F.lit(0), i - width + 1) + 1, F.lit(width))
+    value = F.aggregate(F.zip_with(rows, F.element_at(hat, (i - start + 1).cast("int")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.when(n >= width, value)
+
+
+def stationary_points(fes: DataFrame, half: int, keys: list[str], x: str = "x", f: str = "f", smooth: str = "mean") -> DataFrame:
+    """smoothed surface, its central gradient, and its interpolated zero crossings with their kind.
+
+    smooth: "mean" over 2 * half + 1 points, or "savgol", that mean followed by a Savitzky-Golay cubic over nine points.
+    """
     w = Window.partitionBy(*keys).orderBy(x)
     y = fes.withColumn("_s", F.avg(f).over(w.rowsBetween(-half, half)))
+    if smooth == "savgol":
+        y = y.withColumn("_s", savgol("_s", keys, x))
     y = y.withColumn("_g", (F.lead("_s").over(w) - F.lag("_s").over(w)) / (F.lead(x).over(w) - F.lag(x).over(w)))
     y = y.withColumns({"_gn": F.lead("_g").over(w), "_xn": F.lead(x).over(w)}).where("_g * _gn < 0")
     return y.select(*keys, (F.col(x) + (F.col("_xn") - F.col(x)) * F.col("_g") / (F.col("_g") - F.col("_gn"))).alias("x0"), F.when(F.col("_g") < 0, "min").otherwise("max").alias("kind"))
@@ -172,6 +193,42 @@ def joint_fes(df: DataFrame, a: str, b: str, weight: str, ga: tuple[float, float
     return y.crossJoin(F.broadcast(least)).select("i", "j", F.col("ix").alias("a"), F.col("jx").alias("b"), "p", (f - F.col("least")).alias("f"))
 
 
+def joint_profile(df: DataFrame, a: str, b: str, weight: str, ga: tuple[float, float, int], gb: tuple[float, float, int], ha: float, hb: float, temperature: float, support: float = 1e-4, jacobian: bool = False) -> DataFrame:
+    """F8: on every grid cell (i, j, a, b) the weighted density p, the density `sampled` of the samples as they are, `supported` (sampled at least `support` of its maximum), the free energy f of supported cells (p divided by b^2 with the Jacobian), the conditional density of b at a among the samples, and the trapezoid weights of the two axes."""
+    sp = df.sparkSession
+    da, db = (ga[1] - ga[0]) / (ga[2] - 1), (gb[1] - gb[0]) / (gb[2] - 1)
+    axis = lambda g, d, n: sp.range(g[2]).select(F.col("id").cast("int").alias(n), (g[0] + F.col("id") * d).alias(f"{n}x"), (F.when(F.col("id").isin(0, g[2] - 1), 0.5).otherwise(1.0) * d).alias(f"w{n}"))
+    x = df.crossJoin(F.broadcast(axis(ga, da, "i").crossJoin(axis(gb, db, "j"))))  # a stated grid
+    k = kernel((F.col("ix") - F.col(a)) / ha) * kernel((F.col("jx") - F.col(b)) / hb)
+    d = x.groupBy("i", "j", "ix", "jx", "wi", "wj").agg(F.sum(F.col(weight) * k).alias("p"), (F.avg(k) / (2 * math.pi * ha * hb)).alias("sampled"))
+    whole = d.agg(F.sum(F.col("p") * F.col("wi") * F.col("wj")).alias("total"), F.max("sampled").alias("top"))
+    d = d.crossJoin(F.broadcast(whole)).withColumns({"p": F.try_divide(F.col("p"), F.col("total")), "supported": F.col("sampled") >= support * F.col("top")})  # one row
+    at_a = d.groupBy("i").agg(F.sum(F.col("sampled") * F.col("wj")).alias("at_a"))
+    shown = F.col("p") / (F.col("jx") ** 2) if jacobian else F.col("p")
+    f = F.when(F.col("supported") & (shown > 0), -GAS_KCAL * temperature * F.log(shown))
+    d = d.join(at_a, "i").withColumns({"_f": f, "conditional": F.coalesce(F.try_divide(F.col("sampled"), F.col("at_a")), F.lit(0.0))})
+    least = d.agg(F.min("_f").alias("least"))
+    return d.crossJoin(F.broadcast(least)).select("i", "j", F.col("ix").alias("a"), F.col("jx").alias("b"), "p", "sampled", "supported", (F.col("_f") - F.col("least")).alias("f"), "conditional", "wi", "wj")  # one row
+
+
+def joint_marginals(profile: DataFrame, temperature: float, jacobian: bool = False) -> DataFrame:
+    """F8: both marginals of joint_profile: (axis "a" or "b", k, x, p, f), f with minimum 0 on each axis; the Jacobian divides the marginal of b by b^2."""
+    pa = profile.groupBy(F.lit("a").alias("axis"), F.col("i").alias("k"), F.col("a").alias("x")).agg(F.sum(F.col("p") * F.col("wj")).alias("p"))
+    pb = profile.groupBy(F.lit("b").alias("axis"), F.col("j").alias("k"), F.col("b").alias("x")).agg(F.sum(F.col("p") * F.col("wi")).alias("p"))
+    if jacobian:
+        pb = pb.withColumn("p", F.col("p") / F.col("x") ** 2)
+    y = pa.unionByName(pb)
+    f = F.when(F.col("p") > 0, -GAS_KCAL * temperature * F.log("p"))
+    return y.withColumn("f", f - F.min(f).over(Window.partitionBy("axis")))  # the grid's points
+
+
+def frame_free_energy(df: DataFrame, weight: str, temperature: float, keys: list[str], r: str | None = None) -> DataFrame:
+    """per frame -RT ln of its weight (divided by r^2 if r is given), from the least of its key."""
+    c = F.col(weight) / F.col(r) ** 2 if r else F.col(weight)
+    f = F.when(c > 0, -GAS_KCAL * temperature * F.log(c))
+    return df.withColumn("score", f).withColumn("score", F.col("score") - F.min("score").over(Window.partitionBy(*keys)))
+
+
 def joint_minima(fes: DataFrame, ceiling: float) -> DataFrame:
     """cells (i, j) below the ceiling that are lower than all eight neighbours present."""
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
@@ -189,11 +246,12 @@ def weighted_radial_hist(df: DataFrame, r: str, weight: str, width: float, tempe
     return x.withColumn("pmf", f - F.min(f).over(Window.partitionBy(*keys)))
 
 
-def wham(samples: DataFrame, k: float, temperature: float, lo: float, hi: float, bins: int, tolerance: float = 1e-7, most: int = 2000, period: float | None = None) -> DataFrame:
+def wham(samples: DataFrame, k: float, temperature: float, lo: float, hi: float, bins: int, tolerance: float = 1e-7, most: int = 100_000, period: float | None = None, most_cells: int = 10_000_000) -> DataFrame:
     """PMF of umbrella windows (window, target, value) with bias k (x - target)^2 by the WHAM equations.
 
     Spark counts samples by bin and by window; the fixed point runs on that table of windows and bins, whose size is set
-    by the grid, not by the data.
+    by the grid, not by the data: windows times bins beyond most_cells are an error, and so is a fixed point that `most`
+    rounds don't reach.
     """
     import numpy as np
 
@@ -201,6 +259,9 @@ def wham(samples: DataFrame, k: float, temperature: float, lo: float, hi: float,
 
     width = (hi - lo) / bins
     c = samples.select("window", bin_of(F.col("value"), lo, width, bins).alias("bin")).where("bin is not null")
+    windows = samples.agg(F.count_distinct("window")).first()[0]
+    if windows * bins > most_cells:
+        raise ValueError(f"{windows} windows and {bins} bins are more than {most_cells} cells")
     n_window = {r["window"]: r["n"] for r in c.groupBy("window").agg(F.count("*").alias("n")).collect()}
     n_bin = {r["bin"]: r["n"] for r in c.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     target = {r["window"]: r["t"] for r in samples.groupBy("window").agg(F.first("target").alias("t")).collect()}
@@ -218,6 +279,8 @@ def wham(samples: DataFrame, k: float, temperature: float, lo: float, hi: float,
         done, f = np.abs(new - f).max() < tolerance, new
         if done:
             break
+    else:
+        raise ArithmeticError(f"WHAM has not converged in {most} rounds")
     with np.errstate(divide="ignore"):
         pmf = np.where(p > 0, -np.log(p) / beta, np.nan)
     pmf -= np.nanmin(pmf)
@@ -250,30 +313,33 @@ def fep_edges(u: DataFrame, states: int, kt: float, extra: list[str] = []) -> Da
     return y.select(*extra, "edge", (kt * F.col("f")).alias("forward"), (-kt * F.col("r")).alias("reverse"), (kt * (F.col("f") + F.col("r"))).alias("hysteresis"))
 
 
-def bar_edges(u: DataFrame, states: int, kt: float, extra: list[str] = [], steps: int = 60) -> DataFrame:
-    """Bennett's estimate of each edge for equal sample counts, all edges bisected together: one aggregation a step over the table of works."""
+def bar_edges(u: DataFrame, states: int, kt: float, extra: list[str] = [], steps: int = 40, tolerance: float = 1e-10) -> DataFrame:
+    """Bennett's estimate of each edge for equal sample counts, all edges bisected together: one aggregation a step over the table of works.
+
+    The bracket of an edge are the extremes of its forward works and reversed reverse works, where the two sums cannot
+    balance. A step evaluates the sums at eight places inside every bracket in one aggregation and keeps the ninth of it
+    that holds the root. Brackets stay in a table (one row an edge and key) that is joined to the works; an edge whose
+    bracket is not narrower than the tolerance after `steps` is an error.
+    """
     from ..runtime import materialise
 
     works = materialise(_edges(u, states, 1 / kt, extra))
-    spark, keys = u.sparkSession, [*extra, "edge"]
-    span = works.groupBy(*keys).agg(F.max(F.abs("w")).alias("b")).collect()  # one row an edge
-    bounds = {tuple(r[k] for k in keys): (-max(20.0, r["b"] + 10), max(20.0, r["b"] + 10)) for r in span}
-    schema = works.select(*keys).schema.add("mid", "double")
+    keys, inner = [*extra, "edge"], 8
+    level = F.when(F.col("way") == "f", F.col("w")).otherwise(-F.col("w"))
+    bounds = materialise(works.groupBy(*keys).agg((F.min(level) - 1).alias("a"), (F.max(level) + 1).alias("b")))
     for _ in range(steps):
-        mid = spark.createDataFrame([(*k, (a + b) / 2) for k, (a, b) in bounds.items()], schema)
-        x = works.join(F.broadcast(mid), keys)  # one row an edge
-        g = x.groupBy(*keys).agg(F.sum(F.when(F.col("way") == "f", fermi(F.col("w") - F.col("mid"))).otherwise(-fermi(F.col("w") + F.col("mid")))).alias("g"))
-        for r in g.collect():
-            k = tuple(r[c] for c in keys)
-            a, b = bounds[k]
-            bounds[k] = ((a + b) / 2, b) if r["g"] < 0 else (a, (a + b) / 2)
-        if max(b - a for a, b in bounds.values()) < 1e-10:
+        place = lambda j: F.col("a") + (F.col("b") - F.col("a")) * j / (inner + 1)
+        off = lambda j: F.when(F.col("way") == "f", fermi(F.col("w") - place(j))).otherwise(-fermi(F.col("w") + place(j)))
+        sums = works.join(bounds, keys).groupBy(*keys, "a", "b").agg(*[F.sum(off(j)).alias(f"g{j}") for j in range(1, inner + 1)])
+        below = sum(((F.col(f"g{j}") < 0).cast("int") for j in range(2, inner + 1)), (F.col("g1") < 0).cast("int"))
+        bounds = materialise(sums.select(*keys, place(below).alias("a"), F.when(below == inner, F.col("b")).otherwise(place(below + 1)).alias("b")))
+        if bounds.where(F.col("b") - F.col("a") >= tolerance).isEmpty():
             break
-    schema = works.select(*keys).schema.add("bar", "double")
-    return spark.createDataFrame([(*k, kt * (a + b) / 2) for k, (a, b) in bounds.items()], schema)
+    late = F.raise_error(F.lit(f"an edge has not converged in {steps} steps")).cast("double")
+    return bounds.select(*keys, F.when(F.col("b") - F.col("a") < tolerance, kt * (F.col("a") + F.col("b")) / 2).otherwise(late).alias("bar"))
 
 
-def mbar(u: DataFrame, states: int, kt: float, n: int, tolerance: float = 1e-9, most: int = 500) -> tuple[list[float], DataFrame]:
+def mbar(u: DataFrame, states: int, kt: float, n: int, tolerance: float = 1e-9, most: int = 5000) -> tuple[list[float], DataFrame]:
     """self-consistent free energies for n samples a state, and the overlap matrix (i, j, overlap). One aggregation over all samples a step."""
     from ..runtime import materialise
 
@@ -295,6 +361,8 @@ def mbar(u: DataFrame, states: int, kt: float, n: int, tolerance: float = 1e-9,
         done, f = max(abs(a - b) for a, b in zip(f, new)) < tolerance, new
         if done:
             break
+    else:
+        raise ArithmeticError(f"MBAR has not converged in {most} rounds")
     x = w.select(F.transform(log_weights(), lambda e: F.exp(e)).alias("w"))
     pair = x.select(F.posexplode("w").alias("i", "a"), "w").select("i", "a", F.posexplode("w").alias("j", "b"))
     return [kt * v for v in f], pair.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) * n).alias("overlap"))
@@ -339,12 +407,30 @@ def smooth_pmf(fes: DataFrame, penalty: float, keys: list[str], x: str = "x", f:
         import numpy as np
 
         pdf = pdf.sort_values(x)
-        n = len(pdf)
-        a = np.eye(n)
-        if n > 2:
-            d = np.diff(np.eye(n), 2, axis=0)
-            a += penalty * d.T @ d
-        return pdf.assign(smooth=np.linalg.solve(a, pdf[f].to_numpy()))
+        y = pdf[f].to_numpy(float)
+        n = len(y)
+        if n < 3:
+            return pdf.assign(smooth=y)
+        # I + penalty D'D has five bands: main, first and second; elimination without pivots (it is positive definite)
+        d = np.zeros((3, n))
+        for k, c in ((0, 1.0), (1, -2.0), (2, 1.0)):
+            d[0, k : n - 2 + k] += c * c
+        d[1, : n - 2] += -2.0
+        d[1, 1 : n - 1] += -2.0
+        d[2, : n - 2] += 1.0
+        main, one, two, z = (1 + penalty * d[0]).tolist(), (penalty * d[1]).tolist(), (penalty * d[2]).tolist(), y.tolist()
+        for i in range(n - 1):
+            r = one[i] / main[i]
+            main[i + 1] -= r * one[i]
+            one[i + 1] -= r * two[i]
+            z[i + 1] -= r * z[i]
+            if i + 2 < n:
+                q = two[i] / main[i]
+                main[i + 2] -= q * two[i]
+                z[i + 2] -= q * z[i]
+        for i in range(n - 1, -1, -1):
+            z[i] = (z[i] - (one[i] * z[i + 1] if i + 1 < n else 0.0) - (two[i] * z[i + 2] if i + 2 < n else 0.0)) / main[i]
+        return pdf.assign(smooth=z)
 
     y = fes.select(*keys, x, f)
     return y.groupBy(*keys).applyInPandas(solve, ", ".join(f"`{c}` {k}" for c, k in y.dtypes) + ", smooth double")
@@ -360,14 +446,15 @@ def lowest_minima2d(fes: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def separate_minima(minima: DataFrame, da: float, db: float, most: int) -> DataFrame:
-    """greedy choice of minima (a, b, f) from the lowest up, none within da and db of one already chosen. The candidates are a few grid cells."""
+    """greedy choice of minima (a, b, f) from the lowest up, none within da and db of one already chosen: `most` steps, each of which takes one row and leaves out what lies near it."""
+    from ..runtime import materialise
+
     chosen: list = []
-    for r in minima.orderBy("f", "a", "b").toLocalIterator():
-        if len(chosen) == most:
-            break
-        if all(abs(r["a"] - c[0]) >= da or abs(r["b"] - c[1]) >= db for c in chosen):
-            chosen.append((r["a"], r["b"], r["f"]))
-    return minima.sparkSession.createDataFrame([(k, *c) for k, c in enumerate(chosen)], "basin int, a double, b double, f double")
+    left = materialise(minima.select("a", "b", "f"))
+    while len(chosen) < most and (r := left.agg(F.min(F.struct("f", "a", "b")).alias("m")).first()["m"]) is not None:
+        chosen.append((len(chosen), r["a"], r["b"], r["f"]))
+        left = left.where((F.abs(F.col("a") - r["a"]) >= da) | (F.abs(F.col("b") - r["b"]) >= db))
+    return minima.sparkSession.createDataFrame(chosen, "basin int, a double, b double, f double")
 
 
 def first_visit_order(basins: DataFrame, samples: DataFrame, keys: list[str], a: str, b: str, t: str, sa: float, sb: float) -> DataFrame:

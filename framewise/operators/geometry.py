@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialise
-from ..functions.exprs import angle_deg, cross, dot, min_image, norm, planar_deviation, torsion_deg, unit
+from ..functions.exprs import angle_deg, cross, dot, min_image, norm, planar_deviation, torsion_deg, torsion_of, unit
 
 XYZ = ("x", "y", "z")
 
@@ -16,6 +16,17 @@ def pick(atoms: DataFrame, ids: list[int], keys: tuple[str, ...] = ("frame",)) -
     return atoms.where(F.col("atom_id").isin(ids)).groupBy(*keys).agg(*[F.max(F.when(F.col("atom_id") == i, at)).alias(f"a{i}") for i in dict.fromkeys(ids)])
 
 
+def pick_flat(atoms: DataFrame, ids: list[int], keys: tuple[str, ...]) -> DataFrame:
+    """As pick, with plain columns a<id><axis> that are NaN where an atom is absent: columns without nulls make far less code of long formulas."""
+    x = pick(atoms, ids, keys)
+    return x.select(*keys, *[F.coalesce(F.col(f"a{i}.{c}"), F.lit(float("nan"))).alias(f"a{i}{c}") for i in dict.fromkeys(ids) for c in XYZ])
+
+
+def flat_vector(i: int, j: int, box: float | None) -> list[Column]:
+    d = [F.col(f"a{j}{c}") - F.col(f"a{i}{c}") for c in XYZ]
+    return [min_image(v, box) for v in d] if box else d
+
+
 def vector(a: int | str, b: int | str, box: float | None) -> list[Column]:
     """From a to b, imaged."""
     a, b = (f"a{i}" if isinstance(i, int) else i for i in (a, b))
@@ -41,18 +52,29 @@ def lcod(atoms: DataFrame, a: int, b: int, c: int, d: int, box: float, keys: tup
 
 def dihedrals(atoms: DataFrame, quartets: dict[str, tuple[int, int, int, int]], box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Signed torsion of each named quartet, one column a name; null if degenerate or incomplete."""
-    x = pick(atoms, [i for q in quartets.values() for i in q], keys)
-    return x.select(*keys, *[torsion_deg(vector(i, j, box), vector(j, k, box), vector(k, m, box)).alias(n) for n, (i, j, k, m) in quartets.items()])
+    x = pick_flat(atoms, [i for q in quartets.values() for i in q], keys)
+    # bonds, then normals, then angles as columns of their own, so that no expression holds another several times over
+    bonds = {b: f"_b{k}" for k, b in enumerate(dict.fromkeys(b for i, j, k, m in quartets.values() for b in ((i, j), (j, k), (k, m))))}
+    parts = lambda n: [F.col(f"{n}{c}") for c in XYZ]
+    x = x.select(*keys, *[v.alias(f"{n}{c}") for b, n in bonds.items() for v, c in zip(flat_vector(*b, box), XYZ)])
+    normals = {p: f"_n{k}" for k, p in enumerate(dict.fromkeys(p for i, j, k, m in quartets.values() for p in (((i, j), (j, k)), ((j, k), (k, m)))))}
+    x = x.select("*", *[v.alias(f"{n}{c}") for (p, q), n in normals.items() for v, c in zip(cross(parts(bonds[p]), parts(bonds[q])), XYZ)])
+    angle = lambda i, j, k, m: torsion_of(parts(normals[(i, j), (j, k)]), parts(normals[(j, k), (k, m)]), parts(bonds[j, k]))
+    x = x.select(*keys, *[angle(*q).alias(n) for n, q in quartets.items()])
+    return x.select(*keys, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in quartets])
 
 
 def improper_bend(atoms: DataFrame, ring: list[int], hub: int, tip: int, box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Degrees by which hub -> tip leaves the ring's plane, signed by the side of its area normal."""
-    x = pick(atoms, [*ring, hub, tip], keys)
-    at = [vector(ring[0], i, box) for i in ring]
-    normal = [sum(c) for c in zip(*[cross(p, q) for p, q in zip(at, at[1:] + at[:1])])]
-    v = vector(hub, tip, box)
-    s = F.try_divide(dot(normal, v), norm(normal) * norm(v))
-    return x.select(*keys, F.degrees(F.asin(unit(s))).alias("bend"))
+    x = pick_flat(atoms, [*ring, hub, tip], keys)
+    parts = lambda n: [F.col(f"{n}{c}") for c in XYZ]
+    x = x.select(*keys, *[v.alias(f"_r{k}{c}") for k, i in enumerate(ring) for v, c in zip(flat_vector(ring[0], i, box), XYZ)], *[v.alias(f"_t{c}") for v, c in zip(flat_vector(hub, tip, box), XYZ)])
+    n = len(ring)
+    normal = [sum(c) for c in zip(*[cross(parts(f"_r{k}"), parts(f"_r{(k + 1) % n}")) for k in range(n)])]
+    x = x.select(*keys, *[v.alias(f"_n{c}") for v, c in zip(normal, XYZ)], *parts("_t"))
+    s = F.try_divide(dot(parts("_n"), parts("_t")), norm(parts("_n")) * norm(parts("_t")))
+    x = x.select(*keys, s.alias("_s"))
+    return x.select(*keys, F.when(~F.isnan("_s"), F.degrees(F.asin(unit(F.col("_s"))))).alias("bend"))
 
 
 def ring_center(atoms: DataFrame, ring: list[int], box: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
@@ -144,18 +166,22 @@ def slab_density(atoms: DataFrame, axis: str, width: float, length: float, area:
     return x.select("slab", (mean / v).alias("mean"), (F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("frames") - mean * mean)) / v).alias("sd"))
 
 
-def unwrap_molecule(atoms: DataFrame, bonds: DataFrame, box: float, most: int, keys: tuple[str, ...] = ("frame",), molecule: str = "mol") -> DataFrame:
+def unwrap_molecule(atoms: DataFrame, bonds: DataFrame, box: float, most: int | None, keys: tuple[str, ...] = ("frame",), molecule: str = "mol") -> DataFrame:
     """Atoms imaged along a spanning tree of their bonds (molecule, a, b) from each molecule's least atom; an atom no bond reaches is null in x, y, z.
 
-    The tree is found once on the bond table, level by level up to `most` bonds deep; a frame then adds up imaged bond
-    vectors along each atom's path.
+    The tree is found once on the bond table, level by level up to `most` bonds deep (None: to its end); a frame then adds
+    up imaged bond vectors along each atom's path.
     """
     both = bonds.select(molecule, "a", "b").unionByName(bonds.select(molecule, F.col("b").alias("a"), F.col("a").alias("b")))
     front = both.groupBy(molecule).agg(F.min("a").alias("node")).select(molecule, "node", F.array("node").alias("path"))
     tree = front
-    for _ in range(most):
+    level = 0
+    while most is None or level < most:
+        level += 1
         nxt = front.withColumnRenamed("node", "a").join(both, [molecule, "a"]).groupBy(molecule, F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
         front = materialise(nxt.join(tree.select(molecule, "node"), [molecule, "node"], "left_anti"))
+        if front.isEmpty():
+            break
         tree = tree.unionByName(front)
     at = atoms.select(*keys, molecule, "atom_id", F.struct(*XYZ).alias("p"))
     step = tree.select(molecule, F.col("node").alias("atom_id"), F.posexplode("path").alias("k", "via"))

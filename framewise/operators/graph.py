@@ -127,15 +127,26 @@ def five_rings(edges: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFra
     return x.select(*keys, F.col("n0").alias("anchor"), F.array_sort(F.array(*[f"n{i}" for i in range(5)])).alias("ring")).distinct()
 
 
-def network_potentials(edges: DataFrame, anchor: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """Potential of every node from signed gaps (a to b: + gap) outward from the anchor (keys, node, potential); spread tells how far cycles fail to close."""
+def network_potentials(edges: DataFrame, anchor: DataFrame, most: int | None, keys: list[str]) -> DataFrame:
+    """Potential of every node from signed gaps (a to b: + gap) outward from the anchor (keys, node, potential); spread tells how far cycles fail to close.
+
+    Networks are molecules: the nodes of a key stand in one array with their edges, and each round reaches the next nodes;
+    most: rounds (None: until no key gains a node). A node that several edges reach in one round takes the least value.
+    """
     both = materialise(edges.select(*keys, "a", "b", "gap").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap")).alias("gap"))))
-    front = anchor.select(*keys, F.col("node").alias("a"), F.col("potential").alias("v"))
-    seen = front
-    for _ in range(most):
-        nxt = front.join(both, [*keys, "a"]).groupBy(*keys, F.col("b").alias("a")).agg(F.min(F.col("v") + F.col("gap")).alias("v"))
-        front = materialise(nxt.join(seen.select(*keys, "a"), [*keys, "a"], "left_anti"))
-        seen = seen.unionByName(front)
+    reach = both.groupBy(*keys, "a").agg(F.collect_list(F.struct("b", "gap")).alias("near"))  # a node's degree
+    seen = anchor.select(*keys, F.col("node").alias("a"), F.col("potential").alias("v"), F.lit(0).alias("step"))
+    step = 0
+    while most is None or step < most:
+        for _ in range(4 if most is None else min(4, most - step)):
+            more = F.when(F.col("step") == step, F.transform("near", lambda e: F.struct(e["b"].alias("a"), (F.col("v") + e["gap"]).alias("v"), F.lit(step + 1).alias("step"))))
+            rows = F.concat(F.array(F.struct("a", "v", "step")), F.coalesce(more, F.array().cast("array<struct<a:bigint,v:double,step:int>>")))
+            x = seen.join(reach, [*keys, "a"], "left").select(*keys, F.inline(rows))
+            seen = x.groupBy(*keys, "a").agg(F.min(F.struct("step", "v")).alias("m")).select(*keys, "a", F.col("m.v").alias("v"), F.col("m.step").alias("step"))
+            step += 1
+        seen = materialise(seen)
+        if seen.where(F.col("step") == step).isEmpty():
+            break
     v = seen.select(*keys, F.col("a").alias("node"), F.col("v").alias("potential"))
     ends = both.join(v.select(*keys, F.col("node").alias("a"), F.col("potential").alias("va")), [*keys, "a"]).join(v.select(*keys, F.col("node").alias("b"), F.col("potential").alias("vb")), [*keys, "b"])
     off = ends.groupBy(*keys, F.col("a").alias("node")).agg(F.max(F.abs(F.col("va") + F.col("gap") - F.col("vb"))).alias("spread"))

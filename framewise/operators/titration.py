@@ -50,48 +50,66 @@ def macro_pka(pkas: list[Column]) -> Column:
     return -F.log10(sum((F.pow(F.lit(10.0), -p) for p in pkas[1:]), F.pow(F.lit(10.0), -pkas[0])))
 
 
-def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, float], rounds: int = 30) -> DataFrame:
+def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, float] | list[dict[str, float]], rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """Damped Gauss-Newton least squares of every key at once.
 
     model: observed column -> (value, [derivative by each parameter]) as functions of the parameters' Columns. Each round
     is one aggregation of J^T J, J^T r and r^T r by key; the small systems are solved by elimination in expressions, and a
-    step that does not lower the sum of squares is undone and damped more.
+    step that does not lower the sum of squares is undone and damped more. A key has converged when a step lowers the sum
+    by less than tolerance of it, or when no step of any length lowers it; it then leaves the rounds, which end when all
+    keys have. Of several starts each key keeps the one with the least sum. Returns the parameters, sse and converged.
     """
     from ..runtime import materialise
 
+    starts = [start] if isinstance(start, dict) else start
+    if len(starts) > 1:
+        numbered = df.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
+        at = {p: F.element_at(F.array(*[F.lit(float(s[p])) for s in starts]), F.col("_start") + 1) for p in starts[0]}
+        every = _gauss_newton(numbered, [*keys, "_start"], model, at, rounds, tolerance, materialise)
+        best = F.min_by(F.struct(*starts[0], "sse", "converged"), F.struct(F.coalesce(F.nanvl("sse", F.lit(float("inf"))), F.lit(float("inf"))), "_start"))
+        return every.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
+    return _gauss_newton(df, keys, model, {p: F.lit(float(v)) for p, v in starts[0].items()}, rounds, tolerance, materialise)
+
+
+def _gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, Column], rounds: int, tolerance: float, materialise) -> DataFrame:
     names = list(start)
     n = len(names)
     df = materialise(df)
-    state = df.select(*keys).distinct().select("*", *[F.lit(float(v)).alias(p) for p, v in start.items()], *[F.lit(float(v)).alias(f"_old_{p}") for p, v in start.items()], F.lit(None).cast("double").alias("_sse"), F.lit(1e-3).alias("_damp"), *[F.lit(0.0).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.lit(0.0).alias(f"_b{i}") for i in range(n)])
+    state = df.select(*keys).distinct().select("*", F.lit(False).alias("_done"), *[v.alias(p) for p, v in start.items()], *[v.alias(f"_old_{p}") for p, v in start.items()], F.lit(None).cast("double").alias("_sse"), F.lit(1e-3).alias("_damp"), *[F.lit(0.0).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.lit(0.0).alias(f"_b{i}") for i in range(n)])
     for _ in range(rounds):
         p = [F.col(c) for c in names]
-        x = df.join(state.select(*keys, *names), keys)
-        sums, rr = {}, F.lit(0.0)
-        parts = []
-        for obs, (value, slopes) in model.items():
-            parts.append((F.col(obs) - value(*p), [s(*p) for s in slopes]))
-        for r, _ in parts:
-            rr = rr + r * r
-        sums["_n"] = F.sum(rr)
+        finished, going = state.where("_done"), state.where("not _done")
+        x = df.join(going.select(*keys, *names), keys)
+        # residuals and slopes as columns, then sums of their products: no formula stands in a sum
+        cols = {}
+        for k, (obs, (value, slopes)) in enumerate(model.items()):
+            cols |= {f"_r{k}": F.col(obs) - value(*p), **{f"_j{k}_{i}": s(*p) for i, s in enumerate(slopes)}}
+        x = x.select(*keys, *[c.alias(name) for name, c in cols.items()])
+        add = lambda parts: F.sum(sum(parts[1:], parts[0]))
+        each = range(len(model))
+        sums = {"_n": add([F.col(f"_r{k}") * F.col(f"_r{k}") for k in each])}
         for i in range(n):
-            sums[f"_g{i}"] = F.sum(sum((js[i] * r for r, js in parts[1:]), parts[0][1][i] * parts[0][0]))
+            sums[f"_g{i}"] = add([F.col(f"_j{k}_{i}") * F.col(f"_r{k}") for k in each])
             for j in range(n):
-                sums[f"_h{i}{j}"] = F.sum(sum((js[i] * js[j] for _, js in parts[1:]), parts[0][1][i] * parts[0][1][j]))
-        y = x.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()]).join(state, keys)
+                sums[f"_h{i}{j}"] = add([F.col(f"_j{k}_{i}") * F.col(f"_j{k}_{j}") for k in each])
+        y = x.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()]).join(going, keys)
         good = F.col("_sse").isNull() | (F.col("_n") <= F.col("_sse"))
+        ends = F.coalesce(good & (F.col("_sse") - F.col("_n") <= tolerance * F.col("_n") + 1e-300), F.lit(False)) | (~good & (F.col("_damp") > 1e9))
         base = [F.when(good, F.col(c)).otherwise(F.col(f"_old_{c}")) for c in names]
-        y = y.select(*keys, *[b.alias(f"_o{i}") for i, b in enumerate(base)], F.when(good, F.col("_n")).otherwise(F.col("_sse")).alias("_sse"), F.when(good, F.greatest(F.lit(1e-9), F.col("_damp") / 5)).otherwise(F.col("_damp") * 8).alias("_damp"), *[F.when(good, F.col(f"_h{i}{j}")).otherwise(F.col(f"_a{i}{j}")).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.when(good, F.col(f"_g{i}")).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(n)])
+        y = y.select(*keys, ends.alias("_done"), *[b.alias(f"_o{i}") for i, b in enumerate(base)], F.when(good, F.col("_n")).otherwise(F.col("_sse")).alias("_sse"), F.when(good, F.greatest(F.lit(1e-9), F.col("_damp") / 5)).otherwise(F.col("_damp") * 8).alias("_damp"), *[F.when(good, F.col(f"_h{i}{j}")).otherwise(F.col(f"_a{i}{j}")).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.when(good, F.col(f"_g{i}")).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(n)])
         m = [[F.col(f"_a{i}{j}") * (1 + F.col("_damp")) + 1e-12 if i == j else F.col(f"_a{i}{j}") for j in range(n)] + [F.col(f"_b{i}")] for i in range(n)]
         y = y.select("*", *[m[i][j].alias(f"_m{i}{j}") for i in range(n) for j in range(n + 1)])
         for c in range(n):  # elimination without pivots: the damped matrix is positive definite
             cols = {f"_m{r}{j}": F.col(f"_m{r}{j}") - F.col(f"_m{r}{c}") / F.col(f"_m{c}{c}") * F.col(f"_m{c}{j}") for r in range(n) if r != c for j in range(n + 1)}
             y = y.withColumns(cols)
-        y = y.select(*keys, *[(F.col(f"_o{i}") + F.col(f"_m{i}{n}") / F.col(f"_m{i}{i}")).alias(c) for i, c in enumerate(names)], *[F.col(f"_o{i}").alias(f"_old_{c}") for i, c in enumerate(names)], "_sse", "_damp", *[f"_a{i}{j}" for i in range(n) for j in range(n)], *[f"_b{i}" for i in range(n)])
-        state = materialise(y)
-    return state.select(*keys, *[F.col(f"_old_{c}").alias(c) for c in names], F.col("_sse").alias("sse"))
+        y = y.select(*keys, "_done", *[(F.col(f"_o{i}") + F.col(f"_m{i}{n}") / F.col(f"_m{i}{i}")).alias(c) for i, c in enumerate(names)], *[F.col(f"_o{i}").alias(f"_old_{c}") for i, c in enumerate(names)], "_sse", "_damp", *[f"_a{i}{j}" for i in range(n) for j in range(n)], *[f"_b{i}" for i in range(n)])
+        state = materialise(y.unionByName(finished))
+        if state.where("not _done").isEmpty():
+            break
+    return state.select(*keys, *[F.col(f"_old_{c}").alias(c) for c in names], F.col("_sse").alias("sse"), F.col("_done").alias("converged"))
 
 
-def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 30, ph: str = "ph") -> DataFrame:
+def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 40, ph: str = "ph") -> DataFrame:
     """M3: p00, p10, p01, p11 of two coupled sites fitted to pk10, pk01 and the coupling w (in pK units); macroscopic pKas."""
     ten, ln = F.lit(10.0), math.log(10)
 
@@ -114,10 +132,10 @@ def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 30, ph: str = "ph
     model = {k: ((lambda k: lambda *p: shares(*p)[k])(k), [slope(k, i) for i in range(3)]) for k in power}
     x = gauss_newton(df, keys, model, {"pk_a": 7.0, "pk_b": 7.0, "w": 0.0}, rounds)
     first = -F.log10(F.pow(ten, -F.col("pk_a")) + F.pow(ten, -F.col("pk_b")))
-    return x.select(*keys, "pk_a", "pk_b", "w", first.alias("macro_1"), (F.col("pk_a") + F.col("pk_b") + F.col("w") - first).alias("macro_2"), "sse")
+    return x.select(*keys, "pk_a", "pk_b", "w", first.alias("macro_1"), (F.col("pk_a") + F.col("pk_b") + F.col("w") - first).alias("macro_2"), "sse", "converged")
 
 
-def fit_microstates(df: DataFrame, keys: list[str], n: int, rounds: int = 30, ph: str = "ph") -> DataFrame:
+def fit_microstates(df: DataFrame, keys: list[str], n: int, rounds: int = 40, ph: str = "ph") -> DataFrame:
     """M4: shares s0 (protonated), s1..sn (tautomers) fitted to one pKa a tautomer; macroscopic pKa."""
     ln = math.log(10)
     share = lambda k: lambda *p: microstate_weights(F.col(ph), list(p))[k]

@@ -91,7 +91,9 @@ def _(spark, d):
     return FE.pmf_thermodynamics(fes(spark, d), (0.0, 0.4), (0.9, 2.0), (0.4, 0.9), 300.0, ["surface"])
 
 
-@query("f14_hermite_dense")
+@query("f14_hermite_dense", f"""WITH {FES}, m AS (SELECT *, coalesce((lead(f) OVER w - lag(f) OVER w) / (lead(x) OVER w - lag(x) OVER w), (f - lag(f) OVER w) / (x - lag(x) OVER w), (lead(f) OVER w - f) / (lead(x) OVER w - x)) AS m FROM fes WINDOW w AS (PARTITION BY surface ORDER BY x)),
+n AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1, lead(m) OVER w AS m1 FROM m WINDOW w AS (PARTITION BY surface ORDER BY x))
+SELECT surface, x + u * (x1 - x) AS x, (2 * u**3 - 3 * u**2 + 1) * f + (u**3 - 2 * u**2 + u) * (x1 - x) * m + (3 * u**2 - 2 * u**3) * f1 + (u**3 - u**2) * (x1 - x) * m1 AS f FROM n, (SELECT i / 3.0 AS u FROM range(0, 3) r(i)) WHERE x1 IS NOT NULL""", "x f")
 def _(spark, d):
     return FE.hermite_dense(fes(spark, d), 3, ["surface"])
 
@@ -103,7 +105,13 @@ def _(spark, d):
     return FE.pmf_features(fes(spark, d), (0.0, 0.5), (0.8, 2.0), 300.0, ["surface"])
 
 
-@query("h8_extrema")
+def extrema_sql(src: str, key: str, separation: float) -> str:
+    """CTEs k (kept minima) and t (maxima between them) of a curve (key, x, f)."""
+    return f"""e AS (SELECT *, lag(f) OVER w AS l, lead(f) OVER w AS r FROM {src} WINDOW w AS (PARTITION BY {key} ORDER BY x)), m AS (SELECT {key}, x, f, sum(CASE WHEN x - p >= {separation} OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY x) AS g FROM (SELECT *, lag(x) OVER (PARTITION BY {key} ORDER BY x) AS p FROM e WHERE f < l AND f < r)),
+k AS (SELECT {key}, arg_min(x, (f, x)) AS x, min(f) AS f FROM m GROUP BY {key}, g), s AS (SELECT *, lead(x) OVER (PARTITION BY {key} ORDER BY x) AS nx FROM k), t AS (SELECT {src}.{key}, s.x AS a, arg_max({src}.x, ({src}.f, -{src}.x)) AS x, max({src}.f) AS f FROM {src} JOIN s ON s.{key} = {src}.{key} AND {src}.x > s.x AND {src}.x < s.nx GROUP BY ALL)"""
+
+
+@query("h8_extrema", f"WITH {FES}, {extrema_sql('fes', 'surface', 0.15)} SELECT surface, x, f, 'min' AS kind FROM k UNION ALL SELECT surface, x, f, 'max' FROM t", "x f")
 def _(spark, d):
     return density.extrema(fes(spark, d), "x", "f", 0.15, ["surface"])
 
@@ -146,14 +154,20 @@ def counted(spark, d):
     return u, u.where("sample = 0").count()
 
 
-@query("f18_mbar")
+U = ", ".join(f"-ln(sum(exp(-u[{k}] / {KT} - den)))" for k in range(1, 11))
+#: The self-consistent equations iterated 400 times from zero; `last` holds the free energies in units of kT.
+MBAR = f"""it AS (SELECT 0 AS k, [0.0::DOUBLE FOR x IN range(0, 10)] AS f UNION ALL SELECT k + 1, [v - g[1] FOR v IN g] FROM (SELECT k, [{U}] AS g FROM (SELECT it.k, e.u, ln(n * list_sum([exp(it.f[i] - e.u[i] / {KT}) FOR i IN range(1, 11)])) AS den FROM it, energies e, least WHERE it.k < 400) GROUP BY k)), last AS (SELECT f FROM it WHERE k = 400)"""
+
+
+@query("f18_mbar", f"WITH {MBAR} SELECT CAST(i - 1 AS BIGINT) AS state, f[i] * {KT} AS f FROM last, range(1, 11) r(i)", "f", "energies")
 def _(spark, d):
     u, n = counted(spark, d)
     f, _o = FE.mbar(u, 10, KT, n)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(f)], "state int, f double")
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(f)], "state bigint, f double")
 
 
-@query("f18_mbar_overlap")
+@query("f18_mbar_overlap", f"""WITH {MBAR}, d AS (SELECT u, f, n, ln(n * list_sum([exp(f[i] - u[i] / {KT}) FOR i IN range(1, 11)])) AS den FROM last, energies, least), w AS (SELECT n, [exp(f[i] - u[i] / {KT} - den) FOR i IN range(1, 11)] AS w FROM d)
+SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, any_value(n) * sum(w[i] * w[j]) AS overlap FROM w, range(1, 11) a(i), range(1, 11) b(j) GROUP BY ALL""", "overlap", "energies")
 def _(spark, d):
     u, n = counted(spark, d)
     return FE.mbar(u, 10, KT, n)[1]
@@ -182,10 +196,11 @@ def _(spark, d):
     return FE.ti(energies(spark, d), [k / 9 for k in range(10)], 5)
 
 
-@query("f20_convergence", f"""WITH {WORK.replace('FROM energies', 'FROM pre').replace('SELECT sample AS edge', 'SELECT frames, sample AS edge').replace('SELECT sample - 1', 'SELECT frames, sample - 1').replace('work AS', 'pre AS (SELECT energies.*, e.frames FROM energies JOIN (VALUES (10), (20), (40)) e(frames) ON frame <= e.frames), work AS')}
+@query("f20_convergence", f"""WITH {WORK.replace('FROM energies', 'FROM pre').replace('SELECT sample AS edge', 'SELECT frames, sample AS edge').replace('SELECT sample - 1', 'SELECT frames, sample - 1').replace('work AS', 'pre AS (SELECT energies.*, e.frames FROM energies JOIN (SELECT DISTINCT n * k // 4 AS frames FROM least, (VALUES (1), (2), (4)) v(k)) e ON frame <= e.frames), work AS')}
 SELECT frames, edge, -{KT} * ln(avg(exp(-w)) FILTER (way = 'f')) AS forward, {KT} * ln(avg(exp(-w)) FILTER (way = 'r')) AS reverse, -{KT} * ln(avg(exp(-w)) FILTER (way = 'f')) - {KT} * ln(avg(exp(-w)) FILTER (way = 'r')) AS hysteresis FROM work GROUP BY ALL""", "forward reverse hysteresis", "energies")
 def _(spark, d):
-    return FE.fep_edges(FE.convergence(energies(spark, d), [10, 20, 40]), 10, KT, ["frames"])
+    u, n = counted(spark, d)  # prefixes of a quarter, half and all of the frames
+    return FE.fep_edges(FE.convergence(u, [n // 4, n // 2, n]).withColumn("frames", F.col("frames").cast("bigint")), 10, KT, ["frames"])
 
 
 @query("f21_orient", "SELECT 9 - sample AS sample, frame, u[10] AS first_u, u[1] AS last_u FROM energies", "first_u last_u", "energies")
@@ -201,22 +216,35 @@ def weighted(spark, d):
     return FE.tp_weights(series(spark, d).select("run", "t", "value"), hills(spark, d), 300.0, 0.0, 200.0, 41, ["run"])
 
 
-@query("f7_tp_weights", f"""WITH h AS (SELECT run, t AS th, value AS c FROM series WHERE idx % 6 = 0), b AS (SELECT s.run, s.t, s.value, coalesce(sum(0.3 * exp(-0.5 * ((s.value - h.c) / 15) ** 2)), 0) AS bias FROM series s LEFT JOIN h ON h.run = s.run AND h.th <= s.t GROUP BY ALL),
+WEIGHTED = f"""h AS (SELECT run, t AS th, value AS c FROM series WHERE idx % 6 = 0), b AS (SELECT s.run, s.t, s.value, coalesce(sum(0.3 * exp(-0.5 * ((s.value - h.c) / 15) ** 2)), 0) AS bias FROM series s LEFT JOIN h ON h.run = s.run AND h.th <= s.t GROUP BY ALL),
 g AS (SELECT s.run, s.t, s.value, i, i * 5.0 AS x, coalesce(sum(0.3 * exp(-0.5 * ((i * 5.0 - h.c) / 15) ** 2)), 0) AS v FROM series s CROSS JOIN range(0, 41) r(i) LEFT JOIN h ON h.run = s.run AND h.th <= s.t GROUP BY ALL),
 o AS (SELECT run, t, {X.GAS_KCAL * 300!r} * ln(sum(CASE WHEN i IN (0, 40) THEN 2.5 ELSE 5.0 END * exp(v / {X.GAS_KCAL * 300!r} - 0.5 * ((x - value) / 15) ** 2)) / (sqrt(2 * pi()) * 15)) AS off FROM g GROUP BY run, t),
-l AS (SELECT run, t, value, bias, off, (bias - off) / {X.GAS_KCAL * 300!r} AS lw FROM b JOIN o USING (run, t)), m AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY run)) AS e FROM l)
+l AS (SELECT run, t, value, bias, off, (bias - off) / {X.GAS_KCAL * 300!r} AS lw FROM b JOIN o USING (run, t)), m AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY run)) AS e FROM l)"""
+
+
+@query("f7_tp_weights", f"""WITH {WEIGHTED}
 SELECT run, t, value, bias, off AS "offset", lw AS log_weight, e / sum(e) OVER (PARTITION BY run) AS weight FROM m""", 't value bias "offset" log_weight weight', "series")
 def _(spark, d):
     return weighted(spark, d)
 
 
-@query("f8_joint_fes")
+RT = f"{X.GAS_KCAL * 300!r}"
+JOINT = f"""{WEIGHTED}, x AS (SELECT run, t, value, value * value % 150 AS r, e / sum(e) OVER (PARTITION BY run) AS w FROM m),
+d AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i * 10.0 AS a, j * 10.0 AS b, sum(w * exp(-0.5 * ((i * 10.0 - value) / 15) ** 2) * exp(-0.5 * ((j * 10.0 - r) / 12) ** 2)) AS p FROM x, range(0, 21) gi(i), range(0, 16) gj(j) GROUP BY ALL),
+q AS (SELECT i, j, a, b, p / sum(p * CASE WHEN i IN (0, 20) THEN 0.5 ELSE 1 END * CASE WHEN j IN (0, 15) THEN 0.5 ELSE 1 END * 100) OVER () AS p FROM d),
+jf AS (SELECT *, -{RT} * ln(p) - min(-{RT} * ln(p)) OVER () AS f FROM q)"""
+
+
+@query("f8_joint_fes", f"WITH {JOINT} SELECT i, j, a, b, p, f FROM jf", "a b p f", "series")
 def _(spark, d):
     x = weighted(spark, d).withColumn("r", F.col("value") * F.col("value") % 150)
     return FE.joint_fes(x, "value", "r", "weight", (0.0, 200.0, 21), (0.0, 150.0, 16), 15.0, 12.0, 300.0)
 
 
-@query("f9_joint_minima")
+LOW = "lo AS (SELECT c.* FROM jf c WHERE f <= 5 AND NOT EXISTS (SELECT 1 FROM jf n WHERE abs(n.i - c.i) <= 1 AND abs(n.j - c.j) <= 1 AND (n.i <> c.i OR n.j <> c.j) AND n.f <= c.f))"
+
+
+@query("f9_joint_minima", f"WITH {JOINT}, {LOW} SELECT i, j, a, b, p, f FROM lo", "a b p f", "series")
 def _(spark, d):
     x = weighted(spark, d).withColumn("r", F.col("value") * F.col("value") % 150)
     return FE.joint_minima(FE.joint_fes(x, "value", "r", "weight", (0.0, 200.0, 21), (0.0, 150.0, 16), 15.0, 12.0, 300.0), 5.0)
@@ -257,9 +285,19 @@ def _(spark, d):
     return T.fit_hh(titration_points(spark, d), ["site"])
 
 
-@query("m2_fit_titration_grid")
+def grid_sql(lo: float, hi: float, points: int = 41, rounds: int = 4) -> str:
+    n = points - 1
+    out = [f"WITH {TITR}, b0 AS (SELECT DISTINCT site, {(lo + hi) / 2}::DOUBLE AS pka, 2.0::DOUBLE AS hill, {(hi - lo) / 2}::DOUBLE AS dp, 1.8::DOUBLE AS dh FROM titr)"]
+    for k in range(rounds):
+        out.append(f"g{k} AS (SELECT DISTINCT site, dp, dh, pka + (2 * i / {n}.0 - 1) * dp AS pka, greatest(0.05, hill + (2 * j / {n}.0 - 1) * dh) AS hill FROM b{k}, range(0, {points}) a(i), range(0, {points}) b(j))")
+        out.append(f"s{k} AS (SELECT site, pka, hill, dp, dh, sum((1 - fraction - 1 / (1 + pow(10, hill * (pka - ph)))) ** 2) AS sse FROM titr JOIN g{k} USING (site) GROUP BY ALL)")
+        out.append(f"b{k + 1} AS (SELECT site, arg_min(pka, (sse, pka, hill)) AS pka, arg_min(hill, (sse, pka, hill)) AS hill, min(sse) AS sse, any_value(dp) * 4 / {n} AS dp, any_value(dh) * 4 / {n} AS dh FROM s{k} GROUP BY site)")
+    return ", ".join(out) + f" SELECT site, pka, hill, sse FROM b{rounds}"
+
+
+@query("m2_fit_titration_grid", grid_sql(0.0, 14.0), "pka hill sse")
 def _(spark, d):
-    return T.fit_titration_grid(titration_points(spark, d).withColumn("fraction", 1 - F.col("fraction")), ["site"], 0.0, 14.0, 21, 3)
+    return T.fit_titration_grid(titration_points(spark, d).withColumn("fraction", 1 - F.col("fraction")), ["site"], 0.0, 14.0)
 
 
 @query("m3_fit_two_site")
@@ -267,14 +305,14 @@ def _(spark, d):
     p = titration_points(spark, d)
     a, b = 1 - F.col("fraction"), 1 - F.sqrt("fraction")
     x = p.select("site", "ph", ((1 - a) * (1 - b)).alias("p11"), (a * (1 - b)).alias("p01"), ((1 - a) * b).alias("p10"), (a * b).alias("p00"))
-    return T.fit_two_site(x, ["site"], rounds=6)
+    return T.fit_two_site(x, ["site"])
 
 
 @query("m4_fit_microstates")
 def _(spark, d):
     p = titration_points(spark, d)
     x = p.select("site", "ph", F.col("fraction").alias("s0"), (0.3 * (1 - F.col("fraction"))).alias("s1"), (0.7 * (1 - F.col("fraction"))).alias("s2"))
-    return T.fit_microstates(x, ["site"], 2, rounds=10)
+    return T.fit_microstates(x, ["site"], 2)
 
 
 @query("m5_titration_curve", f"WITH {TITR}, s AS (SELECT site, avg(fraction) * 10 AS pka FROM titr GROUP BY site) SELECT site, pka, 1.0 AS hill, 2 + i * 0.5 AS ph, 1 / (1 + pow(10, pka - (2 + i * 0.5))) AS fraction FROM s, range(0, 21) r(i)", "pka hill ph fraction")

@@ -94,6 +94,46 @@ def vec(p: str, q: str) -> str:
     return ", ".join(f"p{q}{c}-p{p}{c} - 50*round_even((p{q}{c}-p{p}{c})/50, 0) AS {p}{q}{c}" for c in "xyz")
 
 
+def pivot(n: int) -> str:
+    """One row a frame with coordinates p<id><axis> of the first n atoms."""
+    cols = ", ".join(f"max({c}) FILTER (atom_id = {i}) AS p{i}{c}" for i in range(1, n + 1) for c in "xyz")
+    return f"pv AS (SELECT frame, {cols} FROM atoms GROUP BY frame)"
+
+
+def imaged(e: str) -> str:
+    return f"(({e}) - 50*round_even(({e})/50, 0))"
+
+
+def arrow(i: int, j: int) -> list[str]:
+    """Imaged vector between two pivoted atoms."""
+    return [imaged(f"p{j}{c} - p{i}{c}") for c in "xyz"]
+
+
+def named(name: str, v: list[str]) -> str:
+    return ", ".join(f"{e} AS {name}{c}" for e, c in zip(v, "xyz"))
+
+
+def col(name: str) -> list[str]:
+    return [f"{name}{c}" for c in "xyz"]
+
+
+def crossed(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[i]}*{b[j]} - {a[j]}*{b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+def dotted(a: list[str], b: list[str]) -> str:
+    return "(" + " + ".join(f"{x}*{y}" for x, y in zip(a, b)) + ")"
+
+
+def length(a: list[str]) -> str:
+    return f"sqrt{dotted(a, a)}"
+
+
+def torsion(u: list[str], v: list[str], w: list[str]) -> str:
+    m, n = crossed(u, v), crossed(v, w)
+    return f"CASE WHEN {length(m)} > 1e-12 AND {length(n)} > 1e-12 THEN degrees(atan2({dotted(crossed(m, n), v)} / nullif({length(v)}, 0), {dotted(m, n)})) END"
+
+
 PIVOT = "pv AS (SELECT frame, " + ", ".join(f"max({c}) FILTER (atom_id = {i}) AS p{n}{c}" for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")) for c in "xyz") + " FROM atoms GROUP BY frame)"
 
 
@@ -106,7 +146,8 @@ def _(spark, d):
     return geometry.dihedrals(a.join(some, "frame", "left_semi"), {"phi": (1, 2, 3, 4)}, BOX)
 
 
-@query("g8_improper_bend")
+@query("g8_improper_bend", f"""WITH {pivot(4)}, v AS (SELECT frame, {named('a', arrow(1, 2))}, {named('q', arrow(1, 3))}, {named('t', arrow(3, 4))} FROM pv), n AS (SELECT *, {named('n', crossed(col('a'), col('q')))} FROM v)
+SELECT frame, degrees(asin(greatest(-1, least(1, {dotted(col('n'), col('t'))} / ({length(col('n'))} * {length(col('t'))}))))) AS bend FROM n WHERE {length(col('n'))} * {length(col('t'))} > 0""", "bend", "atoms")
 def _(spark, d):
     return geometry.improper_bend(atoms(spark, d), [1, 2, 3], 3, 4, BOX).where("bend is not null")
 
@@ -116,19 +157,24 @@ def _(spark, d):
     return geometry.ring_center(atoms(spark, d), [1, 2, 3], BOX)
 
 
-@query("g9_ring_distance")
+@query("g9_ring_distance", f"""WITH {pivot(3)}, c AS (SELECT frame, {', '.join(f"p1{c} + ({imaged(f'p2{c} - p1{c}')} + {imaged(f'p3{c} - p1{c}')}) / 3 AS c{c}" for c in 'xyz')} FROM pv),
+q AS (SELECT frame, arg_max(atom_id, (-z / 100, atom_id)) AS atom_id FROM atoms WHERE element = 'O' AND atom_id > 3 AND -z / 100 BETWEEN -0.4 AND -0.1 GROUP BY frame)
+SELECT a.frame, sqrt({' + '.join(imaged(f'c{c} - a.{c}') + '**2' for c in 'xyz')}) AS ring_a FROM q JOIN atoms a ON a.frame = q.frame AND a.atom_id = q.atom_id LEFT JOIN c ON c.frame = a.frame""", "ring_a", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
     q = agg.positive_defect(a.where("element = 'O' and atom_id > 3").withColumn("q", -F.col("z") / 100), "q", -0.4, -0.1, ["frame"]).where("defect is not null")
     return geometry.ring_distance(a, q.select("frame", F.col("defect").alias("atom_id")), {"ring_a": [1, 2, 3]}, BOX)
 
 
-@query("g10_helicity")
+@query("g10_helicity", f"""WITH {pivot(7)}, r AS (SELECT frame, {', '.join(f"p{i}{c} + {imaged(f'p{j}{c} - p{i}{c}')} / 2 AS r{k}{c}" for k, (i, j) in enumerate(((1, 2), (3, 4), (5, 6), (6, 7))) for c in 'xyz')} FROM pv WHERE p7x IS NOT NULL),
+b AS (SELECT frame, {', '.join(named(f'b{k}', [imaged(f'r{k + 1}{c} - r{k}{c}') for c in 'xyz']) for k in range(3))} FROM r) SELECT frame, {torsion(col('b0'), col('b1'), col('b2'))} AS helicity FROM b""", "helicity", "atoms")
 def _(spark, d):
     return geometry.helicity(atoms(spark, d), [[1, 2], [3, 4], [5, 6], [6, 7]], BOX)
 
 
-@query("g11_ring_planarity")
+@query("g11_ring_planarity", f"""WITH {pivot(6)}, v AS (SELECT frame, {', '.join(named(f'v{k}', arrow(k + 1, (k + 1) % 6 + 1)) for k in range(6))} FROM pv WHERE p6x IS NOT NULL),
+t AS (SELECT frame, {', '.join(f"{torsion(col(f'v{k}'), col(f'v{(k + 1) % 6}'), col(f'v{(k + 2) % 6}'))} + 90 AS t{k}" for k in range(6))} FROM v)
+SELECT frame, ({' + '.join(f'abs(t{k} - 180 * floor(t{k} / 180) - 90)' for k in range(6))}) / 6 AS planarity FROM t WHERE {' AND '.join(f't{k} IS NOT NULL' for k in range(6))}""", "planarity", "atoms")
 def _(spark, d):
     return geometry.ring_planarity(atoms(spark, d), [1, 2, 3, 4, 5, 6], BOX).where("planarity is not null")
 
@@ -170,7 +216,8 @@ def _(spark, d):
     return bonds(spark, d)
 
 
-@query("g16_hbond_lifetime")
+@query("g16_hbond_lifetime", f"""WITH {HB}, s AS (SELECT run, frame, row_number() OVER (PARTITION BY run ORDER BY frame) AS t, frame IN (SELECT frame FROM hb WHERE angle >= 90) AS bound FROM (SELECT DISTINCT run, frame FROM atoms)),
+i AS (SELECT run, count(*) AS n FROM (SELECT run, t - row_number() OVER (PARTITION BY run ORDER BY t) AS g FROM s WHERE bound) GROUP BY run, g) SELECT run, count(*) AS n, max(n) AS longest, avg(n) AS mean FROM i GROUP BY run""", "mean", "atoms")
 def _(spark, d):
     w = Window.partitionBy("run").orderBy("frame")
     b = bonds(spark, d).select("frame").distinct().withColumn("on", F.lit(True))
@@ -193,19 +240,27 @@ def _(spark, d):
     return pairs.farthest_water(a.where(O()), a.where(C()), BOX)
 
 
-@query("g18_common_water")
+@query("g18_common_water", f"""WITH w AS (SELECT *, frame // 2 AS grp FROM atoms WHERE element = 'O'), n AS (SELECT grp, count(DISTINCT frame) AS n FROM w GROUP BY grp),
+x AS (SELECT a.grp, a.frame, a.atom_id AS i, min({D}) AS d FROM w a JOIN atoms b ON a.frame = b.frame AND a.atom_id <> b.atom_id AND b.element = 'C' GROUP BY ALL),
+y AS (SELECT grp, i, min(d) AS least, avg(d) AS mean, count(*) AS c FROM x GROUP BY ALL) SELECT grp, arg_max(i, (least, mean, -i)) AS water, max(least) AS least, arg_max(mean, (least, mean, -i)) AS mean FROM y JOIN n USING (grp) WHERE c = n GROUP BY grp""", "least mean", "atoms")
 def _(spark, d):
     a = atoms(spark, d).withColumn("grp", F.floor(F.col("frame") / 2))
     return pairs.common_water(a.where(O()), a.where(C()).select("grp", "frame", "atom_id", "x", "y", "z"), BOX, "grp")
 
 
-@query("g19_select_acceptor")
+@query("g19_select_acceptor", f"""WITH own AS (SELECT frame, i AS h, arg_min(j, (d, j)) AS donor FROM ({pairs_sql("'H'", "'O'", 3)}) GROUP BY ALL), x AS (SELECT p.frame, p.i AS h, p.j AS acceptor, p.d, own.donor FROM ({pairs_sql("'H'", "'O'", 16)}) p JOIN own ON own.frame = p.frame AND own.h = p.i WHERE p.j <> own.donor),
+y AS (SELECT x.*, {DOT} AS dot, {D.replace('a.', 'h.').replace('b.', 'a.')} * {D.replace('a.', 'h.').replace('b.', 'c.')} AS len FROM x JOIN atoms h ON h.frame = x.frame AND h.atom_id = x.h JOIN atoms a ON a.frame = x.frame AND a.atom_id = x.donor JOIN atoms c ON c.frame = x.frame AND c.atom_id = x.acceptor),
+z AS (SELECT *, NOT coalesce(d <= 8 AND degrees(acos(greatest(-1, least(1, dot / nullif(len, 0))))) >= 100 AND len > 0, false) AS no FROM y)
+SELECT frame, h, arg_min(acceptor, (no, d, acceptor)) AS acceptor, arg_min(d, (no, d, acceptor)) AS d, NOT arg_min(no, (no, d, acceptor)) AS is_hbond FROM z GROUP BY ALL""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
     return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX, dense=False)
 
 
-@query("g20_sasa")
+@query("g20_sasa", """WITH k AS (SELECT k, 1 - (2 * k + 1) / 60.0 AS kz, sqrt(1 - (1 - (2 * k + 1) / 60.0) ** 2) AS rho, k * 2.399963229728653 AS phi FROM range(0, 60) r(k)),
+t AS (SELECT frame, atom_id AS i, k, x + 8 * rho * cos(phi) AS px, y + 8 * rho * sin(phi) AS py, z + 8 * kz AS pz FROM atoms, k WHERE element = 'C'),
+h AS (SELECT DISTINCT t.frame, t.i, t.k FROM t JOIN atoms b ON b.frame = t.frame AND b.atom_id <> t.i WHERE sqrt((b.x-px - 50*round_even((b.x-px)/50, 0))**2 + (b.y-py - 50*round_even((b.y-py)/50, 0))**2 + (b.z-pz - 50*round_even((b.z-pz)/50, 0))**2) < 8)
+SELECT t.frame, t.i, count(*) FILTER (h.k IS NULL) / 60.0 * 4 * pi() * 64 AS area FROM t LEFT JOIN h USING (frame, i, k) GROUP BY ALL""", "area", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
     return pairs.sasa(a.where(C()), a, 8.0, 60, BOX, dense=False)
@@ -312,28 +367,37 @@ def ends(spark, d):
     return atoms(spark, d).where(O() | C()).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
 
 
-PATH = f"""WITH {EDGES}, ends AS (SELECT frame, min(atom_id) AS source, max(atom_id) AS target FROM atoms WHERE element IN ('O', 'C') GROUP BY frame),
-w AS (SELECT frame, source, target, source AS here, [source] AS path FROM ends UNION ALL SELECT w.frame, w.source, w.target, e.b, list_append(w.path, e.b) FROM w JOIN edges e ON e.frame = w.frame AND e.a = w.here WHERE w.here <> w.target AND len(w.path) <= 3 AND NOT list_contains(w.path, e.b)),
-b AS (SELECT frame, arg_min(path, (len(path), path)) AS path FROM w WHERE here = target GROUP BY frame)
-SELECT ends.frame, source, target, path IS NOT NULL AS connected, CAST(coalesce(len(path) - 2, -1) AS INTEGER) AS n_bridging, CASE WHEN path IS NULL THEN NULL ELSE array_to_string(path, '-') END AS path FROM ends LEFT JOIN b USING (frame)"""
+def path_sql(edges: str, elements: str) -> str:
+    """CTEs ending in b (frame, path): least of the shortest paths of up to five edges from the first to the last atom of some elements."""
+    return f"""{edges}, ends AS (SELECT frame, min(atom_id) AS source, max(atom_id) AS target FROM atoms WHERE element IN ({elements}) GROUP BY frame),
+w AS (SELECT frame, source, target, source AS here, [source] AS path FROM ends UNION ALL SELECT w.frame, w.source, w.target, e.b, list_append(w.path, e.b) FROM w JOIN edges e ON e.frame = w.frame AND e.a = w.here WHERE w.here <> w.target AND len(w.path) <= 5 AND NOT list_contains(w.path, e.b)),
+b AS (SELECT frame, arg_min(path, (len(path), path)) AS path FROM w WHERE here = target GROUP BY frame)"""
+
+
+PATHS = "SELECT ends.frame, source, target, path IS NOT NULL AS connected, CAST(coalesce(len(path) - 2, -1) AS INTEGER) AS n_bridging, CASE WHEN path IS NULL THEN NULL ELSE array_to_string(path, '-') END AS path FROM ends LEFT JOIN b USING (frame)"
+PATH = f"WITH {path_sql(EDGES, chr(39) + 'O' + chr(39) + ', ' + chr(39) + 'C' + chr(39))} {PATHS}"
+BONDED = HB + ", hu AS (SELECT DISTINCT frame, donor, acceptor FROM hb WHERE angle >= 90), edges AS (SELECT frame, donor AS a, acceptor AS b FROM hu UNION SELECT frame, acceptor, donor FROM hu)"
 
 
 @query("n1_shortest_path", PATH, "", "atoms")
 def _(spark, d):
-    x = graph.shortest_path(edges(spark, d), ends(spark, d), 3, ["frame"])
+    x = graph.shortest_path(edges(spark, d), ends(spark, d), 5, ["frame"])
     return x.withColumn("path", F.when(F.col("path").isNotNull(), F.array_join(F.transform("path", lambda i: i.cast("string")), "-")))
 
 
-@query("n2_hbond_path")
+@query("n2_hbond_path", f"WITH {path_sql(BONDED, chr(39) + 'O' + chr(39))} {PATHS}", "", "atoms")
 def _(spark, d):
     e = graph.hbond_edges(bonds(spark, d), ["frame"])
     a = atoms(spark, d).where(O()).groupBy("frame").agg(F.min("atom_id").alias("source"), F.max("atom_id").alias("target"))
-    return graph.shortest_path(e, a, 3, ["frame"]).withColumn("path", F.array_join(F.transform("path", lambda i: i.cast("string")), "-"))
+    return graph.shortest_path(e, a, 5, ["frame"]).withColumn("path", F.array_join(F.transform("path", lambda i: i.cast("string")), "-"))
 
 
-@query("n3_path_shape")
+@query("n3_path_shape", f"""WITH {path_sql(EDGES, chr(39) + 'O' + chr(39) + ', ' + chr(39) + 'C' + chr(39))}, p AS (SELECT frame, unnest(path) AS atom_id, generate_subscripts(path, 1) AS k FROM b WHERE len(path) >= 2), c AS (SELECT p.frame, p.k, a.x, a.y, a.z FROM p JOIN atoms a ON a.frame = p.frame AND a.atom_id = p.atom_id),
+e AS (SELECT frame, k, {', '.join(f"{imaged(f'lead({c}) OVER w - {c}')} AS d{c}" for c in 'xyz')} FROM c WINDOW w AS (PARTITION BY frame ORDER BY k)), f AS (SELECT *, {', '.join(f'-lead(d{c}) OVER w AS n{c}' for c in 'xyz')} FROM e WHERE dx IS NOT NULL WINDOW w AS (PARTITION BY frame ORDER BY k)),
+g AS (SELECT frame, sum({length(col('d'))}) AS contour, avg(CASE WHEN {length(col('d'))} * {length(col('n'))} > 0 THEN degrees(acos(greatest(-1, least(1, {dotted(col('d'), col('n'))} / ({length(col('d'))} * {length(col('n'))}))))) END) AS mean_angle, sqrt(sum(dx)**2 + sum(dy)**2 + sum(dz)**2) AS end_to_end FROM f GROUP BY frame)
+SELECT frame, contour, end_to_end, mean_angle, 1 - end_to_end / nullif(contour, 0) AS loopiness FROM g""", "contour end_to_end mean_angle loopiness", "atoms")
 def _(spark, d):
-    p = graph.shortest_path(edges(spark, d), ends(spark, d), 3, ["frame"])
+    p = graph.shortest_path(edges(spark, d), ends(spark, d), 5, ["frame"])
     return graph.path_shape(p.where("connected"), atoms(spark, d), BOX, ["frame"])
 
 
@@ -356,17 +420,19 @@ def _(spark, d):
     return graph.largest_component(edges(spark, d), ["frame"])
 
 
-@query("n7_five_rings")
+@query("n7_five_rings", f"""WITH {EDGES}, s AS (SELECT frame, min(atom_id) AS n0 FROM atoms WHERE element IN ('O', 'C') GROUP BY frame),
+r AS (SELECT DISTINCT s.frame, list_sort([n0, e1.b, e2.b, e3.b, e4.b]) AS ring FROM s {' '.join(f"JOIN edges e{k} ON e{k}.frame = s.frame AND e{k}.a = {'n0' if k == 1 else f'e{k - 1}.b'} AND e{k}.b NOT IN ({', '.join(['n0', *(f'e{m}.b' for m in range(1, k))])})" for k in range(1, 5))} JOIN edges z ON z.frame = s.frame AND z.a = e4.b AND z.b = n0)
+SELECT frame, count(*) AS n_rings FROM r GROUP BY frame""", "", "atoms")
 def _(spark, d):
     near = edges(spark, d)
     x = graph.five_rings(near, ends(spark, d).withColumnRenamed("source", "node"), ["frame"])
     return x.groupBy("frame").agg(F.count("*").alias("n_rings"))
 
 
-@query("n8_network_potentials", """SELECT frame, atom_id AS node, 5.0 + sum(g) OVER (PARTITION BY frame ORDER BY atom_id) AS potential, 0.0 AS spread FROM (SELECT frame, atom_id, coalesce(x - lag(x) OVER (PARTITION BY frame ORDER BY atom_id), 0.0) / 10 AS g FROM atoms WHERE atom_id <= 5)""", "potential spread", "atoms")
+@query("n8_network_potentials", """SELECT frame, atom_id AS node, 5.0 + sum(g) OVER (PARTITION BY frame ORDER BY atom_id) AS potential, 0.0 AS spread FROM (SELECT frame, atom_id, coalesce(x - lag(x) OVER (PARTITION BY frame ORDER BY atom_id), 0.0) / 10 AS g FROM atoms)""", "potential spread", "atoms")
 def _(spark, d):
     w = Window.partitionBy("frame").orderBy("atom_id")
-    a = atoms(spark, d).where("atom_id <= 5")
+    a = atoms(spark, d)
     e = a.select("frame", F.lag("atom_id").over(w).alias("a"), F.col("atom_id").alias("b"), ((F.col("x") - F.lag("x").over(w)) / 10).alias("gap")).where("a is not null")
     start = a.where("atom_id = 1").select("frame", F.col("atom_id").alias("node"), F.lit(5.0).alias("potential"))
-    return graph.network_potentials(e, start, 4, ["frame"])
+    return graph.network_potentials(e, start, None, ["frame"])

@@ -20,14 +20,14 @@ def landed(df: DataFrame, by: str = "run", order: str = "t") -> str:
     return f"{path}/*/*"
 
 
-@query("s1_scan_xyz", "SELECT run, frame * 0.5 AS t_ps, frame AS step, atom_id, element, x, y, z FROM atoms WHERE frame % 4 = 1 AND (run, frame) IN (SELECT run, frame FROM (SELECT run, frame, count(*) AS n FROM atoms GROUP BY ALL) WHERE n = 4)", "t_ps x y z", "atoms")
+@query("s1_scan_xyz", "SELECT run, frame * 0.5 AS t_ps, frame AS step, atom_id, element, x, y, z FROM atoms", "t_ps x y z", "atoms")
 def _(spark, d):
-    a = atoms(spark, d).where("frame % 4 = 1")
+    # a file holds frames of one size, as a trajectory does; its run number tells both
     rows = F.transform(F.array_sort(F.collect_list(F.struct("atom_id", "element", "x", "y", "z"))), lambda r: F.concat_ws(" ", r["element"], *[r[c].cast("string") for c in "xyz"]))
-    f = a.groupBy("run", F.col("frame").alias("t")).agg(rows.alias("rows")).where("size(rows) = 4")
-    text = f.select("run", "t", F.concat(F.lit("4\n*** AT T= "), (F.col("t") * 500).cast("string"), F.lit(" FSEC, RUN STEP NO.= "), F.col("t").cast("string"), F.lit("\n"), F.array_join("rows", "\n")).alias("value"))
-    x = scans.scan_xyz(spark, landed(text))
-    return x.select(F.col("run").cast("bigint").alias("run"), "t_ps", "step", "atom_id", "element", "x", "y", "z")
+    f = atoms(spark, d).groupBy("run", F.col("frame").alias("t")).agg(rows.alias("rows"))
+    text = F.concat(F.size("rows").cast("string"), F.lit("\n*** AT T= "), (F.col("t") * 500).cast("string"), F.lit(" FSEC, RUN STEP NO.= "), F.col("t").cast("string"), F.lit("\n"), F.array_join("rows", "\n"))
+    x = scans.scan_xyz(spark, landed(f.select((F.col("run") * 1000 + F.size("rows")).alias("run"), "t", text.alias("value"))))
+    return x.select(F.floor(F.col("run") / 1000).alias("run"), "t_ps", "step", "atom_id", "element", "x", "y", "z")
 
 
 def bias_log(spark: SparkSession, d: str) -> str:
@@ -56,20 +56,20 @@ def _(spark, d):
     return scans.scan_fes(spark, landed(text)).drop("path")
 
 
-@query("s6_scan_charges", "SELECT run, frame * 0.001 AS t_ps, CAST(atom_id AS INTEGER) AS atom_id, element, orbital, CASE orbital WHEN 's' THEN x / 100 ELSE -z / 100 END AS q FROM atoms a, (VALUES ('s'), ('p')) o(orbital) WHERE (element <> 'H' OR orbital = 's') AND (run, frame) IN (SELECT run, frame FROM atoms GROUP BY ALL HAVING count(*) = 3 AND count(*) FILTER (element = 'H') = 1)", "t_ps q", "atoms")
+@query("s6_scan_charges", "SELECT run, frame * 0.001 AS t_ps, CAST(atom_id AS INTEGER) AS atom_id, element, orbital, CASE orbital WHEN 's' THEN x / 100 ELSE -z / 100 END AS q FROM atoms a, (VALUES ('s'), ('p')) o(orbital) WHERE element <> 'H' OR orbital = 's'", "t_ps q", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
     line = lambda orb, v: F.concat_ws(" ", F.col("atom_id").cast("string"), "element", F.lit(orb), v.cast("string"))
     lines = F.concat(F.array(line("s", F.col("x") / 100)), F.when(F.col("element") == "H", F.expr("cast(array() as array<string>)")).otherwise(F.array(line("p", -F.col("z") / 100))))
-    f = a.withColumn("l", lines).groupBy("run", F.col("frame").alias("t")).agg(F.count("*").alias("n"), F.count_if(F.col("element") == "H").alias("h"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("atom_id", "l"))), lambda r: r["l"])).alias("l")).where("n = 3 and h = 1")
-    text = f.select("run", "t", F.concat(F.lit("5 3\n*** AT T= "), F.col("t").cast("string"), F.lit(" FSEC\n"), F.array_join("l", "\n")).alias("value"))
-    x = scans.scan_charges(spark, landed(text)).drop("path")
-    return x.withColumn("run", F.col("run").cast("bigint"))
+    f = a.withColumn("l", lines).groupBy("run", F.col("frame").alias("t")).agg(F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("atom_id", "l"))), lambda r: r["l"])).alias("l"))
+    text = F.concat(F.size("l").cast("string"), F.lit(" "), F.col("n").cast("string"), F.lit("\n*** AT T= "), F.col("t").cast("string"), F.lit(" FSEC\n"), F.array_join("l", "\n"))
+    x = scans.scan_charges(spark, landed(f.select((F.col("run") * 1000 + F.size("l")).alias("run"), "t", text.alias("value")))).drop("path")
+    return x.withColumn("run", F.floor(F.col("run") / 1000))
 
 
-@query("s13_scan_columns", "SELECT idx AS step, t AS t_ps, value FROM series WHERE run % 3 = 0", "t_ps value", "series")
+@query("s13_scan_columns", "SELECT idx AS step, t AS t_ps, value FROM series", "t_ps value", "series")
 def _(spark, d):
-    s = series(spark, d).where("run % 3 = 0")
+    s = series(spark, d)
     path = landed(s.select("run", F.col("idx").alias("t"), F.concat_ws("   ", F.col("idx").cast("string"), F.col("t").cast("string"), F.col("value").cast("string")).alias("value")))
     return scans.scan_columns(spark, path, "step bigint, t_ps double, value double")
 
@@ -89,8 +89,8 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finish(x: DataFrame, mode: str) -> DataFrame:
-    name = f"q_{uuid.uuid4().hex[:12]}"
-    return live.run_once(x, mode, name, f"{shared_dir(x.sparkSession).rstrip('/')}/streams/{name}")
+    at = f"{shared_dir(x.sparkSession).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return live.run_once(x, mode, f"{at}/out", f"{at}/checkpoint")
 
 
 @query("l2_stream_window_stats", "SELECT run % 20 AS window_index, count(*) AS n, avg(value) AS mean, min(value) AS low, max(value) AS high FROM (SELECT user_id AS run, date_trunc('day', ts) AS d, CAST(value AS DOUBLE) AS value FROM events) GROUP BY run % 20, d", "mean low high")
@@ -117,6 +117,15 @@ def _(spark, d):
     return finish(live.stream_sustained_events(x.select("run", "ts", "on"), "run", "on", 2000.0), "append")
 
 
+@query("l5_stream_regimes", """WITH s AS (SELECT user_id AS run, epoch_us(ts) / 1e6 AS t, value < 60 AS a, value > 40 AS b FROM events), i AS (SELECT *, sum(CASE WHEN a THEN 0 ELSE 1 END) OVER w AS ga FROM s WINDOW w AS (PARTITION BY run ORDER BY t)),
+f AS (SELECT run, min(st) AS "start" FROM (SELECT run, ga, min(t) AS st, max(t) AS en FROM i WHERE a GROUP BY ALL) WHERE en - st >= 3000 GROUP BY run), r AS (SELECT s.run, s.t, s.b, f."start", sum(CASE WHEN b THEN 0 ELSE 1 END) OVER (PARTITION BY s.run ORDER BY t) AS gb FROM s JOIN f ON f.run = s.run AND s.t > f."start")
+SELECT run, "start", min(st) AS recovered FROM (SELECT run, "start", gb, min(t) AS st, max(t) AS en FROM r WHERE b GROUP BY ALL) WHERE en - st >= 2000 GROUP BY run, "start\"""", '"start" recovered')
+def _(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = stream(spark, d).select("run", "ts", (F.col("value") < 60).alias("low"), (F.col("value") > 40).alias("back"))
+    return finish(live.stream_regimes(x, "run", "low", "back", 3000.0, 2000.0), "append")
+
+
 @query("l6_stream_calibration", "SELECT run, count(*) AS n, avg(value) AS mean FROM (SELECT user_id AS run, event_id, CAST(value AS DOUBLE) AS value FROM events) WHERE event_id % 100 >= 10 GROUP BY run", "mean")
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema

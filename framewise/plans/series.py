@@ -134,10 +134,10 @@ def _(spark, d):
     return align.clock_offset(s.where("idx >= 20"), s.where("idx < 20"), 2.5)
 
 
-@query("j11_align_state_to_frames", "SELECT f.run, f.idx AS frame, r.state FROM series f JOIN series r ON f.run = r.run AND r.idx = f.idx * 3 WHERE f.idx < 12", "", "series")
+@query("j11_align_state_to_frames", "SELECT f.run, f.idx AS frame, r.state FROM series f JOIN series r ON f.run = r.run AND r.idx = f.idx * 3", "", "series")
 def _(spark, d):
     s = series(spark, d)
-    x = align.align_state_to_frames(s.where("idx < 12").select("run", F.col("idx").alias("frame")), s.select("run", F.col("idx").alias("record"), "state"), 3, ["run"])
+    x = align.align_state_to_frames(s.select("run", F.col("idx").alias("frame")), s.select("run", F.col("idx").alias("record"), "state"), 3, ["run"])
     return x.select("run", "frame", "state")
 
 
@@ -473,19 +473,30 @@ def _(spark, d):
 @query("r5_fit_line", """SELECT state, regr_slope(value, idx) AS slope, regr_intercept(value, idx) AS intercept, regr_r2(value, idx) AS r2, 1 - (1 - regr_r2(value, idx)) * (count(*) - 1) / (count(*) - 2) AS adj_r2, sqrt(sse / n) AS rmse, sqrt(sse / (n - 2) / sxx) AS se_slope, sqrt(sse / (n - 2) * (1 / n + mx * mx / sxx)) AS se_intercept
 FROM series JOIN (SELECT state, count(*) AS n, regr_sxx(value, idx) AS sxx, regr_avgx(value, idx) AS mx, regr_syy(value, idx) - regr_sxy(value, idx) ** 2 / regr_sxx(value, idx) AS sse FROM series GROUP BY state) USING (state) GROUP BY state, sse, n, sxx, mx""", "slope intercept r2 adj_r2 rmse se_slope se_intercept", "series")
 def _(spark, d):
-    return regress.fit_line(series(spark, d).withColumn("idx", F.col("idx").cast("double")), "idx", "value", ["state"])
+    x = regress.fit_line(series(spark, d).withColumn("idx", F.col("idx").cast("double")), "idx", "value", ["state"])
+    return x.select("state", "slope", "intercept", "r2", "adj_r2", "rmse", "se_slope", "se_intercept")
 
 
 @query("r5_fit_plane", """WITH x AS (SELECT state, value AS y, CAST(idx AS DOUBLE) AS a, CAST(idx * idx % 17 AS DOUBLE) AS b FROM series), s AS (SELECT state, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(y) AS yy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x GROUP BY state),
 c AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS c1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM s) SELECT state, my - c1 * ma - c2 * mb AS c0, c1, c2, (c1 * ay + c2 * byy) / yy AS r2 FROM c""", "c0 c1 c2 r2", "series")
 def _(spark, d):
     x = series(spark, d).select("state", "value", F.col("idx").cast("double").alias("a"), (F.col("idx") * F.col("idx") % 17).cast("double").alias("b"))
-    return regress.fit_plane(x, "a", "b", "value", ["state"])
+    return regress.fit_plane(x, "a", "b", "value", ["state"]).select("state", "c0", "c1", "c2", "r2")
+
+
+TAIL = """CASE WHEN (n - 2) % 2 = 0 THEN sin(th) * list_sum([exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * cos(th) ** (2 * k) FOR k IN range((n - 2) // 2)])
+ELSE 2 / pi() * (th + sin(th) * list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * cos(th) ** (2 * k + 1) FOR k IN range((n - 3) // 2)])) END"""
+
+
+@query("r5_slope_p", f"""WITH s AS (SELECT state, count(*) AS n, regr_slope(value, idx) AS slope, sqrt((regr_syy(value, idx) - regr_sxy(value, idx) ** 2 / regr_sxx(value, idx)) / (count(*) - 2) / regr_sxx(value, idx)) AS se FROM series GROUP BY state), t AS (SELECT *, atan(abs(slope / se) / sqrt(n - 2.0)) AS th FROM s)
+SELECT state, slope, 1 - ({TAIL}) AS p_slope FROM t""", "slope p_slope", "series")
+def _(spark, d):
+    return regress.fit_line(series(spark, d).withColumn("idx", F.col("idx").cast("double")), "idx", "value", ["state"]).select("state", "slope", "p_slope")
 
 
 @query("r4_fit_decay")
 def _(spark, d):
-    return regress.fit_decay(acf(spark, d), ["run"], 2.0, rounds=8)
+    return regress.fit_decay(acf(spark, d), ["run"], 2.0)
 
 
 @query("a14_exchange_acceptance", """WITH x AS (SELECT turn AS exchange, conv_id % 7 AS low, conv_id % 7 + 1 AS high, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ok, conv_id FROM conversations), o AS (SELECT conv_id // 7 AS grp, exchange, low, high, max(ok) AS ok, max(ok) <> min(ok) AS bad FROM x GROUP BY ALL)
@@ -502,12 +513,19 @@ def walkers(spark, d):
     return events.walker_positions(x.groupBy("run", "step", "low").agg(F.max("accepted").alias("accepted")))
 
 
-@query("t12_walker_positions")
+WALK = """x AS (SELECT conv_id % 20 AS run, conv_id // 20 * 10 + turn AS step, turn % 4 AS low, bool_or(coalesce(role, '') = 'user') AS ok FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step, low) AS k, max(low) OVER (PARTITION BY run) + 2 AS n, lead(step) OVER (PARTITION BY run ORDER BY step, low) IS DISTINCT FROM step AS ends FROM x),
+wk AS (SELECT run, 0 AS k, range(max(n)) AS here, 0::BIGINT AS step, false AS ends FROM o GROUP BY run UNION ALL SELECT wk.run, o.k, CASE WHEN o.ok THEN [CASE WHEN i = o.low THEN wk.here[o.low + 2] WHEN i = o.low + 1 THEN wk.here[o.low + 1] ELSE wk.here[i + 1] END FOR i IN range(o.n)] ELSE wk.here END, o.step, o.ends FROM wk JOIN o ON o.run = wk.run AND o.k = wk.k + 1),
+pos AS (SELECT run, step, CAST(here[i + 1] AS INTEGER) AS walker, CAST(i AS INTEGER) AS place FROM (SELECT *, unnest(range(len(here))) AS i FROM wk WHERE k > 0 AND ends))"""
+
+
+@query("t12_walker_positions", f"WITH {WALK} SELECT run, step, walker, place FROM pos")
 def _(spark, d):
     return walkers(spark, d)
 
 
-@query("t13_round_trips")
+@query("t13_round_trips", f"""WITH {WALK}, e AS (SELECT run || '-' || walker AS walker, step, place, lag(place) OVER (PARTITION BY run, walker ORDER BY step) AS p FROM pos WHERE place IN (0, 2)), d AS (SELECT *, row_number() OVER w - 1 AS n, lag(step, 2) OVER w AS back FROM e WHERE p IS NULL OR p <> place WINDOW w AS (PARTITION BY walker ORDER BY step))
+SELECT walker, count(*) AS n_trips, avg(step - back) AS mean_steps FROM d WHERE n >= 2 AND n % 2 = 0 GROUP BY walker""", "mean_steps")
 def _(spark, d):
     w = walkers(spark, d)
     return events.round_trips(w.withColumn("walker", F.concat_ws("-", "run", "walker")), 0, 2)

@@ -18,6 +18,12 @@ def records(spark: SparkSession, paths: str | Sequence[str], separator: str) ->
     return spark.read.option("lineSep", separator).text(list([paths] if isinstance(paths, str) else paths)).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def ordered(spark: SparkSession, paths: str | Sequence[str], separator: str) -> DataFrame:
+    """As records, with `at`, which orders the pieces of a file: the start of the split that holds a piece, then its place in it."""
+    r = spark.read.option("lineSep", separator).text(list([paths] if isinstance(paths, str) else paths))
+    return r.select(F.col("_metadata.file_path").alias("path"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"))
+
+
 def number(text: Column) -> Column:
     """A number whose exponent may be written with D; null if it isn't one."""
     return F.regexp_replace(text, "[Dd]", "E").try_cast("double")
@@ -156,18 +162,18 @@ def scan_exchange_log(spark: SparkSession, paths) -> DataFrame:
 def scan_protonation(spark: SparkSession, paths) -> DataFrame:
     """(path, record, residue, state, ph) of whole records; residue 0 starts a record and a partial last one is left out.
 
-    A record's number counts the residue-0 lines before it, so a walker's file is one record stream, read whole.
+    The mark of residue 0 divides records, so a walker's file splits; a record's number counts the marks before it in its
+    file, from the records' order in the scan.
     """
-    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    r = ordered(spark, paths, "Residue 0 ")
+    head = F.regexp_extract("value", rf"^\s*(State:\s+\d+\s+pH:\s+{NUMBER})[ \t]*\r?(?:\n|\z)", 1)
+    r = r.withColumn("head", head).where("head <> ''")
     line = F.regexp_extract_all("value", F.lit(rf"(?m)^Residue\s+(\d+\s+State:\s+\d+\s+pH:\s+{NUMBER})"), F.lit(1))
-    x = t.select("path", F.posexplode(line).alias("k", "row"))
-    x = x.select("path", "k", F.regexp_extract("row", r"^(\d+)", 1).cast("int").alias("residue"), F.regexp_extract("row", r"State:\s+(\d+)", 1).cast("int").alias("state"), first_number(F.col("row"), r"pH:").alias("ph"))
-    w = Window.partitionBy("path").orderBy("k")
-    x = x.withColumn("record", F.sum((F.col("residue") == 0).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = x.groupBy("path", "record").agg(F.count("*").alias("_c"))
-    size = n.groupBy("path").agg(F.max("_c").alias("_size"))
-    whole = n.join(size, "path").where("_c = _size").select("path", "record")
-    return x.join(whole, ["path", "record"]).select("path", "record", "residue", "state", "ph")
+    r = r.withColumn("rows", F.concat(F.array(F.concat(F.lit("0 "), "head")), line))
+    r = r.withColumn("record", F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("bigint"))
+    size = r.groupBy("path").agg(F.max(F.size("rows")).alias("_size"))
+    x = r.join(size, "path").where(F.size("rows") == F.col("_size")).select("path", "record", F.explode("rows").alias("row"))
+    return x.select("path", "record", F.regexp_extract("row", r"^(\d+)", 1).cast("int").alias("residue"), F.regexp_extract("row", r"State:\s+(\d+)", 1).cast("int").alias("state"), first_number(F.col("row"), r"pH:").alias("ph"))
 
 
 def long_states(df: DataFrame, keys: list[str], prefix: str = "residue_") -> DataFrame:
@@ -176,10 +182,12 @@ def long_states(df: DataFrame, keys: list[str], prefix: str = "residue_") -> Dat
 
 
 def scan_cross_energies(spark: SparkSession, paths) -> DataFrame:
-    """(sample, evaluation, frame, u) from files or folders named refep-j<sample>-k<evaluation>; failed energies are an error."""
-    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """(sample, evaluation, frame, u) from files or folders named refep-j<sample>-k<evaluation>; failed energies are an error. The energy mark divides records, so files split."""
+    r = ordered(spark, paths, "ENE")
     cell = lambda g: F.regexp_extract("path", r"refep-j(\d+)-k(\d+)", g).cast("int")
-    x = t.select(cell(1).alias("sample"), cell(2).alias("evaluation"), F.posexplode(F.regexp_extract_all("value", F.lit(r"ENE\s*=\s*(\S+)"), F.lit(1))).alias("frame", "text"))
+    x = r.withColumn("text", F.regexp_extract("value", r"^\s*=\s*(\S+)", 1)).where("text <> ''")
+    frame = (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).cast("int")
+    x = x.select(cell(1).alias("sample"), cell(2).alias("evaluation"), frame.alias("frame"), "text")
     u = number(F.col("text"))
     return x.select("sample", "evaluation", "frame", F.when(u.isNull() | F.isnan(u), F.raise_error(F.concat(F.lit("failed energy "), "text")).cast("double")).otherwise(u).alias("u"))
 
@@ -216,34 +224,64 @@ def run_ids(spec: str) -> list[tuple[int, int]]:
 
 
 def discover_runs(spark: SparkSession, root: str, stage: str, required: Sequence[str], spec: str | None = None) -> DataFrame:
-    """(run, path) of run-<n>/<stage> folders that hold every required file, in numeric order. Listed by Spark's reader, so any store will do."""
+    """(run, path) of run-<n>/<stage> folders that hold every required file (patterns of names), in numeric order. Listed by Spark's reader, so any store will do."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    x = f.select(run_of(F.col("path")).alias("run"), F.regexp_extract("path", rf"^(.*/run-\d+/{stage})/", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).where("folder <> '' and run is not null")
+    x = f.select(run_of(F.col("path")).alias("run"), F.regexp_extract("path", rf"^(.*/run[-=]\d+/{stage})/", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).where("folder <> '' and run is not null")
     if spec:
         keep = F.lit(False)
         for a, b in run_ids(spec):
             keep = keep | F.col("run").between(a, b)
         x = x.where(keep)
-    need = x.where(F.col("name").isin(list(required))).groupBy("run", "folder").agg(F.count_distinct("name").alias("n"))
-    return need.where(F.col("n") == len(set(required))).select("run", F.col("folder").alias("path")).orderBy("run")
+    found = x.groupBy("run", "folder").agg(*[F.bool_or(F.col("name").rlike(f"^(?:{p})$")).alias(f"has{i}") for i, p in enumerate(required)])
+    return found.where(" and ".join(["true", *(f"has{i}" for i in range(len(required)))])).select("run", F.col("folder").alias("path")).orderBy("run")
 
 
 def scan_topology(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Atoms (path, atom_id, name, type, residue_id, residue, x, y, z, charge) and bonds (path, a, b) of MOL2 files."""
-    t = spark.read.text(list([paths] if isinstance(paths, str) else paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    part = lambda name: t.select("path", F.explode(F.split(F.regexp_extract("value", rf"(?s)@<TRIPOS>{name}\s*?\n(.*?)(?=@<TRIPOS>|\z)", 1), LINES)).alias("line")).where("trim(line) <> ''").select("path", F.split(F.trim("line"), r"\s+").alias("f"))
-    a = part("ATOM").select("path", F.col("f")[0].cast("bigint").alias("atom_id"), F.col("f")[1].alias("name"), F.col("f")[5].alias("type"), F.col("f")[6].cast("int").alias("residue_id"), F.col("f")[7].alias("residue"), *[number(F.col("f")[i + 2]).alias(c) for i, c in enumerate("xyz")], number(F.get("f", F.lit(8))).alias("charge"))
-    b = part("BOND").select("path", F.least(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("a"), F.greatest(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("b"))
+    """Atoms (path, molecule, atom_id, name, type, residue_id, residue, x, y, z, charge) and bonds (path, molecule, a, b) of MOL2 files. The molecule mark divides records, so a file of many molecules splits; molecule is its name."""
+    r = records(spark, paths, "@<TRIPOS>MOLECULE")
+    t = r.select("path", F.trim(F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)).alias("molecule"), "value").where("value like '%@<TRIPOS>ATOM%'")
+    part = lambda name: t.select("path", "molecule", F.explode(F.split(F.regexp_extract("value", rf"(?s)@<TRIPOS>{name}\s*?\n(.*?)(?=@<TRIPOS>|\z)", 1), LINES)).alias("line")).where("trim(line) <> ''").select("path", "molecule", F.split(F.trim("line"), r"\s+").alias("f"))
+    a = part("ATOM").select("path", "molecule", F.col("f")[0].cast("bigint").alias("atom_id"), F.col("f")[1].alias("name"), F.col("f")[5].alias("type"), F.col("f")[6].cast("int").alias("residue_id"), F.col("f")[7].alias("residue"), *[number(F.col("f")[i + 2]).alias(c) for i, c in enumerate("xyz")], number(F.get("f", F.lit(8))).alias("charge"))
+    b = part("BOND").select("path", "molecule", F.least(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("a"), F.greatest(F.col("f")[1].cast("bigint"), F.col("f")[2].cast("bigint")).alias("b"))
     return a, b
 
 
-def source_manifest(spark: SparkSession, paths) -> DataFrame:
-    """(path, bytes, sha256, n_frames, tail_bytes) of trajectory files; tail_bytes are those after the last frame that is whole."""
+def scan_parm7(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """Atoms (path, atom_id, name, charge, mass, residue_id, residue) and bonds (path, a, b) of parm7 files.
+
+    A section mark divides the file into records, one a section; values stand in fixed widths, charges in units of
+    electron charge times 18.2223. A file whose section lengths don't agree with its atom count is an error.
+    """
+    r = records(spark, paths, "%FLAG ").select("path", F.regexp_extract("value", r"^(\w+)", 1).alias("name"), F.regexp_extract("value", r"%FORMAT\(\d+[a-zA-Z](\d+)", 1).try_cast("int").alias("width"), F.regexp_extract("value", r"(?s)%FORMAT[^\n]*\n(.*)", 1).alias("body")).where("width is not null")
+    cut = F.flatten(F.transform(F.split("body", LINES), lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.length(v) / F.col("width")).cast("int")), lambda k: F.substring(v, k * F.col("width") + 1, F.col("width")))))
+    # every line gives its fields; blank ones end it
+    v = r.select("path", "name", F.filter(F.transform(cut, lambda t: F.trim(t)), lambda t: t != "").alias("v"))
+    part = v.groupBy("path").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in ("POINTERS", "ATOM_NAME", "CHARGE", "MASS", "RESIDUE_LABEL", "RESIDUE_POINTER", "BONDS_INC_HYDROGEN", "BONDS_WITHOUT_HYDROGEN")])
+    n = F.get("POINTERS", F.lit(0)).cast("int")
+    fine = (F.size("ATOM_NAME") == n) & (F.size("CHARGE") == n) & (F.size("RESIDUE_LABEL") == F.size("RESIDUE_POINTER"))
+    part = part.withColumn("ATOM_NAME", F.when(F.coalesce(fine, F.lit(False)), F.col("ATOM_NAME")).otherwise(F.raise_error(F.concat(F.lit("broken topology "), "path")).cast("array<string>")))
+    first = F.transform("RESIDUE_POINTER", lambda t: t.cast("int"))
+    a = part.select("path", first.alias("first"), "RESIDUE_LABEL", "CHARGE", "MASS", F.posexplode("ATOM_NAME").alias("k", "name"))
+    residue = F.size(F.filter("first", lambda p: p <= F.col("k") + 1))
+    atoms = a.select("path", (F.col("k") + 1).cast("bigint").alias("atom_id"), "name", (number(F.get("CHARGE", F.col("k"))) / 18.2223).alias("charge"), number(F.get("MASS", F.col("k"))).alias("mass"), residue.alias("residue_id"), F.get("RESIDUE_LABEL", residue - 1).alias("residue"))
+    both = F.concat(F.coalesce("BONDS_INC_HYDROGEN", F.array()), F.coalesce("BONDS_WITHOUT_HYDROGEN", F.array()))
+    b = part.select("path", both.alias("v")).select("path", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int"))).alias("k")).where(3 * F.col("k") + 2 < F.size("v"))
+    end = lambda o: (F.get("v", 3 * F.col("k") + o).cast("bigint") / 3 + 1).cast("bigint")
+    return atoms, b.select("path", F.least(end(0), end(1)).alias("a"), F.greatest(end(0), end(1)).alias("b"))
+
+
+def source_manifest(spark: SparkSession, paths, most_bytes: int = 1 << 30) -> DataFrame:
+    """(path, bytes, sha256, checksum, n_frames, tail_bytes) of trajectory files; tail_bytes are those after the last frame that is whole.
+
+    sha256 is that of the whole content, which one task reads, and null for files over most_bytes; checksum adds up hashes
+    of the records with their sizes, whatever the size of the file and wherever it splits.
+    """
     f = spark.read.format("binaryFile").load(list([paths] if isinstance(paths, str) else paths))
-    x = f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = f.where(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    x = f.select("path", F.col("length").alias("bytes")).join(small, "path", "left")
     r = records(spark, paths, TIME)
-    n = r.groupBy("path").agg((F.count_if(record_time().isNotNull())).alias("n_frames"), F.min(F.when(~F.col("value").endswith("\n"), F.octet_length("value"))).alias("tail_bytes"))
-    return x.join(n, "path", "left").fillna(0, ["n_frames", "tail_bytes"])
+    n = r.groupBy("path").agg((F.count_if(record_time().isNotNull())).alias("n_frames"), F.min(F.when(~F.col("value").endswith("\n"), F.octet_length("value"))).alias("tail_bytes"), F.sum(F.xxhash64("value", F.octet_length("value")).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    return x.join(n, "path", "left").select("path", "bytes", "sha256", "checksum", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce("tail_bytes", F.lit(0)).alias("tail_bytes"))
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = (), kind: str = "parquet") -> None:

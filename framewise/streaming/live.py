@@ -83,11 +83,65 @@ def stream_sustained_events(x: DataFrame, key: str, on: str, persistence_s: floa
     return x.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Sustained(), f"{key} {kind}, start double, seen double", "append", "eventTime")
 
 
-def run_once(x: DataFrame, mode: str, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what has landed and give its result table, for reports and tests."""
-    w = x.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
+def stream_regimes(x: DataFrame, key: str, low: str, back: str, low_s: float, back_s: float, late: str = "10 minutes") -> DataFrame:
+    """(key, start, recovered): the first state `low` that held for low_s seconds, and the first state `back` after its start that held for back_s; told once a key.
+
+    State of a key: its stage, the start found, and the start of the holding under way.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Regimes(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("regime", "stage int, start double, since double")
+
+        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            stage, start, since = self.state.get() if self.state.exists() else (0, None, None)
+            out, held = [], []
+            samples = sorted((t.timestamp(), bool(a), bool(b)) for pdf in rows for t, a, b in zip(pdf["ts"], pdf[low], pdf[back]))
+            for t, is_low, is_back in samples:
+                held.append((t, is_back))
+                if stage == 0:
+                    since = (t if since is None else since) if is_low else None
+                    if since is not None and t - since >= low_s:
+                        stage, start, since = 1, since, None
+                        # what came after the start already counts for the recovery
+                        for u, yes in held:
+                            if u > start:
+                                since = (u if since is None else since) if yes else None
+                elif stage == 1:
+                    since = (t if since is None else since) if is_back else None
+                if stage == 1 and since is not None and t - since >= back_s:
+                    out.append((k[0], start, since))
+                    stage = 2
+            self.state.update((stage, start, since))
+            yield pd.DataFrame(out, columns=[key, "start", "recovered"])
+
+        def close(self) -> None:
+            pass
+
+    kind = x.schema[key].dataType.simpleString()
+    return x.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Regimes(), f"{key} {kind}, start double, recovered double", "append", "eventTime")
+
+
+def run_once(x: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what has landed and give its result, for reports and tests.
+
+    Every micro-batch is written to a folder of its own under path, in a shared store; a batch that is run again replaces
+    its folder, so each row counts once. Of a complete result the last batch is the table, of an appended one all are.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = x.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return x.sparkSession.table(name)
+    spark = x.sparkSession
+    done = q.lastProgress["batchId"] if q.lastProgress else None
+    if done is None:
+        return spark.createDataFrame([], x.schema)
+    out = spark.read.schema(x.schema).option("basePath", path)
+    if mode == "complete":
+        batches = spark.read.option("basePath", path).parquet(f"{path}/batch=*").agg(F.max("batch")).first()[0]
+        return out.parquet(f"{path}/batch={done if batches is None else batches}").select(*x.columns)
+    return out.parquet(f"{path}/batch=*").select(*x.columns)
