@@ -140,7 +140,7 @@ def network_potentials(edges: DataFrame, anchor: DataFrame, most: int | None, ke
     while most is None or step < most:
         for _ in range(4 if most is None else min(4, most - step)):
             more = F.when(F.col("step") == step, F.transform("near", lambda e: F.struct(e["b"].alias("a"), (F.col("v") + e["gap"]).alias("v"), F.lit(step + 1).alias("step"))))
-            rows = F.concat(F.array(F.struct("a", "v", "step")), F.coalesce(more, F.array().cast("array<struct<a:bigint,v:double,step:int>>")))
+            rows = F.concat(F.array(F.struct("a", "v", "step")), F.coalesce(more, F.slice(F.array(F.struct("a", "v", "step")), 1, 0)))
             x = seen.join(reach, [*keys, "a"], "left").select(*keys, F.inline(rows))
             seen = x.groupBy(*keys, "a").agg(F.min(F.struct("step", "v")).alias("m")).select(*keys, "a", F.col("m.v").alias("v"), F.col("m.step").alias("step"))
             step += 1

@@ -38,7 +38,7 @@ def fit_log_linear(acf: DataFrame, keys: list[str], x: str = "lag", y: str = "c"
     return z.groupBy(*keys).agg(F.try_divide(F.sum(F.col(x) * F.col(x)), F.sum(-F.log(y) * F.col(x))).alias("tau"), F.count("*").alias("n"))
 
 
-def fit_decay(acf: DataFrame, keys: list[str], tau0: float, rounds: int = 40, x: str = "lag", y: str = "c") -> DataFrame:
+def fit_decay(acf: DataFrame, keys: list[str], tau0: float, rounds: int = 25, x: str = "lag", y: str = "c") -> DataFrame:
     """y = p + (1 - p) exp(-x / tau) by damped Gauss-Newton from several starts (tau0, a quarter and four times of it), all keys at once: tau, plateau p, sum of squares, whether the best start converged."""
     from .titration import gauss_newton
 
@@ -81,7 +81,7 @@ def fit_plane(df: DataFrame, a: str, b: str, y: str, keys: list[str], level: flo
     return s.select(*keys, "c0", "c1", "c2", "r2", "adj_r2", "rmse", "se_c0", "se_c1", "se_c2", *[f"{c}_{side}" for c in ("c0", "c1", "c2") for side in ("low", "high")], "p_c1", "p_c2", "p_plane")
 
 
-def fit_model(acf: DataFrame, keys: list[str], form: str, start: dict[str, float] | list[dict[str, float]], rounds: int = 40, x: str = "lag", y: str = "c") -> DataFrame:
+def fit_model(acf: DataFrame, keys: list[str], form: str, start: dict[str, float] | list[dict[str, float]], rounds: int = 25, x: str = "lag", y: str = "c") -> DataFrame:
     """Damped Gauss-Newton fit of exp (rate), biexp (share, rate, slow), tail (scale, rate) or underdamped (rate, omega) decays: parameters, sse, r2, rmse, converged. start: one start, or several of which each key keeps the best."""
     from .titration import gauss_newton
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import GAS_KCAL, log1pexp
@@ -50,7 +51,7 @@ def macro_pka(pkas: list[Column]) -> Column:
     return -F.log10(sum((F.pow(F.lit(10.0), -p) for p in pkas[1:]), F.pow(F.lit(10.0), -pkas[0])))
 
 
-def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, float] | list[dict[str, float]], rounds: int = 40, tolerance: float = 1e-9) -> DataFrame:
+def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, float] | list[dict[str, float]], rounds: int = 25, tolerance: float = 1e-8) -> DataFrame:
     """Damped Gauss-Newton least squares of every key at once.
 
     model: observed column -> (value, [derivative by each parameter]) as functions of the parameters' Columns. Each round
@@ -71,6 +72,24 @@ def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start:
     return _gauss_newton(df, keys, model, {p: F.lit(float(v)) for p, v in starts[0].items()}, rounds, tolerance, materialise)
 
 
+def _solve():
+    """Solutions of small dense systems, one a row (matrix by rows, right side); NaN where there is none. Rows are keys, so they are few."""
+
+    def solve(matrix: pd.Series, right: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(a, b):
+            a, b = np.array(a, float), np.array(b, float)
+            try:
+                return np.linalg.solve(a.reshape(len(b), len(b)), b)
+            except np.linalg.LinAlgError:
+                return np.full(len(b), np.nan)
+
+        return pd.Series([one(a, b) for a, b in zip(matrix, right)], dtype=object)
+
+    return F.pandas_udf(solve, "array<double>")
+
+
 def _gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, Column], rounds: int, tolerance: float, materialise) -> DataFrame:
     names = list(start)
     n = len(names)
@@ -97,19 +116,16 @@ def _gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start
         ends = F.coalesce(good & (F.col("_sse") - F.col("_n") <= tolerance * F.col("_n") + 1e-300), F.lit(False)) | (~good & (F.col("_damp") > 1e9))
         base = [F.when(good, F.col(c)).otherwise(F.col(f"_old_{c}")) for c in names]
         y = y.select(*keys, ends.alias("_done"), *[b.alias(f"_o{i}") for i, b in enumerate(base)], F.when(good, F.col("_n")).otherwise(F.col("_sse")).alias("_sse"), F.when(good, F.greatest(F.lit(1e-9), F.col("_damp") / 5)).otherwise(F.col("_damp") * 8).alias("_damp"), *[F.when(good, F.col(f"_h{i}{j}")).otherwise(F.col(f"_a{i}{j}")).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.when(good, F.col(f"_g{i}")).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(n)])
-        m = [[F.col(f"_a{i}{j}") * (1 + F.col("_damp")) + 1e-12 if i == j else F.col(f"_a{i}{j}") for j in range(n)] + [F.col(f"_b{i}")] for i in range(n)]
-        y = y.select("*", *[m[i][j].alias(f"_m{i}{j}") for i in range(n) for j in range(n + 1)])
-        for c in range(n):  # elimination without pivots: the damped matrix is positive definite
-            cols = {f"_m{r}{j}": F.col(f"_m{r}{j}") - F.col(f"_m{r}{c}") / F.col(f"_m{c}{c}") * F.col(f"_m{c}{j}") for r in range(n) if r != c for j in range(n + 1)}
-            y = y.withColumns(cols)
-        y = y.select(*keys, "_done", *[(F.col(f"_o{i}") + F.col(f"_m{i}{n}") / F.col(f"_m{i}{i}")).alias(c) for i, c in enumerate(names)], *[F.col(f"_o{i}").alias(f"_old_{c}") for i, c in enumerate(names)], "_sse", "_damp", *[f"_a{i}{j}" for i in range(n) for j in range(n)], *[f"_b{i}" for i in range(n)])
+        matrix = F.array(*[F.col(f"_a{i}{j}") * (1 + F.col("_damp")) + 1e-12 if i == j else F.col(f"_a{i}{j}") for i in range(n) for j in range(n)])
+        y = y.withColumn("_step", _solve()(matrix, F.array(*[F.col(f"_b{i}") for i in range(n)])))
+        y = y.select(*keys, "_done", *[(F.col(f"_o{i}") + F.col("_step")[i]).alias(c) for i, c in enumerate(names)], *[F.col(f"_o{i}").alias(f"_old_{c}") for i, c in enumerate(names)], "_sse", "_damp", *[f"_a{i}{j}" for i in range(n) for j in range(n)], *[f"_b{i}" for i in range(n)])
         state = materialise(y.unionByName(finished))
         if state.where("not _done").isEmpty():
             break
     return state.select(*keys, *[F.col(f"_old_{c}").alias(c) for c in names], F.col("_sse").alias("sse"), F.col("_done").alias("converged"))
 
 
-def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 40, ph: str = "ph") -> DataFrame:
+def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 25, ph: str = "ph") -> DataFrame:
     """M3: p00, p10, p01, p11 of two coupled sites fitted to pk10, pk01 and the coupling w (in pK units); macroscopic pKas."""
     ten, ln = F.lit(10.0), math.log(10)
 
@@ -135,7 +151,7 @@ def fit_two_site(df: DataFrame, keys: list[str], rounds: int = 40, ph: str = "ph
     return x.select(*keys, "pk_a", "pk_b", "w", first.alias("macro_1"), (F.col("pk_a") + F.col("pk_b") + F.col("w") - first).alias("macro_2"), "sse", "converged")
 
 
-def fit_microstates(df: DataFrame, keys: list[str], n: int, rounds: int = 40, ph: str = "ph") -> DataFrame:
+def fit_microstates(df: DataFrame, keys: list[str], n: int, rounds: int = 25, ph: str = "ph") -> DataFrame:
     """M4: shares s0 (protonated), s1..sn (tautomers) fitted to one pKa a tautomer; macroscopic pKa."""
     ln = math.log(10)
     share = lambda k: lambda *p: microstate_weights(F.col(ph), list(p))[k]

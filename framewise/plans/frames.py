@@ -149,7 +149,7 @@ def _(spark, d):
 @query("g8_improper_bend", f"""WITH {pivot(4)}, v AS (SELECT frame, {named('a', arrow(1, 2))}, {named('q', arrow(1, 3))}, {named('t', arrow(3, 4))} FROM pv), n AS (SELECT *, {named('n', crossed(col('a'), col('q')))} FROM v)
 SELECT frame, degrees(asin(greatest(-1, least(1, {dotted(col('n'), col('t'))} / ({length(col('n'))} * {length(col('t'))}))))) AS bend FROM n WHERE {length(col('n'))} * {length(col('t'))} > 0""", "bend", "atoms")
 def _(spark, d):
-    return geometry.improper_bend(atoms(spark, d), [1, 2, 3], 3, 4, BOX).where("bend is not null")
+    return known(geometry.improper_bend(atoms(spark, d), [1, 2, 3], 3, 4, BOX), "bend")
 
 
 @query("g9_ring_center", f"""WITH {PIVOT}, v AS (SELECT *, {vec('a', 'b')}, {vec('a', 'c')} FROM pv WHERE pcx IS NOT NULL) SELECT frame, {', '.join(f'pa{c} + (ab{c} + ac{c}) / 3 AS {c}' for c in 'xyz')} FROM v""", "x y z", "atoms")
@@ -176,7 +176,7 @@ def _(spark, d):
 t AS (SELECT frame, {', '.join(f"{torsion(col(f'v{k}'), col(f'v{(k + 1) % 6}'), col(f'v{(k + 2) % 6}'))} + 90 AS t{k}" for k in range(6))} FROM v)
 SELECT frame, ({' + '.join(f'abs(t{k} - 180 * floor(t{k} / 180) - 90)' for k in range(6))}) / 6 AS planarity FROM t WHERE {' AND '.join(f't{k} IS NOT NULL' for k in range(6))}""", "planarity", "atoms")
 def _(spark, d):
-    return geometry.ring_planarity(atoms(spark, d), [1, 2, 3, 4, 5, 6], BOX).where("planarity is not null")
+    return known(geometry.ring_planarity(atoms(spark, d), [1, 2, 3, 4, 5, 6], BOX), "planarity")
 
 
 @query("g12_bond_angle", f"""WITH {PIVOT}, v AS (SELECT frame, {vec('b', 'a')}, {vec('b', 'c')} FROM pv WHERE pcx IS NOT NULL), l AS (SELECT *, sqrt(bax*bax+bay*bay+baz*baz) AS la, sqrt(bcx*bcx+bcy*bcy+bcz*bcz) AS lc FROM v)
@@ -206,6 +206,11 @@ JOIN (SELECT p.*, q.atom_id, q.x, q.y, q.z FROM ({pairs_sql("'O'", "'O'", 16)})
 JOIN ({pairs_sql("'H'", "'O'")}) e ON e.frame = a.frame AND e.i = h.atom_id AND e.j = c.atom_id)"""
 
 
+def known(df, name: str):
+    """Rows with a value. The explode of one value keeps the filter above the formula; moved below it, it would hold the whole formula written out."""
+    return df.withColumn(name, F.explode(F.array(name))).where(F.col(name).isNotNull())
+
+
 def bonds(spark, d):
     a = atoms(spark, d)
     return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX, dense=False)

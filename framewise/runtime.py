@@ -27,3 +27,19 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def expire(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete intermediate tables, scans, streams and pipeline runs of this library in the shared folder that are older than `hours`; their number. For a job that runs between others: what a running job still reads must be younger."""
+    import time
+
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    limit, gone = (time.time() - 3600 * hours) * 1000, 0
+    for kind in ("tables", "scans", "streams", "pipeline"):
+        at = jvm.org.apache.hadoop.fs.Path(root, kind)
+        for s in fs.listStatus(at) if fs.exists(at) else ():
+            if s.getModificationTime() < limit:
+                gone += bool(fs.delete(s.getPath(), True))
+    return gone

@@ -24,6 +24,16 @@ def ordered(spark: SparkSession, paths: str | Sequence[str], separator: str) ->
     return r.select(F.col("_metadata.file_path").alias("path"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"))
 
 
+def running(df: DataFrame, flag: Column, name: str) -> DataFrame:
+    """df (from ordered) with the number of flagged pieces of the file up to each piece: counts by split, then inside each split, so no window is longer than a split."""
+    x = df.withColumns({"_block": F.col("at.block"), "_flag": flag.cast("bigint")})
+    splits = x.groupBy("path", "_block").agg(F.sum("_flag").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.join(splits.select("path", "_block", F.coalesce(before, F.lit(0)).alias("_before")), ["path", "_block"])
+    inside = F.sum("_flag").over(Window.partitionBy("path", "_block").orderBy("at.n").rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn(name, F.col("_before") + inside).drop("_block", "_flag", "_before")
+
+
 def number(text: Column) -> Column:
     """A number whose exponent may be written with D; null if it isn't one."""
     return F.regexp_replace(text, "[Dd]", "E").try_cast("double")
@@ -162,18 +172,17 @@ def scan_exchange_log(spark: SparkSession, paths) -> DataFrame:
 def scan_protonation(spark: SparkSession, paths) -> DataFrame:
     """(path, record, residue, state, ph) of whole records; residue 0 starts a record and a partial last one is left out.
 
-    The mark of residue 0 divides records, so a walker's file splits; a record's number counts the marks before it in its
-    file, from the records' order in the scan.
+    Each residue's line is a piece, so a walker's file splits; a record's number counts the residue-0 lines up to it.
     """
-    r = ordered(spark, paths, "Residue 0 ")
-    head = F.regexp_extract("value", rf"^\s*(State:\s+\d+\s+pH:\s+{NUMBER})[ \t]*\r?(?:\n|\z)", 1)
-    r = r.withColumn("head", head).where("head <> ''")
-    line = F.regexp_extract_all("value", F.lit(rf"(?m)^Residue\s+(\d+\s+State:\s+\d+\s+pH:\s+{NUMBER})"), F.lit(1))
-    r = r.withColumn("rows", F.concat(F.array(F.concat(F.lit("0 "), "head")), line))
-    r = r.withColumn("record", F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("bigint"))
-    size = r.groupBy("path").agg(F.max(F.size("rows")).alias("_size"))
-    x = r.join(size, "path").where(F.size("rows") == F.col("_size")).select("path", "record", F.explode("rows").alias("row"))
-    return x.select("path", "record", F.regexp_extract("row", r"^(\d+)", 1).cast("int").alias("residue"), F.regexp_extract("row", r"State:\s+(\d+)", 1).cast("int").alias("state"), first_number(F.col("row"), r"pH:").alias("ph"))
+    r = ordered(spark, paths, "Residue")
+    line = rf"^\s+(\d+)\s+State:\s+(\d+)\s+pH:\s+({NUMBER})[ \t]*\r?(?:\n|\z)"
+    cell = lambda g: F.regexp_extract("value", line, g)
+    r = r.select("path", "at", cell(1).try_cast("int").alias("residue"), cell(2).try_cast("int").alias("state"), number(cell(3)).alias("ph")).where("residue is not null")
+    x = running(r, F.col("residue") == 0, "record").drop("at")
+    n = x.groupBy("path", "record").agg(F.count("*").alias("_c"))
+    size = n.groupBy("path").agg(F.max("_c").alias("_size"))
+    whole = n.join(size, "path").where("_c = _size").select("path", "record")
+    return x.join(whole, ["path", "record"]).select("path", "record", "residue", "state", "ph")
 
 
 def long_states(df: DataFrame, keys: list[str], prefix: str = "residue_") -> DataFrame:
@@ -186,8 +195,7 @@ def scan_cross_energies(spark: SparkSession, paths) -> DataFrame:
     r = ordered(spark, paths, "ENE")
     cell = lambda g: F.regexp_extract("path", r"refep-j(\d+)-k(\d+)", g).cast("int")
     x = r.withColumn("text", F.regexp_extract("value", r"^\s*=\s*(\S+)", 1)).where("text <> ''")
-    frame = (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).cast("int")
-    x = x.select(cell(1).alias("sample"), cell(2).alias("evaluation"), frame.alias("frame"), "text")
+    x = running(x, F.lit(True), "nth").select(cell(1).alias("sample"), cell(2).alias("evaluation"), (F.col("nth") - 1).cast("int").alias("frame"), "text")
     u = number(F.col("text"))
     return x.select("sample", "evaluation", "frame", F.when(u.isNull() | F.isnan(u), F.raise_error(F.concat(F.lit("failed energy "), "text")).cast("double")).otherwise(u).alias("u"))
 

@@ -42,6 +42,159 @@ def test_pairs_and_images(spark):
     assert sum(r["n"] for r in g) == sum(v < 5 for v in want.values()) and g[-1]["running"] == pytest.approx(len(want) / 80)
 
 
+def test_dense_frames(spark):
+    """Frames of many atoms, whose pairs come by cells: ordered, half and carried forms, nearest owners, hydrogen bonds and areas against NumPy."""
+    rng = np.random.default_rng(11)
+    p = rng.uniform(0, 30, (2, 500, 3))
+    kind = ["O" if k % 3 == 0 else "H" for k in range(500)]
+    df = frames(spark, p, kind)
+    for cutoff in (5.0, 7.4, 11.0):  # six cells a side, four, and none
+        want = {}
+        for f in range(2):
+            d = p[f][None] - p[f][:, None]
+            d = np.linalg.norm(d - 30 * np.rint(d / 30), axis=2)
+            i, j = np.nonzero((d <= cutoff) & ~np.eye(500, dtype=bool))
+            want |= {(f, a + 1, b + 1): d[a, b] for a, b in zip(i.tolist(), j.tolist())}
+        for dense in (True, False):
+            got = {(r["frame"], r["i"], r["j"]): r["d"] for r in pairs.neighbour_pairs(df, df, cutoff, 30.0, dense=dense).collect()}
+            half = {(r["frame"], r["i"], r["j"]): (r["d"], r["p"], r["q"]) for r in pairs.neighbour_pairs(df, df, cutoff, 30.0, dense=dense, carry=("x",), half=True).collect()}
+            assert got.keys() == want.keys() and {k for k in want if k[1] < k[2]} == half.keys()
+            assert all(abs(v[0] - want[k]) < 1e-9 and v[1]["x"] == p[k[0], k[1] - 1, 0] and v[2]["x"] == p[k[0], k[2] - 1, 0] for k, v in half.items())
+    o, h = df.where("element = 'O'"), df.where("element = 'H'")
+    owners = {(r["frame"], r["h"]): (r["nearest"], r["owner"], r["d2"]) for r in pairs.nearest_owner(h, o, 4.0, 0.5, 30.0).collect()}
+    d = p[0][None] - p[0][:, None]
+    d = np.linalg.norm(d - 30 * np.rint(d / 30), axis=2)
+    os_ = [k for k in range(500) if kind[k] == "O"]
+    for k in range(500):
+        if kind[k] == "H":
+            a, b = sorted(os_, key=lambda x: d[k, x])[:2]
+            if d[k, a] <= 4:
+                assert owners[0, k + 1][0] == a + 1 and owners[0, k + 1][1] == (a + 1 if d[k, b] - d[k, a] >= 0.5 or d[k, b] > 4.5 else None)
+            else:
+                assert (0, k + 1) not in owners
+    for dense in (True, False):
+        bonds = pairs.hbonds(o, h, o, 2.0, 6.0, 120.0, 30.0, dense=dense).count()
+        assert bonds == pairs.hbonds(o, h, o, 2.0, 6.0, 120.0, 30.0).count() > 0
+    few = df.where("atom_id <= 40")
+    area = {(r["frame"], r["i"]): r["area"] for r in pairs.sasa(few, few, 4.0, 50, 30.0).collect()}
+    k = np.arange(50)
+    z = 1 - (2 * k + 1) / 50
+    ball = np.stack([np.sqrt(1 - z * z) * np.cos(k * 2.399963229728653), np.sqrt(1 - z * z) * np.sin(k * 2.399963229728653), z], axis=1)
+    for i in range(40):
+        e = (p[0, i] + 4 * ball)[:, None] - np.delete(p[0, :40], i, axis=0)[None]
+        free = (np.linalg.norm(e - 30 * np.rint(e / 30), axis=2) >= 4).all(axis=1).mean()
+        assert area[0, i + 1] == pytest.approx(free * 4 * math.pi * 16)
+
+
+def test_large_graphs(spark):
+    """Keys of many edges go by rounds, others in arrays; both give the smallest node of each component, and long paths are found."""
+    rng = np.random.default_rng(5)
+    e = [(k, int(a), int(b)) for k in range(3) for a, b in rng.integers(0, 60 if k else 12, (40 + 60 * k, 2)) if a != b] + [(9, i, i + 1) for i in range(30)]
+    df = spark.createDataFrame(e, "frame int, a bigint, b bigint")
+    want = {}
+    for k in {x[0] for x in e}:
+        at = {v: v for x in e if x[0] == k for v in x[1:]}
+        for _ in range(80):
+            for _, a, b in (x for x in e if x[0] == k):
+                at[a] = at[b] = min(at[a], at[b])
+        want |= {(k, v): m for v, m in at.items()}
+    for small in (64, 0, 1000):
+        assert {(r["frame"], r["node"]): r["label"] for r in graph.component_labels(df, ["frame"], small).collect()} == want
+    ends = spark.createDataFrame([(9, 0, 12), (9, 3, 29)], "frame int, source bigint, target bigint")
+    got = {r["source"]: r["n_bridging"] for r in graph.shortest_path(df, ends, 12, ["frame"]).collect()}
+    assert got == {0: 11, 3: -1}
+    net = spark.createDataFrame([(0, i, i + 1, 1.0) for i in range(30)], "k int, a bigint, b bigint, gap double")
+    v = {r["node"]: r["potential"] for r in graph.network_potentials(net, spark.createDataFrame([(0, 0, 2.0)], "k int, node bigint, potential double"), None, ["k"]).collect()}
+    assert v == {i: 2.0 + i for i in range(31)}
+
+
+def test_walkers_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    x = [(r, int(s), int(rng.integers(0, 5)), bool(rng.random() < 0.6)) for r in range(3) for s in range(60)] + [(0, 60, 0, True), (0, 60, 2, True)]
+    want = []
+    for r in range(3):
+        n = max(v[2] for v in x if v[0] == r) + 2
+        at = list(range(n))
+        for s in sorted({v[1] for v in x if v[0] == r}):
+            for _, _, low, yes in sorted(v for v in x if v[0] == r and v[1] == s):
+                if yes:
+                    at[low], at[low + 1] = at[low + 1], at[low]
+            want += [(r, s, w, p) for p, w in enumerate(at)]
+    df = spark.createDataFrame(x, "run int, step int, low int, accepted boolean")
+    for block in (1, 7, 1000):
+        assert sorted((r["run"], r["step"], r["walker"], r["place"]) for r in events.walker_positions(df, block=block).collect()) == sorted(want)
+
+
+def test_basins_of_three_angles(spark):
+    """Catchments, merged modes and circular measures against a NumPy version."""
+    rng = np.random.default_rng(4)
+    n, near = 12, 165.0
+    x = np.concatenate([rng.normal(m, 14, (500 - 120 * k, 3)) for k, m in enumerate([(170, 0, 60), (-60, 90, 60), (-60, 150, 60), (20, -120, -90)])])
+    x = (x + 180) % 360 - 180
+    c = np.floor((x % 360) / (360 / n)).astype(int)
+    hist = np.zeros((n, n, n))
+    np.add.at(hist, tuple(c.T), 1)
+    d = np.zeros_like(hist)
+    shifts = [(a, b, e) for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1)]
+    for s in shifts:
+        d += np.roll(hist, s, (0, 1, 2)) * (2 - abs(s[0])) * (2 - abs(s[1])) * (2 - abs(s[2])) / 64
+    ids = np.arange(n**3).reshape(n, n, n)
+    best, up = d.copy(), ids.copy()
+    for s in shifts:
+        m, k = np.roll(d, s, (0, 1, 2)), np.roll(ids, s, (0, 1, 2))
+        better = (m > best) | ((m == best) & (k < up))
+        best, up = np.where(better, m, best), np.where(better, k, up)
+    up = up.ravel()
+    while (up[up] != up).any():
+        up = up[up]
+    top = up[c @ [n * n, n, 1]]
+    modes = sorted(((-(top == t).sum(), t) for t in set(top.tolist())))
+    lead, to = [], {}
+    for _, t in modes:
+        at = np.array([t // (n * n), t // n % n, t % n])
+        gaps = [(np.linalg.norm((lambda g: np.minimum(g, n - g) * 360 / n)(np.abs(at - np.array([u // (n * n), u // n % n, u % n])))), u) for u in lead]
+        close = [g for g in gaps if g[0] <= near]
+        to[t] = min(close)[1] if close else t
+        lead += [] if close else [t]
+    groups = np.array([to[t] for t in top.tolist()])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = {r["basin"]: r for r in density.density_basins3d(df, ["a", "b", "c"], n, 0.02, near).collect()}
+    want = {g: (groups == g).sum() for g in set(groups.tolist()) if (groups == g).mean() >= 0.02}
+    assert {k: r["n"] for k, r in got.items()} == want and len(lead) < len(modes)
+    for g, r in got.items():
+        z = np.exp(1j * np.radians(x[groups == g])).mean(axis=0)
+        assert np.allclose([r[f"mean_{k}"] for k in "abc"], np.degrees(np.angle(z))) and np.allclose([r[f"sd_{k}"] for k in "abc"], np.degrees(np.sqrt(-2 * np.log(np.abs(z)))))
+
+
+def test_inference(spark):
+    """Tails of t and F at tabled points, and intervals of a line and a plane against normal equations."""
+    from framewise.functions import student
+
+    assert student.t_quantile(0.95, 10) == pytest.approx(2.228138852, abs=1e-8) and student.t_quantile(0.95, 2) == pytest.approx(4.302652730, abs=1e-8)
+    assert student.t_two_sided(2.0, 5) == pytest.approx(0.1019394789, abs=1e-9) and student.f_upper(4.102821, 2, 10) == pytest.approx(0.05, abs=1e-6)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 30))
+    y = 1 + 2 * a - 0.5 * b + rng.normal(scale=0.4, size=30)
+    df = spark.createDataFrame([(0, *map(float, r)) for r in zip(a, b, y)], "k int, a double, b double, y double")
+    for x, r, names in ((np.column_stack([np.ones(30), a]), regress.fit_line(df, "a", "y", ["k"]).first(), ("intercept", "slope")), (np.column_stack([np.ones(30), a, b]), regress.fit_plane(df, "a", "b", "y", ["k"]).first(), ("c0", "c1", "c2"))):
+        inv = np.linalg.inv(x.T @ x)
+        c = inv @ x.T @ y
+        n, m = x.shape
+        se = np.sqrt(np.diag(inv) * ((y - x @ c) ** 2).sum() / (n - m))
+        for i, name in enumerate(names):
+            assert r[name] == pytest.approx(c[i]) and r[f"se_{name}"] == pytest.approx(se[i])
+            assert r[f"{name}_high"] - r[f"{name}_low"] == pytest.approx(2 * student.t_quantile(0.95, n - m) * se[i])
+
+
+def test_expire(spark):
+    from framewise import runtime
+
+    df = spark.range(3)
+    kept = runtime.materialise(df)
+    assert runtime.expire(spark, hours=1.0) == 0 and kept.count() == 3
+    assert runtime.expire(spark, hours=-1.0) > 0 and runtime.materialise(df).count() == 3
+
+
 def test_geometry(spark):
     rng = np.random.default_rng(2)
     ref = rng.normal(size=(6, 3))

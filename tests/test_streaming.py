@@ -20,7 +20,7 @@ def stream(spark, path):
 
 
 def run(x, mode, name, tmp_path):
-    return live.run_once(x, mode, name, f"{tmp_path}/ck_{name}")
+    return live.run_once(x, mode, f"{tmp_path}/out_{name}", f"{tmp_path}/ck_{name}")
 
 
 def test_records_and_windows(spark, chunks, tmp_path):
@@ -29,7 +29,7 @@ def test_records_and_windows(spark, chunks, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
     x = live.stream_populations(stream(spark, path), "run", "value", [0.0, 3.0])
     with pytest.raises(Exception):
-        live.run_once(x.select("nope"), "complete", "bad")
+        run(x.select("nope"), "complete", "bad", tmp_path)
     w = live.stream_window_stats(spark.readStream.schema(SCHEMA).parquet(path).dropDuplicates(["run", "step"]), "run", "value", "5 minutes")
     got = run(w, "complete", "windows", tmp_path).collect()
     want = rows.groupBy("run", F.window("ts", "5 minutes").start.alias("start")).agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()
@@ -48,6 +48,17 @@ def test_sustained_events(spark, tmp_path):
     assert [(r["run"], r["start"], r["seen"]) for r in got] == [(0, 1700000040.0, 1700000060.0)]
 
 
+def test_regimes(spark, tmp_path):
+    """Both stages carried over micro-batches; what follows the start counts for the recovery even before the start is known."""
+    value = [5, 1, 5, 1, 1, 1, 5, 5, 1, 5, 5, 5, 1, 1, 1]
+    rows = spark.createDataFrame([(r, k, v if r == 0 else 5) for r in (0, 1) for k, v in enumerate(value)], "run int, k int, v int").withColumn("ts", F.timestamp_seconds(F.lit(1700000000) + F.col("k") * 10))
+    for k in range(5):
+        rows.where(f"k div 3 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    x = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").select("run", "ts", (F.col("v") < 3).alias("low"), (F.col("v") > 3).alias("back"))
+    got = run(live.stream_regimes(x, "run", "low", "back", 20.0, 20.0), "append", "regimes", tmp_path).collect()
+    assert [(r["run"], r["start"] - 1.7e9, r["recovered"] - 1.7e9) for r in got] == [(0, 30.0, 90.0)]
+
+
 def test_sessions(spark, tmp_path):
     rows = spark.createDataFrame([(0, t) for t in (0, 10, 20, 100, 110)], "run int, t int").select("run", F.timestamp_seconds(F.lit(1700000000) + F.col("t")).alias("ts"))
     rows.write.parquet(f"{tmp_path}/in")
