@@ -128,7 +128,7 @@ def test_walkers_by_blocks(spark):
 def test_basins_of_three_angles(spark):
     """Catchments, merged modes and circular measures against a NumPy version."""
     rng = np.random.default_rng(4)
-    n, near = 12, 165.0
+    n, near = 12, 180.0
     x = np.concatenate([rng.normal(m, 14, (500 - 120 * k, 3)) for k, m in enumerate([(170, 0, 60), (-60, 90, 60), (-60, 150, 60), (20, -120, -90)])])
     x = (x + 180) % 360 - 180
     c = np.floor((x % 360) / (360 / n)).astype(int)
