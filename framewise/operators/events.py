@@ -12,23 +12,44 @@ def _id(df: DataFrame, change: Column, key: str, t: str) -> DataFrame:
     return df.withColumn("_new", change.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def islands(df: DataFrame, mask: Column, key: str = "run", t: str = "t", value: Column | None = None, gap: Column | float | None = None, dt: Column | float = 0.0) -> DataFrame:
-    """Contiguous segments where mask holds: start, end, n, duration (last - first + dt). A segment also ends where value changes or time jumps by more than gap."""
-    w = Window.partitionBy(key).orderBy(t)
+def islands(df: DataFrame, mask: Column, key: str = "run", t: str = "t", value: Column | None = None, gap: Column | float | None = None, dt: Column | float = 0.0, block: float | None = None) -> DataFrame:
+    """Contiguous segments where mask holds: start, end, n, duration (last - first + dt). A segment also ends where value changes or time jumps by more than gap.
+
+    block: width of time blocks into which keys are cut, so that a key with most of the rows spreads over tasks. Segments
+    are found in each block; those that touch a block's edge (two a block at most) are then chained from block to block.
+    """
+    at = [key] if block is None else [key, "_block"]
     x = df.withColumns({"_m": F.coalesce(mask, F.lit(False)), "_v": value if value is not None else F.lit(0)})
+    if block is not None:
+        x = x.withColumn("_block", F.floor(F.col(t) / block))
+    w = Window.partitionBy(*at).orderBy(t)
     new = ~F.coalesce(F.lag("_m").over(w), F.lit(False)) | ~F.col("_v").eqNullSafe(F.lag("_v").over(w))
     if gap is not None:
         new = new | F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(False))
-    x = _id(x, F.col("_m") & new, key, t).where("_m")
+    x = x.withColumns({"_new": (F.col("_m") & new).cast("int"), "_head": F.lag(t).over(w).isNull(), "_tail": F.lead(t).over(w).isNull()})
+    blocks = x.select(*at).distinct() if block is not None else None
+    x = x.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_m")
     dt = F.lit(dt) if isinstance(dt, (int, float)) else F.max(dt)
-    out = x.groupBy(key, "island").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"), F.first("_v").alias("id"), dt.alias("_dt"))
+    out = x.groupBy(*at, "island").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"), F.first("_v").alias("id"), dt.alias("_dt"), F.bool_or("_head").alias("_head"), F.bool_or("_tail").alias("_tail"))
+    if block is not None:
+        nth = blocks.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("_block")))
+        edge = out.where("_head or _tail").join(nth, at)
+        o = Window.partitionBy(key).orderBy("_nth", "start")
+        last = lambda c: F.lag(c).over(o)
+        goes_on = F.col("_head") & last("_tail") & (last("_nth") == F.col("_nth") - 1) & last("id").eqNullSafe(F.col("id"))
+        if gap is not None:
+            goes_on = goes_on & (F.col("start") - last("end") <= gap)
+        edge = edge.withColumn("_c", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("island", F.sum("_c").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+        whole = edge.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.first("id").alias("id"), F.max("_dt").alias("_dt"))
+        cols = [key, "start", "end", "n", "id", "_dt"]
+        out = whole.select(*cols).unionByName(out.where("not _head and not _tail").select(*cols))
     return out.select(key, "start", "end", "n", (F.col("end") - F.col("start") + F.col("_dt")).alias("duration"), *(["id"] if value is not None else []))
 
 
-def first_sustained(df: DataFrame, mask: Column, persistence: float, key: str = "run", t: str = "t", after: DataFrame | None = None) -> DataFrame:
+def first_sustained(df: DataFrame, mask: Column, persistence: float, key: str = "run", t: str = "t", after: DataFrame | None = None, block: float | None = None) -> DataFrame:
     """Per key the start of the first segment that lasts at least persistence; after (key, start): only rows later than start."""
     x = df if after is None else df.join(after.select(key, F.col("start").alias("_s")), key).where(F.col(t) > F.col("_s")).drop("_s")
-    return islands(x, mask, key, t).where(F.col("end") - F.col("start") >= persistence).groupBy(key).agg(F.min("start").alias("start"))
+    return islands(x, mask, key, t, block=block).where(F.col("end") - F.col("start") >= persistence).groupBy(key).agg(F.min("start").alias("start"))
 
 
 def diffusive_regime(df: DataFrame, low: Column, back: Column, persistence: float, key: str = "run", t: str = "t") -> DataFrame:
