@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..runtime import materialise
 from .text import WORD_BYTES, map_rows, share, utf8, words_of
 
-CACHE = 500_000
+CACHE = 100_000
 
 
 #: What is no word byte and no white space stays, all else becomes a space.

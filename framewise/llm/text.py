@@ -44,7 +44,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h
@@ -107,10 +107,27 @@ def map_lists(df: DataFrame, columns: list[str], fn: Callable[[], Callable[...,
                 rows = each(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))
                 cols = list(zip(*rows)) if rows else [()] * len(arrow)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(v, f.type) for v, f in zip(cols, arrow)], names=keep + arrow.names)
+                part = rows = cols = None
+            batch = None
+        each = None
+        trim()
 
     return source.mapInArrow(run, out)
 
 
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task: a worker lives on through tasks and stages, and would else keep the most that any of them took."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a system without it
+        pass
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each linked node; root is the smallest node id.
 

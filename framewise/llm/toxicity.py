@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import map_rows, share, words_of
 
-CACHE = 500_000
+CACHE = 100_000
 
 
 #: Lengths in bytes of the word beginnings that count as terms beside the words.
