@@ -260,9 +260,16 @@ def umbrella(spark, d):
     return series(spark, d).select((F.col("run") % 20).alias("window"), ((F.col("run") % 20) * 10.0).alias("target"), "value", "t_us", "run")
 
 
-@query("f11_wham")
+#: The WHAM equations iterated 300 times on the counts of 20 windows and 40 bins.
+WHAM = f"""c AS (SELECT run % 20 AS w, CAST(least(floor(value / 5), 39) AS BIGINT) AS b FROM series WHERE value BETWEEN 0 AND 200), nw AS (SELECT w, count(*) AS n FROM c GROUP BY w), hb AS (SELECT i AS b, count(c.b) AS h FROM range(0, 40) r(i) LEFT JOIN c ON c.b = i GROUP BY i),
+e AS (SELECT w, n, b, h, exp(-0.0005 * ((b + 0.5) * 5 - w * 10) ** 2 / {RT}) AS z FROM nw, hb),
+it AS (SELECT 0 AS k, [0.0::DOUBLE FOR i IN range(0, 20)] AS f UNION ALL SELECT k + 1, [v - g[1] FOR v IN g] FROM (SELECT k, list(fw ORDER BY w) AS g FROM (SELECT k, e.w, -{RT} * ln(sum(e.z * p)) AS fw FROM e JOIN (SELECT it.k, e.b, any_value(h) / sum(n * exp(it.f[w + 1] / {RT}) * z) AS p FROM it, e WHERE it.k < 300 GROUP BY it.k, e.b) USING (b) GROUP BY k, e.w) GROUP BY k)),
+p AS (SELECT b, any_value(h) AS h, any_value(h) / sum(n * exp(f[w + 1] / {RT}) * z) AS p FROM e, it WHERE k = 300 GROUP BY b)"""
+
+
+@query("f11_wham", f"WITH {WHAM} SELECT CAST(b AS INTEGER) AS bin, (b + 0.5) * 5 AS x, h AS n, CASE WHEN h > 0 THEN -{RT} * ln(p) - min(CASE WHEN h > 0 THEN -{RT} * ln(p) END) OVER () END AS pmf FROM p", "x pmf", "series")
 def _(spark, d):
-    return FE.wham(umbrella(spark, d), 0.0005, 300.0, 0.0, 200.0, 40)
+    return FE.wham(umbrella(spark, d), 0.0005, 300.0, 0.0, 200.0, 40, tolerance=1e-12)
 
 
 @query("f12_block_bootstrap")
