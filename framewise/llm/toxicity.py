@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import map_rows, share, words_of
+from .text import map_rows, share, trim, words_of
 
 CACHE = 100_000
 
@@ -109,15 +109,18 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxi
         return None
     lists = got.column("terms").combine_chunks()
     flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    owner = np.repeat(y, sizes)
-    names, place = np.unique(flat, return_inverse=True)
-    both, toxic, n, p = np.bincount(place), np.bincount(place, owner), len(y), y.sum()
+    # counts by bucket of the hash: nothing as long as the terms is made beside them but a mask
+    both, toxic = np.bincount(flat, minlength=1 << bits), np.bincount(flat[np.repeat(y > 0, sizes)], minlength=1 << bits)
+    n, p = len(y), (y > 0).sum()
     expect = both * p / n
     chi = (toxic - expect) ** 2 / np.maximum(expect * (1 - p / n), 1e-9)
     best = np.argsort(-np.where(both >= 4, chi, 0), kind="stable")[:terms]
     best = best[(chi[best] > 6.6) & (both[best] >= 4)]
-    model = Machine(np.sort(names[best]), factors, seed)
-    return model.fit([model.places(x) for x in np.split(flat, np.cumsum(sizes)[:-1])], y, epochs, rate, decay, seed)
+    model = Machine(np.sort(best), factors, seed)
+    rows = [model.places(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    del got, lists, flat, both, toxic, expect, chi
+    trim()
+    return model.fit(rows, y, epochs, rate, decay, seed)
 
 
 def score(docs: DataFrame, model: Machine | None, bits: int = 20, keep: list[str] | None = None) -> DataFrame:
