@@ -1,8 +1,8 @@
 """Toxicity scores by a factorisation machine over hashed terms.
 
 Terms (lower-cased words and word beginnings) are hashed; a text is the set of its hashes. From a bounded
-sample of labelled rows the terms that tell most about the label are chosen (by their chi-square), and a factorisation
-machine is trained on them in numpy: a weight for each term and a factor vector, whose products are the weights of
+sample of labelled rows the terms that tell most about the label are chosen (by their chi-square, counted in Spark), and a
+factorisation machine is trained on them in numpy: a weight for each term and a factor vector, whose products are the weights of
 pairs of terms, so an insult beside a group mention can count for more than both alone. Scoring reads whole texts.
 
 Edge cases: null and empty texts have no terms and score the machine's bias. Without labels every text scores 0.
@@ -16,7 +16,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import map_rows, share, trim, words_of
+from ..runtime import materialise
+from .text import map_rows, share, words_of
 
 CACHE = 100_000
 
@@ -96,30 +97,30 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxi
     """The machine, or None without labels. chosen: which labels may be learnt from. sample bounds the labelled rows, in order of a hash of their ids."""
     picked = labels.where(chosen & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by sample, so it can be broadcast
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def make():
         return lambda t: (sorted({h for w in set(words_of(t)) for h in term_hashes(w, bits)}),)
 
     # one row an id, so that repeated ids cannot outgrow the sample
-    terms_of = map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).groupBy("doc_id", "y").agg(F.max("terms").alias("terms"))
-    got = terms_of.toArrow().sort_by("doc_id")
-    y = got.column("y").to_numpy().astype(float)
-    if not len(y):
+    terms_of = materialise(map_rows(rows, ["text"], make, "terms array<int>", keep=["doc_id", "y"]).groupBy("doc_id", "y").agg(F.max("terms").alias("terms")))
+    n, p = terms_of.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
+    if not n:
         return None
-    lists = got.column("terms").combine_chunks()
-    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    # counts by bucket of the hash: nothing as long as the terms is made beside them but a mask
-    both, toxic = np.bincount(flat, minlength=1 << bits), np.bincount(flat[np.repeat(y > 0, sizes)], minlength=1 << bits)
-    n, p = len(y), (y > 0).sum()
-    expect = both * p / n
-    chi = (toxic - expect) ** 2 / np.maximum(expect * (1 - p / n), 1e-9)
-    best = np.argsort(-np.where(both >= 4, chi, 0), kind="stable")[:terms]
-    best = best[(chi[best] > 6.6) & (both[best] >= 4)]
-    model = Machine(np.sort(best), factors, seed)
-    rows = [model.places(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
-    del got, lists, flat, both, toxic, expect, chi
-    trim()
+    counts = terms_of.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("toxic")).where("n >= 4")
+    expect = F.col("n") * F.lit(p / n)
+    chi = (F.col("toxic") - expect) ** 2 / F.greatest(expect * F.lit(1 - p / n), F.lit(1e-9))
+    best = [r.term for r in counts.withColumn("chi", chi).where("chi > 6.6").orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()]
+    model = Machine(np.sort(np.array(best, np.int64)), factors, seed)
+    shared = share(docs.sparkSession, model.chosen)
+
+    def placed():
+        of = Machine(shared(), 0, seed)
+        return lambda found: (of.places(np.array(found, np.int64)).tolist(),)
+
+    got = map_rows(terms_of, ["terms"], placed, "places array<int>", keep=["doc_id", "y"]).toArrow().sort_by("doc_id")  # at most `terms` places a row
+    y = got.column("y").to_numpy().astype(float)
+    rows = [np.array(x, np.int64) for x in got.column("places").to_pylist()]
     return model.fit(rows, y, epochs, rate, decay, seed)
 
 
