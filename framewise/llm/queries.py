@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, fertility, html, langid, licenses, packing, resample, simhash, toxicity
+from . import chat, decontam, fertility, html, langid, licenses, merkle, packing, resample, simhash, topk, toxicity, whitening
 from ..runtime import materialise
 
 
@@ -82,8 +82,23 @@ def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, table(spark, sf_dir, "labels").where("quality = 1"), keep=["doc_id"])
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", ["doc_id"], changed={"text": lowered}, altered=fold(3) == 0)
+    return rows.drop("path")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_chat, op4_packing, op5_fertility, op6_language, op7_licenses, op8_html, op9_toxicity, op10_resampling)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_chat, op4_packing, op5_fertility, op6_language, op7_licenses, op8_html, op9_toxicity, op10_resampling, op11_topk, op12_merkle, op13_whitening)}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,5 +139,51 @@ FROM v GROUP BY conv_id
 """
 
 
+TOPK_SQL = """
+WITH e AS (SELECT row_number() OVER () AS uid, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)]) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.uid <> c.uid WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def tree_sql(name: str, leaves: str, levels: int, fan: int = 8) -> list[str]:
+    """Tables of a tree over leaves (g, idx, digest, now): <name>_n nodes of the last level, <name>_p leaves with what the fold from `now` gives and their siblings. A level more than a group needs leaves it as it is."""
+    out = [f"{name}_n0 AS (SELECT g, idx, digest, count(*) OVER (PARTITION BY g) AS cnt FROM {leaves})", f"{name}_p0 AS (SELECT g, idx AS leaf_idx, idx, now AS acc, '' AS proof FROM {leaves})"]
+    for k in range(levels):
+        n, s = f"{name}_n{k}", f"{name}_s{k}"
+        beside = lambda sign: f"coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx {sign} a.idx), '')"
+        out += [
+            f"{name}_n{k + 1} AS (SELECT g, idx // {fan} AS idx, CASE WHEN any_value(cnt) > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE any_value(digest) END AS digest, (any_value(cnt) + {fan - 1}) // {fan} AS cnt FROM {n} GROUP BY g, {n}.idx // {fan})",
+            f"{s} AS (SELECT a.g, a.idx, a.cnt, {beside('<')} AS l, {beside('>')} AS r FROM {n} a LEFT JOIN {n} b ON a.g IS NOT DISTINCT FROM b.g AND a.idx // {fan} = b.idx // {fan} AND a.idx <> b.idx GROUP BY a.g, a.idx, a.cnt)",
+            f"{name}_p{k + 1} AS (SELECT p.g, p.leaf_idx, p.idx // {fan} AS idx, CASE WHEN s.cnt > 1 THEN sha256(s.l || p.acc || s.r) ELSE p.acc END AS acc, p.proof || s.l || s.r AS proof FROM {name}_p{k} p JOIN {s} s ON p.g IS NOT DISTINCT FROM s.g AND p.idx = s.idx)",
+        ]
+    return out + [f"{name}_n AS (SELECT * FROM {name}_n{levels})", f"{name}_p AS (SELECT * FROM {name}_p{levels})"]
+
+
+def merkle_sql(levels: int = 9, top_levels: int = 3) -> str:
+    """Trees of up to 8 ** levels documents a language and 8 ** top_levels languages; crc32 by its table of 256 remainders."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    digest = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    ctes = [
+        "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))",
+        f"d AS (SELECT doc_id, lang, {digest('text')} AS digest, {digest('low')} AS low, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) AS crc FROM (SELECT *, {LOWER.format('text')} AS low FROM documents), crc)",
+        "leaves AS (SELECT doc_id, lang AS g, digest, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN low ELSE digest END AS now, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM d)",
+        *tree_sql("f", "leaves", levels),
+        "subroots AS (SELECT 0 AS g, g AS of, digest, digest AS now, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx FROM f_n)",
+        *tree_sql("t", "subroots", top_levels),
+    ]
+    # the top path is folded from what the leaf's own tree gave, level by level
+    steps = "f.acc"
+    join = []
+    for k in range(top_levels):
+        steps = f"CASE WHEN s{k}.cnt > 1 THEN sha256(s{k}.l || {steps} || s{k}.r) ELSE {steps} END"
+        join.append(f"JOIN t_s{k} s{k} ON s{k}.idx = u.idx // {8**k}")
+    ctes.append(f"w AS (SELECT l.doc_id, l.digest AS leaf, u.digest AS subroot, (SELECT digest FROM t_n) AS root, sha256(f.proof || t.proof) AS proof_sha256, {steps} AS folded_root FROM leaves l JOIN f_p f ON l.g IS NOT DISTINCT FROM f.g AND l.idx = f.leaf_idx JOIN subroots u ON u.of IS NOT DISTINCT FROM l.g JOIN t_p t ON t.leaf_idx = u.idx {' '.join(join)})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT *, folded_root = root AS verified FROM w"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION_SQL, "op3_chat": CHAT_SQL}
+    return {"op1_decontamination": DECONTAMINATION_SQL, "op3_chat": CHAT_SQL, "op11_topk": TOPK_SQL, "op12_merkle": merkle_sql()}
