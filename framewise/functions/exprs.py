@@ -68,13 +68,6 @@ def min_image(d: Column, length: Column | float) -> Column:
     return d - length * F.rint(d / length)
 
 
-def min_image_triclinic(d: list[Column], cell: list[list[float]], inverse: list[list[float]]) -> list[Column]:
-    """Nearest image in a triclinic cell (rows are vectors): fractional coordinates are rounded to the nearest integer."""
-    frac = [sum((d[i] * inverse[i][k] for i in range(1, 3)), d[0] * inverse[0][k]) for k in range(3)]
-    frac = [f - F.rint(f) for f in frac]
-    return [sum((frac[i] * cell[i][k] for i in range(1, 3)), frac[0] * cell[0][k]) for k in range(3)]
-
-
 #: g/cm3 of one water of 18.01528 g/mol in one cubic angstrom.
 WATER_G_A3 = 18.01528 / 0.602214076
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialise
 from ..functions.exprs import angle_deg, cross, dot, min_image, norm, planar_deviation, torsion_deg, torsion_of, unit
+from .cells import imaged
 
 XYZ = ("x", "y", "z")
 
@@ -24,14 +25,14 @@ def pick_flat(atoms: DataFrame, ids: list[int], keys: tuple[str, ...]) -> DataFr
 
 def flat_vector(i: int, j: int, box: float | None) -> list[Column]:
     d = [F.col(f"a{j}{c}") - F.col(f"a{i}{c}") for c in XYZ]
-    return [min_image(v, box) for v in d] if box else d
+    return imaged(d, box)
 
 
 def vector(a: int | str, b: int | str, box: float | None) -> list[Column]:
     """From a to b, imaged."""
     a, b = (f"a{i}" if isinstance(i, int) else i for i in (a, b))
     d = [F.col(f"{b}.{c}") - F.col(f"{a}.{c}") for c in XYZ]
-    return [min_image(x, box) for x in d] if box else d
+    return imaged(d, box)
 
 
 def distance(atoms: DataFrame, i: int, j: int, box: float | None, keys: tuple[str, ...] = ("frame",)) -> DataFrame:

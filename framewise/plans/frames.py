@@ -6,7 +6,10 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import exprs as X
 from ..operators import agg, align, density, events, geometry, graph, pairs
+from ..operators.cells import with_cells
+from ..sources import scans
 from ..sources.tables import BOX, atoms
+from .live import landed
 from .registry import query
 
 
@@ -213,7 +216,7 @@ def known(df, name: str):
 
 def bonds(spark, d):
     a = atoms(spark, d)
-    return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX, dense=False)
+    return pairs.hbonds(a.where(O()), a.where(H()), a.where(O()), 12.0, 16.0, 90.0, BOX)
 
 
 @query("g15_hbonds", f"WITH {HB} SELECT frame, donor, h, acceptor, d, angle FROM hb WHERE angle >= 90", "d angle", "atoms")
@@ -259,7 +262,7 @@ z AS (SELECT *, NOT coalesce(d <= 8 AND degrees(acos(greatest(-1, least(1, dot /
 SELECT frame, h, arg_min(acceptor, (no, d, acceptor)) AS acceptor, arg_min(d, (no, d, acceptor)) AS d, NOT arg_min(no, (no, d, acceptor)) AS is_hbond FROM z GROUP BY ALL""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX, dense=False)
+    return pairs.select_acceptor(a.where(H()), a.where(O()), a.where(O()), 8.0, 100.0, BOX)
 
 
 @query("g20_sasa", """WITH k AS (SELECT k, 1 - (2 * k + 1) / 60.0 AS kz, sqrt(1 - (1 - (2 * k + 1) / 60.0) ** 2) AS rho, k * 2.399963229728653 AS phi FROM range(0, 60) r(k)),
@@ -268,13 +271,13 @@ h AS (SELECT DISTINCT t.frame, t.i, t.k FROM t JOIN atoms b ON b.frame = t.frame
 SELECT t.frame, t.i, count(*) FILTER (h.k IS NULL) / 60.0 * 4 * pi() * 64 AS area FROM t LEFT JOIN h USING (frame, i, k) GROUP BY ALL""", "area", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.sasa(a.where(C()), a, 8.0, 60, BOX, dense=False)
+    return pairs.sasa(a.where(C()), a, 8.0, 60, BOX)
 
 
 @query("g21_group_min_distance", f"""WITH p AS ({pairs_sql("'O','C','H'", "'O','C','H'", 12)}) SELECT frame, least((i - 1) // 3, (j - 1) // 3) AS mol_a, greatest((i - 1) // 3, (j - 1) // 3) AS mol_b, min(d) AS d, min(d) <= 6 AS contact FROM p WHERE (i - 1) // 3 <> (j - 1) // 3 GROUP BY ALL""", "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d).withColumn("mol", F.floor((F.col("atom_id") - 1) / 3))
-    return pairs.contacts(a, "mol", 6.0, 12.0, BOX, dense=False)
+    return pairs.contacts(a, "mol", 6.0, 12.0, BOX)
 
 
 @query("g23_slab_density", """WITH c AS (SELECT frame, CAST(least(floor(z / 5.0), 9) AS INTEGER) AS slab, count(*) AS c FROM atoms GROUP BY ALL), n AS (SELECT count(DISTINCT frame) AS n FROM atoms)
@@ -293,14 +296,68 @@ def _(spark, d):
 @query("j9_neighbour_pairs", pairs_sql("'O'", "'H'", 9).replace("a.run, ", ""), "d", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 9.0, BOX, dense=False).select("frame", "i", "j", "d")
+    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 9.0, BOX).select("frame", "i", "j", "d")
+
+
+#: Frames of a few hundred atoms: many orders as one frame.
+DENSE = "dn AS (SELECT run, frame // 800 AS frame, frame * 100 + atom_id AS atom_id, element, x, y, z FROM atoms)"
+
+
+def dense(spark, d):
+    a = atoms(spark, d)
+    return a.select("run", F.floor(F.col("frame") / 800).alias("frame"), (F.col("frame") * 100 + F.col("atom_id")).alias("atom_id"), "element", "x", "y", "z")
+
+
+@query("j9_dense_frames", f"WITH {DENSE} SELECT a.frame, a.atom_id AS i, b.atom_id AS j, {D} AS d FROM dn a JOIN dn b ON a.frame = b.frame AND a.atom_id < b.atom_id WHERE a.element = 'O' AND b.element = 'O' AND {D} <= 4", "d", "atoms")
+def _(spark, d):
+    a = dense(spark, d).where(O())
+    return pairs.neighbour_pairs(a, a, 4.0, BOX, half=True).select("frame", "i", "j", "d")
+
+
+@query("h4_dense_rdf", f"""WITH {DENSE}, p AS (SELECT {D} AS d FROM dn a JOIN dn b ON a.frame = b.frame AND a.atom_id <> b.atom_id WHERE a.element = 'O' AND b.element = 'H' AND {D} < 6), c AS (SELECT count(*) AS centres FROM dn WHERE element = 'O' AND frame IS NOT NULL),
+h AS (SELECT CAST(floor(d / 0.25) AS INTEGER) AS bin, count(*) AS n FROM p GROUP BY 1), b AS (SELECT CAST(i AS INTEGER) AS bin, i * 0.25 AS lo FROM range(0, 24) r(i)), x AS (SELECT b.bin, lo, coalesce(h.n, 0) AS n FROM b LEFT JOIN h USING (bin))
+SELECT bin, lo + 0.125 AS r, n, n / (centres * 0.0334 * 4.0 / 3.0 * pi() * ((lo + 0.25)**3 - lo**3)) AS g, sum(n) OVER (ORDER BY bin) / centres AS running FROM x, c""", "r g running", "atoms")
+def _(spark, d):
+    a = dense(spark, d)
+    return pairs.rdf(a.where(O()), a.where(H()), 0.25, 6.0, BOX, rho=0.0334)
+
+
+#: Cells by run: odd runs are triclinic. Rows of the cell are (ax, 0, 0), (bx, b, 0), (cx, cy, c).
+CELL = {"ax": "50 + run", "bx": "run % 2 * 6", "b": "50 - run % 2 * 2", "cx": "run % 2 * -4", "cy": "run % 2 * 5", "c": "60 - run % 2 * 5"}
+CELLED = f"""cl AS (SELECT run, frame // 8000 * 10 + run AS frame, frame * 100 + atom_id AS atom_id, element, x, y, z, {', '.join(f'{v} AS {k}' for k, v in CELL.items())} FROM atoms),
+pr AS (SELECT a.frame, a.run, a.atom_id AS i, b.atom_id AS j, a.element AS ei, b.element AS ej, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, a.ax, a.bx, a.b, a.cx, a.cy, a.c FROM cl a JOIN cl b ON a.frame = b.frame AND a.atom_id <> b.atom_id),
+n3 AS (SELECT *, round_even(dz / c, 0) AS n3, dz / c AS f3 FROM pr), n2 AS (SELECT *, (dy - f3 * cy) / b AS f2 FROM n3), n1 AS (SELECT *, round_even(f2, 0) AS n2, round_even((dx - f2 * bx - f3 * cx) / ax, 0) AS n1 FROM n2),
+im AS (SELECT frame, run, i, j, ei, ej, sqrt((dx - (n1 * ax + n2 * bx + n3 * cx))**2 + (dy - (n2 * b + n3 * cy))**2 + (dz - n3 * c)**2) AS d FROM n1)"""
+
+
+def celled(spark, d):
+    """Atoms of runs with cells of their own, read back from text files with the cells' vectors."""
+    e = lambda k: F.expr(CELL[k]).cast("string")
+    text = F.concat(F.lit("header\nTV "), e("ax"), F.lit(" 0 0\nTV "), e("bx"), F.lit(" "), e("b"), F.lit(" 0\nTV "), e("cx"), F.lit(" "), e("cy"), F.lit(" "), e("c"), F.lit("\n"))
+    a = atoms(spark, d)
+    boxes = scans.scan_box(spark, landed(a.select("run").distinct().select("run", F.lit(0).alias("t"), text.alias("value"))))
+    a = a.select("run", (F.floor(F.col("frame") / 8000) * 10 + F.col("run")).alias("frame"), (F.col("frame") * 100 + F.col("atom_id")).alias("atom_id"), "element", "x", "y", "z")
+    return with_cells(a, boxes.select(F.col("run").cast("bigint").alias("run"), "cell"))
+
+
+@query("j9_cells", f"WITH {CELLED} SELECT frame, run, i, j, d FROM im WHERE ei = 'O' AND ej = 'H' AND d <= 4.5", "d", "atoms")
+def _(spark, d):
+    a = celled(spark, d)
+    return pairs.neighbour_pairs(a.where(O()), a.where(H()), 4.5, "cell", ("run", "frame")).select("frame", "run", "i", "j", "d")
+
+
+@query("j10_cells", f"""WITH {CELLED}, r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM im WHERE ei = 'H' AND ej = 'O' AND d <= 6 WINDOW w AS (PARTITION BY frame, i ORDER BY d, j))
+SELECT frame, i AS h, j AS nearest, CASE WHEN d2 IS NULL OR d2 - d >= 0.5 THEN j END AS owner, d AS d1, d2 FROM r WHERE k = 1 AND d <= 5.5""", "d1 d2", "atoms")
+def _(spark, d):
+    a = celled(spark, d)
+    return pairs.nearest_owner(a.where(H()), a.where(O()), 5.5, 0.5, "cell")
 
 
 @query("j10_nearest_owner", f"""WITH p AS ({pairs_sql("'H'", "'O','C'", 12)}), r AS (SELECT *, row_number() OVER w AS k, lead(d) OVER w AS d2 FROM p WINDOW w AS (PARTITION BY frame, i ORDER BY d, j))
 SELECT frame, i AS h, j AS nearest, CASE WHEN d2 IS NULL OR d2 - d >= 2 THEN j END AS owner, d AS d1, d2 FROM r WHERE k = 1 AND d <= 10""", "d1 d2", "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    return pairs.nearest_owner(a.where(H()), a.where(O() | C()), 10.0, 2.0, BOX, dense=False)
+    return pairs.nearest_owner(a.where(H()), a.where(O() | C()), 10.0, 2.0, BOX)
 
 
 @query("j16_resolve_names", """WITH t AS (SELECT frame AS "system", element || CAST(atom_id % 3 AS VARCHAR) AS name, atom_id FROM atoms) SELECT "system", name, min(atom_id) AS atom_id FROM t WHERE name IN ('O1', 'H2') GROUP BY ALL HAVING count(*) = 1""", "", "atoms")
@@ -323,7 +380,7 @@ h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE
 SELECT bin, lo + 0.25 AS r, n, n * 125000.0 / (pairs * 4.0 / 3.0 * pi() * ((lo + 0.5)**3 - lo**3)) AS g, sum(n) OVER (ORDER BY bin) / centres AS running FROM x, t""", "r g running", "atoms")
 def _(spark, d):
     a = atoms(spark, d).where(O())
-    return pairs.rdf(a, a, 0.5, 15.0, BOX, dense=False)
+    return pairs.rdf(a, a, 0.5, 15.0, BOX)
 
 
 RDF = f"""p AS ({pairs_sql("'O'", "'O'", 15)}), c AS (SELECT frame, count(*) AS n FROM atoms WHERE element = 'O' GROUP BY frame), t AS (SELECT sum(n * n) AS pairs FROM c),
@@ -333,7 +390,7 @@ h AS (SELECT CAST(floor(d / 0.5) AS INTEGER) AS bin, count(*) AS n FROM p WHERE
 @query("h5_coordination_number", f"WITH {RDF}, s AS (SELECT bin, r, coalesce((g * r * r + lag(g * r * r) OVER w) / 2 * (r - lag(r) OVER w), 0) AS s FROM g WINDOW w AS (ORDER BY bin)) SELECT bin, r, 4 * pi() * 0.001 * sum(s) OVER (ORDER BY bin) AS cn FROM s", "r cn", "atoms")
 def _(spark, d):
     a = atoms(spark, d).where(O())
-    g = pairs.rdf(a, a, 0.5, 15.0, BOX, dense=False).withColumn("key", F.lit(0))
+    g = pairs.rdf(a, a, 0.5, 15.0, BOX).withColumn("key", F.lit(0))
     return density.coordination_number(g, 0.001, ["key"]).select("bin", "r", "cn")
 
 
@@ -365,7 +422,7 @@ EDGES = f"edges AS (SELECT frame, i AS a, j AS b FROM ({pairs_sql(chr(39) + 'O'
 
 def edges(spark, d):
     a = atoms(spark, d).where(O() | C())
-    return pairs.neighbour_pairs(a, a, 16.0, BOX, dense=False, half=True).select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
+    return pairs.neighbour_pairs(a, a, 16.0, BOX, half=True).select("frame", F.col("i").alias("a"), F.col("j").alias("b"))
 
 
 def ends(spark, d):

@@ -89,11 +89,11 @@ def _(spark, d):
     return m.groupBy(run).agg(F.sum("n_frames").alias("n_frames"), F.sum("tail_bytes").cast("int").alias("tail_bytes"), F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0) & F.col("checksum").isNotNull()).alias("whole"))
 
 
-@query("s16_scan_topology", "SELECT CAST(frame AS VARCHAR) AS molecule, atom_id, element || atom_id AS name, CAST((atom_id - 1) // 3 + 1 AS INTEGER) AS residue_id, x, y / 1000 AS charge, CASE WHEN atom_id > 1 THEN atom_id - 1 END AS bonded FROM atoms", "x charge", "atoms")
+@query("s16_scan_topology", "SELECT CAST(frame AS VARCHAR) AS molecule, atom_id, element || atom_id AS name, CAST((atom_id - 1) // 3 + 1 AS INTEGER) AS residue_id, x, (atom_id % 7 - 3) * 0.125 AS charge, CASE WHEN atom_id > 1 THEN atom_id - 1 END AS bonded FROM atoms", "x charge", "atoms")
 def _(spark, d):
     s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
     a = atoms(spark, d)
-    line = F.concat_ws(" ", s("atom_id"), F.concat("element", s("atom_id")), s("x"), s("y"), s("z"), F.lower("element"), s(F.floor((F.col("atom_id") - 1) / 3) + 1), F.lit("MOL"), s(F.col("y") / 1000))
+    line = F.concat_ws(" ", s("atom_id"), F.concat("element", s("atom_id")), s("x"), s("y"), s("z"), F.lower("element"), s(F.floor((F.col("atom_id") - 1) / 3) + 1), F.lit("MOL"), s((F.col("atom_id") % 7 - 3) * 0.125))
     g = a.groupBy("run", F.col("frame").alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct("atom_id", line.alias("l")))), lambda r: r["l"]).alias("l"))  # the atoms of one molecule
     bonds = F.when(F.size("l") > 1, F.array_join(F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.concat_ws(" ", k.cast("string"), k.cast("string"), (k + 1).cast("string"), F.lit("1"))), "\n")).otherwise("")
     text = F.concat(F.lit("@<TRIPOS>MOLECULE\n"), s("t"), F.lit("\n@<TRIPOS>ATOM\n"), F.array_join("l", "\n"), F.lit("\n@<TRIPOS>BOND\n"), bonds)
@@ -102,6 +102,41 @@ def _(spark, d):
     return atoms_.join(ends, ["path", "molecule", "atom_id"], "left").select("molecule", "atom_id", "name", "residue_id", "x", "charge", "bonded")
 
 
+SYSTEMS = "sy AS (SELECT frame // 5000 AS run, row_number() OVER (PARTITION BY frame // 5000 ORDER BY frame, atom_id) AS k, element FROM atoms)"
+
+
+@query("s16_scan_parm7", f"""WITH {SYSTEMS} SELECT run, k AS atom_id, element || CAST(k % 1000 AS VARCHAR) AS name, (k % 7 - 3) * 0.125 AS charge, CASE element WHEN 'O' THEN 16.0 WHEN 'H' THEN 1.008 ELSE 12.011 END AS mass, CAST((k - 1) // 3 + 1 AS INTEGER) AS residue_id, CASE WHEN (k - 1) // 3 % 2 = 0 THEN 'WAT' ELSE 'LIG' END AS residue,
+CASE WHEN k % 3 <> 1 THEN k - 1 END AS bonded FROM sy""", "charge mass", "atoms")
+def _(spark, d):
+    # a file a system, of a few thousand atoms: sections of fixed width, as the format has them
+    a = atoms(spark, d).groupBy(F.floor(F.col("frame") / 5000).alias("run")).agg(F.array_sort(F.collect_list(F.struct("frame", "atom_id", "element"))).alias("a"))
+    n = F.size("a")
+    i8 = lambda v: F.format_string("%8d", v)
+    e16 = lambda v: F.format_string("%16.8E", v)
+    k = F.sequence(F.lit(1), n)
+    mass = lambda e: F.when(e == "O", 16.0).when(e == "H", 1.008).otherwise(12.011)
+    residues = F.sequence(F.lit(0), F.floor((n - 1) / 3).cast("int"))
+    sections = {
+        "POINTERS": ("10I8", 10, F.array(i8(n), i8(F.lit(3)))),
+        "ATOM_NAME": ("20a4", 20, F.transform("a", lambda x, i: F.rpad(F.concat(x["element"], ((i + 1) % 1000).cast("string")), 4, " "))),
+        "CHARGE": ("5E16.8", 5, F.transform(k, lambda i: e16((i % 7 - 3) * 0.125 * 18.2223))),
+        "MASS": ("5E16.8", 5, F.transform("a", lambda x: e16(mass(x["element"])))),
+        "RESIDUE_LABEL": ("20a4", 20, F.transform(residues, lambda r: F.when(r % 2 == 0, "WAT ").otherwise("LIG "))),
+        "RESIDUE_POINTER": ("10I8", 10, F.transform(residues, lambda r: i8(3 * r + 1))),
+        "BONDS_INC_HYDROGEN": ("10I8", 10, F.expr("cast(array() as array<string>)")),
+        "BONDS_WITHOUT_HYDROGEN": ("10I8", 10, F.flatten(F.transform(F.filter(k, lambda i: i % 3 != 1), lambda i: F.array(i8(3 * (i - 2)), i8(3 * (i - 1)), i8(F.lit(1)))))),
+    }
+    # the fields of every section are a column first; inside the function that cuts them into lines they would be made anew for each line
+    a = a.select("run", *[v.alias(name) for name, (_, _, v) in sections.items()])
+    lines = lambda name, per: F.when(F.size(name) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(name) - 1) / per).cast("int")), lambda i: F.array_join(F.slice(name, i * per + 1, F.lit(per)), "")), "\n")).otherwise("")
+    parts = [F.concat(F.lit(f"%FLAG {name}\n%FORMAT({form})\n"), lines(name, per), F.lit("\n")) for name, (form, per, _) in sections.items()]
+    text = F.concat(F.lit("%VERSION  VERSION_STAMP = V0001.000\n"), *parts)
+    atoms_, bonds_ = scans.scan_parm7(spark, landed(a.select("run", F.lit(0).alias("t"), text.alias("value"))))
+    ends = bonds_.select("path", F.col("b").alias("atom_id"), F.col("a").alias("bonded"))
+    x = atoms_.join(ends, ["path", "atom_id"], "left")
+    return x.select(scans.run_of(F.col("path")).cast("bigint").alias("run"), "atom_id", "name", "charge", "mass", "residue_id", "residue", "bonded")
+
+
 @query("g22_unwrap_molecule", """WITH RECURSIVE p AS (SELECT frame, atom_id, x, y, z FROM atoms WHERE atom_id = 1 UNION ALL SELECT a.frame, a.atom_id, p.x + (b.x - o.x - 50 * round_even((b.x - o.x) / 50, 0)), p.y + (b.y - o.y - 50 * round_even((b.y - o.y) / 50, 0)), p.z + (b.z - o.z - 50 * round_even((b.z - o.z) / 50, 0))
 FROM p JOIN atoms a ON a.frame = p.frame AND a.atom_id = p.atom_id + 1 JOIN atoms b ON b.frame = a.frame AND b.atom_id = a.atom_id JOIN atoms o ON o.frame = p.frame AND o.atom_id = p.atom_id) SELECT frame, atom_id, x, y, z FROM p""", "x y z", "atoms")
 def _(spark, d):

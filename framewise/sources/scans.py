@@ -268,14 +268,18 @@ def scan_parm7(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     n = F.get("POINTERS", F.lit(0)).cast("int")
     fine = (F.size("ATOM_NAME") == n) & (F.size("CHARGE") == n) & (F.size("RESIDUE_LABEL") == F.size("RESIDUE_POINTER"))
     part = part.withColumn("ATOM_NAME", F.when(F.coalesce(fine, F.lit(False)), F.col("ATOM_NAME")).otherwise(F.raise_error(F.concat(F.lit("broken topology "), "path")).cast("array<string>")))
-    first = F.transform("RESIDUE_POINTER", lambda t: t.cast("int"))
-    a = part.select("path", first.alias("first"), "RESIDUE_LABEL", "CHARGE", "MASS", F.posexplode("ATOM_NAME").alias("k", "name"))
-    residue = F.size(F.filter("first", lambda p: p <= F.col("k") + 1))
-    atoms = a.select("path", (F.col("k") + 1).cast("bigint").alias("atom_id"), "name", (number(F.get("CHARGE", F.col("k"))) / 18.2223).alias("charge"), number(F.get("MASS", F.col("k"))).alias("mass"), residue.alias("residue_id"), F.get("RESIDUE_LABEL", residue - 1).alias("residue"))
-    both = F.concat(F.coalesce("BONDS_INC_HYDROGEN", F.array()), F.coalesce("BONDS_WITHOUT_HYDROGEN", F.array()))
-    b = part.select("path", both.alias("v")).select("path", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int"))).alias("k")).where(3 * F.col("k") + 2 < F.size("v"))
-    end = lambda o: (F.get("v", 3 * F.col("k") + o).cast("bigint") / 3 + 1).cast("bigint")
-    return atoms, b.select("path", F.least(end(0), end(1)).alias("a"), F.greatest(end(0), end(1)).alias("b"))
+    # each residue's number and label stand as often as it has atoms, so that all arrays run along the atoms
+    start = lambda i: F.get("RESIDUE_POINTER", i).cast("int")
+    times = lambda i: F.greatest(F.lit(0), F.coalesce(start(i + 1), n + 1) - start(i))
+    held = F.flatten(F.transform("RESIDUE_LABEL", lambda label, i: F.array_repeat(F.struct((i + 1).alias("id"), label.alias("label")), times(i))))
+    part = part.select("path", F.coalesce("BONDS_INC_HYDROGEN", F.array()).alias("bh"), F.coalesce("BONDS_WITHOUT_HYDROGEN", F.array()).alias("bo"), F.arrays_zip(F.col("ATOM_NAME").alias("name"), F.col("CHARGE").alias("charge"), F.col("MASS").alias("mass"), held.alias("residue")).alias("a"))
+    a = part.select("path", F.posexplode("a").alias("k", "a"))
+    atoms = a.select("path", (F.col("k") + 1).cast("bigint").alias("atom_id"), "a.name", (number(F.col("a.charge")) / 18.2223).alias("charge"), number(F.col("a.mass")).alias("mass"), F.col("a.residue.id").alias("residue_id"), F.col("a.residue.label").alias("residue"))
+    # bonds are triples of two ends and a kind; only the ends leave the array
+    both = part.select("path", F.concat("bh", "bo").alias("v")).where("size(v) >= 3")
+    end = lambda i: (F.get("v", i).cast("bigint") / 3 + 1).cast("bigint")
+    b = both.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int") - 1), lambda k: F.struct(end(3 * k).alias("p"), end(3 * k + 1).alias("q")))).alias("e"))
+    return atoms, b.select("path", F.least("e.p", "e.q").alias("a"), F.greatest("e.p", "e.q").alias("b"))
 
 
 def source_manifest(spark: SparkSession, paths, most_bytes: int = 1 << 30) -> DataFrame:

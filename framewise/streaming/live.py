@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -45,83 +45,113 @@ def count_late(x: DataFrame, late: str, limit: Column) -> DataFrame:
     return x.observe("lateness", F.count_if(F.col("ts") < limit).alias("late"), F.count("*").alias("rows")).withWatermark("ts", late)
 
 
-def stream_sustained_events(x: DataFrame, key: str, on: str, persistence_s: float, late: str = "10 minutes") -> DataFrame:
-    """(key, start, seen): a condition that has held from start for the persistence, told once for each holding.
+def _in_time_order(x: DataFrame, key: str, flags: list[str], fold: Callable, state: str, out: str, late: str) -> DataFrame:
+    """Rows of a key handed to fold(state, [(seconds, *flags), ...]) -> (state, results) in the order of event time, whatever batches they came in.
 
-    State of a key: the start of the holding and whether it was told. Rows of a batch come sorted by time.
+    Rows wait in list state until the watermark has passed them, when a timer at the earliest of them has them folded in
+    order (rows of one time by their flags); what comes later is later in time, as Spark drops rows behind the watermark.
+    A key's memory is what arrives within the watermark's delay or in one batch. The last `late` of a stream is folded
+    once a later row moves the watermark; rows with a null key do only that.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    schema = x.select(key).schema
+    names = [part.split()[0] for part in f"{key} -, {out}".split(", ")]
+    rows_ddl = ", ".join(["t bigint", *(f"f{i} boolean" for i in range(len(flags)))])
 
-    class Sustained(StatefulProcessor):
+    class Ordered(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("holding", "start double, told boolean")
+            self.handle = handle
+            self.rows = handle.getListState("rows", rows_ddl)
+            self.state = handle.getValueState("state", state)
+
+        def wake(self, rows: list[tuple]) -> None:
+            self.handle.registerTimer(-(-min(rows)[0] // 1000))
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            start, told = self.state.get() if self.state.exists() else (None, False)
-            out = []
-            for t, yes in sorted((t.timestamp(), bool(yes)) for pdf in rows for t, yes in zip(pdf["ts"], pdf[on])):
-                if not yes:
-                    start, told = None, False
-                    continue
-                start = t if start is None else start
-                if not told and t - start >= persistence_s:
-                    told = True
-                    out.append((k[0], start, t))
-            if start is None:
-                self.state.clear()
-            else:
-                self.state.update((start, told))
-            yield pd.DataFrame(out, columns=[key, "start", "seen"])
+            if k[0] is not None and not (isinstance(k[0], float) and k[0] != k[0]):
+                new = [(int(t.value // 1000), *map(bool, f)) for pdf in rows for t, *f in zip(pdf["ts"], *(pdf[c] for c in flags))]
+                self.rows.appendList(new)
+                self.wake(new)
+            yield pd.DataFrame([], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = 1000 * timerValues.getCurrentWatermarkInMs()
+            held = sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
+            ready = [r for r in held if r[0] <= passed]
+            found = []
+            if ready:
+                now, found = fold(self.state.get() if self.state.exists() else None, [(r[0] / 1e6, *r[1:]) for r in ready])
+                if now is None:
+                    self.state.clear()
+                else:
+                    self.state.update(now)
+                if rest := held[len(ready) :]:
+                    self.rows.put(rest)
+                    self.wake(rest)
+                else:
+                    self.rows.clear()
+            yield pd.DataFrame([(key[0], *f) for f in found], columns=names)
 
         def close(self) -> None:
             pass
 
-    kind = schema[key].dataType.simpleString()
-    return x.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Sustained(), f"{key} {kind}, start double, seen double", "append", "eventTime")
+    kind = x.schema[key].dataType.simpleString()
+    return x.select(key, "ts", *flags).withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Ordered(), f"{key} {kind}, {out}", "append", "eventTime")
 
 
-def stream_regimes(x: DataFrame, key: str, low: str, back: str, low_s: float, back_s: float, late: str = "10 minutes") -> DataFrame:
-    """(key, start, recovered): the first state `low` that held for low_s seconds, and the first state `back` after its start that held for back_s; told once a key.
+def stream_sustained_events(x: DataFrame, key: str, on: str, persistence_s: float, late: str = "10 minutes") -> DataFrame:
+    """(key, start, seen): a condition that has held from start for the persistence, told once for each holding, once the watermark has passed it.
 
-    State of a key: its stage, the start found, and the start of the holding under way.
+    State of a key: the start of the holding and whether it was told.
     """
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    class Regimes(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("regime", "stage int, start double, since double")
+    def fold(state, rows):
+        start, told = state or (None, False)
+        found = []
+        for t, yes in rows:
+            if not yes:
+                start, told = None, False
+                continue
+            start = t if start is None else start
+            if not told and t - start >= persistence_s:
+                told = True
+                found.append((start, t))
+        return (None if start is None else (start, told)), found
 
-        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            stage, start, since = self.state.get() if self.state.exists() else (0, None, None)
-            out, held = [], []
-            samples = sorted((t.timestamp(), bool(a), bool(b)) for pdf in rows for t, a, b in zip(pdf["ts"], pdf[low], pdf[back]))
-            for t, is_low, is_back in samples:
-                held.append((t, is_back))
-                if stage == 0:
-                    since = (t if since is None else since) if is_low else None
-                    if since is not None and t - since >= low_s:
-                        stage, start, since = 1, since, None
-                        # what came after the start already counts for the recovery
-                        for u, yes in held:
-                            if u > start:
-                                since = (u if since is None else since) if yes else None
-                elif stage == 1:
-                    since = (t if since is None else since) if is_back else None
-                if stage == 1 and since is not None and t - since >= back_s:
-                    out.append((k[0], start, since))
-                    stage = 2
-            self.state.update((stage, start, since))
-            yield pd.DataFrame(out, columns=[key, "start", "recovered"])
+    return _in_time_order(x, key, [on], fold, "start double, told boolean", "start double, seen double", late)
 
-        def close(self) -> None:
-            pass
 
-    kind = x.schema[key].dataType.simpleString()
-    return x.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Regimes(), f"{key} {kind}, start double, recovered double", "append", "eventTime")
+def stream_regimes(x: DataFrame, key: str, low: str, back: str, low_s: float, back_s: float, late: str = "10 minutes") -> DataFrame:
+    """(key, start, recovered): the first state `low` that held for low_s seconds, and the first state `back` after its start that held for back_s; told once a key, once the watermark has passed both.
+
+    State of a key: its stage, the start of `low`, the start of the `back` under way after it, and the first that held
+    before `low` was known to hold.
+    """
+
+    def fold(state, rows):
+        stage, start, since, first = state or (0, None, None, None)
+        found = []
+        for t, is_low, is_back in rows:
+            if stage == 2:
+                break
+            if stage == 0:
+                if not is_low:
+                    start, since, first = None, None, None
+                    continue
+                start = t if start is None else start
+            if t > start:
+                since = (t if since is None else since) if is_back else None
+                if first is None and since is not None and t - since >= back_s:
+                    first = since
+            if stage == 0 and t - start >= low_s:
+                stage = 1
+            if stage == 1 and first is not None:
+                found.append((start, first))
+                stage = 2
+        return (None if stage == 0 and start is None else (stage, start, since, first)), found
+
+    return _in_time_order(x, key, [low, back], fold, "stage int, start double, since double, first double", "start double, recovered double", late)
 
 
 def run_once(x: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
