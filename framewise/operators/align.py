@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .runs import long_runs, spans, with_windows
+
 
 def exact_time_join(a: DataFrame, b: DataFrame, columns: list[str], key: str = "run", t: str = "t", places: float = 1e8) -> DataFrame:
     """Rows of a with b's columns at the same time (rounded to 1 / places); null where none matches, never a nearest one."""
@@ -13,39 +15,41 @@ def exact_time_join(a: DataFrame, b: DataFrame, columns: list[str], key: str = "
     return left.join(right, (left[key] == right["_key"]) & (left["_at"] == right["_tick"]), "left").drop("_key", "_tick", "_at")
 
 
-def _beside(a: DataFrame, b: DataFrame, key: str, t: str, columns: list[str], block: float | None = None) -> DataFrame:
+def _beside(a: DataFrame, b: DataFrame, key: str, t: str, columns: list[str], size: int | None = None) -> DataFrame:
     """a's rows with the last row of b at or before (_p) and the first at or after (_n), one shuffle on the key.
 
-    block: width of time blocks into which keys are cut, so that a key with most of the rows spreads over tasks; what a
-    block does not hold comes from the table of blocks (the first and last row of b in each).
+    Keys with more than `size` rows (LONG by default) of both are cut into blocks of time; what a block does not hold comes
+    from the table of blocks (the first and last row of b in each).
     """
     row = F.struct(F.col(t).alias("t"), *columns)
     every = a.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.lit(1).alias("_a"), F.struct(*a.columns).alias("_row"), F.lit(None).cast(b.select(row.alias("r")).schema["r"].dataType).alias("_b"))
     every = every.unionByName(b.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.lit(0).alias("_a"), F.lit(None).cast(every.schema["_row"].dataType).alias("_row"), row.alias("_b")))
-    if block is not None:
-        every = every.withColumn("_block", F.floor(F.col("_t") / block))
-    w = Window.partitionBy("_k", *(["_block"] if block is not None else [])).orderBy("_t")
+    block = long_runs(every, "_k", size)
+    if block:
+        every = spans(every.withColumnRenamed("_k", "_key"), "_key", "_t", size).withColumnRenamed("_key", "_k")
+    w = Window.partitionBy("_k", *(["_block"] if block else [])).orderBy("_t")
     before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
     both = every.withColumns({"_p": F.last("_b", ignorenulls=True).over(before), "_n": F.first("_b", ignorenulls=True).over(after)}).where("_a = 1")
-    if block is not None:
+    if block:
         at = F.when(F.col("_b").isNotNull(), F.col("_t"))
         ends = every.groupBy("_k", "_block").agg(F.min_by("_b", at).alias("_first"), F.max_by("_b", at).alias("_last"))
         o = Window.partitionBy("_k").orderBy("_block")
         ends = ends.select("_k", "_block", F.last("_last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("_bp"), F.first("_first", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("_bn"))
-        both = both.join(ends, ["_k", "_block"]).withColumns({"_p": F.coalesce("_p", "_bp"), "_n": F.coalesce("_n", "_bn")})
+        ends = ends.select(F.col("_k").alias("_ek"), F.col("_block").alias("_eb"), "_bp", "_bn")
+        both = both.join(ends, F.col("_k").eqNullSafe(F.col("_ek")) & (F.col("_block") == F.col("_eb"))).withColumns({"_p": F.coalesce("_p", "_bp"), "_n": F.coalesce("_n", "_bn")})
     return both.select("_row.*", "_p", "_n")
 
 
-def asof_backward(a: DataFrame, b: DataFrame, columns: list[str], key: str = "run", t: str = "t", nearest: bool = True, block: float | None = None) -> DataFrame:
+def asof_backward(a: DataFrame, b: DataFrame, columns: list[str], key: str = "run", t: str = "t", nearest: bool = True, size: int | None = None) -> DataFrame:
     """The latest row of b at or before each time; the first after it where none is before (nearest=False: null)."""
-    x = _beside(a, b, key, t, columns, block)
+    x = _beside(a, b, key, t, columns, size)
     pick = F.coalesce("_p", "_n") if nearest else F.col("_p")
     return x.select(*a.columns, pick["t"].alias("t_b"), *[pick[c].alias(c) for c in columns])
 
 
-def nearest_time_join(a: DataFrame, b: DataFrame, columns: list[str], tolerance: Column | float, key: str = "run", t: str = "t", block: float | None = None) -> DataFrame:
+def nearest_time_join(a: DataFrame, b: DataFrame, columns: list[str], tolerance: Column | float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Each row of a with the nearest row of b within the tolerance, the earlier of two equally near; nulls otherwise."""
-    x = _beside(a, b, key, t, columns, block)
+    x = _beside(a, b, key, t, columns, size)
     dp, dn = F.col(t) - F.col("_p.t"), F.col("_n.t") - F.col(t)
     pick = F.when(F.col("_n").isNull() | (dp <= dn), F.col("_p")).otherwise(F.col("_n"))
     x = x.withColumn("_x", pick)
@@ -53,20 +57,20 @@ def nearest_time_join(a: DataFrame, b: DataFrame, columns: list[str], tolerance:
     return x.select(*a.columns, F.when(fits, F.col("_x.t")).alias("t_b"), *[F.when(fits, F.col(f"_x.{c}")).alias(c) for c in columns])
 
 
-def interp_join(grid: DataFrame, samples: DataFrame, value: str = "value", key: str = "run", t: str = "t", block: float | None = None) -> DataFrame:
+def interp_join(grid: DataFrame, samples: DataFrame, value: str = "value", key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Linear interpolation of samples at the grid's times, null outside their range."""
-    x = _beside(grid, samples, key, t, [value], block)
+    x = _beside(grid, samples, key, t, [value], size)
     t0, t1, y0, y1 = F.col("_p.t"), F.col("_n.t"), F.col(f"_p.{value}"), F.col(f"_n.{value}")
     y = F.when(t1 == t0, y0).otherwise(y0 + (y1 - y0) * (F.col(t) - t0) / F.nullif(t1 - t0, F.lit(0.0)))
     return x.select(*grid.columns, y.alias("interpolated"))
 
 
-def station_times(df: DataFrame, dt: float, t_fill: float = 0.0, t_max: float | None = None, key: str = "run", t: str = "t", value: str = "value", block: float | None = None) -> DataFrame:
+def station_times(df: DataFrame, dt: float, t_fill: float = 0.0, t_max: float | None = None, key: str = "run", t: str = "t", value: str = "value", size: int | None = None) -> DataFrame:
     """P5: the first sample at or after each point of the time grid t_fill, t_fill + dt, ..."""
     last = F.max(t) if t_max is None else F.least(F.max(t), F.lit(float(t_max)))
     grid = df.groupBy(key).agg(last.alias("_end")).where(F.col("_end") >= t_fill).select(key, F.explode(F.sequence(F.lit(0), F.floor((F.col("_end") - t_fill) / dt))).alias("station"))
     grid = grid.withColumn(t, t_fill + F.col("station") * dt)
-    return _beside(grid, df, key, t, [value], block).select(key, "station", F.col(t).alias("target"), F.col("_n.t").alias(t), F.col(f"_n.{value}").alias(value))
+    return _beside(grid, df, key, t, [value], size).select(key, "station", F.col(t).alias("target"), F.col("_n.t").alias(t), F.col(f"_n.{value}").alias(value))
 
 
 def hill_number_join(fes: DataFrame, hills: DataFrame, key: str = "run") -> DataFrame:
@@ -146,10 +150,10 @@ def align_states(a: DataFrame, b: DataFrame, steps: int, keys: list[str]) -> Dat
     return x.withColumn("lambda", lam).withColumn("q", F.col("q0") + (F.col("q1") - F.col("q0")) * F.col("lambda"))
 
 
-def check_series(df: DataFrame, key: str = "run", t: str = "t", value: str = "value", rtol: float = 1e-7, least: int = 2) -> DataFrame:
+def check_series(df: DataFrame, key: str = "run", t: str = "t", value: str = "value", rtol: float = 1e-7, least: int = 2, size: int | None = None) -> DataFrame:
     """Per key: samples, whether time increases, steps are uniform, values finite and samples enough."""
-    w = Window.partitionBy(key).orderBy("idx") if "idx" in df.columns else Window.partitionBy(key).orderBy(t)
-    x = df.withColumn("_dt", F.col(t) - F.lag(t).over(w))
+    by = "idx" if "idx" in df.columns else t
+    x = with_windows(df, {"_dt": lambda k: F.col(t) - F.lag(t).over(Window.partitionBy(k).orderBy(by))}, 1, 0, key, by, size)
     uniform = F.max("_dt") - F.min("_dt") <= rtol * F.abs(F.max("_dt"))
     return x.groupBy(key).agg(F.count("*").alias("n"), F.coalesce(F.min("_dt") > 0, F.lit(True)).alias("increasing"), F.coalesce(uniform, F.lit(True)).alias("uniform"), F.bool_and(F.coalesce(~F.isnan(value), F.lit(False))).alias("finite"), (F.count("*") >= least).alias("enough"))
 

@@ -6,34 +6,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .runs import long_runs, spans, with_windows
+
 
 def _id(df: DataFrame, change: Column, key: str, t: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(t)
     return df.withColumn("_new", change.cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def islands(df: DataFrame, mask: Column, key: str = "run", t: str = "t", value: Column | None = None, gap: Column | float | None = None, dt: Column | float = 0.0, block: float | None = None) -> DataFrame:
+def islands(df: DataFrame, mask: Column, key: str = "run", t: str = "t", value: Column | None = None, gap: Column | float | None = None, dt: Column | float = 0.0, size: int | None = None) -> DataFrame:
     """Contiguous segments where mask holds: start, end, n, duration (last - first + dt). A segment also ends where value changes or time jumps by more than gap.
 
-    block: width of time blocks into which keys are cut, so that a key with most of the rows spreads over tasks. Segments
-    are found in each block; those that touch a block's edge (two a block at most) are then chained from block to block.
+    Runs of more than `size` rows (LONG by default) are cut into blocks of time. Segments are found in each block; those
+    that touch a block's edge (two a block at most) are then chained from block to block.
     """
-    at = [key] if block is None else [key, "_block"]
+    block = long_runs(df, key, size)
+    at = [key, "_block"] if block else [key]
     x = df.withColumns({"_m": F.coalesce(mask, F.lit(False)), "_v": value if value is not None else F.lit(0)})
-    if block is not None:
-        x = x.withColumn("_block", F.floor(F.col(t) / block))
+    if block:
+        x = spans(x, key, t, size)
     w = Window.partitionBy(*at).orderBy(t)
     new = ~F.coalesce(F.lag("_m").over(w), F.lit(False)) | ~F.col("_v").eqNullSafe(F.lag("_v").over(w))
     if gap is not None:
         new = new | F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(False))
     x = x.withColumns({"_new": (F.col("_m") & new).cast("int"), "_head": F.lag(t).over(w).isNull(), "_tail": F.lead(t).over(w).isNull()})
-    blocks = x.select(*at).distinct() if block is not None else None
+    blocks = x.select(*at).distinct() if block else None
     x = x.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_m")
     dt = F.lit(dt) if isinstance(dt, (int, float)) else F.max(dt)
     out = x.groupBy(*at, "island").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"), F.first("_v").alias("id"), dt.alias("_dt"), F.bool_or("_head").alias("_head"), F.bool_or("_tail").alias("_tail"))
-    if block is not None:
-        nth = blocks.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy("_block")))
-        edge = out.where("_head or _tail").join(nth, at)
+    if block:
+        nth = blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.row_number().over(Window.partitionBy(key).orderBy("_block")).alias("_nth"))
+        edge = out.where("_head or _tail").join(nth, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).drop("_k", "_b")
         o = Window.partitionBy(key).orderBy("_nth", "start")
         last = lambda c: F.lag(c).over(o)
         goes_on = F.col("_head") & last("_tail") & (last("_nth") == F.col("_nth") - 1) & last("id").eqNullSafe(F.col("id"))
@@ -46,30 +49,49 @@ def islands(df: DataFrame, mask: Column, key: str = "run", t: str = "t", value:
     return out.select(key, "start", "end", "n", (F.col("end") - F.col("start") + F.col("_dt")).alias("duration"), *(["id"] if value is not None else []))
 
 
-def first_sustained(df: DataFrame, mask: Column, persistence: float, key: str = "run", t: str = "t", after: DataFrame | None = None, block: float | None = None) -> DataFrame:
+def first_sustained(df: DataFrame, mask: Column, persistence: float, key: str = "run", t: str = "t", after: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """Per key the start of the first segment that lasts at least persistence; after (key, start): only rows later than start."""
     x = df if after is None else df.join(after.select(key, F.col("start").alias("_s")), key).where(F.col(t) > F.col("_s")).drop("_s")
-    return islands(x, mask, key, t, block=block).where(F.col("end") - F.col("start") >= persistence).groupBy(key).agg(F.min("start").alias("start"))
+    return islands(x, mask, key, t, size=size).where(F.col("end") - F.col("start") >= persistence).groupBy(key).agg(F.min("start").alias("start"))
 
 
-def diffusive_regime(df: DataFrame, low: Column, back: Column, persistence: float, key: str = "run", t: str = "t") -> DataFrame:
+def diffusive_regime(df: DataFrame, low: Column, back: Column, persistence: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Start of the first sustained low state and of the first sustained recovery after it."""
-    a = first_sustained(df, low, persistence, key, t)
-    b = first_sustained(df, back, persistence, key, t, after=a)
+    a = first_sustained(df, low, persistence, key, t, size=size)
+    b = first_sustained(df, back, persistence, key, t, after=a, size=size)
     return a.join(b.withColumnRenamed("start", "recovered"), key)
 
 
-def persistent_ids(df: DataFrame, id: str, duration: float, key: str = "run", t: str = "t") -> DataFrame:
-    """T4: ids that hold for at least duration without a break stay; others become null."""
-    w = Window.partitionBy(key).orderBy(t)
-    x = _id(df, ~F.col(id).eqNullSafe(F.lag(id).over(w)), key, t)
-    g = Window.partitionBy(key, "island")
-    lasts = F.max(t).over(g) - F.min(t).over(g) >= duration
-    return x.withColumn("persistent", F.when(lasts, F.col(id))).drop("island")
+def persistent_ids(df: DataFrame, id: str, duration: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
+    """T4: ids that hold for at least duration without a break stay; others become null. Rows without an id have none to keep.
+
+    A row's holding is the last one that started at or before it.
+    """
+    if not long_runs(df, key, size):
+        w = Window.partitionBy(key).orderBy(t)
+        x = _id(df, ~F.col(id).eqNullSafe(F.lag(id).over(w)), key, t)
+        g = Window.partitionBy(key, "island")
+        lasts = F.max(t).over(g) - F.min(t).over(g) >= duration
+        return x.withColumn("persistent", F.when(lasts, F.col(id))).drop("island")
+    held = islands(df, F.lit(True), key, t, value=F.col(id), size=size).select(key, F.col("start").alias(t), (F.col("end") - F.col("start") >= duration).alias("_lasts"))
+    both = df.withColumn("_lasts", F.lit(None).cast("boolean")).withColumn("_real", F.lit(True)).unionByName(held.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+    x = asof_flag(both, "_lasts", key, t, size)
+    return x.where("_real").withColumn("persistent", F.when(F.col("_keep"), F.col(id))).drop("_lasts", "_keep", "_real")
+
+
+def asof_flag(both: DataFrame, flag: str, key: str, t: str, size: int | None) -> DataFrame:
+    """both with _keep: the last non-null flag at or before each time, of rows of the same time as well."""
+    x = spans(both, key, t, size)
+    w = Window.partitionBy(key, "_block").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
+    ends = x.groupBy(key, "_block").agg(F.max_by(flag, F.when(F.col(flag).isNotNull(), F.col(t))).alias("_l"))
+    o = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    ends = ends.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), F.last("_l", ignorenulls=True).over(o).alias("_c"))
+    x = x.withColumn("_keep", F.last(flag, ignorenulls=True).over(w)).join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
+    return x.withColumn("_keep", F.coalesce("_keep", "_c")).drop("_k", "_b", "_c", "_block")
 
 
 def forward_fill(c: Column | str, key: str = "run", t: str = "t") -> Column:
-    """T5: the last non-null value so far."""
+    """T5: the last non-null value so far, as a window over whole runs; runs.filled cuts long ones."""
     return F.last(c, ignorenulls=True).over(Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
 
 
@@ -97,37 +119,39 @@ def circular_running_average(deg: Column, half_us: int, key: str = "run", t_us:
     return F.degrees(F.atan2(F.avg(F.sin(F.radians(deg))).over(w), F.avg(F.cos(F.radians(deg))).over(w)))
 
 
-def count_transitions(df: DataFrame, state: str, key: str = "run", t: str = "t") -> DataFrame:
+def _with_last(df: DataFrame, columns: dict[str, str], key: str, t: str, size: int | None) -> DataFrame:
+    """df with columns of the row before, by name."""
+    return with_windows(df, {name: (lambda k, c=c: F.lag(c).over(Window.partitionBy(k).orderBy(t))) for name, c in columns.items()}, 1, 0, key, t, size)
+
+
+def count_transitions(df: DataFrame, state: str, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Changes of state per key."""
-    w = Window.partitionBy(key).orderBy(t)
-    return df.withColumn("_c", F.coalesce(F.lag(state).over(w) != F.col(state), F.lit(False)).cast("int")).groupBy(key).agg(F.sum("_c").alias("n_transitions"))
+    x = _with_last(df, {"_p": state}, key, t, size)
+    return x.groupBy(key).agg(F.sum(F.coalesce(F.col("_p") != F.col(state), F.lit(False)).cast("int")).alias("n_transitions"))
 
 
-def core_transitions(df: DataFrame, cores: Sequence[tuple[str, float, float]], value: str = "value", key: str = "run", t: str = "t") -> DataFrame:
+def core_transitions(df: DataFrame, cores: Sequence[tuple[str, float, float]], value: str = "value", key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Transitions between cores (name, low, high); samples outside all cores keep the last core."""
     label = F.lit(None).cast("string")
     for name, lo, hi in reversed(cores):
         label = F.when(F.col(value).between(lo, hi), name).otherwise(label)
-    x = df.withColumn("core", label).where("core is not null")
-    w = Window.partitionBy(key).orderBy(t)
-    x = x.withColumn("from_core", F.lag("core").over(w)).where("from_core is not null and from_core <> core")
-    return x.groupBy(key, "from_core", F.col("core").alias("to_core")).agg(F.count("*").alias("n"))
+    x = _with_last(df.withColumn("core", label).where("core is not null"), {"from_core": "core"}, key, t, size)
+    return x.where("from_core <> core").groupBy(key, "from_core", F.col("core").alias("to_core")).agg(F.count("*").alias("n"))
 
 
-def bulk_audit(df: DataFrame, threshold: float, jump: float, value: str = "value", key: str = "run", t: str = "t") -> DataFrame:
+def bulk_audit(df: DataFrame, threshold: float, jump: float, value: str = "value", key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Per key: threshold reached, longest residence beyond it, outward crossings, and those whose step is at most jump."""
-    w = Window.partitionBy(key).orderBy(t)
-    x = df.withColumn("_p", F.lag(value).over(w))
+    x = _with_last(df, {"_p": value}, key, t, size)
     out = (F.col("_p") < threshold) & (F.col(value) >= threshold)
     a = x.groupBy(key).agg((F.max(value) >= threshold).alias("reached"), F.count_if(out).alias("crossings"), F.count_if(out & (F.col(value) - F.col("_p") <= jump)).alias("continuous"))
-    b = islands(df, F.col(value) >= threshold, key, t).groupBy(key).agg(F.max("duration").alias("longest"))
+    b = islands(df, F.col(value) >= threshold, key, t, size=size).groupBy(key).agg(F.max("duration").alias("longest"))
     return a.join(b, key, "left").withColumn("longest", F.coalesce("longest", F.lit(0.0)))
 
 
 def truncate_at_departure(df: DataFrame, gone: Column, key: str = "run", t: str = "t") -> DataFrame:
     """Rows before the first one where gone holds."""
-    cut = F.min(F.when(gone, F.col(t))).over(Window.partitionBy(key))
-    return df.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col(t) < F.col("_cut"))).drop("_cut")
+    cut = df.groupBy(key).agg(F.min(F.when(gone, F.col(t))).alias("_cut"))  # a row a run
+    return df.join(cut, key).where(F.col("_cut").isNull() | (F.col(t) < F.col("_cut"))).drop("_cut")
 
 
 def stitch_windows(df: DataFrame, per_window: int, idx: str = "idx", dt: float = 1.0) -> DataFrame:
@@ -142,11 +166,13 @@ def pull_ladder(windows: DataFrame, key: str = "run") -> DataFrame:
     return x.select(key, "window", F.explode(F.array(F.struct(F.lit(0).alias("corner"), F.col("start").alias("t")), F.struct(F.lit(1).alias("corner"), F.coalesce("_next", "end").alias("t")))).alias("p"), "target").select(key, "window", "p.corner", "p.t", "target")
 
 
-def peaks(df: DataFrame, fraction: float, value: str = "value", key: str = "run", t: str = "t") -> DataFrame:
+def peaks(df: DataFrame, fraction: float, value: str = "value", key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Strict local maxima above a fraction of the key's maximum."""
-    w = Window.partitionBy(key).orderBy(t)
-    x = df.withColumns({"_l": F.lag(value).over(w), "_r": F.lead(value).over(w), "_m": F.max(value).over(Window.partitionBy(key))})
-    return x.where((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r")) & (F.col(value) > fraction * F.col("_m"))).drop("_l", "_r", "_m")
+    beside = lambda f: lambda k: f(value).over(Window.partitionBy(k).orderBy(t))
+    top = df.groupBy(key).agg(F.max(value).alias("_m"))  # a row a run
+    x = with_windows(df, {"_l": beside(F.lag), "_r": beside(F.lead)}, 1, 1, key, t, size)
+    x = x.where((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r"))).join(top, key)
+    return x.where(F.col(value) > fraction * F.col("_m")).drop("_l", "_r", "_m")
 
 
 def funnel_classify(runs: DataFrame, screens: Sequence[tuple[str, DataFrame]], key: str = "run") -> DataFrame:
@@ -159,17 +185,17 @@ def funnel_classify(runs: DataFrame, screens: Sequence[tuple[str, DataFrame]], k
     return x.select(key, stage.alias("stage"))
 
 
-def hop_events(df: DataFrame, id: str, limit: float, key: str = "run", t: str = "t") -> DataFrame:
+def hop_events(df: DataFrame, id: str, limit: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Changes of owner between consecutive holdings whose pause is at most limit: donor, acceptor, times, pause."""
-    x = islands(df, F.col(id).isNotNull(), key, t, value=F.col(id))
-    w = Window.partitionBy(key).orderBy("start")
-    x = x.withColumns({"acceptor": F.lead("id").over(w), "t_on": F.lead("start").over(w)})
+    x = islands(df, F.col(id).isNotNull(), key, t, value=F.col(id), size=size)
+    after = lambda c: lambda k: F.lead(c).over(Window.partitionBy(k).orderBy("start"))
+    x = with_windows(x, {"acceptor": after("id"), "t_on": after("start")}, 0, 1, key, "start", size)
     return x.where((F.col("acceptor") != F.col("id")) & (F.col("t_on") - F.col("end") <= limit)).select(key, F.col("id").alias("donor"), "acceptor", F.col("end").alias("t_off"), "t_on", (F.col("t_on") - F.col("end")).alias("pause"))
 
 
-def longest_event(df: DataFrame, mask: Column, id: str, least: float, key: str = "run", t: str = "t") -> DataFrame:
+def longest_event(df: DataFrame, mask: Column, id: str, least: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Per key the longest holding of one acceptor id under mask that lasts at least `least`, the earliest of equal ones."""
-    x = islands(df, mask, key, t, value=F.col(id)).where(F.col("duration") >= least)
+    x = islands(df, mask, key, t, value=F.col(id), size=size).where(F.col("duration") >= least)
     return x.groupBy(key).agg(F.max_by(F.struct("id", "start", "end", "duration"), F.struct("duration", -F.col("start"))).alias("e")).select(key, "e.*")
 
 

@@ -256,7 +256,7 @@ def test_events(spark):
 
 
 def test_blocks_of_one_run(spark):
-    """One run that holds all rows, cut into time blocks of any width, gives what the whole run gives."""
+    """One run that holds all rows, cut into blocks of any number of rows, gives what the whole run gives."""
     rng = np.random.default_rng(7)
     t = np.cumsum(rng.choice([1.0, 1.0, 1.0, 5.0], 300))
     v = np.repeat(rng.integers(0, 3, 100), 3)
@@ -264,15 +264,15 @@ def test_blocks_of_one_run(spark):
     grid = spark.createDataFrame([(r, float(x)) for r in (0, 1) for x in rng.uniform(-20, t[-1] + 20, 60)], "run int, t double")
     few = s.where("value = 2")
     plain = lambda df: sorted(map(str, df.collect()))
-    for block in (2.0, 17.0, 1e6):
+    for block in (2, 17, 10**6):
         for how in ({}, {"gap": 3.0}, {"value": F.col("value")}, {"value": F.col("value"), "gap": 3.0, "dt": 1.0}):
-            assert plain(events.islands(s, F.col("value") > 0, block=block, **how)) == plain(events.islands(s, F.col("value") > 0, **how))
-        assert plain(events.first_sustained(s, F.col("value") > 0, 8.0, block=block)) == plain(events.first_sustained(s, F.col("value") > 0, 8.0))
+            assert plain(events.islands(s, F.col("value") > 0, size=block, **how)) == plain(events.islands(s, F.col("value") > 0, **how))
+        assert plain(events.first_sustained(s, F.col("value") > 0, 8.0, size=block)) == plain(events.first_sustained(s, F.col("value") > 0, 8.0))
         for b in (s, few):
-            assert plain(align.asof_backward(grid, b, ["value"], block=block)) == plain(align.asof_backward(grid, b, ["value"]))
-            assert plain(align.nearest_time_join(grid, b, ["value"], 4.0, block=block)) == plain(align.nearest_time_join(grid, b, ["value"], 4.0))
-            assert plain(align.interp_join(grid, b, block=block)) == plain(align.interp_join(grid, b))
-        assert plain(align.station_times(s, 7.0, block=block)) == plain(align.station_times(s, 7.0))
+            assert plain(align.asof_backward(grid, b, ["value"], size=block)) == plain(align.asof_backward(grid, b, ["value"]))
+            assert plain(align.nearest_time_join(grid, b, ["value"], 4.0, size=block)) == plain(align.nearest_time_join(grid, b, ["value"], 4.0))
+            assert plain(align.interp_join(grid, b, size=block)) == plain(align.interp_join(grid, b))
+        assert plain(align.station_times(s, 7.0, size=block)) == plain(align.station_times(s, 7.0))
 
 
 def test_estimators(spark):
