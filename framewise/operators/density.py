@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -182,9 +183,28 @@ def merge_modes(modes: DataFrame, near: float, n: int) -> DataFrame:
     return state.join(best, "top", "left").select("top", F.when(F.col("leads"), F.col("top")).otherwise(F.col("lead")).alias("lead"))
 
 
-def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float, near: float = 30.0, keys: list[str] | None = None) -> DataFrame:
+def wrapped_gaussian(cells: DataFrame, n: int, sigma: float, value: str = "d", truncate: float = 4.0) -> DataFrame:
+    """(cell, value) of a periodic grid of n cells a side, cells numbered x n n + y n + z, under a Gaussian of sigma cells cut at truncate * sigma: one pass an axis, each a sum over the kernel's cells. Cells that stay empty have no row."""
+    reach = int(truncate * sigma + 0.5)
+    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)] if reach else [1.0]
+    total = sum(weight)
+    around: dict[int, float] = {}  # a kernel wider than the circle goes round it
+    for k, w in zip(range(-reach, reach + 1), weight):
+        around[k % n] = around.get(k % n, 0.0) + w / total
+    shifts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in sorted(around.items())]))
+    x = cells.select("cell", value)
+    for width in (n * n, n, 1):
+        at = F.floor(F.col("cell") / width) % n
+        moved = F.col("cell") + ((at + F.col("s.k")) % n - at) * width
+        x = x.withColumn("s", shifts).select(moved.alias("cell"), (F.col("s.w") * F.col(value)).alias(value)).groupBy("cell").agg(F.sum(value).alias(value))
+    return x
+
+
+def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float, near: float = 30.0, keys: list[str] | None = None, bandwidth: float | None = None) -> DataFrame:
     """Basins of samples of three angles (degrees) in their wrapped, smoothed histogram of n cells a side: (basin, n, population, mode_<angle>, mean_<angle>, sd_<angle>).
 
+    bandwidth: of a wrapped Gaussian, in degrees; without it cells are smoothed by the weights 1, 2, 1 an axis.
+
     Each cell climbs to the densest of its 27 wrapped neighbours; pointers are followed to their ends by joins on the
     table of occupied cells, doubling the distance each round. Basins whose modes lie within `near` degrees merge into the
     more populated one. Basins under the least share of samples are left out. Means and spreads are circular.
@@ -198,7 +218,10 @@ def density_basins3d(df: DataFrame, angles: Sequence[str], n: int, least: float,
     part = [F.floor(F.col("cell") / (n * n)), F.floor(F.col("cell") / n) % n, F.col("cell") % n]
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit((2 - abs(a)) * (2 - abs(b)) * (2 - abs(c)) / 64).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
     move = F.pmod(part[0] + F.col("o.a"), F.lit(n)) * n * n + F.pmod(part[1] + F.col("o.b"), F.lit(n)) * n + F.pmod(part[2] + F.col("o.c"), F.lit(n))
-    smooth = counts.withColumn("o", offsets).select(move.alias("cell"), (F.col("o.w") * F.col("n")).alias("d")).groupBy("cell").agg(F.sum("d").alias("d"))
+    if bandwidth is None:
+        smooth = counts.withColumn("o", offsets).select(move.alias("cell"), (F.col("o.w") * F.col("n")).alias("d")).groupBy("cell").agg(F.sum("d").alias("d"))
+    else:
+        smooth = wrapped_gaussian(counts.select("cell", F.col("n").cast("double").alias("d")), n, bandwidth * n / 360.0)
     smooth = materialise(smooth)
     around = smooth.withColumn("o", offsets).select("cell", move.alias("to")).join(smooth.select(F.col("cell").alias("to"), "d"), "to")
     up = materialise(around.groupBy("cell").agg(F.max(F.struct("d", (-F.col("to")).alias("k"))).alias("m")).select("cell", (-F.col("m.k")).alias("top")))

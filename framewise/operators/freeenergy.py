@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import GAS_KCAL, PKA_FACTOR, fermi, kernel
@@ -288,14 +289,64 @@ def wham(samples: DataFrame, k: float, temperature: float, lo: float, hi: float,
     return samples.sparkSession.createDataFrame(rows, "bin int, x double, n bigint, pmf double")
 
 
-def block_bootstrap(df: DataFrame, replicas: int, block: int, seed: int, keys: list[str], idx: str = "idx") -> DataFrame:
-    """circular moving blocks: rows (replica, keys, ...) with each key's sample count kept; replica 0 is the data itself."""
+def block_bootstrap(df: DataFrame, values: list[str], replicas: int, block: int, seed: int, keys: list[str], idx: str = "idx", start=None) -> DataFrame:
+    """circular moving blocks: (replica, keys, n, sum_<value>), sums over each resampled series, whose count is the key's own; replica 0 is the data itself.
+
+    idx counts a key's rows from 0. Nothing is copied: a key is cut into pieces of `block` rows, the starts that fall into a
+    piece stand beside it as one array, and each piece gives every replica its sums of the rows that the starts in it and
+    in the piece before cover, by running sums. start(n): places of the starts by replica and block as an expression over
+    the columns replica, block, keys; a hash of seed by default.
+    """
+    width = len(values)
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    starts = n.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)))
-    starts = starts.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "replica", *keys, "_b"), F.col("_n")))
-    at = starts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("_b") * block + F.col("_o") < F.col("_n"))
-    at = at.select("replica", *keys, F.pmod(F.col("_s") + F.col("_o"), F.col("_n")).alias(idx))
-    return df.withColumn("replica", F.lit(0)).unionByName(at.join(df, [*keys, idx]).select(*df.columns, "replica"))
+    place = F.pmod(F.xxhash64(F.lit(seed), "replica", *keys, "block"), F.col("_n")) if start is None else start("_n")
+    s = n.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica")).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)).alias("block"))
+    s = s.select(*keys, "_n", "replica", place.alias("_s"), F.least(F.lit(block), F.col("_n") - F.col("block") * block).alias("_len"))
+    # a sample block covers [s, s + len) around the circle: at most three pieces, the first from s on, and what is left of it in the next ones
+    piece = F.floor(F.col("_s") / block)
+    parts = s.withColumn("_to", F.explode(F.array_distinct(F.transform(F.array(F.lit(0), F.col("_len") - 1, F.least(F.col("_len") - 1, F.col("_n") - 1 - F.col("_s"))), lambda o: F.floor(F.pmod(F.col("_s") + o, F.col("_n")) / block)))))
+    hits = parts.groupBy(*keys, F.col("_to").alias("_piece")).agg(F.collect_list(F.struct(F.col("replica").cast("int").alias("r"), F.col("_s").cast("bigint").alias("s"), F.col("_len").cast("bigint").alias("len"))).alias("hits"))  # about one a replica
+    rows = df.join(n, keys).select(*keys, "_n", F.floor(F.col(idx) / block).alias("_piece"), F.struct(F.col(idx).cast("bigint").alias("_i"), *[F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)]).alias("row"))
+    pieces = rows.groupBy(*keys, "_n", "_piece").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # `block` rows
+    both = pieces.join(hits, [*keys, "_piece"])
+    names = [f"sum_{v}" for v in values]
+
+    def sums(length: pd.Series, rows: pd.Series, hits: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out = []
+        for n, held, found in zip(length, rows, hits):
+            i = np.array([r["_i"] for r in held])
+            v = np.array([[r[f"v{k}"] for k in range(width)] for r in held], float)
+            run = np.vstack([np.zeros(width + 1), np.cumsum(np.column_stack([np.ones(len(v)), v]), axis=0)])
+            r, s, size = (np.array([h[c] for h in found]) for c in ("r", "s", "len"))
+            total = np.zeros((len(r), width + 1))
+            for turn in (0, n):  # the part before the end of the series, and the part that goes round
+                a, b = np.searchsorted(i, s - turn), np.searchsorted(i, s + size - turn)
+                total += run[b] - run[a]
+            by = np.unique(r, return_inverse=True)
+            summed = np.zeros((len(by[0]), width + 1))
+            np.add.at(summed, by[1], total)
+            out.append([{"replica": int(x), "s": row.tolist()} for x, row in zip(by[0], summed)])
+        return pd.Series(out)
+
+    found = both.select(*keys, F.explode(F.pandas_udf(sums, "array<struct<replica:int,s:array<double>>>")("_n", "rows", "hits")).alias("x"))
+    own = df.select(*keys, F.lit(0).alias("replica"), F.array(F.lit(1.0), *[F.col(v).cast("double") for v in values]).alias("s"))
+    every = found.select(*keys, "x.replica", "x.s").unionByName(own)
+    return every.groupBy("replica", *keys).agg(F.sum(F.col("s")[0]).cast("bigint").alias("n"), *[F.sum(F.col("s")[k + 1]).alias(name) for k, name in enumerate(names)])
+
+
+def bootstrap_intervals(estimates: DataFrame, value: str, keys: list[str], replicas: int, level: float = 0.95, least: float = 0.9) -> DataFrame:
+    """of estimates (replica, keys, value), null where one failed: keys, estimate (replica 0), sd, low and high (interpolated percentiles), n_ok, enough (at least the share `least` of the replicas succeeded)."""
+    real, again = F.col("replica") == 0, F.when(F.col("replica") > 0, F.col(value))
+    tail = (1 - level) / 2
+    return estimates.groupBy(*keys).agg(F.max(F.when(real, F.col(value))).alias("estimate"), F.stddev_samp(again).alias("sd"), F.percentile(again, tail).alias("low"), F.percentile(again, 1 - tail).alias("high"), F.count(again).alias("n_ok"), (F.count(again) >= F.lit(least * replicas)).alias("enough"))
+
+
+def effective_samples(weights: DataFrame, weight: str, keys: list[str]) -> DataFrame:
+    """per key the number of samples, Kish's effective number of them, and the share of the largest weight."""
+    w = F.col(weight)
+    return weights.groupBy(*keys).agg(F.count(w).alias("n"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_effective"), (F.max(w) / F.sum(w)).alias("largest"))
 
 
 def _edges(u: DataFrame, states: int, beta: float, extra: list[str]) -> DataFrame:
@@ -339,33 +390,76 @@ def bar_edges(u: DataFrame, states: int, kt: float, extra: list[str] = [], steps
     return bounds.select(*keys, F.when(F.col("b") - F.col("a") < tolerance, kt * (F.col("a") + F.col("b")) / 2).otherwise(late).alias("bar"))
 
 
-def mbar(u: DataFrame, states: int, kt: float, n: int, tolerance: float = 1e-9, most: int = 5000) -> tuple[list[float], DataFrame]:
-    """self-consistent free energies for n samples a state, and the overlap matrix (i, j, overlap). One aggregation over all samples a step."""
-    from ..runtime import materialise
+def mbar(u: DataFrame, states: int, kt: float, tolerance: float = 1e-10, most: int = 60) -> tuple[list[float], DataFrame, list[float]]:
+    """free energies of all states, the overlap matrix (i, j, overlap), and the standard error of each free energy against state 0.
 
-    w = materialise(u.select(F.transform("u", lambda e: e / kt).alias("u")))
-    f = [0.0] * states
+    u: (sample, u) with any number of samples of each state, also none. A step is one pass over the samples, of which each
+    task returns sums of weights and of their products, states squared numbers. Steps are Newton's on the convex function
+    that the equations minimise; one that does not bring the equations closer is cut to a quarter, and after three cuts
+    replaced by plain substitution, which always does. Errors come from the same matrix at the end.
+    """
+    from collections.abc import Iterator
 
-    def log_weights() -> Column:
-        """Array over k of f_k - u_k minus the log denominator of a sample."""
-        t = F.zip_with("u", F.array(*map(F.lit, f)), lambda e, g: g - e)
-        top = F.array_max(t)
-        den = top + F.log(F.aggregate(t, F.lit(0.0), lambda s, e: s + F.exp(e - top))) + math.log(n)
-        return F.transform(t, lambda e: e - den)
+    import numpy as np
+    import pyarrow as pa
 
-    for _ in range(most):
-        x = w.select(log_weights().alias("w"))
-        sums = x.agg(*[F.sum(F.exp(F.get("w", F.lit(k)))).alias(f"s{k}") for k in range(states)]).first()
-        new = [f[k] - math.log(sums[k]) for k in range(states)]
-        new = [v - new[0] for v in new]
-        done, f = max(abs(a - b) for a, b in zip(f, new)) < tolerance, new
-        if done:
-            break
-    else:
-        raise ArithmeticError(f"MBAR has not converged in {most} rounds")
-    x = w.select(F.transform(log_weights(), lambda e: F.exp(e)).alias("w"))
-    pair = x.select(F.posexplode("w").alias("i", "a"), "w").select("i", "a", F.posexplode("w").alias("j", "b"))
-    return [kt * v for v in f], pair.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) * n).alias("overlap"))
+    from ..runtime import materialise
+
+    data = materialise(u.select(F.col("sample").cast("int").alias("sample"), F.transform("u", lambda e: e / kt).alias("u")))
+    n = np.zeros(states)
+    for r in data.groupBy("sample").count().collect():
+        n[r["sample"]] = r["count"]
+    logn = np.log(np.where(n > 0, n, 1.0))
+
+    def sums(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over samples of the weights W_k = exp(f_k - u_k) / sum_j N_j exp(f_j - u_j), and of W_k W_l."""
+        known, held = f.copy(), n > 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, m = np.zeros(states), np.zeros((states, states))
+            for batch in batches:
+                x = known - batch.column(0).flatten().to_numpy().reshape(-1, states)
+                y = np.where(held, x + logn, -np.inf)
+                top = y.max(axis=1, keepdims=True)
+                w = np.exp(x - top - np.log(np.exp(y - top).sum(axis=1, keepdims=True)))
+                s += w.sum(axis=0)
+                m += w.T @ w
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(states + states * states, dtype=np.int32)), pa.array(np.concatenate([s, m.ravel()]))], names=["at", "v"])
+
+        got = data.select("u").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(states + states * states)
+        for r in got:
+            flat[r["at"]] = r["v"]
+        return flat[:states], flat[states:].reshape(states, states)
+
+    off = lambda s: float(np.abs(1 - s)[n > 0].max(initial=0.0))
+    f = np.zeros(states)
+    s, m = sums(f)
+    step, cuts, steps = None, 0, 0
+    while off(s) > tolerance:
+        if (steps := steps + 1) > most:
+            raise ArithmeticError(f"MBAR has not converged in {most} passes")
+        if step is None:
+            hess = np.diag(n * s) - n[:, None] * n[None, :] * m
+            free = np.flatnonzero(n > 0)[1:]  # one state stays where it is
+            step = np.zeros(states)
+            step[free] = np.linalg.lstsq(hess[np.ix_(free, free)], (n * (1 - s))[free], rcond=None)[0]
+            step = np.clip(step, -20, 20)
+        new = f + step / 4**cuts if cuts < 3 else f - np.log(s)
+        s1, m1 = sums(new)
+        if cuts < 3 and not off(s1) < off(s):
+            cuts += 1
+            continue
+        f, s, m, step, cuts = new, s1, m1, None, 0
+    f = f - np.log(s)  # states without samples follow from the others
+    s, m = sums(f)
+    values, vectors = np.linalg.eigh((m + m.T) / 2)
+    half = vectors * np.sqrt(np.maximum(values, 0.0))
+    theta = half @ np.linalg.pinv(np.eye(states) - half.T @ (n[:, None] * half), rcond=1e-10) @ half.T
+    sd = np.sqrt(np.maximum(0.0, np.diag(theta) + theta[0, 0] - 2 * theta[0]))
+    rows = [(i, j, float(m[i, j] * n[j])) for i in range(states) for j in range(states)]
+    overlap = u.sparkSession.createDataFrame(rows, "i int, j int, overlap double")
+    return [kt * float(v - f[0]) for v in f], overlap, [kt * float(v) for v in sd]
 
 
 def ti(u: DataFrame, lambdas: list[float], blocks: int) -> DataFrame:

@@ -7,12 +7,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.student import f_p_value, t_critical, t_p_value
 
 
-def cosine_acf(df: DataFrame, deg: Column, lags: int, key: str = "run", idx: str = "idx") -> DataFrame:
-    """Mean cosine of the change over each lag 0..lags, over all origins of a run. The join is an equi-join on (run, index)."""
-    a = df.select(key, F.col(idx).alias("i"), deg.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
-    b = df.select(key, F.col(idx).alias("j"), deg.alias("b"))
-    x = a.withColumn("j", F.col("i") + F.col("lag")).join(b, [key, "j"])
-    return x.groupBy(key, "lag").agg(F.avg(F.cos(F.radians(F.col("a") - F.col("b")))).alias("c"), F.count("*").alias("n"))
+def cosine_acf(df: DataFrame, deg: Column, lags: int, key: str = "run", idx: str = "idx", size: int | None = None) -> DataFrame:
+    """Mean cosine of the change over each lag 0..lags, over all origins of a run.
+
+    Each row sees the `lags` rows behind it in a sliding array, so rows are shuffled once, by run (long runs by block); the
+    pairs are summed by lag before the next shuffle. A lag is a difference of idx: gaps in it give no pairs.
+    """
+    from .runs import with_windows
+
+    x = df.select(key, F.col(idx).alias("i"), deg.alias("a"))
+    ahead = lambda k: F.collect_list(F.struct("i", "a")).over(Window.partitionBy(k).orderBy("i").rowsBetween(0, lags))
+    x = with_windows(x, {"_w": ahead}, 0, lags, key, "i", size)
+    x = x.select(key, "i", "a", F.explode("_w").alias("b")).select(key, (F.col("b.i") - F.col("i")).cast("int").alias("lag"), F.cos(F.radians(F.col("a") - F.col("b.a"))).alias("c"))
+    return x.where(F.col("lag") <= lags).groupBy(key, "lag").agg(F.avg("c").alias("c"), F.count("*").alias("n"))
 
 
 def ensemble_acf(acf: DataFrame, key: str = "run") -> DataFrame:

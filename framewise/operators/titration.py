@@ -23,21 +23,32 @@ def deprotonated(ph: Column, pka: Column | float, hill: Column | float = 1.0) ->
     return 1 / (1 + F.pow(F.lit(10.0), hill * (pka - ph)))
 
 
-def fit_titration_grid(df: DataFrame, keys: list[str], lo: float, hi: float, points: int = 41, rounds: int = 4, ph: str = "ph", fraction: str = "fraction") -> DataFrame:
-    """M2: least squares over a grid of (pKa, Hill), refined around the best point in each round. The grid is per key and of stated size."""
+def fit_titration_grid(df: DataFrame, keys: list[str], lo: float | None, hi: float | None, points: int = 41, rounds: int = 4, ph: str = "ph", fraction: str = "fraction", hills: tuple[float, float] | float = (0.2, 3.8)) -> DataFrame:
+    """M2: least squares over a grid of (pKa, Hill) of `points` a side, refined around the best point in each round: keys, pka, hill, sse.
+
+    Rows are reduced to counts, means and spreads by pH first, so a round's work is the grid times the pH values, whatever
+    the number of rows. lo, hi: pKa range of the first round (None: the pH range and 2 on either side). hills: range of the
+    Hill coefficient, or one value, which leaves the pKa as the only parameter. With a stated pKa range the next round spans
+    two steps on either side, else three, and the pKa's centre is the start.
+    """
     from ..runtime import materialise
 
-    df = materialise(df.select(*keys, ph, fraction))
-    n = points - 1
-    best = df.select(*keys).distinct().select("*", F.lit((lo + hi) / 2).alias("pka"), F.lit(2.0).alias("hill"), F.lit((hi - lo) / 2).alias("dp"), F.lit(1.8).alias("dh"))
+    one = not isinstance(hills, (tuple, list))
+    n, reach = points - 1, 2 if lo is not None else 3
+    least = 0.05 if lo is not None else 0.01
+    df = materialise(df.groupBy(*keys, F.col(ph).cast("double").alias("_ph")).agg(F.count(fraction).alias("_n"), F.avg(fraction).alias("_f"), F.coalesce(F.var_pop(fraction), F.lit(0.0)).alias("_v")))
+    low, high = (F.lit(float(lo)), F.lit(float(hi))) if lo is not None else (F.min("_ph") - 2, F.max("_ph") + 2)
+    h0, h1 = (hills, hills) if one else hills
+    best = df.groupBy(*keys).agg(low.alias("plo"), high.alias("phi")).withColumns({"hlo": F.lit(float(h0)), "hhi": F.lit(float(h1))})
     for _ in range(rounds):
-        g = best.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n))))
-        g = g.select(*keys, "dp", "dh", (F.col("pka") + (2 * F.col("i") / n - 1) * F.col("dp")).alias("pka"), F.greatest(F.lit(0.05), F.col("hill") + (2 * F.col("j") / n - 1) * F.col("dh")).alias("hill"))
-        e = F.col(fraction) - deprotonated(F.col(ph), F.col("pka"), F.col("hill"))
-        s = df.join(g, keys).groupBy(*keys, "pka", "hill", "dp", "dh").agg(F.sum(e * e).alias("sse"))
-        m = s.groupBy(*keys, "dp", "dh").agg(F.min(F.struct("sse", "pka", "hill")).alias("m"))
-        best = materialise(m.select(*keys, "m.pka", "m.hill", "m.sse", (F.col("dp") * 4 / n).alias("dp"), (F.col("dh") * 4 / n).alias("dh")))
-    return best.select(*keys, "pka", "hill", "sse")
+        step = {"ps": (F.col("phi") - F.col("plo")) / n, "hs": (F.col("hhi") - F.col("hlo")) / n}
+        g = best.withColumns({**step, "i": F.explode(F.sequence(F.lit(0), F.lit(n)))}).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(0 if one else n))))
+        g = g.select(*keys, "ps", "hs", (F.col("plo") + F.col("i") * F.col("ps")).alias("pka"), F.greatest(F.lit(least), F.col("hlo") + F.col("j") * F.col("hs")).alias("hill"))
+        e = F.col("_f") - deprotonated(F.col("_ph"), F.col("pka"), F.col("hill"))
+        s = df.join(g, keys).groupBy(*keys, "pka", "hill", "ps", "hs").agg(F.sum(F.col("_n") * (e * e + F.col("_v"))).alias("sse"))
+        m = materialise(s.groupBy(*keys, "ps", "hs").agg(F.min(F.struct("sse", "pka", "hill")).alias("m")).select(*keys, "m.*", "ps", "hs"))
+        best = m.select(*keys, (F.col("pka") - reach * F.col("ps")).alias("plo"), (F.col("pka") + reach * F.col("ps")).alias("phi"), (F.col("hill") if one else F.greatest(F.lit(least), F.col("hill") - reach * F.col("hs")) if lo is None else F.col("hill") - reach * F.col("hs")).alias("hlo"), (F.col("hill") if one else F.col("hill") + reach * F.col("hs")).alias("hhi"))
+    return m.select(*keys, "pka", "hill", "sse")
 
 
 def microstate_weights(ph: Column, pkas: list[Column]) -> list[Column]:

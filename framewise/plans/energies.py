@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import exprs as X
 from ..operators import density, freeenergy as FE, titration as T
-from ..sources.tables import energies, read, series
+from ..sources.tables import energies, equal_energies, read, series
 from .registry import query
 
 KT = 0.6
@@ -142,35 +142,34 @@ def _(spark, d):
     return FE.fep_edges(energies(spark, d), 10, KT)
 
 
-@query("f17_bar_edges", f"""WITH {WORK}, it AS (SELECT 0 AS k, edge, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi FROM (SELECT DISTINCT edge FROM work) UNION ALL
+@query("f17_bar_edges", f"""WITH {WORK.replace('FROM energies', 'FROM equal')}, it AS (SELECT 0 AS k, edge, -40.0::DOUBLE AS lo, 40.0::DOUBLE AS hi FROM (SELECT DISTINCT edge FROM work) UNION ALL
 SELECT k + 1, edge, CASE WHEN g < 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN g < 0 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT it.k, it.edge, it.lo, it.hi, sum(CASE WHEN way = 'f' THEN 1 / (1 + exp(w - (lo + hi) / 2)) ELSE -1 / (1 + exp(w + (lo + hi) / 2)) END) AS g FROM it JOIN work USING (edge) WHERE it.k < 45 GROUP BY it.k, it.edge, it.lo, it.hi))
 SELECT edge, {KT} * (lo + hi) / 2 AS bar FROM it WHERE k = 45""", "bar", "energies")
 def _(spark, d):
-    return FE.bar_edges(energies(spark, d), 10, KT)
+    return FE.bar_edges(equal_energies(spark, d), 10, KT)
 
 
 def counted(spark, d):
-    u = energies(spark, d)
+    u = equal_energies(spark, d)
     return u, u.where("sample = 0").count()
 
 
 U = ", ".join(f"-ln(sum(exp(-u[{k}] / {KT} - den)))" for k in range(1, 11))
+NK = "nk AS (SELECT list(c ORDER BY sample) AS nk FROM (SELECT sample, count(*) AS c FROM energies GROUP BY sample))"
 #: The self-consistent equations iterated 400 times from zero; `last` holds the free energies in units of kT.
-MBAR = f"""it AS (SELECT 0 AS k, [0.0::DOUBLE FOR x IN range(0, 10)] AS f UNION ALL SELECT k + 1, [v - g[1] FOR v IN g] FROM (SELECT k, [{U}] AS g FROM (SELECT it.k, e.u, ln(n * list_sum([exp(it.f[i] - e.u[i] / {KT}) FOR i IN range(1, 11)])) AS den FROM it, energies e, least WHERE it.k < 400) GROUP BY k)), last AS (SELECT f FROM it WHERE k = 400)"""
+MBAR = f"""{NK}, it AS (SELECT 0 AS k, [0.0::DOUBLE FOR x IN range(0, 10)] AS f UNION ALL SELECT k + 1, [v - g[1] FOR v IN g] FROM (SELECT k, [{U}] AS g FROM (SELECT it.k, e.u, ln(list_sum([nk[i] * exp(it.f[i] - e.u[i] / {KT}) FOR i IN range(1, 11)])) AS den FROM it, energies e, nk WHERE it.k < 400) GROUP BY k)), last AS (SELECT f FROM it WHERE k = 400)"""
 
 
 @query("f18_mbar", f"WITH {MBAR} SELECT CAST(i - 1 AS BIGINT) AS state, f[i] * {KT} AS f FROM last, range(1, 11) r(i)", "f", "energies")
 def _(spark, d):
-    u, n = counted(spark, d)
-    f, _o = FE.mbar(u, 10, KT, n)
+    f, _o, _sd = FE.mbar(energies(spark, d), 10, KT)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(f)], "state bigint, f double")
 
 
-@query("f18_mbar_overlap", f"""WITH {MBAR}, d AS (SELECT u, f, n, ln(n * list_sum([exp(f[i] - u[i] / {KT}) FOR i IN range(1, 11)])) AS den FROM last, energies, least), w AS (SELECT n, [exp(f[i] - u[i] / {KT} - den) FOR i IN range(1, 11)] AS w FROM d)
-SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, any_value(n) * sum(w[i] * w[j]) AS overlap FROM w, range(1, 11) a(i), range(1, 11) b(j) GROUP BY ALL""", "overlap", "energies")
+@query("f18_mbar_overlap", f"""WITH {MBAR}, w AS (SELECT [exp(f[i] - u[i] / {KT} - ln(list_sum([nk[j] * exp(f[j] - u[j] / {KT}) FOR j IN range(1, 11)]))) FOR i IN range(1, 11)] AS w, nk FROM last, energies, nk)
+SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, sum(w[i] * w[j] * nk[j]) AS overlap FROM w, range(1, 11) a(i), range(1, 11) b(j) GROUP BY ALL""", "overlap", "energies")
 def _(spark, d):
-    u, n = counted(spark, d)
-    return FE.mbar(u, 10, KT, n)[1]
+    return FE.mbar(energies(spark, d), 10, KT)[1]
 
 
 def ti_sql() -> str:
@@ -196,7 +195,7 @@ def _(spark, d):
     return FE.ti(energies(spark, d), [k / 9 for k in range(10)], 5)
 
 
-@query("f20_convergence", f"""WITH {WORK.replace('FROM energies', 'FROM pre').replace('SELECT sample AS edge', 'SELECT frames, sample AS edge').replace('SELECT sample - 1', 'SELECT frames, sample - 1').replace('work AS', 'pre AS (SELECT energies.*, e.frames FROM energies JOIN (SELECT DISTINCT n * k // 4 AS frames FROM least, (VALUES (1), (2), (4)) v(k)) e ON frame <= e.frames), work AS')}
+@query("f20_convergence", f"""WITH {WORK.replace('FROM energies', 'FROM pre').replace('SELECT sample AS edge', 'SELECT frames, sample AS edge').replace('SELECT sample - 1', 'SELECT frames, sample - 1').replace('work AS', 'pre AS (SELECT equal.*, e.frames FROM equal JOIN (SELECT DISTINCT n * k // 4 AS frames FROM least, (VALUES (1), (2), (4)) v(k)) e ON frame <= e.frames), work AS')}
 SELECT frames, edge, -{KT} * ln(avg(exp(-w)) FILTER (way = 'f')) AS forward, {KT} * ln(avg(exp(-w)) FILTER (way = 'r')) AS reverse, -{KT} * ln(avg(exp(-w)) FILTER (way = 'f')) - {KT} * ln(avg(exp(-w)) FILTER (way = 'r')) AS hysteresis FROM work GROUP BY ALL""", "forward reverse hysteresis", "energies")
 def _(spark, d):
     u, n = counted(spark, d)  # prefixes of a quarter, half and all of the frames
@@ -272,10 +271,34 @@ def _(spark, d):
     return FE.wham(umbrella(spark, d), 0.0005, 300.0, 0.0, 200.0, 40, tolerance=1e-12)
 
 
-@query("f12_block_bootstrap")
+def some_start(n, replica, run, block):
+    """Starts that both engines can tell: a stated congruence."""
+    return f"(({replica}) * 7919 + ({block}) * 104729 + ({run}) * 1299709 + 11) % 2147483647 % ({n})"
+
+
+BOOT = f"""n AS (SELECT run, count(*) AS n FROM series GROUP BY run), st AS (SELECT run, n, r AS replica, b, {some_start('n', 'r', 'run', 'b')} AS s FROM n, range(1, 41) a(r), range(0, 100000) c(b) WHERE b < ceil(n / 7.0)),
+ats AS (SELECT run, replica, (s + o) % n AS idx FROM st, range(0, 7) d(o) WHERE b * 7 + o < n UNION ALL SELECT run, 0, idx FROM series), bm AS (SELECT run, replica, count(*) AS n, avg(value) AS mean FROM ats JOIN series USING (run, idx) GROUP BY ALL)"""
+
+
+def replicas(spark, d):
+    start = lambda n, *k: F.expr(some_start(n, "replica", "run", "block"))
+    return FE.block_bootstrap(series(spark, d).select("run", "idx", "value"), ["value"], 40, 7, 11, ["run"], start=start)
+
+
+@query("f12_block_bootstrap", f"WITH {BOOT} SELECT replica, run, n, round(mean * n, 4) AS total FROM bm", "total", "series")
 def _(spark, d):
-    b = FE.block_bootstrap(series(spark, d).select("run", "idx", "value"), 5, 7, 11, ["run"])
-    return b.groupBy("replica", "run").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return replicas(spark, d).select("replica", "run", "n", F.round("sum_value", 4).alias("total"))
+
+
+@query("f12_intervals", f"WITH {BOOT}, pm AS (SELECT replica, run, mean * pi() AS mean FROM bm) SELECT run, max(mean) FILTER (replica = 0) AS estimate, stddev_samp(mean) FILTER (replica > 0) AS sd, quantile_cont(mean, 0.025) FILTER (replica > 0) AS low, quantile_cont(mean, 0.975) FILTER (replica > 0) AS high, count(*) FILTER (replica > 0 AND mean > 0) AS n_ok, count(*) FILTER (replica > 0 AND mean > 0) >= 36 AS enough FROM pm GROUP BY run", "estimate sd low high", "series")
+def _(spark, d):
+    mean = F.when(F.col("sum_value") > 0, F.col("sum_value") / F.col("n") * math.pi)  # a replica without a positive mean has failed; the factor keeps means of two decimals off rounding ties
+    return FE.bootstrap_intervals(replicas(spark, d).withColumn("mean", mean), "mean", ["run"], 40, 0.95, 0.9)
+
+
+@query("f7_effective_samples", f"WITH {WEIGHTED}, w AS (SELECT run, e / sum(e) OVER (PARTITION BY run) AS w FROM m) SELECT run, count(*) AS n, sum(w) ** 2 / sum(w * w) AS n_effective, max(w) / sum(w) AS largest FROM w GROUP BY run", "n_effective largest", "series")
+def _(spark, d):
+    return FE.effective_samples(weighted(spark, d), "weight", ["run"])
 
 
 TITR = "titr AS (SELECT o_orderpriority AS site, CAST(month(o_orderdate) AS DOUBLE) AS ph, avg(CASE WHEN o_totalprice > 20000 * month(o_orderdate) THEN 1.0 ELSE 0.0 END) AS fraction FROM orders GROUP BY ALL)"
@@ -307,6 +330,37 @@ def _(spark, d):
     return T.fit_titration_grid(titration_points(spark, d).withColumn("fraction", 1 - F.col("fraction")), ["site"], 0.0, 14.0)
 
 
+def wide_grid_sql(rounds: int = 3, points: int = 241, one: bool = False) -> str:
+    """Rounds over a grid of pKa and Hill; the next one spans three steps on either side of the best point."""
+    n = points - 1
+    hills = "range(0, 1) b(j)" if one else f"range(0, {points}) b(j)"
+    out = [f"WITH {TITR}, p AS (SELECT site, ph, 1 - fraction AS f FROM titr), b0 AS (SELECT site, min(ph) - 2 AS plo, max(ph) + 2 AS phi, {'1.0' if one else '0.15'}::DOUBLE AS hlo, {'1.0' if one else '2.0'}::DOUBLE AS hhi FROM p GROUP BY site)"]
+    for k in range(rounds):
+        out.append(f"g{k} AS (SELECT site, plo + i * ((phi - plo) / {n}) AS pka, hlo + j * ((hhi - hlo) / {n}) AS hill, (phi - plo) / {n} AS ps, (hhi - hlo) / {n} AS hs FROM b{k}, range(0, {points}) a(i), {hills})")
+        out.append(f"s{k} AS (SELECT site, pka, hill, ps, hs, sum((f - 1 / (1 + pow(10, hill * (pka - ph)))) ** 2) AS sse FROM p JOIN g{k} USING (site) GROUP BY ALL)")
+        out.append(f"m{k} AS (SELECT site, arg_min(pka, (sse, pka, hill)) AS pka, arg_min(hill, (sse, pka, hill)) AS hill, min(sse) AS sse, any_value(ps) AS ps, any_value(hs) AS hs FROM s{k} GROUP BY site), b{k + 1} AS (SELECT site, pka - 3 * ps AS plo, pka + 3 * ps AS phi, {'hill' if one else 'greatest(0.01, hill - 3 * hs)'} AS hlo, hill + 3 * hs AS hhi FROM m{k})")
+    return ", ".join(out) + f" SELECT site, round(pka, 3) AS pka, round(hill, 3) AS hill, sse FROM m{rounds - 1}"
+
+
+def raw_titration(spark, d):
+    """A row an order: whether it is under its month's limit."""
+    o = read(spark, d, "orders")
+    m = F.month("o_orderdate")
+    return o.select(F.col("o_orderpriority").alias("site"), m.cast("double").alias("ph"), (F.col("o_totalprice") <= 20000 * m).cast("double").alias("fraction"))
+
+
+@query("m2_fit_wide_grid", wide_grid_sql(), "pka hill sse")
+def _(spark, d):
+    x = T.fit_titration_grid(titration_points(spark, d).withColumn("fraction", 1 - F.col("fraction")), ["site"], None, None, 241, 3, hills=(0.15, 2.0))
+    return x.withColumns({"pka": F.round("pka", 3), "hill": F.round("hill", 3)})
+
+
+@query("m2_fit_one_parameter", wide_grid_sql(4, 241, True).replace("sse FROM m3", "round(sse, 3) AS sse FROM m3"), "pka hill sse")
+def _(spark, d):
+    x = T.fit_titration_grid(titration_points(spark, d).withColumn("fraction", 1 - F.col("fraction")), ["site"], None, None, 241, 4, hills=1.0)
+    return x.withColumns({"pka": F.round("pka", 3), "hill": F.round("hill", 3), "sse": F.round("sse", 3)})
+
+
 @query("m3_fit_two_site")
 def _(spark, d):
     p = titration_points(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import exprs as X
@@ -397,7 +399,26 @@ def _(spark, d):
 @query("h10_density_basins3d")
 def _(spark, d):
     a = atoms(spark, d).select((F.col("x") * 7.2).alias("a"), (F.col("y") * 7.2).alias("b"), (F.col("z") * 7.2).alias("c"))
-    return density.density_basins3d(a, ["a", "b", "c"], 12, 0.001)
+    return density.density_basins3d(a, ["a", "b", "c"], 12, 0.001, bandwidth=24.0)
+
+
+def wrapped_sql(n: int, sigma: float) -> str:
+    """Three passes of a wrapped Gaussian over cells i, j, k."""
+    reach = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    kernel = ", ".join(f"({k}, {v / sum(w)!r}::DOUBLE)" for k, v in zip(range(-reach, reach + 1), w))
+    out = [f"WITH kn AS (SELECT * FROM (VALUES {kernel}) v(s, w)), c0 AS (SELECT CAST(floor(x * {n} / 50.0) AS BIGINT) % {n} AS i, CAST(floor(y * {n} / 50.0) AS BIGINT) % {n} AS j, CAST(floor(z * {n} / 50.0) AS BIGINT) % {n} AS k, CAST(count(*) AS DOUBLE) AS d FROM atoms GROUP BY 1, 2, 3)"]
+    for m, axis in enumerate("ijk"):
+        cols = ", ".join(f"(({c} + s) % {n} + {n}) % {n} AS {c}" if c == axis else c for c in "ijk")
+        out.append(f"c{m + 1} AS (SELECT i, j, k, sum(d) AS d FROM (SELECT {cols}, d * w AS d FROM c{m}, kn) GROUP BY i, j, k)")
+    return ", ".join(out) + f" SELECT i * {n * n} + j * {n} + k AS cell, d FROM c3"
+
+
+@query("h10_wrapped_density", wrapped_sql(12, 0.8), "d", "atoms")
+def _(spark, d):
+    place = lambda c: F.floor(F.col(c) * 12 / 50.0) % 12
+    counts = atoms(spark, d).groupBy((place("x") * 144 + place("y") * 12 + place("z")).alias("cell")).agg(F.count("*").cast("double").alias("d"))
+    return density.wrapped_gaussian(counts, 12, 0.8)
 
 
 @query("a1_atomic_charge", "SELECT frame, atom_id, sum(q) AS q, count(*) AS n_orbitals FROM (SELECT frame, atom_id, x / 100 AS q FROM atoms UNION ALL SELECT frame, atom_id, -z / 100 FROM atoms WHERE element <> 'H') GROUP BY ALL", "q", "atoms")

@@ -94,11 +94,11 @@ def finish(x: DataFrame, mode: str) -> DataFrame:
 
 
 def ended(spark: SparkSession, d: str, flags: dict) -> DataFrame:
-    """The events table as a stream that has ended: a last row without a key is a day behind all others, so that the watermark passes them."""
+    """The events table as a stream that has ended: a last row, of a key that no other has, is a day behind all others, so that the watermark passes them."""
     path = f"{shared_dir(spark).rstrip('/')}/scans/{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")).select("run", "ts", *[c.alias(k) for k, c in flags.items()])
     e.write.parquet(path)
-    e.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("run"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"), *[F.lit(False).alias(k) for k in flags]).write.mode("append").parquet(path)
+    e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("run"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"), *[F.lit(False).alias(k) for k in flags]).write.mode("append").parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 

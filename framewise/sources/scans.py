@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.exprs import KCAL_PER_HARTREE
+from ..operators.runs import ranked
+from ..runtime import materialise
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[EeDd][-+]?\d+)?"
 TIME = "*** AT T="
@@ -75,8 +77,9 @@ def scan_xyz(spark: SparkSession, paths) -> DataFrame:
     r = r.withColumn("rows", F.regexp_extract_all("value", F.lit(row), F.lit(1)))
     size = r.groupBy("path").agg(F.max(F.size("rows")).alias("n_atoms"))
     r = whole_tail(r.join(size, "path"), F.size("rows") == F.col("n_atoms"), "t_ps", "frame")
-    w = Window.partitionBy("path").orderBy("t_ps")
-    r = r.withColumn("frame", (F.row_number().over(w) - 1).cast("bigint"))
+    # times alone are put in order, in as many tasks as there are; the frames' text meets its number by a join
+    times = ranked(materialise(r.select("path", "t_ps")), "path", ["t_ps"]).groupBy("path", "t_ps").agg(F.min("_rank").alias("frame"))
+    r = r.join(times, ["path", "t_ps"])
     a = r.select("path", run_of(F.col("path")).alias("run"), "frame", "step", "t_ps", F.posexplode("rows").alias("k", "row")).withColumn("f", F.split("row", r"\s+"))
     return a.select("path", "run", "frame", "step", "t_ps", (F.col("k") + 1).cast("bigint").alias("atom_id"), F.col("f")[0].alias("element"), *[number(F.col("f")[i + 1]).alias(c) for i, c in enumerate("xyz")])
 

@@ -34,12 +34,18 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def energies(spark: SparkSession, sf_dir: str, states: int = 10) -> DataFrame:
-    """(sample, frame, u array<double>): energies of each frame in all states, equally many frames a state."""
+    """(sample, frame, u array<double>): energies of each frame in all states."""
     e = read(spark, sf_dir, "embeddings").where(F.col("label") < states)
-    n = e.groupBy("label").count().agg(F.min("count").alias("least"))
     w = Window.partitionBy("label").orderBy("vec_id")
     u = F.transform(F.slice("embedding", 1, states), lambda x: x.cast("double"))
-    return e.select(F.col("label").cast("int").alias("sample"), F.row_number().over(w).cast("bigint").alias("frame"), u.alias("u")).crossJoin(F.broadcast(n)).where("frame <= least").drop("least")  # one row
+    return e.select(F.col("label").cast("int").alias("sample"), F.row_number().over(w).cast("bigint").alias("frame"), u.alias("u"))
+
+
+def equal_energies(spark: SparkSession, sf_dir: str, states: int = 10) -> DataFrame:
+    """energies with as many frames of each state as the state with the fewest has, for estimators of equal counts."""
+    u = energies(spark, sf_dir, states)
+    n = u.groupBy("sample").count().agg(F.min("count").alias("least"))
+    return u.crossJoin(F.broadcast(n)).where("frame <= least").drop("least")  # one row
 
 
 #: The same adapters as DuckDB common table expressions, for the oracle.
@@ -52,5 +58,6 @@ SQL = {
   row_number() OVER w - 1 AS idx, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))""",
     "energies": """en AS (SELECT CAST(label AS INT) AS sample, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS frame, embedding FROM embeddings WHERE label < 10),
 least AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM en GROUP BY sample)),
-energies AS (SELECT sample, frame, [CAST(e AS DOUBLE) FOR e IN embedding[1:10]] AS u FROM en, least WHERE frame <= n)""",
+energies AS (SELECT sample, frame, [CAST(e AS DOUBLE) FOR e IN embedding[1:10]] AS u FROM en),
+equal AS (SELECT energies.* FROM energies, least WHERE frame <= n)""",
 }

@@ -51,7 +51,7 @@ def _in_time_order(x: DataFrame, key: str, flags: list[str], fold: Callable, sta
     Rows wait in list state until the watermark has passed them, when a timer at the earliest of them has them folded in
     order (rows of one time by their flags); what comes later is later in time, as Spark drops rows behind the watermark.
     A key's memory is what arrives within the watermark's delay or in one batch. The last `late` of a stream is folded
-    once a later row moves the watermark; rows with a null key do only that.
+    once a later row, of any key, moves the watermark. Rows without a key are left out.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -69,10 +69,9 @@ def _in_time_order(x: DataFrame, key: str, flags: list[str], fold: Callable, sta
             self.handle.registerTimer(-(-min(rows)[0] // 1000))
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            if k[0] is not None and not (isinstance(k[0], float) and k[0] != k[0]):
-                new = [(int(t.value // 1000), *map(bool, f)) for pdf in rows for t, *f in zip(pdf["ts"], *(pdf[c] for c in flags))]
-                self.rows.appendList(new)
-                self.wake(new)
+            new = [(int(t.value // 1000), *map(bool, f)) for pdf in rows for t, *f in zip(pdf["ts"], *(pdf[c] for c in flags))]
+            self.rows.appendList(new)
+            self.wake(new)
             yield pd.DataFrame([], columns=names)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -97,7 +96,7 @@ def _in_time_order(x: DataFrame, key: str, flags: list[str], fold: Callable, sta
             pass
 
     kind = x.schema[key].dataType.simpleString()
-    return x.select(key, "ts", *flags).withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Ordered(), f"{key} {kind}, {out}", "append", "eventTime")
+    return x.select(key, "ts", *flags).where(F.col(key).isNotNull()).withWatermark("ts", late).groupBy(key).transformWithStateInPandas(Ordered(), f"{key} {kind}, {out}", "append", "eventTime")
 
 
 def stream_sustained_events(x: DataFrame, key: str, on: str, persistence_s: float, late: str = "10 minutes") -> DataFrame:

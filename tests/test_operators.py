@@ -287,7 +287,7 @@ def test_estimators(spark):
     for _ in range(2000):
         new = -np.log((np.exp(-red) / (n * np.exp(f - red)).sum(1, keepdims=True)).sum(0))
         f = new - new[0]
-    got, overlap = FE.mbar(df, k, kt, n)
+    got, overlap, sd = FE.mbar(df, k, kt)
     assert np.allclose(got, kt * f, atol=1e-6)
     o = overlap.groupBy("i").agg(F.sum("overlap").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1, abs=1e-6) for r in o)
@@ -318,8 +318,8 @@ def test_wham_and_weights(spark):
     got = FE.tp_weights(s, h, 300.0, -1.0, 2.0, 301, ["run"]).orderBy("t").collect()
     assert got[0]["bias"] == got[1]["bias"] == 0 and sum(r["weight"] for r in got) == pytest.approx(1)
     assert got[6]["bias"] == pytest.approx(sum(0.5 * math.exp(-0.5 * ((0.6 - c) / 0.3) ** 2) for c in (0.2, 0.5)))
-    b = FE.block_bootstrap(s.withColumn("idx", F.col("t").cast("bigint")), 3, 3, 1, ["run"]).groupBy("replica").count().collect()
-    assert sorted((r[0], r[1]) for r in b) == [(k, 8) for k in range(4)]
+    b = FE.block_bootstrap(s.withColumn("idx", F.col("t").cast("bigint")), ["value"], 3, 3, 1, ["run"]).collect()
+    assert sorted((r["replica"], r["n"]) for r in b) == [(k, 8) for k in range(4)]
 
 
 def test_fits(spark):

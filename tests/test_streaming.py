@@ -45,7 +45,7 @@ def landed(spark, tmp_path, rows, batches, name):
 
     frame = lambda r: spark.createDataFrame(r, "run int, k int, low boolean, back boolean").select("run", F.timestamp_seconds(F.lit(1700000000) + F.col("k")).alias("ts"), "low", "back")
     at = f"{tmp_path}/{name}"
-    for n, part in enumerate([*[[rows[i] for i in b] for b in batches], [(None, 10**6, False, False)]]):
+    for n, part in enumerate([*[[rows[i] for i in b] for b in batches], [(-1, 10**6, False, False), (None, 10**6, True, True)]]):
         frame(part).coalesce(1).write.mode("append").parquet(at)
         for f in os.listdir(at):  # files are read in the order of their times
             if f.endswith(".parquet") and os.path.getmtime(f"{at}/{f}") > 10**9:
