@@ -10,8 +10,9 @@ change). Spark counts per host on how many pages each hash occurs, with the char
 - shape outside articles on `inside_share` of the pages, if half its text is links, or if it is a named element that stands
   once a page, holds no running text, and has few characters, a small part of the host's text;
 - shape of a container inside an article on half the pages, if nearly all its text is links.
-Each needs least_pages pages; most_pages pages are enough on a host of any size. Markup names are the fallback for hosts
-with few pages: an article or main element bounds the text, and what tags, roles and class names call furniture goes.
+Each needs least_pages pages; most_pages pages are enough on a host of any size. Beside the counts goes what tags, roles and
+class names call furniture, reader comments among it, which no count can find. On hosts without templates, those of few
+pages, an article or main element bounds the text.
 
 Edge cases: null html is empty and gives an empty text. Unclosed and stray tags close as browsers close them, in linear
 time. A page without an article element or main element gives the text of its body. Repeated rows each get their row.
@@ -138,8 +139,11 @@ def tree(html: str) -> Node:
     return root
 
 
-#: Names that mark furniture even around or on an article (fixed values).
-SIDE = {"comment", "comments", "disqus", "respond", "replies", "reply", "related", "recommended", "teaser"}
+#: Names that mark furniture even around or on an article (fixed values); those of reader comments do so wherever they stand.
+COMMENTS = {"comment", "comments", "disqus", "respond", "replies", "reply"}
+SIDE = COMMENTS | {"related", "recommended", "teaser"}
+#: Up to so many characters, or with half of them in links, a subtree holds no running text of its own.
+FEW_CHARS = 300
 
 
 def names_of(n: Node) -> set[str]:
@@ -148,16 +152,36 @@ def names_of(n: Node) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower())) if names.strip() else set()
 
 
+def tokens_of(n: Node) -> set[str]:
+    """Whole class names and id of an element."""
+    return set(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower().split())
+
+
 def cut_furniture(order: list[tuple[Node, bool]]) -> None:
-    """Mark what the markup names as furniture. A wrapper of an article or main element is not furniture, unless it holds comments or links to other articles."""
+    """Mark what the markup names as furniture. A wrapper of an article or main element is not furniture, unless it holds comments or links to other articles.
+
+    Names are weak inside the main text: in an article a name counts only as a whole class name or id of a subtree without
+    running text, in a main element only as a whole one, and a header in an article is the article's own. Reader comments go.
+    """
     main: dict[int, bool] = {}
+    within: dict[int, int] = {}
+    for n, _ in reversed(order):  # parents come first
+        at = 2 if n.tag == "article" else max(within.get(id(n), 0), n.tag == "main")
+        for k in n.kids:
+            if isinstance(k, Node):
+                within[id(k)] = at
     for n, _ in order:  # kids come first
-        names = names_of(n)
-        side = not names.isdisjoint(SIDE)
+        names, at = names_of(n), within.get(id(n), 0)
+        comments = not names.isdisjoint(COMMENTS)
+        side, named = not names.isdisjoint(SIDE), not names.isdisjoint(NAMES)
+        if at and not comments and (side or named):
+            whole = tokens_of(n)
+            weak = at == 2 and n.chars > FEW_CHARS and 2 * n.links < n.chars
+            side, named = not weak and not whole.isdisjoint(SIDE), not weak and not whole.isdisjoint(NAMES)
         main[id(n)] = not side and (n.tag in ("article", "main") or any(main[id(k)] for k in n.kids if isinstance(k, Node)))
         hidden = "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true"
-        named = n.tag in FURNITURE or n.attrs.get("role", "").lower() in ROLES or n.tag not in ("html", "body") and not names.isdisjoint(NAMES)
-        n.cut = hidden or side and n.tag not in ("html", "body") or named and not main[id(n)]
+        tagged = n.tag in FURNITURE and not (n.tag == "header" and at == 2) or n.attrs.get("role", "").lower() in ROLES
+        n.cut = hidden or side and n.tag not in ("html", "body") or (tagged or n.tag not in ("html", "body") and named) and not main[id(n)]
 
 
 def walk(root: Node) -> list[tuple[Node, bool]]:
@@ -223,7 +247,7 @@ def subtrees(html: str | None) -> tuple[list[dict], int]:
 
 
 def main_text(html: str | None, template: set[int], names: bool = True) -> str:
-    """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text. names: whether markup names count beside the templates."""
+    """Blocks of the main text, joined by two line ends. Where the templates would leave nothing, they are the text. names: whether markup names count beside the templates, and, where a host has none, an article or main element bounds the text."""
     root = tree(html or "")
     order = walk(root)
     if names:
@@ -236,7 +260,7 @@ def main_text(html: str | None, template: set[int], names: bool = True) -> str:
     held: dict[int, bool] = {}
     for n, _ in order:  # kids come first
         held[id(n)] = not n.cut and (n.tag in ("article", "main") or any(held[id(k)] for k in n.kids if isinstance(k, Node)))
-    only = names and held[id(root)]
+    only = names and not template and held[id(root)]
     blocks: list[str] = []
     text: list[str] = []
 
