@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .text import map_rows
 
@@ -94,10 +95,11 @@ def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """Per conversation, read back from the formatted segments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, error."""
+    """Per conversation, read back from the formatted segments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, error. conv_id may have any type that sorts; it keeps it."""
     rows = segments(turns.select("conv_id", "turn", "role", "text"), template)
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "segments")
-    out = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("error", pa.string())])
+    kind = turns.schema["conv_id"].dataType
+    out = pa.schema([("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("error", pa.string())])
 
     class State:
         def __init__(self, conv):
@@ -137,7 +139,7 @@ def conversations(turns: DataFrame, template: Template = Template()) -> DataFram
         if now:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(now.row(), out)], schema=out)
 
-    return rows.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, error string")
+    return rows.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, error string")
 
 
 def probe(spark) -> DataFrame:

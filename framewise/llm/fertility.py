@@ -141,8 +141,10 @@ def pooled(rows: DataFrame, group: list[str], width: float, min_group: int) -> D
 def judge(rows: DataFrame, width: float = 2.5, min_group: int = 30, min_tokens: int = 30, most_bands: int = 20_000) -> DataFrame:
     """rows (materialised measures with lang and script) with base_failed, kept and outside, the measures out of their bands.
 
-    Up to most_bands rows of bands are broadcast; more of them are joined by a shuffle.
+    Up to most_bands rows of bands are broadcast; more of them are joined by a shuffle. A column `size` of rows stays.
     """
+    if "size" in rows.columns:
+        return judge(rows.withColumnRenamed("size", "_users_size"), width, min_group, min_tokens, most_bands).withColumnRenamed("_users_size", "size")
     rows = rows.withColumn("size", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))))
     sized = rows.where(F.col("n_tokens") >= min_tokens)
     cols = [f"{m}_{s}" for m in MEASURES for s in ("mid", "half")]

@@ -150,7 +150,10 @@ def resample(docs: DataFrame, labelled: DataFrame, fraction: float = 0.5, sample
     raw, want = counts(docs, buckets, wanted)
     ratio = np.log((want + 1) / (want.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     keep = keep or docs.columns
-    rows = weigh(docs, ratio, chunk, keep).withColumns({"key": F.col("log_weight") + gumbel(seed, "doc_id"), "_uid": F.monotonically_increasing_id().cast("double")})
+    uid = "_uid"
+    while uid in keep:  # a column of docs
+        uid += "_"
+    rows = weigh(docs, ratio, chunk, keep).withColumns({"key": F.col("log_weight") + gumbel(seed, "doc_id"), uid: F.monotonically_increasing_id().cast("double")})
     rows = materialise(rows)
     full, k = rows.where("n_grams > 0"), int(rows.count() * fraction)
     last = kth_largest(full, "key", k)
@@ -159,5 +162,5 @@ def resample(docs: DataFrame, labelled: DataFrame, fraction: float = 0.5, sample
     else:
         # of the rows that tie at the last key, those with the largest row numbers (doubles hold them exactly up to a million files)
         ties = full.where(F.col("key") == last[0])
-        chosen = (F.col("n_grams") > 0) & ((F.col("key") > last[0]) | (F.col("key") == last[0]) & (F.col("_uid") >= kth_largest(ties, "_uid", last[1])[0]))
-    return rows.withColumn("selected", chosen).drop("_uid")
+        chosen = (F.col("n_grams") > 0) & ((F.col("key") > last[0]) | (F.col("key") == last[0]) & (F.col(uid) >= kth_largest(ties, uid, last[1])[0]))
+    return rows.withColumn("selected", chosen).drop(uid)

@@ -93,6 +93,12 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., t
 
 def map_lists(df: DataFrame, columns: list[str], fn: Callable[[], Callable[..., list[tuple]]], schema: str, keep: list[str] | None = None) -> DataFrame:
     """As map_rows, but the function takes a list of values for each column, of 500 rows at most, and returns a list of rows."""
+    if any("." in c or "`" in c for c in df.columns):  # such names go by number meanwhile
+        named = {c: f"_c{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)}
+        plain = df.toDF(*named.values())
+        out = map_lists(plain, [named[c] for c in columns], fn, schema, None if keep is None else [named[c] for c in keep])
+        back = {v: k for k, v in named.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
     made = T.StructType.fromDDL(schema)
     keep = [c for c in (df.columns if keep is None else keep) if c not in made.fieldNames()]
     source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *columns])])
