@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from ..functions import exprs as X
-from ..operators import agg, align, density, events, regress
+from ..operators import agg, align, density, events, regress, runs
 from ..sources.tables import read, series
 from .registry import query
 
@@ -176,6 +176,37 @@ def _(spark, d):
     return events.islands(series(spark, d), F.col("value") > 60, dt=10.0)
 
 
+#: All events as one run, in the order of their ids.
+ONE = "one AS (SELECT 0 AS run, CAST(event_id AS DOUBLE) AS t, CAST(value AS DOUBLE) AS value, event_type AS state FROM events)"
+#: Rows of a block in the queries over one long run.
+BLOCK = 1500
+
+
+def one_run(spark, d):
+    e = read(spark, d, "events")
+    return e.select(F.lit(0).alias("run"), F.col("event_id").cast("double").alias("t"), F.col("value").cast("double").alias("value"), F.col("event_type").alias("state"))
+
+
+@query("t1_one_run", f"""WITH {ONE}, a AS (SELECT *, value > 60 AS m, lag(value > 60) OVER (ORDER BY t) AS pm FROM one), b AS (SELECT *, sum(CASE WHEN m AND NOT coalesce(pm, false) THEN 1 ELSE 0 END) OVER (ORDER BY t) AS g FROM a)
+SELECT run, min(t) AS "start", max(t) AS "end", count(*) AS n, max(t) - min(t) AS duration FROM b WHERE m GROUP BY run, g""", '"start" "end" duration')
+def _(spark, d):
+    return events.islands(one_run(spark, d), F.col("value") > 60, size=BLOCK)
+
+
+@query("t6_one_run", f"""WITH {ONE} SELECT t, avg(value) OVER (ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS shrink, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) OVER (ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) * pi() AS fraction,
+last_value(CASE WHEN value > 120 THEN value END IGNORE NULLS) OVER (ORDER BY t) AS filled FROM one""", "t shrink fraction filled")
+def _(spark, d):
+    means = {"shrink": lambda k: events.moving_average("value", 5, key=k), "fraction": lambda k: events.rolling_fraction(F.col("value") > 50, 10, key=k) * math.pi}
+    x = runs.filled(one_run(spark, d), {"filled": F.when(F.col("value") > 120, F.col("value"))}, size=BLOCK)
+    return runs.with_windows(x, means, 9, 5, size=BLOCK).select("t", "shrink", "fraction", "filled")
+
+
+@query("j3_one_run", f"""WITH {ONE} SELECT a.t, a.value, b.t AS t_b, b.state FROM (SELECT * FROM one WHERE value <= 100) a ASOF LEFT JOIN (SELECT * FROM one WHERE value > 100) b ON a.run = b.run AND a.t >= b.t""", "t value t_b")
+def _(spark, d):
+    s = one_run(spark, d)
+    return align.asof_backward(s.where("value <= 100").select("run", "t", "value"), s.where("value > 100"), ["state"], nearest=False, size=BLOCK).select("t", "value", "t_b", "state")
+
+
 @query("t2_first_sustained", f'WITH {ISLANDS} SELECT run, min("start") AS "start" FROM seg WHERE "end" - "start" >= 2000 GROUP BY run', '"start"', "series")
 def _(spark, d):
     return events.first_sustained(series(spark, d), F.col("value") > 60, 2000.0)
