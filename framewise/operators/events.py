@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .runs import long_runs, spans, with_windows
+from .runs import long_runs, settled, spans, with_windows
 
 
 def _id(df: DataFrame, change: Column, key: str, t: str) -> DataFrame:
@@ -57,6 +57,7 @@ def first_sustained(df: DataFrame, mask: Column, persistence: float, key: str =
 
 def diffusive_regime(df: DataFrame, low: Column, back: Column, persistence: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Start of the first sustained low state and of the first sustained recovery after it."""
+    size = settled(df, key, size)
     a = first_sustained(df, low, persistence, key, t, size=size)
     b = first_sustained(df, back, persistence, key, t, after=a, size=size)
     return a.join(b.withColumnRenamed("start", "recovered"), key)
@@ -141,6 +142,7 @@ def core_transitions(df: DataFrame, cores: Sequence[tuple[str, float, float]], v
 
 def bulk_audit(df: DataFrame, threshold: float, jump: float, value: str = "value", key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Per key: threshold reached, longest residence beyond it, outward crossings, and those whose step is at most jump."""
+    size = settled(df, key, size)
     x = _with_last(df, {"_p": value}, key, t, size)
     out = (F.col("_p") < threshold) & (F.col(value) >= threshold)
     a = x.groupBy(key).agg((F.max(value) >= threshold).alias("reached"), F.count_if(out).alias("crossings"), F.count_if(out & (F.col(value) - F.col("_p") <= jump)).alias("continuous"))
@@ -187,6 +189,7 @@ def funnel_classify(runs: DataFrame, screens: Sequence[tuple[str, DataFrame]], k
 
 def hop_events(df: DataFrame, id: str, limit: float, key: str = "run", t: str = "t", size: int | None = None) -> DataFrame:
     """Changes of owner between consecutive holdings whose pause is at most limit: donor, acceptor, times, pause."""
+    size = settled(df, key, size)
     x = islands(df, F.col(id).isNotNull(), key, t, value=F.col(id), size=size)
     after = lambda c: lambda k: F.lead(c).over(Window.partitionBy(k).orderBy("start"))
     x = with_windows(x, {"acceptor": after("id"), "t_on": after("start")}, 0, 1, key, "start", size)

@@ -22,12 +22,23 @@ LONG = 1_000_000
 PLACE = (1 << 33) - 1
 
 
+#: A size that no run exceeds: nothing is counted.
+WHOLE = 1 << 62
+
+
 def long_runs(df: DataFrame, key: str, size: int | None = None) -> bool:
     """Whether a run has more rows than size."""
+    if size is not None and size >= WHOLE:
+        return False
     most = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     return (most or 0) > (size or LONG)
 
 
+def settled(df: DataFrame, key: str, size: int | None = None) -> int:
+    """size where a run is longer, else WHOLE, for operators that look at a table, or parts of it, several times."""
+    return (size or LONG) if long_runs(df, key, size) else WHOLE
+
+
 def spans(df: DataFrame, key: str, t: str, size: int | None = None) -> DataFrame:
     """df with _block: its place in equal cuts of the run's time range, one cut for every `size` rows; 0 in shorter runs."""
     size = size or LONG
