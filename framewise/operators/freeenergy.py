@@ -7,11 +7,13 @@ is one aggregation over all samples.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import GAS_KCAL, PKA_FACTOR, fermi, kernel
+from .runs import long_runs, spans
 
 
 def min_near(fes: DataFrame, target: float, half: float, keys: list[str], x: str = "x", f: str = "f") -> DataFrame:
@@ -144,10 +146,53 @@ def hermite_dense(fes: DataFrame, per_step: int, keys: list[str], x: str = "x",
     return y.select(*keys, (F.col(x) + u * h).alias("x"), v.alias("f"))
 
 
-def tp_weights(samples: DataFrame, hills: DataFrame, temperature: float, lo: float, hi: float, points: int, keys: list[str], t: str = "t", value: str = "value") -> DataFrame:
+#: Widths beyond which a hill is left out (there it adds under 1e-17 of its height), and terms of the expansion, whose rest is under 1e-15 of a hill's height.
+REACH, TERMS = 9, 20
+
+
+def hill_bias(samples: DataFrame, hills: DataFrame, keys: list[str], t: str = "t", value: str = "value", size: int | None = None) -> DataFrame:
+    """Bias of the hills (keys, t_hill, center, height, width) at or before each sample's time at its value: (keys, t, value, bias), one row for equal samples; 0 where no hill is.
+
+    No sample meets a hill. The axis is cut into cells of one width. With u and v the places of sample and hill from the
+    middle of a cell in widths, the kernel is exp(-u^2 / 2) times the sum over k of u^k / k! and v^k exp(-v^2 / 2), |u| at
+    most a half: hills give each cell in reach TERMS moments, whose running sums in time order each sample looks up. Work
+    grows with samples plus hills. Cells of runs with more than `size` rows are cut by time, and blocks hand their sums on.
+    """
+    h = hills.select(*keys, F.col("t_hill").alias("at"), "center", "height", "width")
+    widths = h.groupBy(*keys).agg(F.max("width").alias("width"))
+    middle = F.floor(F.col("center") / F.col("width"))
+    h = h.select(*keys, "at", "center", "height", "width", F.explode(F.sequence(middle - REACH, middle + REACH)).alias("cell"))
+    v = F.col("center") / F.col("width") - F.col("cell") - 0.5
+    names = [f"m{k}" for k in range(TERMS)]
+    h = h.select(*keys, "cell", "at", v.alias("v"), (F.col("height") * F.exp(-0.5 * v * v)).alias("m0"))
+    power = lambda k: F.col("m0") * reduce(lambda x, y: x * y, [F.col("v")] * k) if k else F.col("m0")
+    h = h.select(*keys, "cell", "at", *[power(k).alias(name) for k, name in enumerate(names)])
+    s = samples.select(*keys, F.col(t).alias("at"), F.col(value).alias("s")).distinct().join(widths, keys, "left")
+    place = F.col("s") / F.col("width")
+    s = s.select(*keys, F.floor(place).alias("cell"), "at", "s", (place - F.floor(place) - 0.5).alias("u"))
+    x = h.unionByName(s.withColumn("sample", F.lit(True)), allowMissingColumns=True)
+    owner = samples.select(F.struct(*keys).alias("_run")).unionByName(hills.select(F.struct(*keys).alias("_run")))
+    by = [*keys, "cell"]
+    cut = long_runs(owner, "_run", size)
+    if cut:
+        x = spans(x.withColumn("_cell", F.struct(*by)), "_cell", "at", size).drop("_n")
+        ends = x.groupBy("_cell", "_block").agg(*[F.sum(m).alias(m) for m in names])
+        o = Window.partitionBy("_cell").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+        carry = ends.select(F.col("_cell").alias("_k"), F.col("_block").alias("_b"), *[F.coalesce(F.sum(m).over(o), F.lit(0.0)).alias(f"_c{m}") for m in names])
+        by = [*by, "_block"]
+    w = Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({m: F.coalesce(F.sum(m).over(w), F.lit(0.0)) for m in names}).where("sample")
+    if cut:
+        x = x.join(carry, F.col("_cell").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).withColumns({m: F.col(m) + F.col(f"_c{m}") for m in names})
+    terms = reduce(lambda total, k: F.col(names[k]) + total * F.col("u") / (k + 1), range(TERMS - 2, -1, -1), F.col(names[-1]))
+    return x.select(*keys, F.col("at").alias(t), F.col("s").alias(value), F.coalesce(F.exp(-0.5 * F.col("u") * F.col("u")) * terms, F.lit(0.0)).alias("bias"))
+
+
+def tp_weights(samples: DataFrame, hills: DataFrame, temperature: float, lo: float, hi: float, points: int, keys: list[str], t: str = "t", value: str = "value", size: int | None = None) -> DataFrame:
     """reweighting of standard metadynamics: bias V(s, t), offset c(t), log weight, weight (sum 1 a key).
 
-    Only hills at or before a sample act on it. hills: (keys, t_hill, center, height, width), one width a key.
+    Only hills at or before a sample act on it. hills: (keys, t_hill, center, height, width), one width a key. size: rows of
+    a run that one task takes in hill_bias.
     """
     beta, ds = 1 / (GAS_KCAL * temperature), (hi - lo) / (points - 1)
     h = hills.select(*keys, F.col("t_hill").alias("th"), "center", "height", "width")
@@ -166,14 +211,7 @@ def tp_weights(samples: DataFrame, hills: DataFrame, temperature: float, lo: flo
     seen = seen.withColumn("e", term).withColumn("m", F.array_max("e"))
     total = F.aggregate(F.transform("e", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda s, v: s + v)
     c = seen.select(*keys, F.col("at").alias(t), F.col("s").alias(value), ((F.col("m") + F.log(total) - F.log(math.sqrt(2 * math.pi) * F.col("width"))) / beta).alias("offset")).distinct()
-    # the bias at the sample itself: hills behind it and within `reach` widths (beyond, a hill adds under 1e-17 of its height)
-    reach = 9.0
-    cell = lambda x: F.floor(F.col(x) / (reach * F.col("width")))
-    near = h.withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: cell("center") + k)))
-    x = samples.join(widths, [*keys], "left").withColumn("cell", cell(value)).select(*keys, t, value, "cell").distinct().join(near, [*keys, "cell"], "left")
-    before = F.coalesce(F.col("th") <= F.col(t), F.lit(False))
-    v = F.coalesce(F.sum(F.when(before, F.col("height") * kernel((F.col(value) - F.col("center")) / F.col("width")))), F.lit(0.0))
-    bias = x.groupBy(*keys, t, value).agg(v.alias("bias"))
+    bias = hill_bias(samples, hills, keys, t, value, size)
     y = bias.join(c, [*keys, t, value]).withColumn("log_weight", beta * (F.col("bias") - F.col("offset")))
     w = Window.partitionBy(*keys)
     y = y.withColumn("_e", F.exp(F.col("log_weight") - F.max("log_weight").over(w)))

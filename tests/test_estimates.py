@@ -120,3 +120,23 @@ def test_wrapped_gaussian(spark, sigma):
     for axis in range(3):
         dense = sum(v / w.sum() * np.roll(dense, k, axis) for k, v in zip(range(-reach, reach + 1), w))
     assert np.allclose(got, dense.ravel(), atol=1e-12)
+
+
+@pytest.mark.parametrize("size", [None, 60])
+def test_hill_bias_against_all_pairs(spark, size):
+    """The expansion equals the sum over all hills: several widths, ties in time, hills out of reach, a run without hills; blocks of a run hand their sums on."""
+    rng = np.random.default_rng(11)
+    hills, samples, want = [], [], {}
+    for run, width in enumerate((0.05, 0.3, 4.0, 25.0)):
+        th, center, height = rng.integers(0, 300, 400) * 1.0, rng.normal(-2, 6, 400), rng.uniform(0.05, 0.5, 400)
+        hills += [(run, float(a), float(b), float(c), width) for a, b, c in zip(th, center, height)]
+        for t, s in zip(rng.integers(-5, 310, 250), np.concatenate([rng.normal(-2, 6, 200), rng.uniform(-300, 300, 50)])):
+            samples.append((run, float(t), float(s)))
+            want[run, float(t), float(s)] = (height * np.exp(-0.5 * ((s - center) / width) ** 2))[th <= t].sum()
+    samples += [(9, 1.0, 2.0), (9, 1.0, 2.0)]
+    want[9, 1.0, 2.0] = 0.0
+    s = spark.createDataFrame(samples, "run int, t double, value double")
+    h = spark.createDataFrame(hills, "run int, t_hill double, center double, height double, width double")
+    got = {(r["run"], r["t"], r["value"]): r["bias"] for r in FE.hill_bias(s, h, ["run"], size=size).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
