@@ -118,8 +118,11 @@ def bond_angle(atoms: DataFrame, i: int, j: int, k: int, box: float | None, keys
 def rmsd(atoms: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("run", "frame"), ref_keys: tuple[str, ...] = ("run",)) -> DataFrame:
     """Best-fit deviation from a reference (ref_keys, atom_id, x, y, z) over the atoms both have.
 
-    The sums of products of a frame give its 3x3 covariance; the eigenvalues of its square are in closed form, so a frame
-    never leaves Spark's aggregation.
+    The sums of products of a frame give its 3x3 covariance H; the eigenvalues of its square are in closed form, so a frame
+    never leaves Spark's aggregation. s1 >= s2 >= s3 its singular values, the trace of the rotated products is s1 + s2 + s3,
+    the last with the sign of det H. s2 + s3 is the root of s2^2 + s3^2 + 2 s2 s3, and these come from the squared minors
+    (their sum is s1^2 s2^2 + s1^2 s3^2 + s2^2 s3^2) and det H = s1 s2 s3, not from the smaller eigenvalues, which have lost
+    their digits in flat or straight groups.
     """
     r = reference.select(*ref_keys, "atom_id", *[F.col(c).alias(f"r{c}") for c in XYZ])
     x = atoms.join(r, [*ref_keys, "atom_id"])
@@ -129,7 +132,9 @@ def rmsd(atoms: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("run",
     g = g.select(*keys, "n", (F.col("pp") - sum(F.col(f"s{c}") * F.col(f"s{c}") for c in XYZ) / F.col("n") + F.col("qq") - sum(F.col(f"t{c}") * F.col(f"t{c}") for c in XYZ) / F.col("n")).alias("e0"), *[v.alias(f"h{a}{b}") for (a, b), v in h.items()])
     k = {(a, b): sum(F.col(f"h{c}{a}") * F.col(f"h{c}{b}") for c in XYZ) for a in XYZ for b in XYZ}
     det = dot([F.col(f"h{XYZ[0]}{c}") for c in XYZ], cross([F.col(f"h{XYZ[1]}{c}") for c in XYZ], [F.col(f"h{XYZ[2]}{c}") for c in XYZ]))
-    g = g.select(*keys, "n", "e0", det.alias("det"), *[k[a, b].alias(f"k{a}{b}") for i, a in enumerate(XYZ) for b in XYZ[i:]])
+    rows = [[F.col(f"h{a}{c}") for c in XYZ] for a in XYZ]
+    minors = sum(m * m for i in range(3) for m in cross(rows[i], rows[(i + 1) % 3]))
+    g = g.select(*keys, "n", "e0", det.alias("det"), minors.alias("minors"), *[k[a, b].alias(f"k{a}{b}") for i, a in enumerate(XYZ) for b in XYZ[i:]])
     q = (F.col("kxx") + F.col("kyy") + F.col("kzz")) / 3
     off = F.col("kxy") ** 2 + F.col("kxz") ** 2 + F.col("kyz") ** 2
     p = F.sqrt(((F.col("kxx") - q) ** 2 + (F.col("kyy") - q) ** 2 + (F.col("kzz") - q) ** 2 + 2 * off) / 6)
@@ -139,11 +144,12 @@ def rmsd(atoms: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("run",
     half = (b["x"] * (b["y"] * b["z"] - o["yz"] ** 2) - o["xy"] * (o["xy"] * b["z"] - o["yz"] * o["xz"]) + o["xz"] * (o["xy"] * o["yz"] - b["y"] * o["xz"])) / 2
     phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(half, F.lit(1.0))))) / 3
     g = g.withColumn("phi", phi)
-    e1, e3 = F.col("q") + 2 * F.col("p") * F.cos("phi"), F.col("q") + 2 * F.col("p") * F.cos(F.col("phi") + 2.0943951023931953)
-    e2 = 3 * F.col("q") - e1 - e3
-    root = lambda e: F.sqrt(F.greatest(F.lit(0.0), e))
-    trace = root(e1) + root(e2) + F.signum("det") * root(e3)
-    return g.select(*keys, "n", F.sqrt(F.greatest(F.lit(0.0), (F.col("e0") - 2 * trace) / F.col("n"))).alias("rmsd"))
+    g = g.withColumn("s1", F.nullif(F.sqrt(F.greatest(F.lit(0.0), F.col("q") + 2 * F.col("p") * F.cos("phi"))), F.lit(0.0)))
+    g = g.withColumn("s23", F.col("det") / F.col("s1"))
+    g = g.withColumn("squares", F.greatest(F.lit(0.0), (F.col("minors") - F.col("s23") ** 2) / F.col("s1") ** 2))
+    twice = F.greatest(-F.col("squares"), F.least(F.col("squares"), 2 * F.col("s23")))  # 2 s2 s3 is at most s2^2 + s3^2
+    g = g.withColumn("trace", F.coalesce(F.col("s1") + F.sqrt(F.col("squares") + twice), F.lit(0.0)))
+    return g.select(*keys, "n", F.sqrt(F.greatest(F.lit(0.0), (F.col("e0") - 2 * F.col("trace")) / F.col("n"))).alias("rmsd"))
 
 
 def radgyr(atoms: DataFrame, masses: DataFrame, keys: tuple[str, ...] = ("frame",)) -> DataFrame:

@@ -376,6 +376,32 @@ def _(spark, d):
     return T.fit_microstates(x, ["site"], 2)
 
 
+def known_sites(spark, d):
+    """pKas made of each site's points; the fits have to find them again."""
+    p = titration_points(spark, d)
+    s = p.groupBy("site").agg((3 + 2 * F.avg("fraction")).alias("a"), (4.5 + 2 * F.avg("fraction") + F.max("fraction")).alias("b"), F.min("fraction").alias("w"))
+    return p.select("site", "ph").join(s, "site")
+
+
+KNOWN = f"{TITR}, s AS (SELECT site, 3 + 2 * avg(fraction) AS a, 4.5 + 2 * avg(fraction) + max(fraction) AS b, min(fraction) AS w FROM titr GROUP BY site)"
+
+
+@query("m3_two_site_recovered", f"WITH {KNOWN}, m AS (SELECT *, -log10(pow(10, -a) + pow(10, -b)) AS m1 FROM s) SELECT site, round(least(a, b), 4) AS pk_low, round(greatest(a, b), 4) AS pk_high, round(w, 4) AS w, round(m1, 4) AS macro_1, round(a + b + w - m1, 4) AS macro_2, 0.0 AS sse, true AS converged FROM m", "pk_low pk_high w macro_1 macro_2 sse")
+def _(spark, d):
+    ten, x = F.lit(10.0), F.col("ph")
+    w = {"p11": F.lit(1.0), "p01": F.pow(ten, x - F.col("a")), "p10": F.pow(ten, x - F.col("b")), "p00": F.pow(ten, 2 * x - F.col("a") - F.col("b") - F.col("w"))}
+    total = w["p11"] + w["p01"] + w["p10"] + w["p00"]
+    y = T.fit_two_site(known_sites(spark, d).select("site", "ph", *[(v / total).alias(k) for k, v in w.items()]), ["site"])
+    return y.select("site", F.round(F.least("pk_a", "pk_b"), 4).alias("pk_low"), F.round(F.greatest("pk_a", "pk_b"), 4).alias("pk_high"), *[F.round(c, 4).alias(c) for c in ("w", "macro_1", "macro_2")], "sse", "converged")
+
+
+@query("m4_microstates_recovered", f"WITH {KNOWN} SELECT site, round(a, 4) AS pk1, round(b, 4) AS pk2, round(-log10(pow(10, -a) + pow(10, -b)), 4) AS macro, 0.0 AS sse, true AS converged FROM s", "pk1 pk2 macro sse")
+def _(spark, d):
+    p = known_sites(spark, d)
+    x = p.select("site", "ph", *[v.alias(f"s{k}") for k, v in enumerate(T.microstate_weights(F.col("ph"), [F.col("a"), F.col("b")]))])
+    return T.fit_microstates(x, ["site"], 2).select("site", *[F.round(c, 4).alias(c) for c in ("pk1", "pk2", "macro")], "sse", "converged")
+
+
 @query("m5_titration_curve", f"WITH {TITR}, s AS (SELECT site, avg(fraction) * 10 AS pka FROM titr GROUP BY site) SELECT site, pka, 1.0 AS hill, 2 + i * 0.5 AS ph, 1 / (1 + pow(10, pka - (2 + i * 0.5))) AS fraction FROM s, range(0, 21) r(i)", "pka hill ph fraction")
 def _(spark, d):
     s = titration_points(spark, d).groupBy("site").agg((F.avg("fraction") * 10).alias("pka")).withColumn("hill", F.lit(1.0))

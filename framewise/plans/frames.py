@@ -190,11 +190,30 @@ def _(spark, d):
     return geometry.bond_angle(atoms(spark, d), 1, 2, 3, BOX)
 
 
-@query("g13_rmsd")
+#: The trace of the rotated products is the largest root of (L^2 - tr H'H)^2 - 8 det(H) L - 4 C; from half of e0, which is above it, Newton steps only fall. Straight groups (C = 0) have a double root there, the root of the trace.
+RMSD = """f AS (SELECT run, frame, count(*) AS n FROM atoms GROUP BY ALL), r0 AS (SELECT run, arg_min(frame, (-n, frame)) AS frame FROM f GROUP BY run), r AS (SELECT a.run, a.atom_id, a.x AS u, a.y AS v, a.z AS w FROM atoms a JOIN r0 USING (run, frame)),
+j AS (SELECT a.run, a.frame, a.x, a.y, a.z, u, v, w FROM atoms a JOIN r USING (run, atom_id)), c AS (SELECT run, frame, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(u) AS cu, avg(v) AS cv, avg(w) AS cw FROM j GROUP BY ALL),
+k AS (SELECT run, frame, x - cx AS x, y - cy AS y, z - cz AS z, u - cu AS u, v - cv AS v, w - cw AS w FROM j JOIN c USING (run, frame)),
+h AS (SELECT run, frame, count(*) AS n, sum(x*x + y*y + z*z + u*u + v*v + w*w) AS e0, sum(x*u) AS a, sum(x*v) AS b, sum(x*w) AS c, sum(y*u) AS d, sum(y*v) AS e, sum(y*w) AS f, sum(z*u) AS g, sum(z*v) AS h, sum(z*w) AS i FROM k GROUP BY ALL),
+p AS (SELECT run, frame, n, e0, a*a+b*b+c*c+d*d+e*e+f*f+g*g+h*h+i*i AS t, a*(e*i-f*h) - b*(d*i-f*g) + c*(d*h-e*g) AS det, (e*i-f*h)**2+(d*i-f*g)**2+(d*h-e*g)**2+(b*i-c*h)**2+(a*i-c*g)**2+(a*h-b*g)**2+(b*f-c*e)**2+(a*f-c*d)**2+(a*e-b*d)**2 AS m FROM h),
+s AS (SELECT *, 0 AS step, e0 / 2 AS l FROM p UNION ALL SELECT run, frame, n, e0, t, det, m, step + 1, CASE WHEN 4*l*(l*l - t) - 8*det > 1e-9 * l*l*l THEN l - ((l*l - t)**2 - 8*det*l - 4*m) / (4*l*(l*l - t) - 8*det) ELSE l END FROM s WHERE step < 60)"""
+
+
+@query("g13_rmsd", f"WITH {RMSD} SELECT run, frame, n, round(sqrt(greatest(0, (e0 - 2 * CASE WHEN m <= 1e-20 * t * t THEN sqrt(t) ELSE l END) / n)), 4) AS rmsd FROM s WHERE step = 60", "rmsd", "atoms")
 def _(spark, d):
-    a = atoms(spark, d).where("atom_id <= 7")
-    first = a.groupBy("run", "frame").agg(F.count("*").alias("n")).where("n = 7").groupBy("run").agg(F.min("frame").alias("frame"))
-    return geometry.rmsd(a, a.join(first, ["run", "frame"]).select("run", "atom_id", "x", "y", "z"))
+    a = atoms(spark, d)
+    first = a.groupBy("run", "frame").agg(F.count("*").alias("n")).groupBy("run").agg(F.min(F.struct(-F.col("n"), "frame")).alias("m")).select("run", "m.frame")
+    return geometry.rmsd(a, a.join(first, ["run", "frame"]).select("run", "atom_id", "x", "y", "z")).withColumn("rmsd", F.round("rmsd", 4))
+
+
+@query("g13_rmsd_moved", """WITH c AS (SELECT frame, count(*) AS n, var_pop(x) + var_pop(y) + var_pop(z) AS v FROM atoms GROUP BY frame) SELECT frame, n, round((0.05 + frame % 7 * 0.02) * sqrt(v), 4) AS rmsd FROM c""", "rmsd", "atoms")
+def _(spark, d):
+    # frames turned about two axes, moved and stretched: what is left after the best fit is the stretch of the radius of gyration
+    a = atoms(spark, d)
+    by, p, q = 1.05 + F.col("frame") % 7 * 0.02, F.col("frame") % 11 * 0.3, F.col("frame") % 13 * 0.4
+    x, y = F.cos(p) * F.col("x") - F.sin(p) * F.col("y"), F.sin(p) * F.col("x") + F.cos(p) * F.col("y")
+    moved = a.select("frame", "atom_id", (by * x + F.col("frame") % 5).alias("x"), (by * (F.cos(q) * y - F.sin(q) * F.col("z")) - 3).alias("y"), (by * (F.sin(q) * y + F.cos(q) * F.col("z"))).alias("z"))
+    return geometry.rmsd(moved, a.select("frame", "atom_id", "x", "y", "z"), ("frame",), ("frame",)).withColumn("rmsd", F.round("rmsd", 4))
 
 
 @query("g14_radgyr", """WITH m AS (SELECT a.*, CASE element WHEN 'O' THEN 15.999 WHEN 'H' THEN 1.008 ELSE 12.011 END AS mass FROM atoms a), c AS (SELECT frame, sum(mass) AS w, sum(mass*x)/sum(mass) AS cx, sum(mass*y)/sum(mass) AS cy, sum(mass*z)/sum(mass) AS cz FROM m GROUP BY frame)

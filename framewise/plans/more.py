@@ -246,6 +246,28 @@ def _(spark, d):
     return regress.fit_model(acf(spark, d), ["run"], "underdamped", [{"rate": r, "omega": w} for r in (0.5, 2.0) for w in (0.3, 1.5)])
 
 
+def known_decays(spark, d):
+    """Decay parameters made of each run's values, at lags 0 to 12."""
+    s = series(spark, d).groupBy("run").agg((1 + F.avg("value") / 100).alias("tau"), (0.1 + 0.1 * F.avg((F.col("state") == "click").cast("double"))).alias("p"))
+    return s.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(12))))
+
+
+DECAYS = "s AS (SELECT run, 1 + avg(value) / 100 AS tau, 0.1 + 0.1 * avg(CASE WHEN state = 'click' THEN 1.0 ELSE 0.0 END) AS p FROM series GROUP BY run)"
+
+
+@query("r4_decay_recovered", f"WITH {DECAYS} SELECT run, round(tau, 4) AS tau, round(p, 4) AS plateau, 0.0 AS sse, true AS converged FROM s", "tau plateau sse", "series")
+def _(spark, d):
+    x = known_decays(spark, d).select("run", "lag", (F.col("p") + (1 - F.col("p")) * F.exp(-F.col("lag") / F.col("tau"))).alias("c"))
+    return regress.fit_decay(x, ["run"], 2.0).select("run", F.round("tau", 4).alias("tau"), F.round("plateau", 4).alias("plateau"), "sse", "converged")
+
+
+@query("r4_underdamped_recovered", f"WITH {DECAYS} SELECT run, round(p, 4) AS rate, round(1 / tau, 4) AS omega, 0.0 AS sse, 1.0 AS r2, true AS converged FROM s", "rate omega sse r2", "series")
+def _(spark, d):
+    x = known_decays(spark, d).select("run", "lag", (F.exp(-F.col("p") * F.col("lag")) * F.cos(F.col("lag") / F.col("tau"))).alias("c"))
+    starts = [{"rate": 0.2, "omega": w} for w in (0.2, 0.4, 0.8)]
+    return regress.fit_model(x, ["run"], "underdamped", starts, 60).select("run", F.round("rate", 4).alias("rate"), F.round("omega", 4).alias("omega"), "sse", "r2", "converged")
+
+
 @query("l1_stream_records", "SELECT user_id AS run, epoch_us(ts) AS t_us FROM events", "")
 def _(spark, d):
     # chunk files that overlap: every fourth record has landed twice

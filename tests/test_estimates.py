@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from framewise.operators import density, freeenergy as FE, regress, titration as T
+from framewise.operators import density, freeenergy as FE, geometry, regress, titration as T
 from pyspark.sql import functions as F
 
 
@@ -140,3 +140,22 @@ def test_hill_bias_against_all_pairs(spark, size):
     got = {(r["run"], r["t"], r["value"]): r["bias"] for r in FE.hill_bias(s, h, ["run"], size=size).collect()}
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
+def test_rmsd_of_flat_straight_and_mirrored_groups(spark):
+    """Best-fit deviation equals the one by singular values where the smaller ones are zero, equal or of opposite sign."""
+    rng = np.random.default_rng(8)
+    q = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    base = rng.normal(size=(6, 3)) * 10
+    flat, straight = base * [1, 1, 0], base * [1, 0, 0]
+    noise = lambda: rng.normal(size=(6, 3)) * 0.3
+    cases = [(base, base @ q + noise() + 5), (base, base * [1, 1, -1]), (flat, flat @ q + 3), (flat, flat + noise()), (straight, 1.1 * straight @ q - 7), (straight, base), (base * [20, 1, 1], base * [-20, -1, 1] + noise()), (base[:1], base[:1] + 4), (base[:2], 2 * base[:2] @ q), (0 * base, 0 * base)]
+    cases += [(rng.normal(size=(6, 3)) * 10, rng.normal(size=(6, 3)) * 10) for _ in range(40)]
+    rows = lambda side: [(k, i, *map(float, x)) for k, c in enumerate(cases) for i, x in enumerate(c[side])]
+    schema = "frame int, atom_id int, x double, y double, z double"
+    got = {r["frame"]: r["rmsd"] for r in geometry.rmsd(spark.createDataFrame(rows(1), schema), spark.createDataFrame(rows(0), schema), ("frame",), ("frame",)).collect()}
+    for k, (a, b) in enumerate(cases):
+        a, b = a - a.mean(0), b - b.mean(0)
+        u, s, v = np.linalg.svd(a.T @ b)
+        s[2] *= np.sign(np.linalg.det(u) * np.linalg.det(v))
+        assert got[k] == pytest.approx(math.sqrt(max(0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(a))), abs=2e-6)
