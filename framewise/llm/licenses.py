@@ -77,6 +77,9 @@ def _templates() -> dict[str, list[str]]:
             short, long = "-".join(["BY", *map(str.upper, more)]), "-".join(["Attribution", *(parts[m] for m in more)])
             kind = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
             out[f"cc-{short.lower()}-{v}"] = [f"Licensed under CC {short} {v}.", f"This work is licensed under a Creative Commons {long} {v} {kind} License.", f"Creative Commons {long} {v} License."]
+    out["mit-0"] = []
+    for name in out:
+        out[name] = [*out[name], f"SPDX-License-Identifier: {name}"]
     return out
 
 
@@ -142,15 +145,20 @@ class Index:
         self.names = [n for n, _ in texts]
         self.ids: dict[bytes, int] = {}
         raw = [words_of(t) for _, t in texts]
-        if any(len(x) < k + w - 1 for x in raw):
-            raise ValueError(f"templates need {k + w - 1} words")
+        if any(len(x) < k for x in raw):
+            raise ValueError(f"templates need {k} words")
         self.words = [np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in t]) for t in raw]
         telling = lambda t, i: t[i] in TELLING or t[i].isdigit() and i and (t[i - 1] in TELLING or t[i - 1] in (b"version", b"v", b"by", b"attribution") or t[i - 1].isdigit())
         self.must = [{i for i in range(len(t)) if telling(t, i) or len(t) <= short and t[i] not in FILLER} for t in raw]
         self.own = [set(t) & (TELLING | NEGATION) for t in raw]
+        self.kinds = [np.unique(x) for x in self.words]
+        self.needed = [sorted({int(x[i]) for i in must}) for x, must in zip(self.words, self.must)]
         posting: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.words):
             h = hashes(ids.astype(np.uint64), k)
+            for p, x in enumerate(h.tolist()):
+                self.grams[x].append((t, p))
             for p in winnow(h, w).tolist():
                 posting[int(h[p])].append((t, p))
         self.posting = dict(posting)
@@ -159,10 +167,9 @@ class Index:
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal) of every hit that may lead to a match."""
         h = hashes(ids.astype(np.uint64), self.k)
-        if not len(h) or not (self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h).any():
-            return []
         votes: dict[tuple[int, int], int] = defaultdict(int)
-        for p in winnow(h, self.w).tolist():
+        # every place of the text is looked up, so that one fingerprint of a template is enough, also of one shorter than a window
+        for p in np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h).tolist():
             for t, q in self.posting.get(int(h[p]), ()):
                 votes[t, p - q] += 1
         hits = sorted(votes)
@@ -179,17 +186,56 @@ class Index:
             return False
         return len(self.words[t]) > self.short or NEGATION.isdisjoint(words[max(0, i - 3) : i])
 
+    def possible(self, ids: np.ndarray, least: float):
+        """Function (template, diagonal, band) -> whether an alignment there can be a match; what it denies cannot.
+
+        The stretch must hold enough of the template's words, and each of those that must agree. An edit breaks at most k of
+        the template's k-grams, so all but k times the edits allowed must stand on diagonals within the band.
+        """
+        k = self.k
+        on: dict[int, list[int]] = defaultdict(list)
+        for p, x in enumerate(hashes(ids.astype(np.uint64), k).tolist()):
+            for t, q in self.grams.get(x, ()):
+                on[t].append(p - q)
+        diagonals = {t: np.sort(np.array(d)) for t, d in on.items()}
+        sums: dict[int, np.ndarray] = {}
+        places: dict[int, np.ndarray] = {}
+
+        def look(t: int, at: int, band: int) -> bool:
+            m = len(self.words[t])
+            lo, hi = max(0, at - band), min(len(ids), at + m + band)
+            if t not in sums:
+                sums[t] = np.concatenate([[0], np.cumsum(np.isin(ids, self.kinds[t]))])
+            first, end = np.searchsorted(diagonals[t], (at - band, at + band + 1))
+            if end - first < m - k + 1 - k * int((1 - least) * m + 1e-9):
+                return False
+            if hi <= lo or sums[t][hi] - sums[t][lo] < least * m - 1e-9:
+                return False
+            for w in self.needed[t]:
+                if w not in places:
+                    places[w] = np.flatnonzero(ids == w)
+                next_ = int(np.searchsorted(places[w], lo))
+                if next_ == len(places[w]) or places[w][next_] >= hi:
+                    return False
+            return True
+
+        return look
+
     def matches(self, words: list[bytes], least: float) -> list[tuple[str, float, int, int, int]]:
         """(licence, coverage, inserted, first word, last word) of each match, by place."""
         get = self.ids.get
         ids = np.array([get(w, 0) for w in words], np.int64)
         found: list[tuple[int, int, int, int, int, int]] = []
         last: dict[int, int] = {}
-        for t, at in self.candidates(ids):
+        candidates = self.candidates(ids)
+        possible = self.possible(ids, least) if candidates else None
+        for t, at in candidates:
             m = len(self.words[t])
             if at + m // 2 <= last.get(t, -1):
                 continue  # inside a match of the same template
             band = int((1 - least) * m) + 1
+            if not possible(t, at, band):
+                continue
             edits, pairs = align(self.words[t], ids, at, band)
             if not pairs or edits > (1 - least) * m or not self.fits(t, words, pairs):
                 continue

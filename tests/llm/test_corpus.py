@@ -558,3 +558,37 @@ def test_pipeline_near_copies(spark, tmp_path):
     spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.without_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows(got)) == want
+
+
+def test_licenses_spdx():
+    index = licenses.Index(licenses.TEMPLATES, 3, 3, 30)
+    names = lambda t: [m[0] for m in index.matches(licenses.words_of(t), 0.8)]
+    for line, want in (("// SPDX-License-Identifier: MIT\nint main", ["mit"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]), ("SPDX-License-Identifier: CC-BY-NC-4.0", ["cc-by-nc-4.0"]), ("SPDX-License-Identifier: MIT-0", ["mit-0"]), ("SPDX-License-Identifier: AGPL-3.0-only", ["agpl-3.0"]), ("SPDX-License-Identifier: Apache-1.1", []), ("license identifier of the text", [])):
+        assert names(line) == want
+
+
+def test_licenses_bound_drops_no_match(monkeypatch):
+    """What the bound on shared k-grams, words and telling words skips could not have matched: the same matches with every candidate aligned. Long runs of one licence stay cheap."""
+    import random
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES, 3, 3, 30)
+    rng = random.Random(6)
+    pool = [t for x in licenses.TEMPLATES.values() for t in x]
+    texts = []
+    for _ in range(25):
+        words = []
+        for _ in range(6):
+            t = licenses.words_of(rng.choice(pool))
+            rate = rng.choice([0, 0.05, 0.15, 0.25])
+            words += [w if rng.random() > rate else rng.choice([b"filler", b"not", b"mit", b"2", b"the"]) for w in t if rng.random() > rate / 3] + [b"between"] * rng.randrange(4)
+        texts.append(words)
+    fast = [index.matches(w, 0.8) for w in texts]
+    assert sum(map(len, fast)) > 60
+    monkeypatch.setattr(licenses.Index, "possible", lambda self, ids, least: lambda t, at, band: True)
+    assert fast == [index.matches(w, 0.8) for w in texts]
+    monkeypatch.undo()
+    words = licenses.words_of(max(licenses.TEMPLATES["mit"], key=len)) * 300
+    start = time.perf_counter()
+    assert [m[0] for m in index.matches(words, 0.8)] == ["mit"] * 300
+    assert time.perf_counter() - start < 10
