@@ -62,13 +62,17 @@ def macro_pka(pkas: list[Column]) -> Column:
     return -F.log10(sum((F.pow(F.lit(10.0), -p) for p in pkas[1:]), F.pow(F.lit(10.0), -pkas[0])))
 
 
+#: Sum of squared residuals, of that of the values, that is only rounding.
+FLOOR = 1e-28
+
+
 def gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start: dict[str, float] | list[dict[str, float]], rounds: int = 25, tolerance: float = 1e-8) -> DataFrame:
     """Damped Gauss-Newton least squares of every key at once.
 
     model: observed column -> (value, [derivative by each parameter]) as functions of the parameters' Columns. Each round
     is one aggregation of J^T J, J^T r and r^T r by key; the small systems are solved by elimination in expressions, and a
     step that does not lower the sum of squares is undone and damped more. A key has converged when a step lowers the sum
-    by less than tolerance of it, or when no step of any length lowers it; it then leaves the rounds, which end when all
+    by less than tolerance of it, when it is at the rounding of the values, or when no step of any length lowers it; it then leaves the rounds, which end when all
     keys have. Of several starts each key keeps the one with the least sum. Returns the parameters, sse and converged.
     """
     from ..runtime import materialise
@@ -113,18 +117,18 @@ def _gauss_newton(df: DataFrame, keys: list[str], model: dict[str, tuple], start
         # residuals and slopes as columns, then sums of their products: no formula stands in a sum
         cols = {}
         for k, (obs, (value, slopes)) in enumerate(model.items()):
-            cols |= {f"_r{k}": F.col(obs) - value(*p), **{f"_j{k}_{i}": s(*p) for i, s in enumerate(slopes)}}
+            cols |= {f"_o{k}": F.col(obs), f"_r{k}": F.col(obs) - value(*p), **{f"_j{k}_{i}": s(*p) for i, s in enumerate(slopes)}}
         x = x.select(*keys, *[c.alias(name) for name, c in cols.items()])
         add = lambda parts: F.sum(sum(parts[1:], parts[0]))
         each = range(len(model))
-        sums = {"_n": add([F.col(f"_r{k}") * F.col(f"_r{k}") for k in each])}
+        sums = {"_n": add([F.col(f"_r{k}") * F.col(f"_r{k}") for k in each]), "_y": add([F.col(f"_o{k}") * F.col(f"_o{k}") for k in each])}
         for i in range(n):
             sums[f"_g{i}"] = add([F.col(f"_j{k}_{i}") * F.col(f"_r{k}") for k in each])
             for j in range(n):
                 sums[f"_h{i}{j}"] = add([F.col(f"_j{k}_{i}") * F.col(f"_j{k}_{j}") for k in each])
         y = x.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()]).join(going, keys)
         good = F.col("_sse").isNull() | (F.col("_n") <= F.col("_sse"))
-        ends = F.coalesce(good & (F.col("_sse") - F.col("_n") <= tolerance * F.col("_n") + 1e-300), F.lit(False)) | (~good & (F.col("_damp") > 1e9))
+        ends = F.coalesce(good & (F.col("_sse") - F.col("_n") <= tolerance * F.col("_n") + 1e-300), F.lit(False)) | F.coalesce(F.col("_n") <= FLOOR * F.col("_y"), F.lit(False)) | (~good & (F.col("_damp") > 1e9))
         base = [F.when(good, F.col(c)).otherwise(F.col(f"_old_{c}")) for c in names]
         y = y.select(*keys, ends.alias("_done"), *[b.alias(f"_o{i}") for i, b in enumerate(base)], F.when(good, F.col("_n")).otherwise(F.col("_sse")).alias("_sse"), F.when(good, F.greatest(F.lit(1e-9), F.col("_damp") / 5)).otherwise(F.col("_damp") * 8).alias("_damp"), *[F.when(good, F.col(f"_h{i}{j}")).otherwise(F.col(f"_a{i}{j}")).alias(f"_a{i}{j}") for i in range(n) for j in range(n)], *[F.when(good, F.col(f"_g{i}")).otherwise(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(n)])
         matrix = F.array(*[F.col(f"_a{i}{j}") * (1 + F.col("_damp")) + 1e-12 if i == j else F.col(f"_a{i}{j}") for i in range(n) for j in range(n)])
