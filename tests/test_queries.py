@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SOME = ["p5_station_times", "j2_nearest_time_join", "j4_interp_join", "j7_stitch_restart", "j9_neighbour_pairs", "j10_nearest_owner", "g7_dihedral", "g15_hbonds", "h4_rdf", "n1_shortest_path", "t1_islands", "t10_hop_events", "a4_block_sem", "a11_state_populations", "h2_smooth2d", "f1_min_near", "f4_basin_free_energy", "f7_tp_weights", "f16_fep_edges", "m7_spectral_peak", "r3_integrate_acf", "s1_scan_xyz", "l4_stream_sessions"]
+SOME = ["p5_station_times", "j2_nearest_time_join", "j4_interp_join", "j7_stitch_restart", "j9_neighbour_pairs", "j10_nearest_owner", "g7_dihedral", "g15_hbonds", "h4_rdf", "n1_shortest_path", "t1_islands", "t10_hop_events", "a4_block_sem", "a11_state_populations", "h2_smooth2d", "f1_min_near", "f4_basin_free_energy", "f7_tp_weights", "f16_fep_edges", "g13_rmsd", "g13_rmsd_moved", "m4_microstates_recovered", "r4_underdamped_recovered", "m7_spectral_peak", "r3_integrate_acf", "s1_scan_xyz", "l4_stream_sessions"]
 
 
 def plain(v):
