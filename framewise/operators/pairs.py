@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import angle_deg, norm, switching
-from .cells import XYZ, Box, Grid, imaged, volume
+from .cells import XYZ, Box, Grid, fractional, imaged, moved, volume
 
 #: Atoms of a frame from which cells are worth their copies of atoms.
 FEW = 64
@@ -41,7 +41,9 @@ def neighbour_pairs(a: DataFrame, b: DataFrame, cutoff: float, box: Box, keys: t
     cells = grid.useful() and (crowded(b, keys) if dense is None else dense)
     at = [c for c in dict.fromkeys((*_carried(box), *carry))]
     left = a.select(*keys, F.col("atom_id").alias("i"), F.col("element").alias("element_i"), *[F.col(c).alias(f"_p_{c}") for c in at])
-    right = b.select(*keys, F.col("atom_id").alias("j"), F.col("element").alias("element_j"), *[F.col(c).alias(f"_q_{c}") for c in at])
+    # the cell travels on one side: copies of atoms are many
+    seen = at if half and carry else [c for c in dict.fromkeys((*XYZ, *carry))]
+    right = b.select(*keys, F.col("atom_id").alias("j"), F.col("element").alias("element_j"), *[F.col(c).alias(f"_q_{c}") for c in dict.fromkeys((*seen, *_carried(box)))])
     on = [*keys]
     cell = lambda side: F.col(f"_{side}_{box}") if isinstance(box, str) else None
     if cells:
@@ -51,10 +53,14 @@ def neighbour_pairs(a: DataFrame, b: DataFrame, cutoff: float, box: Box, keys: t
         held = {f"_n{c}": m for c, m in zip(XYZ, grid.counts(cell("q")))}
         n = [F.col(c) for c in held]
         right = right.withColumns(held)
-        right = grid.spread(right.withColumns(dict(zip(names, grid.home(place("q"), cell("q"), n)))), n, half)
+        scale = dict(zip(["_ux", "_uy", "_uz", "_rx", "_ry", "_rz"], [*grid.scaled(place("q"), cell("q"), n), *grid.reach(cell("q"), n)]))
+        right = right.withColumns(scale).withColumns({c: F.coalesce(F.pmod(F.floor(f"_u{k}"), m).cast("int"), F.lit(0)) for c, k, m in zip(names, XYZ, n)})
+        right = grid.spread(right.select(*on, "j", "element_j", *[f"_q_{c}" for c in seen], *held, *scale), n, half)
         right = right.withColumns({c: F.pmod(F.col(c) + F.col(f"_o{k}"), m) for c, k, m in zip(names, XYZ, n)})
         more = [F.expr("_ox = 0 and _oy = 0 and _oz = 0").alias("_own"), grid.wide(n).alias("_wide")] if half else []
-        right = right.select(*on, "j", "element_j", *[f"_q_{c}" for c in at], *more)
+        right = right.select(*on, "j", "element_j", *[f"_q_{c}" for c in seen], *more)
+    else:
+        right = right.select(*on, "j", "element_j", *[f"_q_{c}" for c in seen])
     x = left.join(right, on)
     if not half:
         x = x.where("i <> j")
@@ -62,12 +68,20 @@ def neighbour_pairs(a: DataFrame, b: DataFrame, cutoff: float, box: Box, keys: t
         x = x.where("i < j")
     else:  # of wide grids pairs of different cells come once, in either order
         x = x.where("i < j or (_wide and not _own)")
-    x = x.withColumn("d", norm(imaged([F.col(f"_q_{c}") - F.col(f"_p_{c}") for c in XYZ], box, cell("p")))).where(F.col("d") <= cutoff)
+    apart = [F.col(f"_q_{c}") - F.col(f"_p_{c}") for c in XYZ]
+    if isinstance(box, str):
+        # whole cells between the two, computed once a pair: a generator, as a filter on plain columns would spell the formula out several times in the join
+        whole = F.struct(*[F.rint(f).alias(f"n{k}") for k, f in enumerate(fractional(apart, cell("p")))])
+        x = x.withColumn("_w", F.explode_outer(F.array(whole)))
+        near = moved(apart, [F.col(f"_w.n{k}") for k in range(3)], cell("p"))
+    else:
+        near = imaged(apart, box)
+    x = x.withColumn("d", norm(near)).where(F.col("d") <= cutoff)
     turned = [("i", "j"), ("element_i", "element_j"), *[(f"_p_{c}", f"_q_{c}") for c in at if carry]]
     if half and cells:
         turn = F.col("i") > F.col("j")
         x = x.select(*keys, *[F.when(turn, F.col(v)).otherwise(F.col(u)).alias(u) for pair in turned for u, v in (pair, pair[::-1])], "d")
-    ends = [F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in at]).alias(side) for side in "pq"] if carry else []
+    ends = [F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in held]).alias(side) for side, held in (("p", at), ("q", seen))] if carry else []
     return x.select(*keys, "i", "j", "element_i", "element_j", "d", *ends)
 
 

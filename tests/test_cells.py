@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from framewise.operators import cells, pairs
+from pyspark.sql import functions as F
 
 CELLS = {0: [[20, 0, 0], [0, 24, 0], [0, 0, 30]], 1: [[20, 0, 0], [6, 22, 0], [-4, 5, 25]], 2: [[9, 0, 0], [2, 9, 0], [1, 1, 9]], 3: [[20, 1, 2], [-3, 22, 1], [4, 5, 25]]}
 
@@ -74,3 +75,21 @@ def test_operators(atoms):
     assert {r["area"] >= 0 for r in pairs.sasa(h, df, 2.0, 40, "cell").collect()} == {True}
     shallow = pairs.hbonds(o, h, o, 3.0, 5.0, 20.0, "cell")
     assert shallow.count() == pairs.hbonds(o, h, o, 3.0, 5.0, 20.0, "cell", dense=True).count() > 0
+
+
+def test_wide_cells_copy_atoms_near_faces_only(spark, atoms):
+    rows, df = atoms
+    want = brute(rows, 2.6)  # axes of six cutoffs and more take cells of two
+    got = {(r["frame"], r["i"], r["j"]): r["d"] for r in pairs.neighbour_pairs(df, df, 2.6, "cell", dense=True).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    half = [(r["frame"], r["i"], r["j"]) for r in pairs.neighbour_pairs(df, df, 2.6, "cell", dense=True, half=True).collect()]
+    assert sorted(half) == sorted(k for k in want if k[1] < k[2])
+    x = pairs.neighbour_pairs(df, df, 2.6, "cell", dense=True)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 60_000 and "inv[" not in plan  # short formulas: nested lookups were more than the JVM compiles
+    grid = cells.Grid(60.0, 5.0)
+    n = grid.counts(None)
+    at = [spark.range(4000).select("id", *[((F.col("id") * k) % 6007 / 6007 * 60).alias(c) for c, k in zip("xyz", (1, 389, 2741))])][0]
+    place = [F.col(c) for c in "xyz"]
+    scale = dict(zip(["_ux", "_uy", "_uz", "_rx", "_ry", "_rz"], [*grid.scaled(place, None, n), *grid.reach(None, n)]))
+    assert 4000 * 6 < grid.spread(at.withColumns(scale), n, False).count() < 4000 * 10  # 27 before
