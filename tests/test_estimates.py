@@ -159,3 +159,11 @@ def test_rmsd_of_flat_straight_and_mirrored_groups(spark):
         u, s, v = np.linalg.svd(a.T @ b)
         s[2] *= np.sign(np.linalg.det(u) * np.linalg.det(v))
         assert got[k] == pytest.approx(math.sqrt(max(0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(a))), abs=2e-6)
+
+
+def test_soft_minimum_of_touching_atoms(spark):
+    from framewise.operators import pairs
+
+    a = spark.createDataFrame([(1, 1, "O", 0.0, 0.0, 0.0), (1, 2, "C", 0.004, 0.0, 0.0)], "frame int, atom_id int, element string, x double, y double, z double")
+    got = pairs.soft_min_distance(a.where("element = 'O'"), a.where("element = 'C'"), 20.0, 50.0).first()["soft_min"]
+    assert abs(got - 0.004) < 1e-9  # exp(20 / 0.004) is beyond doubles
