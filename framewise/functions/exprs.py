@@ -113,7 +113,9 @@ def torsion_deg(b1: list[Column], b2: list[Column], b3: list[Column]) -> Column:
 def torsion_of(n1: list[Column], n2: list[Column], axis: list[Column]) -> Column:
     """Signed angle in degrees from one plane normal to the other about an axis; null if degenerate."""
     y, x = dot(cross(n1, n2), axis) / F.nullif(norm(axis), F.lit(0.0)), dot(n1, n2)
-    return F.when((norm(n1) > 1e-12) & (norm(n2) > 1e-12), F.degrees(F.atan2(y, x)))
+    # Spark's atan2 takes -0.0 for 0.0; a flat trans torsion keeps its sign
+    below = (x < 0) & (y == 0) & (y.cast("string") == "-0.0")
+    return F.when((norm(n1) > 1e-12) & (norm(n2) > 1e-12), F.when(below, F.lit(-180.0)).otherwise(F.degrees(F.atan2(y, x))))
 
 
 def switching(x: Column, p: int, q: int) -> Column:

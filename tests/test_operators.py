@@ -370,3 +370,11 @@ def test_density(spark):
     assert (c["left"], c["right"]) == pytest.approx((0.5, 1.5)) and density.local_parabola(f, "x", "f", 0.35, ["k"]).first()["curvature"] == pytest.approx(1.0)
     sm = FE.smooth_pmf(f, 0.0, ["k"]).collect()
     assert all(r["smooth"] == pytest.approx(r["f"]) for r in sm)
+
+
+def test_flat_trans_torsion_keeps_its_sign(spark):
+    v = spark.createDataFrame([(0.0,), (-0.0,)], "z double").selectExpr("z", "cast(1 as double) as a", "cast(-1 as double) as b")
+    n = lambda *c: [F.col(k) if isinstance(k, str) else F.lit(k) for k in c]
+    # normals (0, 1, 0) and (z, -1, 0): the cross product's last component is -z
+    got = [r[0] for r in v.select(X.torsion_of(n(0.0, "a", 0.0), n("z", "b", 0.0), n(-0.0, -0.0, "a"))).collect()]
+    assert sorted(got) == [-180.0, 180.0]
