@@ -1,6 +1,7 @@
 """Near duplicates by the exact Jaccard similarity of word shingles.
 
-Candidates: MinHash of the shingle set, `bands` keys of `rows` minima each. Two texts of similarity s share a key but with
+Candidates: the Gray-order index of simhash.py over fingerprints of the shingles (NEAR bits), and for the similar texts whose
+fingerprints lie farther apart, as most of a similarity under 0.95 do, MinHash of the shingle set, `bands` keys of `rows` minima each. Two texts of similarity s share a key but with
 probability (1 - s ** rows) ** bands: 7e-5 at 0.8 for 24 bands of 5, less above. Links: candidates whose shingle sets,
 made anew from the texts, have at least the asked similarity.
 
@@ -12,10 +13,10 @@ Which can: a shingle that one component alone holds is in no pair across compone
 them held by more than one component, at most c can be shared, and a pair has a similarity of at most m / (n1 + n2 - m),
 m the lesser c. In keys with more than CROWD components, where a group of texts just under the similarity would else cost the
 square of its size, c is counted; entries with c under similarity * n leave, the entry with the largest share c / n is a
-second pivot, and members stand in lists by that share, so that lists which cannot hold a link do not meet. Of what is left,
-each entry carries a parity bitmap of its shingles, two bits and more for each: a shingle that one of two texts has alone
-flips one bit, so the bits in which two bitmaps differ are at most the shingles in which the texts differ, and bound what
-they share. Both bounds are exact: no pair that could be a link is left out.
+second pivot, and members stand in lists by that share, so that lists which cannot hold a link do not meet. Each candidate
+also has a parity bitmap of its shingles, two bits and more for each: a shingle that one of two texts has alone flips one
+bit, so the bits in which two bitmaps differ are at most the shingles in which the texts differ, and bound what they share;
+no pair's texts are fetched before this test. Both bounds are exact: no pair that could be a link is left out.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and empty texts have none and are one entry. Letters
 are lower-cased in the ASCII range only, and white space is a separator.
@@ -31,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialise
+from . import simhash
 from .text import components, kept_rows, map_rows, numbered, trim, utf8
 
 #: Entries whose keys are broadcast to fetch their texts; more of them are joined by a shuffle.
@@ -39,6 +41,8 @@ MOST = 1_000_000
 CROWD = 64
 #: About so many texts are held against one in one run of rows, or stand in one list; a text with more candidates gets several runs, a larger group several lists.
 CHUNK = 128
+#: Differing bits of fingerprints up to which the Gray-order index links them.
+NEAR = 3
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
@@ -145,17 +149,34 @@ def _fits(similarity: float, na: Column, ca: Column, nb: Column, cb: Column) ->
 
 
 def _close(similarity: float, na: Column, x: Column, nb: Column, y: Column) -> Column:
-    """Whether two entries of n shingles can be links by their parity bitmaps; true where one has none."""
+    """Whether two entries of n shingles can be links by their parity bitmaps."""
     both = F.floor((na + nb - _differ(x, y)) / 2)
-    return F.coalesce(_fits(similarity, na, both, nb, both), F.lit(True))
+    return _fits(similarity, na, both, nb, both)
+
+
+def indexed(entries: DataFrame) -> DataFrame:
+    """Candidates (a, b) of the Gray-order index over the entries (sid, fp): entries of one fingerprint beside the least of them, and that one for each linked fingerprint."""
+    first = materialise(entries.groupBy("fp").agg(F.min("sid").alias("low"), F.max("sid").alias("high")))
+    same = entries.join(first.where("low <> high"), "fp").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    end = lambda e: first.select(F.col("fp").alias(e), F.col("low").alias(f"low{e}"))
+    linked = simhash.links(first.select("fp"), NEAR).join(end("a"), "a").join(end("b"), "b")
+    return same.union(linked.select("lowa", "lowb"))
 
 
 def links(entries: DataFrame, texts, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Links (a, b) between the entries (sid, n shingles, keys) that connect all candidates of the asked similarity. texts: function from sids to (sid, text)."""
+    """Links (a, b) between the entries (sid, n shingles, fp, keys) that connect all candidates of the asked similarity. texts: function from sids to (sid, text)."""
+    near = materialise(indexed(entries))
     key = entries.select("sid", "n", F.explode("keys").alias("key"))
     ends = key.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high")
     shared = materialise(key.join(ends, "key"))
-    text = materialise(texts(shared.select("sid").distinct()))
+    text = materialise(texts(shared.select("sid").union(near.select("a")).union(near.select("b")).distinct()))
+    bits = materialise(text.mapInArrow(_parities(words), "sid bigint, bits array<bigint>"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that can be links by their bitmaps."""
+        side = lambda e: bits.join(entries.select("sid", "n"), "sid").select(F.col("sid").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}"))
+        x = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+        return x.where(_close(similarity, F.col("na"), F.col("bitsa"), F.col("nb"), F.col("bitsb"))).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -174,7 +195,7 @@ def links(entries: DataFrame, texts, similarity: float = 0.8, words: int = 5) ->
         live = rooted.join(some, "key")
         return materialise(live.join(live.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("crowd")), "key"))
 
-    found = verified(shared.select(F.col("sid").alias("a"), F.explode(F.array("low", "high")).alias("b")))
+    found = verified(close(near.union(shared.select(F.col("sid").alias("a"), F.explode(F.array("low", "high")).alias("b")))))
     live = opened(found).withColumn("c", F.col("n"))
     crowded = live.where(F.col("crowd") > CROWD).select("sid", "root").distinct()
     if not crowded.isEmpty():
@@ -185,16 +206,11 @@ def links(entries: DataFrame, texts, similarity: float = 0.8, words: int = 5) ->
         counted = lambda x: x.join(own, "sid", "left").withColumn("c", F.when(F.col("crowd") > CROWD, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n"))).drop("own")
         able = materialise(counted(live).where((F.col("crowd") > CROWD) & _fits(similarity, F.col("n"), F.col("c"), F.col("c"), F.col("c"))))
         pivots = able.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("sid")).alias("s"))).alias("p")).select("key", (-F.col("p.s")).alias("b"))
-        found = found.union(verified(able.join(pivots, "key").select(F.col("sid").alias("a"), "b")))
+        found = found.union(verified(close(able.join(pivots, "key").select(F.col("sid").alias("a"), "b"))))
         # c was counted with the components of before, which are parts of those now, and so is still a bound
         live = counted(opened(found).withColumnRenamed("crowd", "_now").join(live.select("key", "crowd").distinct(), "key").drop("_now"))
         live = live.where(_fits(similarity, F.col("n"), F.col("c"), F.col("c"), F.col("c")))
-        wanted = live.where(F.col("crowd") > CROWD).select("sid").distinct()
-        bits = materialise(wanted.join(text, "sid").select("sid", "text").mapInArrow(_parities(words), "sid bigint, bits array<bigint>"))
-        live = live.join(bits, "sid", "left")
-    else:
-        live = live.withColumn("bits", F.lit(None).cast("array<bigint>"))
-    live = live.withColumn("share", F.floor(50 * F.col("c") / F.col("n")))
+    live = live.join(bits, "sid").withColumn("share", F.floor(50 * F.col("c") / F.col("n")))
     sizes = live.groupBy("key", "root", "share").agg(F.count("*").alias("_n"))
     blocks = live.join(sizes, ["key", "root", "share"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.floor(1 + F.col("_n") / CHUNK)))
     groups = blocks.groupBy("key", "root", "share", "block").agg(F.collect_list(F.struct("n", "c", "sid", "bits")).alias("m"), F.min("n").alias("n"), F.max("c").alias("c"))
@@ -213,19 +229,20 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: in
     def make():
         def row(text):
             found = shingles(text, words)
-            return (len(found), *sketch(found, bands, rows))
+            f = simhash.fingerprint(text, words)
+            return (len(found), f - (f >> 63 << 64), *sketch(found, bands, rows))
 
         return row
 
-    marked = materialise(map_rows(boxes.select("uid", "row.doc_id", "row.text"), ["text"], make, "n int, h1 bigint, h2 bigint, keys array<bigint>", keep=["uid", "doc_id"]))
+    marked = materialise(map_rows(boxes.select("uid", "row.doc_id", "row.text"), ["text"], make, "n int, fp bigint, h1 bigint, h2 bigint, keys array<bigint>", keep=["uid", "doc_id"]))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("best")
-    entries = marked.groupBy("n", "h1", "h2").agg(best, F.first("keys").alias("keys"))
+    entries = marked.groupBy("n", "h1", "h2").agg(best, F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     entries = materialise(entries.withColumn("sid", F.monotonically_increasing_id()))
 
     def texts(sids: DataFrame) -> DataFrame:
         wanted = materialise(entries.join(sids, "sid").select("sid", "best.uid"))
         return boxes.select("uid", "row.text").join(F.broadcast(wanted) if wanted.count() <= MOST else wanted, "uid").select("sid", "text")
 
-    roots = components(links(entries.select("sid", "n", "keys"), texts, similarity, words))
+    roots = components(links(entries.select("sid", "n", "fp", "keys"), texts, similarity, words))
     kept = entries.join(roots, entries.sid == roots.node, "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("best").alias("best")).select("best.uid")
     return kept_rows(boxes, marked, kept)

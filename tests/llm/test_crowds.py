@@ -87,3 +87,40 @@ def test_parity_bitmaps_bound_the_difference(spark):
         d = len(shingles.shingles(a) ^ shingles.shingles(b))
         assert got[k] <= d and (d - got[k]) % 2 == 0
         assert got[k] >= 0.4 * d or d > min(len(shingles.shingles(a)), len(shingles.shingles(b)))  # far apart, the shorter bitmap is full
+
+
+def test_gray_order_index_gives_candidates(spark, monkeypatch):
+    """Texts that share no MinHash key but have fingerprints within three bits are held against each other, and only those similar by the exact check are linked."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(400)]
+    other = [f"o{k}" for k in range(400)]
+    near = [*base]
+    near[399] = "end"
+    texts = [" ".join(t) for t in (base, near, other)] + [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(50)) for _ in range(20)]
+    assert (shingles.simhash.fingerprint(texts[0], 5) ^ shingles.simhash.fingerprint(texts[1], 5)).bit_count() <= 3
+    sketch = shingles.sketch
+    monkeypatch.setattr(shingles, "sketch", lambda found, bands, rows: (*sketch(found, bands, rows)[:2], []))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in shingles.keep_one(docs).select("doc_id").collect()) == [0, *range(2, 23)]
+
+
+def test_small_groups_cost_no_square(spark, monkeypatch):
+    """Groups too small to be crowded, of texts just under the similarity: their bitmaps tell them apart, and hardly a text is fetched."""
+    texts = []
+    for g in range(20):
+        for k in range(50):
+            t = [f"g{g}b{i}" for i in range(120)]
+            t[-18:] = [f"g{g}x{k}y{i}" for i in range(18)]
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    seen, made = [], shingles.materialise
+
+    def counting(df):
+        out = made(df)
+        if out.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "materialise", counting)
+    assert shingles.keep_one(docs).count() == 1000
+    assert sum(seen) < 5 * 1000
