@@ -140,6 +140,7 @@ def atomic_charge(df: DataFrame, q: str, keys: list[str]) -> DataFrame:
 def basin_residence(df: DataFrame, minima: DataFrame, surface: str, key: str = "run", t: str = "t", value: str = "value") -> DataFrame:
     """A10: time spent nearest to each minimum (surface, basin, x) of the surface that holds at the time."""
     w = Window.partitionBy(key).orderBy(t)
-    x = df.withColumn("_dt", F.lead(t).over(w) - F.col(t)).join(minima, surface)
-    near = x.groupBy(key, t, "_dt").agg(F.min_by("basin", F.struct(F.abs(F.col(value) - F.col("x")), "basin")).alias("basin"))
-    return near.groupBy(key, "basin").agg(F.sum("_dt").alias("residence"))
+    held = minima.groupBy(surface).agg(F.collect_list(F.struct("basin", "x")).alias("_minima"))  # a row a surface; samples stay where they are, whatever number of them a surface has
+    x = df.withColumn("_dt", F.lead(t).over(w) - F.col(t)).join(F.broadcast(held), surface)
+    nearest = F.array_min(F.transform(F.col("_minima"), lambda m: F.struct(F.abs(F.col(value) - m["x"]).alias("d"), m["basin"].alias("basin"))))
+    return x.groupBy(key, nearest["basin"].alias("basin")).agg(F.sum("_dt").alias("residence"))

@@ -378,3 +378,14 @@ def test_flat_trans_torsion_keeps_its_sign(spark):
     # normals (0, 1, 0) and (z, -1, 0): the cross product's last component is -z
     got = [r[0] for r in v.select(X.torsion_of(n(0.0, "a", 0.0), n("z", "b", 0.0), n(-0.0, -0.0, "a"))).collect()]
     assert sorted(got) == [-180.0, 180.0]
+
+
+def test_basin_residence_multiplies_no_samples(spark):
+    """Each sample is held against its surface's minima in its own row: none is copied for every minimum and gathered again."""
+    s = spark.createDataFrame([(r, float(t), float(10 * t + r), r % 2) for r in range(6) for t in range(9)], "run int, t double, value double, surface int")
+    m = spark.createDataFrame([(0, "a", 10.0), (0, "b", 60.0), (1, "c", 30.0), (1, "d", 30.0)], "surface int, basin string, x double")
+    x = agg.basin_residence(s, m, "surface")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan.lower() and "SortMergeJoin" not in plan
+    got = {(r["run"], r["basin"]): r["residence"] for r in x.collect()}
+    assert got[0, "a"] == 4.0 and got[0, "b"] == 4.0 and got[1, "c"] == 8.0 and (1, "d") not in got
