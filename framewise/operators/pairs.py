@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import angle_deg, norm, switching
@@ -215,11 +217,10 @@ def sasa(target: DataFrame, blockers: DataFrame, radius: float, points: int, box
     t = target.select(*keys, F.col("atom_id").alias("i"), F.struct(*_carried(box)).alias("c")).join(held, [*keys, "i"], "left")
     cell = F.col(f"c.{box}") if isinstance(box, str) else None
 
-    def hidden(k):
-        z = 1 - (2 * k + 1) / points
-        rho, phi = F.sqrt(1 - z * z), k * 2.399963229728653
-        at = [F.col("c.x") + radius * rho * F.cos(phi), F.col("c.y") + radius * rho * F.sin(phi), F.col("c.z") + radius * z]
-        return F.exists(F.coalesce("q", F.array()), lambda q: norm(imaged([q[c] - p for c, p in zip(XYZ, at)], box, cell)) < radius)
-
-    free = points - F.size(F.filter(F.sequence(F.lit(0), F.lit(points - 1)), hidden))
+    # the sphere's points are numbers; each atom's are made once, not once for every blocker
+    steps = [(1 - (2 * k + 1) / points, k * 2.399963229728653) for k in range(points)]
+    sphere = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(XYZ, (radius * math.sqrt(1 - z * z) * math.cos(phi), radius * math.sqrt(1 - z * z) * math.sin(phi), radius * z))]) for z, phi in steps])
+    spots = F.transform(sphere, lambda u: F.struct(*[(F.col(f"c.{c}") + u[c]).alias(c) for c in XYZ]))
+    hidden = lambda p: F.exists("q", lambda q: norm(imaged([q[c] - p[c] for c in XYZ], box, cell)) < radius)
+    free = F.when(F.col("q").isNull(), points).otherwise(points - F.size(F.filter(spots, hidden)))
     return t.select(*keys, "i", (free / points * 4 * 3.141592653589793 * radius**2).alias("area"))

@@ -389,3 +389,12 @@ def test_basin_residence_multiplies_no_samples(spark):
     assert "min_by" not in plan.lower() and "SortMergeJoin" not in plan
     got = {(r["run"], r["basin"]): r["residence"] for r in x.collect()}
     assert got[0, "a"] == 4.0 and got[0, "b"] == 4.0 and got[1, "c"] == 8.0 and (1, "d") not in got
+
+
+def test_sasa_points_are_made_once(spark):
+    """The sphere's points are numbers in the plan, not trigonometry for every blocker of an atom; a lone atom keeps its sphere, one inside another's loses half."""
+    a = spark.createDataFrame([(1, 1, "O", 10.0, 10.0, 10.0), (1, 2, "O", 10.0, 10.0, 10.0001), (2, 1, "O", 0.0, 0.0, 0.0)], "frame int, atom_id int, element string, x double, y double, z double")
+    x = pairs.sasa(a, a, 3.0, 60, 50.0)
+    assert "COS(" not in x._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["frame"], r["i"]): r["area"] / (4 * math.pi * 9) for r in x.collect()}
+    assert got == pytest.approx({(1, 1): 0.5, (1, 2): 0.5, (2, 1): 1.0})
