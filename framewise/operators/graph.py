@@ -11,13 +11,56 @@ def both_ways(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:
     return edges.select(*keys, "a", "b", *more).unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), *more)).distinct()
 
 
-def shortest_path(edges: DataFrame, ends: DataFrame, most: int, keys: list[str]) -> DataFrame:
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _firsts(rows: Column) -> Column:
+    """The least struct of each value of the structs' field `at`, their first."""
+    return _let(F.array_sort(rows), lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["at"] != x["at"])))
+
+
+def _parted(edges: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The edges, written once, with both ends; those of keys with up to `small`; the keys with more (None: no key has)."""
+    e = materialise(edges.where(" and ".join(f"`{c}` is not null" for c in (*keys, "a", "b"))))
+    large = materialise(e.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > small).select(*keys))
+    return (e, e, None) if large.isEmpty() else (e, e.join(large, keys, "left_anti"), large)
+
+
+def shortest_path(edges: DataFrame, ends: DataFrame, most: int, keys: list[str], small: int = 64) -> DataFrame:
     """Fewest-edge path from source to target of each key (keys, source, target) over at most `most` undirected edges.
 
+    Keys of up to `small` edges hold them in one array beside their ends, and all steps are taken in that row: one
+    aggregation and one join for all such keys, whatever the number of steps. Larger keys go by rounds of a join and an
+    aggregation. Of equal paths the least in order. Returns connected, n_bridging (-1 if none) and path.
+    """
+    e, some, large = _parted(edges.select(*keys, "a", "b"), keys, small)
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    held = some.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array(way("a", "b"), way("b", "a"))))).alias("_e"))
+
+    def step(s, i):
+        ahead = lambda f: F.transform(F.filter("_e", lambda g: g["a"] == f["at"]), lambda g: F.struct(g["b"].alias("at"), F.concat(f["path"], F.array(g["b"])).alias("path")))
+        more = F.flatten(F.transform(F.filter(s, lambda x: (F.size(x["path"]) == i) & (x["at"] != F.col("target"))), ahead))
+        return F.concat(s, _firsts(F.filter(more, lambda m: ~F.exists(s, lambda y: y["at"] == m["at"]))))
+
+    start = F.array(F.struct(F.col("source").alias("at"), F.array("source").alias("path")))
+    reached = F.when(F.col("_e").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)).otherwise(start) if most > 0 else start
+    path = F.get(F.filter(reached, lambda x: x["at"] == F.col("target")), F.lit(0))["path"]
+    mine = ends if large is None else ends.join(large, keys, "left_anti")
+    out = mine.select(*keys, "source", "target").join(held, keys, "left").select(*keys, "source", "target", path.alias("path"))
+    if large is not None:
+        out = out.unionByName(_path_rounds(e.join(large, keys, "left_semi"), ends.join(large, keys, "left_semi"), most, keys))
+    return out.select(*keys, "source", "target", F.col("path").isNotNull().alias("connected"), F.coalesce(F.size("path") - 2, F.lit(-1)).alias("n_bridging"), "path")
+
+
+def _path_rounds(edges: DataFrame, ends: DataFrame, most: int, keys: list[str]) -> DataFrame:
+    """Paths (null if none) of keys of any number of edges.
+
     One row a reached node carries its path and depth. A step joins the rows with the node's neighbours, keeps each row
     beside its extensions, and takes per node the shortest path, of equal ones the least in order: one join and one
     aggregation a step, every row of the step before read once. Rows are written to the shared folder every fourth step,
-    and the steps end when none is left to extend. Returns connected, n_bridging (-1 if none) and path.
+    and the steps end when none is left to extend.
     """
     near = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     near = near.groupBy(*keys, F.col("a").alias("at")).agg(F.collect_set("b").alias("near"))  # a node's degree
@@ -35,8 +78,7 @@ def shortest_path(edges: DataFrame, ends: DataFrame, most: int, keys: list[str])
             if reached.where((F.size("path") == step + 2) & (F.col("at") != F.col("target"))).isEmpty():
                 break
     best = reached.where("at = target").select(*keys, "source", "target", "path")
-    x = ends.select(*keys, "source", "target").join(best, [*keys, "source", "target"], "left")
-    return x.select(*keys, "source", "target", F.col("path").isNotNull().alias("connected"), F.coalesce(F.size("path") - 2, F.lit(-1)).alias("n_bridging"), "path")
+    return ends.select(*keys, "source", "target").join(best, [*keys, "source", "target"], "left")
 
 
 def hbond_edges(bonds: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,12 +169,39 @@ def five_rings(edges: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFra
     return x.select(*keys, F.col("n0").alias("anchor"), F.array_sort(F.array(*[f"n{i}" for i in range(5)])).alias("ring")).distinct()
 
 
-def network_potentials(edges: DataFrame, anchor: DataFrame, most: int | None, keys: list[str]) -> DataFrame:
+def network_potentials(edges: DataFrame, anchor: DataFrame, most: int | None, keys: list[str], small: int = 64) -> DataFrame:
     """Potential of every node from signed gaps (a to b: + gap) outward from the anchor (keys, node, potential); spread tells how far cycles fail to close.
 
-    Networks are molecules: the nodes of a key stand in one array with their edges, and each round reaches the next nodes;
-    most: rounds (None: until no key gains a node). A node that several edges reach in one round takes the least value.
+    Networks are molecules: keys of up to `small` edges stand in one array, and all rounds are taken in that row, one
+    aggregation and one join for all such keys; larger ones go by rounds of a join and an aggregation, each of which
+    reaches the next nodes. most: rounds (None: until no key gains a node). A node that several edges reach in one round
+    takes the least value. An edge without an end is none.
     """
+    e, some, large = _parted(edges.select(*keys, "a", "b", "gap"), keys, small)
+    way = lambda a, b, gap: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), gap.alias("gap"))
+    held = some.groupBy(*keys).agg(F.flatten(F.collect_list(F.array(way("a", "b", F.col("gap")), way("b", "a", -F.col("gap"))))).alias("_e"))
+    mine = anchor if large is None else anchor.join(large, keys, "left_anti")
+    # a key that is null meets no edges, but its anchors stand
+    x = mine.groupBy(*keys).agg(F.collect_list(F.struct(F.col("node").alias("at"), F.col("potential").alias("v"), F.lit(0).alias("step"))).alias("_at")).join(held, keys, "left")
+
+    def step(s, i):
+        ahead = lambda f: F.transform(F.filter("_e", lambda g: g["a"] == f["at"]), lambda g: F.struct(g["b"].alias("at"), (f["v"] + g["gap"]).alias("v"), (i + 1).alias("step")))
+        more = F.flatten(F.transform(F.filter(s, lambda y: y["step"] == i), ahead))
+        return F.concat(s, _firsts(F.filter(more, lambda m: ~F.exists(s, lambda y: y["at"] == m["at"]))))
+
+    rounds = F.coalesce(F.size("_e") / 2, F.lit(0)).cast("int")  # no path has more edges than there are
+    rounds = rounds if most is None else F.least(rounds, F.lit(most))
+    seen = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(0), rounds - 1), _firsts(F.col("_at")), step)).otherwise(_firsts(F.col("_at")))
+    off = lambda s, y: F.array_max(F.transform(F.filter("_e", lambda g: g["a"] == y["at"]), lambda g: F.abs(y["v"] + g["gap"] - F.get(F.filter(s, lambda z: z["at"] == g["b"]), F.lit(0))["v"])))
+    told = _let(seen, lambda s: F.transform(s, lambda y: F.struct(y["at"].alias("node"), y["v"].alias("potential"), off(s, y).alias("spread"))))
+    out = x.select(*keys, F.inline(told))
+    if large is not None:
+        out = out.unionByName(_potential_rounds(e.join(large, keys, "left_semi"), anchor.join(large, keys, "left_semi"), most, keys))
+    return out.fillna(0.0, ["spread"])
+
+
+def _potential_rounds(edges: DataFrame, anchor: DataFrame, most: int | None, keys: list[str]) -> DataFrame:
+    """Potentials of keys of any number of edges."""
     both = materialise(edges.select(*keys, "a", "b", "gap").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap")).alias("gap"))))
     reach = both.groupBy(*keys, "a").agg(F.collect_list(F.struct("b", "gap")).alias("near"))  # a node's degree
     seen = anchor.select(*keys, F.col("node").alias("a"), F.col("potential").alias("v"), F.lit(0).alias("step"))
@@ -150,4 +219,4 @@ def network_potentials(edges: DataFrame, anchor: DataFrame, most: int | None, ke
     v = seen.select(*keys, F.col("a").alias("node"), F.col("v").alias("potential"))
     ends = both.join(v.select(*keys, F.col("node").alias("a"), F.col("potential").alias("va")), [*keys, "a"]).join(v.select(*keys, F.col("node").alias("b"), F.col("potential").alias("vb")), [*keys, "b"])
     off = ends.groupBy(*keys, F.col("a").alias("node")).agg(F.max(F.abs(F.col("va") + F.col("gap") - F.col("vb"))).alias("spread"))
-    return v.join(off, [*keys, "node"], "left").fillna(0.0, ["spread"])
+    return v.join(off, [*keys, "node"], "left")
