@@ -226,21 +226,25 @@ def walker_positions(exchanges: DataFrame, run: str = "run", step: str = "step",
     composed to one permutation, the permutations of a run (one row a block) are composed in order, and each block is
     then told out from the places it starts with. No task holds more than one block's rows, or one run's table of blocks.
     """
+    import numpy as np
     import pandas as pd
 
     kind = {f.name: f.dataType.simpleString() for f in exchanges.schema}
-    x = exchanges.select(run, step, F.col("low").cast("int").alias("low"), "accepted", F.floor(F.col(step) / block).alias("_block"))
+    x = exchanges.where(F.col(step).isNotNull()).select(run, step, F.col("low").cast("int").alias("low"), "accepted", F.floor(F.col(step) / block).alias("_block"))
     size = x.groupBy(run).agg((F.max("low") + 2).alias("_n"))
     x = x.join(size, run)
 
-    def swap(at: list, rows: pd.DataFrame) -> None:
-        for low in rows.sort_values("low").loc[lambda r: r["accepted"], "low"]:
-            at[low], at[low + 1] = at[low + 1], at[low]
+    def told(rows: pd.DataFrame) -> tuple:
+        """Steps of the rows in order, their lows, and whether they swap."""
+        rows = rows.sort_values([step, "low"])
+        return rows[step].to_numpy(), rows["low"].tolist(), (rows["accepted"] == True).tolist()  # noqa: E712
 
     def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
         at = list(range(int(pdf["_n"].iloc[0])))
-        for _, rows in pdf.sort_values(step).groupby(step):
-            swap(at, rows)
+        _, lows, swaps = told(pdf)
+        for low, yes in zip(lows, swaps):
+            if yes:
+                at[low], at[low + 1] = at[low + 1], at[low]
         return pd.DataFrame({run: [key[0]], "_block": [key[1]], "_moves": [at]})
 
     def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,13 +256,18 @@ def walker_positions(exchanges: DataFrame, run: str = "run", step: str = "step",
         return pd.DataFrame({run: key[0], "_block": pdf["_block"].to_numpy(), "_start": out})
 
     def tell(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            at = list(start["_start"].iloc[0])
-            for s, part in rows.sort_values(step).groupby(step):
-                swap(at, part)
-                out += [(key[0], s, int(walker), place) for place, walker in enumerate(at)]
-        return pd.DataFrame(out, columns=[run, step, "walker", "place"])
+        if not len(rows):
+            return pd.DataFrame([], columns=[run, step, "walker", "place"])
+        at, out = list(start["_start"].iloc[0]), []
+        steps, lows, swaps = told(rows)
+        ends = np.append(steps[1:] != steps[:-1], True)
+        for low, yes, end in zip(lows, swaps, ends.tolist()):
+            if yes:
+                at[low], at[low + 1] = at[low + 1], at[low]
+            if end:
+                out += at
+        n = len(out) // len(at)
+        return pd.DataFrame({run: key[0], step: np.repeat(steps[ends], len(at)), "walker": np.array(out, np.int32), "place": np.tile(np.arange(len(at), dtype=np.int32), n)})
 
     moves = x.groupBy(run, "_block").applyInPandas(compose, f"{run} {kind[run]}, _block bigint, _moves array<int>")
     starts = moves.groupBy(run).applyInPandas(chain, f"{run} {kind[run]}, _block bigint, _start array<int>")
