@@ -143,11 +143,22 @@ def resolve_names(names: DataFrame, topology: DataFrame, key: str = "system") ->
     return names.join(one, [key, "name"])
 
 
+def _both_states(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    x = a.select(*keys, F.col("q").alias("q0")).join(b.select(*keys, F.col("q").alias("q1")), keys, "full")
+    return x.fillna(0.0, ["q0", "q1"]).where("q0 <> 0 or q1 <> 0")
+
+
 def align_states(a: DataFrame, b: DataFrame, steps: int, keys: list[str]) -> DataFrame:
     """Charges q of two states on one order of atoms (absent: 0), atoms that are zero in both left out, with the linear path between them."""
-    x = a.select(*keys, F.col("q").alias("q0")).join(b.select(*keys, F.col("q").alias("q1")), keys, "full").fillna(0.0, ["q0", "q1"]).where("q0 <> 0 or q1 <> 0")
     lam = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps))
-    return x.withColumn("lambda", lam).withColumn("q", F.col("q0") + (F.col("q1") - F.col("q0")) * F.col("lambda"))
+    return _both_states(a, b, keys).withColumn("lambda", lam).withColumn("q", F.col("q0") + (F.col("q1") - F.col("q0")) * F.col("lambda"))
+
+
+def state_totals(a: DataFrame, b: DataFrame, steps: int, keys: list[str], by: list[str]) -> DataFrame:
+    """By, lambda, total: charges of align_states added up. The sums of all lambdas stand in one row of `by`, so atoms are not copied for each lambda."""
+    sums = [F.sum(F.col("q0") + (F.col("q1") - F.col("q0")) * F.lit(i / steps)).alias(f"_s{i}") for i in range(steps + 1)]
+    x = _both_states(a, b, keys).groupBy(*by).agg(*sums)
+    return x.select(*by, F.inline(F.array(*[F.struct(F.lit(i / steps).alias("lambda"), F.col(f"_s{i}").alias("total")) for i in range(steps + 1)])))
 
 
 def check_series(df: DataFrame, key: str = "run", t: str = "t", value: str = "value", rtol: float = 1e-7, least: int = 2, size: int | None = None) -> DataFrame:

@@ -392,8 +392,7 @@ def _(spark, d):
 SELECT frame, l / 4.0 AS "lambda", sum(q0 + (q1 - q0) * (l / 4.0)) AS total FROM c, range(0, 5) r(l) WHERE q0 <> 0 OR q1 <> 0 GROUP BY ALL""", '"lambda" total', "atoms")
 def _(spark, d):
     a = atoms(spark, d)
-    x = align.align_states(a.where(~H() & (F.col("x") > 10)).select("frame", "atom_id", (F.col("x") / 97).alias("q")), a.where(~O()).select("frame", "atom_id", (F.col("y") / 89).alias("q")), 4, ["frame", "atom_id"])
-    return x.groupBy("frame", "lambda").agg(F.sum("q").alias("total"))
+    return align.state_totals(a.where(~H() & (F.col("x") > 10)).select("frame", "atom_id", (F.col("x") / 97).alias("q")), a.where(~O()).select("frame", "atom_id", (F.col("y") / 89).alias("q")), 4, ["frame", "atom_id"], ["frame"])
 
 
 @query("h4_rdf", f"""WITH p AS ({pairs_sql("'O'", "'O'", 15)}), c AS (SELECT frame, count(*) AS n FROM atoms WHERE element = 'O' GROUP BY frame), t AS (SELECT sum(n) AS centres, sum(n * n) AS pairs FROM c),
