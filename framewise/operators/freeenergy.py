@@ -338,7 +338,9 @@ def block_bootstrap(df: DataFrame, values: list[str], replicas: int, block: int,
     width = len(values)
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(F.lit(seed), "replica", *keys, "block"), F.col("_n")) if start is None else start("_n")
-    s = n.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica")).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)).alias("block"))
+    # a row of n becomes replicas times blocks: its rows are dealt first, and the join knows of hits only that they come from n, and so must not take them for small
+    dealt = n.repartition(int(n.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = dealt.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica")).select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1)).alias("block"))
     s = s.select(*keys, "_n", "replica", place.alias("_s"), F.least(F.lit(block), F.col("_n") - F.col("block") * block).alias("_len"))
     # a sample block covers [s, s + len) around the circle: at most three pieces, the first from s on, and what is left of it in the next ones
     piece = F.floor(F.col("_s") / block)
@@ -346,31 +348,43 @@ def block_bootstrap(df: DataFrame, values: list[str], replicas: int, block: int,
     hits = parts.groupBy(*keys, F.col("_to").alias("_piece")).agg(F.collect_list(F.struct(F.col("replica").cast("int").alias("r"), F.col("_s").cast("bigint").alias("s"), F.col("_len").cast("bigint").alias("len"))).alias("hits"))  # about one a replica
     rows = df.join(n, keys).select(*keys, "_n", F.floor(F.col(idx) / block).alias("_piece"), F.struct(F.col(idx).cast("bigint").alias("_i"), *[F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)]).alias("row"))
     pieces = rows.groupBy(*keys, "_n", "_piece").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # `block` rows
-    both = pieces.join(hits, [*keys, "_piece"])
+    both = pieces.join(hits.hint("merge"), [*keys, "_piece"])
     names = [f"sum_{v}" for v in values]
 
-    def sums(length: pd.Series, rows: pd.Series, hits: pd.Series) -> pd.Series:
+    def sums(batches):
         import numpy as np
-
-        out = []
-        for n, held, found in zip(length, rows, hits):
-            i = np.array([r["_i"] for r in held])
-            v = np.array([[r[f"v{k}"] for k in range(width)] for r in held], float)
-            run = np.vstack([np.zeros(width + 1), np.cumsum(np.column_stack([np.ones(len(v)), v]), axis=0)])
-            r, s, size = (np.array([h[c] for h in found]) for c in ("r", "s", "len"))
-            total = np.zeros((len(r), width + 1))
-            for turn in (0, n):  # the part before the end of the series, and the part that goes round
-                a, b = np.searchsorted(i, s - turn), np.searchsorted(i, s + size - turn)
-                total += run[b] - run[a]
-            by = np.unique(r, return_inverse=True)
-            summed = np.zeros((len(by[0]), width + 1))
-            np.add.at(summed, by[1], total)
-            out.append([{"replica": int(x), "s": row.tolist()} for x, row in zip(by[0], summed)])
-        return pd.Series(out)
-
-    found = both.select(*keys, F.explode(F.pandas_udf(sums, "array<struct<replica:int,s:array<double>>>")("_n", "rows", "hits")).alias("x"))
+        import pyarrow as pa
+
+        flat = lambda col, name: col.flatten().field(name).to_numpy(zero_copy_only=False)
+        owner = lambda col: np.repeat(np.arange(len(col)), col.value_lengths().to_numpy(zero_copy_only=False))
+        for batch in batches:
+            rows, hits = batch.column("rows"), batch.column("hits")
+            n, size = batch.column("_n").to_numpy(zero_copy_only=False), batch.num_rows
+            held, found = owner(rows), owner(hits)
+            i, r, s, length = flat(rows, "_i"), flat(hits, "r"), flat(hits, "s"), flat(hits, "len")
+            # the rows of all pieces of the batch stand in one line, a piece after the other
+            reach = int(max(n.max(initial=0), 1)) * 2 + 2
+            line = held * 2 * reach + i + reach
+            v = [np.append(np.ones(len(i)), 0.0), *[np.append(flat(rows, f"v{k}"), 0.0) for k in range(width)]]
+            at, inverse = np.unique(found * (replicas + 1) + r, return_inverse=True)
+            total = np.zeros((len(at), width + 1))
+            for turn in (0, n[found]):  # the part before the end of the series, and the part that goes round
+                a, b = np.searchsorted(line, found * 2 * reach + s - turn + reach), np.searchsorted(line, found * 2 * reach + s + length - turn + reach)
+                some = b > a
+                ends = np.column_stack([a[some], b[some]]).ravel()
+                for k in range(width + 1):
+                    if len(ends):
+                        np.add.at(total[:, k], inverse[some], np.add.reduceat(v[k], ends)[::2])
+            piece = pa.array(at // (replicas + 1))
+            out = {c: batch.column(c).take(piece) for c in keys}
+            out["replica"] = pa.array((at % (replicas + 1)).astype(np.int32))
+            out["s"] = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), width + 1).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    found = both.mapInArrow(sums, ", ".join([*(f"`{k}` {kind[k]}" for k in keys), "replica int", "s array<double>"]))
     own = df.select(*keys, F.lit(0).alias("replica"), F.array(F.lit(1.0), *[F.col(v).cast("double") for v in values]).alias("s"))
-    every = found.select(*keys, "x.replica", "x.s").unionByName(own)
+    every = found.unionByName(own)
     return every.groupBy("replica", *keys).agg(F.sum(F.col("s")[0]).cast("bigint").alias("n"), *[F.sum(F.col("s")[k + 1]).alias(name) for k, name in enumerate(names)])
 
 
