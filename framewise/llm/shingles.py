@@ -10,10 +10,11 @@ entry of its keys, so that a large group of near copies costs a few pairs a memb
 in one component and can still be links are held against each other.
 
 Which can: a shingle that one component alone holds is in no pair across components. So of an entry with n shingles, c of
-them held by more than one component, at most c can be shared, and a pair has a similarity of at most m / (n1 + n2 - m),
-m the lesser c. In keys with more than CROWD components, where a group of texts just under the similarity would else cost the
-square of its size, c is counted; entries with c under similarity * n leave, the entry with the largest share c / n is a
-second pivot, and members stand in lists by that share, so that lists which cannot hold a link do not meet. Each candidate
+them held by more than one component of such keys, at most c can be shared, and a pair has a similarity of at most
+m / (n1 + n2 - m), m the lesser c. Entries with c under similarity * n leave; in keys with more than CROWD components, where
+a group of texts just under the similarity would else cost the square of its size, the entry with the largest share c / n is
+a second pivot; then c is counted again among those that stay, since the shingles that only those share which have left, and
+those of components that have become one, are in no pair. A pair with several keys meets in the least of them. Each candidate
 also has a parity bitmap of its shingles, two bits and more for each: a shingle that one of two texts has alone flips one
 bit, so the bits in which two bitmaps differ are at most the shingles in which the texts differ, and bound what they share;
 no pair's texts are fetched before this test. Both bounds are exact: no pair that could be a link is left out.
@@ -37,9 +38,9 @@ from .text import components, kept_rows, map_rows, numbered, trim, utf8
 
 #: Entries whose keys are broadcast to fetch their texts; more of them are joined by a shuffle.
 MOST = 1_000_000
-#: Keys with more components than this have their shingles counted.
+#: Keys with more components than this have a second pivot.
 CROWD = 64
-#: About so many texts are held against one in one run of rows, or stand in one list; a text with more candidates gets several runs, a larger group several lists.
+#: About so many texts are held against one in one run of rows; a text with more candidates gets several runs.
 CHUNK = 128
 #: Differing bits of fingerprints up to which the Gray-order index links them.
 NEAR = 3
@@ -99,14 +100,14 @@ def _near(similarity: float, words: int):
 
 
 def _hashes(words: int):
-    """Arrow function over rows (sid, root, text): the text's distinct shingle hashes, one a row."""
-    schema = pa.schema([("sid", pa.int64()), ("root", pa.int64()), ("h", pa.int64())])
+    """Arrow function over rows (sid, text): the text's distinct shingle hashes, one a row."""
+    schema = pa.schema([("sid", pa.int64()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, root, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for sid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 h = np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in shingles(text, words)], np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sid)), pa.array(np.full(len(h), root)), pa.array(h)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sid)), pa.array(h)], schema=schema)
         trim()
 
     return run
@@ -196,30 +197,31 @@ def links(entries: DataFrame, texts, similarity: float = 0.8, words: int = 5) ->
         return materialise(live.join(live.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("crowd")), "key"))
 
     found = verified(close(near.union(shared.select(F.col("sid").alias("a"), F.explode(F.array("low", "high")).alias("b")))))
-    live = opened(found).withColumn("c", F.col("n"))
-    crowded = live.where(F.col("crowd") > CROWD).select("sid", "root").distinct()
+    live = opened(found)
+    held = materialise(live.select("sid").distinct().join(text, "sid").mapInArrow(_hashes(words), "sid bigint, h bigint"))
+
+    def able(live: DataFrame) -> DataFrame:
+        """The members that can still be in a link to another component of those given, with c; those that leave take with them the shingles that only they share."""
+        who = live.select("sid", "root").distinct()
+        each = held.join(who, "sid")
+        both = each.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        c = each.join(both, "h").groupBy("sid").agg(F.count("*").alias("c"))
+        return materialise(live.join(c, "sid").where(_fits(similarity, F.col("n"), F.col("c"), F.col("c"), F.col("c"))))
+
+    live = able(live)
+    crowded = live.where(F.col("crowd") > CROWD)
     if not crowded.isEmpty():
-        held = materialise(crowded.join(text, "sid").select("sid", "root", "text").mapInArrow(_hashes(words), "sid bigint, root bigint, h bigint"))
-        # of entries outside the crowded keys nothing is known, and no pair with them is judged by c
-        alone = held.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("h")
-        own = materialise(held.join(alone, "h").groupBy("sid").agg(F.count("*").alias("own")))
-        counted = lambda x: x.join(own, "sid", "left").withColumn("c", F.when(F.col("crowd") > CROWD, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n"))).drop("own")
-        able = materialise(counted(live).where((F.col("crowd") > CROWD) & _fits(similarity, F.col("n"), F.col("c"), F.col("c"), F.col("c"))))
-        pivots = able.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("sid")).alias("s"))).alias("p")).select("key", (-F.col("p.s")).alias("b"))
-        found = found.union(verified(close(able.join(pivots, "key").select(F.col("sid").alias("a"), "b"))))
-        # c was counted with the components of before, which are parts of those now, and so is still a bound
-        live = counted(opened(found).withColumnRenamed("crowd", "_now").join(live.select("key", "crowd").distinct(), "key").drop("_now"))
-        live = live.where(_fits(similarity, F.col("n"), F.col("c"), F.col("c"), F.col("c")))
-    live = live.join(bits, "sid").withColumn("share", F.floor(50 * F.col("c") / F.col("n")))
-    sizes = live.groupBy("key", "root", "share").agg(F.count("*").alias("_n"))
-    blocks = live.join(sizes, ["key", "root", "share"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.floor(1 + F.col("_n") / CHUNK)))
-    groups = blocks.groupBy("key", "root", "share", "block").agg(F.collect_list(F.struct("n", "c", "sid", "bits")).alias("m"), F.min("n").alias("n"), F.max("c").alias("c"))
-    groups = materialise(groups)
-    x, y = groups.alias("x"), groups.alias("y")
-    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _fits(similarity, F.col("x.n"), F.col("x.c"), F.col("y.n"), F.col("y.c"))
-    pairs = x.join(y, can).select(F.explode("x.m").alias("p"), F.col("y.m").alias("m"))
-    pairs = pairs.select(F.col("p.sid").alias("a"), F.explode(F.filter("m", lambda q: _fits(similarity, F.col("p.n"), F.col("p.c"), q["n"], q["c"]) & _close(similarity, F.col("p.n"), F.col("p.bits"), q["n"], q["bits"]))).alias("q"))
-    return found.union(verified(pairs.select("a", F.col("q.sid").alias("b"))))
+        pivots = crowded.groupBy("key").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("sid")).alias("s"))).alias("p")).select("key", (-F.col("p.s")).alias("b"))
+        found = found.union(verified(close(crowded.join(pivots, "key").select(F.col("sid").alias("a"), "b"))))
+    live = able(opened(found).join(live.select("sid").distinct(), "sid", "left_semi"))
+    # a pair meets in the least of its keys alone
+    own = live.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+    live = materialise(live.select("key", "root", "sid", "n", "c").join(own, "sid").join(bits, "sid"))
+    x, y = live.alias("x"), live.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _fits(similarity, F.col("x.n"), F.col("x.c"), F.col("y.n"), F.col("y.c"))
+    pairs = x.join(y, meet & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
+    pairs = pairs.where(_close(similarity, F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits")))
+    return found.union(verified(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
