@@ -128,7 +128,7 @@ def test_small_groups_cost_no_square(spark, monkeypatch):
 
 def test_small_crowds_leave_by_their_own_shingles(spark, monkeypatch):
     """In keys of few texts, too, those with too many shingles of their own meet no other text."""
-    texts = [" ".join([f"b{i}" for i in range(77)] + [f"x{k}y{i}" for i in range(13)] + ["z"] * (k % 2)) for k in range(40)]
+    texts = [" ".join([f"b{i}" for i in range(70)] + [f"x{k}y{i}" for i in range(13)] + ["z"] * (k % 2)) for k in range(40)]
     docs = spark.createDataFrame([(k, t.replace("b3 ", f"q{k} ")) for k, t in enumerate(texts)], "doc_id bigint, text string")
     left, made = [], shingles.materialise
 
